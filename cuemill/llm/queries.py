@@ -2,10 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ._spark import table
-from . import mixing, packing
+from . import fingerprints, html_text, langid, mixing, ngram_join, packing, quality, urls
+
+
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+
+
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.classes(table(spark, sf_dir, "documents"))
+
+
+def _remainder(key: Column, n: int) -> Column:
+    return F.crc32(key.cast("string").cast("binary")) % n
+
+
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(_remainder(F.col("doc_id"), 4) == 2, F.lit(False))
+    model = langid.fit(langid.training(docs, "text", "lang", ~held_out))
+    return langid.label(docs, model, keep=["doc_id"]).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(quality.training(docs, table(spark, sf_dir, "labels"), lambda key: _remainder(key, 3) != 1))
+    held_out = F.coalesce(_remainder(F.col("doc_id"), 3) == 1, F.lit(False))
+    return quality.score(docs, model, keep=["doc_id"]).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), keep=["page_id"])
+
+
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.with_edits(table(spark, sf_dir, "documents"))
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +53,6 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.col("_copies")).alias("taken"))
 
 
-QUERIES = {"op4_packing": op4_packing, "op9_mixing": op9_mixing}
+QUERIES = {f.__name__: f for f in (op1_html, op2_urls, op4_packing, op5_fingerprints, op6_ngram_join, op7_langid, op8_quality, op9_mixing)}
 
-ORACLE_SQL = {}
+ORACLE_SQL: dict[str, str] = {}
