@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,3 +38,8 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     """df with a broadcast hint if it has at most so many rows, else as it is, for a shuffled join. df should be cheap
     to compute or written already: its rows are counted."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def schema_of(df: DataFrame, keep: list[str], more: str) -> T.StructType:
+    """The fields of df named in keep, then those of a DDL string."""
+    return T.StructType([*[df.schema[c] for c in keep], *T.StructType.fromDDL(more).fields])

@@ -19,6 +19,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ._spark import schema_of
+
 LENGTH_LOW, LENGTH_HIGH = 40, 110
 STOP_LOW, STOP_HIGH = 0.08, 0.2
 LINK_DENSITY = 0.25
@@ -234,11 +236,9 @@ def main_text(page: str | None) -> str:
 def extract(pages: DataFrame, html_col: str = "html", keep: list[str] | None = None) -> DataFrame:
     """The columns in keep with text and n_chars. Map-only: a page is read in the task that holds it."""
     keep = keep or []
-    schema = ", ".join([f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in keep] + ["text string, n_chars long"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [main_text(x.as_py()) for x in b["_html"]]
             yield pa.RecordBatch.from_arrays([*[b[c] for c in keep], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*keep, "text", "n_chars"])
 
-    return pages.select(*keep, F.col(html_col).alias("_html")).mapInArrow(run, schema)
+    return pages.select(*keep, F.col(html_col).alias("_html")).mapInArrow(run, schema_of(pages, keep, "text string, n_chars long"))

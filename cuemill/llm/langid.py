@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ._spark import schema_of
 from ._words import blocks, mixed, split_words
 
 UND = "und"
@@ -190,7 +191,7 @@ def label(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
     """The columns in keep with lang_pred and score; spans adds the spans as an array of (first word, words, lang)."""
     keep = keep or []
     held = docs.sparkSession.sparkContext.broadcast(model)
-    schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + ["lang_pred string, score double"] + ["spans array<struct<first:int,words:int,lang:string>>"] * spans)
+    schema = schema_of(docs, keep, "lang_pred string, score double" + ", spans array<struct<first:int,words:int,lang:string>>" * spans)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value

@@ -7,9 +7,9 @@ components of the links.
 1. Counts. Every task counts the n-grams of its sets (each different set once a task) in 2^32 counters, sent as two
    bytes an n-gram. The most frequent n-grams, at most HEAVY of them (8 bytes each), are broadcast. They define the
    global order: rare n-grams first by hash, then the frequent ones by rising count. Any order gives right results.
-2. Prefixes. Linked sets share an n-gram among the first n - ceil(t n) + 1 of either, in the global order. Sets that
-   share such an n-gram are joined to the least of them, and the connected components of these pairs are the candidate
-   groups. No pair is left out: a group holds every set that its members could link with.
+2. Prefixes. Linked sets share an n-gram among the first n - ceil(t n) + 1 of either, in the global order. Pairs that
+   share too few of them to reach the threshold go; the connected components of the others are the candidate groups. No
+   link is left out: a group holds every set that its members could link with.
 3. Tries. A group's sets meet once in a trie of their ordered n-grams. Each set walks it; sets below a node share the
    overlap counted so far, and a subtree goes when the overlap plus what remains on either side can't reach the
    threshold. A group beyond GROUP_SETS sets or GROUP_GRAMS n-grams is dealt into pairs of blocks of hashed members,
@@ -27,18 +27,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from ._spark import cut, small
+from ._spark import cut, schema_of, small
 from ._words import blocks, mixed, shingles, split_words
 
 #: Frequent n-grams whose order is by count (4 MB as broadcast); least count that is looked at.
 HEAVY, HEAVY_COUNT = 1 << 19, 4
-#: Ranges of the 32-bit counters; each has a counter of 4 MB while its rows stream by.
-RANGES = 4096
+#: Ranges of the 32-bit counters; where many rows stream by, a range has a counter of 32 MB.
+RANGES = 1024
 #: N-grams that a task gathers before it sends their counts.
 FLUSH = 4_000_000
+#: Sets of an n-gram whose pairs are counted; with more, all join the least of them.
+PAIR_SETS = 32
 #: Sets and n-grams of a group that one task holds.
 GROUP_SETS, GROUP_GRAMS = 1000, 4_000_000
 #: Candidates (16 bytes each) that are broadcast to find their texts; beyond, that join is shuffled.
@@ -85,21 +86,38 @@ def _counts(docs: DataFrame, k: int) -> DataFrame:
             yield flush()
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        per, now, sums = (1 << 16) // RANGES, None, None
+        per, now, sums, codes, held = (1 << 16) // RANGES, None, None, [], 0
 
         def out() -> pa.RecordBatch:
-            at = np.flatnonzero(sums >= HEAVY_COUNT)
-            return pa.RecordBatch.from_arrays([pa.array(at + (now << 20), pa.int64()), pa.array(sums[at].astype(np.int64))], ["gram", "n"])
+            if sums is None:
+                at, n = np.unique(np.concatenate(codes), return_counts=True)
+            else:
+                if codes:
+                    fold()
+                at = np.arange(len(sums))
+                n = sums
+            some = n >= HEAVY_COUNT
+            return pa.RecordBatch.from_arrays([pa.array(at[some].astype(np.int64) + now * (per << 16), pa.int64()), pa.array(n[some].astype(np.int64))], ["gram", "n"])
+
+        def fold() -> None:
+            """Many counts go into a counter for each n-gram of the range; few are sorted."""
+            nonlocal sums
+            new = np.bincount(np.concatenate(codes), minlength=per << 16)
+            sums = new if sums is None else sums + new
 
         for batch in batches:
             for r, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
                 if r != now:
                     if now is not None:
                         yield out()
-                    now, sums = r, np.zeros(per << 16, np.uint32)
+                    now, sums, codes, held = r, None, [], 0
                 raw = blob.as_buffer()
                 sizes, lower = np.frombuffer(raw, np.uint32, per), np.frombuffer(raw, np.uint16, offset=4 * per)
-                sums += np.bincount((np.repeat(np.arange(per), sizes) << 16) + lower, minlength=per << 16).astype(np.uint32)
+                codes.append((np.repeat(np.arange(per, dtype=np.int32), sizes) << 16) + lower)
+                held += len(lower)
+                if held > FLUSH:
+                    fold()
+                    codes, held = [], 0
         if now is not None:
             yield out()
 
@@ -158,7 +176,7 @@ def prepared(docs: DataFrame, key: str, text: str, k: int, num: int, den: int) -
                     prefixes[i] = order.sort(own)[: len(own) - -(-num * len(own) // den) + 1].view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(keys, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], [key, "n", "set_key", "prefix"])
 
-    rows = docs.select(F.col(key), F.col(text).alias("_text")).mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, n long, set_key long, prefix array<long>")
+    rows = docs.select(F.col(key), F.col(text).alias("_text")).mapInArrow(run, schema_of(docs, [key], "n long, set_key long, prefix array<long>"))
     return cut(rows, "prefixes"), heavy
 
 
@@ -282,13 +300,32 @@ def _linked(sets: DataFrame, num: int, den: int) -> DataFrame:
     return sets.groupBy("item").applyInArrow(run, "a long, b long")
 
 
+def candidates(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """rows: n, set_key, prefix. a, b: pairs of set keys whose components hold all sets that can link.
+
+    Sets a and b can share no more than c n-grams of their prefixes and what comes after the prefix that ends first. An
+    n-gram of at most PAIR_SETS sets gives all its pairs, so c is known up to the n-grams of more sets, which are
+    counted as shared; a pair that can't reach the threshold goes. An n-gram of more sets joins them all to the least."""
+    entries = rows.select(F.explode("prefix").alias("gram"), "set_key", F.col("n").cast("int").alias("n")).repartition("gram").groupBy("gram", "set_key").agg(F.first("n").alias("n"))
+    groups = entries.groupBy("gram").agg(F.min("set_key").alias("least"), F.count("*").alias("sets")).where("sets > 1")
+    shared = entries.join(groups, "gram")
+    large = shared.where(F.col("sets") > PAIR_SETS)
+    few = shared.where(F.col("sets") <= PAIR_SETS).select("gram", "set_key", "n")
+    other = few.select("gram", F.col("set_key").alias("b"), F.col("n").alias("nb"))
+    pairs = few.withColumnRenamed("set_key", "a").withColumnRenamed("n", "na").join(other, "gram").where("a < b")
+    common = pairs.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.count("*").alias("c"))
+    more = large.groupBy("set_key").agg(F.count("*").alias("m"))
+    common = common.join(more.select(F.col("set_key").alias("a"), F.col("m").alias("ma")), "a", "left").join(more.select(F.col("set_key").alias("b"), F.col("m").alias("mb")), "b", "left")
+    after = lambda n: F.ceil(num * F.col(n) / F.lit(den)) - 1  # noqa: E731  n-grams beyond the prefix
+    needed = F.ceil(num * (F.col("na") + F.col("nb")) / F.lit(num + den)) - F.greatest(after("na"), after("nb"))
+    kept = common.where(F.col("c") + F.least(F.coalesce("ma", F.lit(0)), F.coalesce("mb", F.lit(0))) >= needed)
+    return kept.select("a", "b").union(large.where("least <> set_key").select(F.col("least").alias("a"), F.col("set_key").alias("b")).distinct())
+
+
 def links(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, num: int = 85, den: int = 100) -> tuple[DataFrame, DataFrame]:
     """(rows, edges). rows: key, n, set_key per document; edges: a, b: links between set keys that make up the classes."""
     rows, _ = prepared(docs, key, text, k, num, den)
-    entries = rows.select(F.explode("prefix").alias("gram"), "set_key").repartition("gram")
-    least = entries.groupBy("gram").agg(F.min("set_key").alias("a"), F.max("set_key").alias("z")).where("a < z").drop("z")
-    pairs = entries.join(least, "gram").where("a <> set_key").select("a", F.col("set_key").alias("b")).distinct()
-    groups = cut(components(pairs).withColumnRenamed("node", "set_key"), "groups")
+    groups = cut(components(candidates(rows, num, den)).withColumnRenamed("node", "set_key"), "groups")
     # The texts of the candidates: one document for each set.
     one = rows.where("set_key is not null").groupBy("set_key").agg(F.min(key).alias("_id"), F.first("n").alias("_n"))
     wanted = cut(groups.join(one, "set_key"), "candidates")
@@ -325,3 +362,14 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4
     labelled = rows.join(roots, "set_key", "left").withColumn("_class", F.coalesce("root", "set_key")).drop("root", "set_key")
     least = labelled.where("_class is not null").groupBy("_class").agg(F.min(key).alias("_least"), F.count("*").alias("_rows")).where("_rows > 1").drop("_rows")
     return labelled.join(least, "_class", "left").select(key, F.col("n").alias("n_shingles"), F.coalesce("_least", key).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
+    """docs with one document of each class: the one with the least key, once if its row repeats. Documents without a
+    key stay."""
+    found = cut(classes(docs, key, text, k, num, den), "classes")
+    own = found.where(F.col(key) == F.col("component_id")).select(F.col(key).alias("_kept"))
+    repeated = own.groupBy("_kept").count().where("count > 1").limit(1).count() > 0
+    kept = docs.join(small(own.distinct(), BROADCAST_KEYS), F.col(key) == F.col("_kept"), "left_semi")
+    kept = kept.dropDuplicates([key]) if repeated else kept
+    return kept.unionByName(docs.where(F.col(key).isNull()))

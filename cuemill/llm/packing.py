@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from ._spark import schema_of
+
 CAPACITY = 1024
 
 _encoder = None
@@ -89,9 +91,8 @@ def pack(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str =
     (binary, little-endian unsigned 32-bit)."""
     if capacity & (capacity - 1):
         raise ValueError("capacity must be a power of two")
-    kind = docs.schema[key].dataType
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).sortWithinPartitions("key")
-    schema = f"{key} {kind.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", token_ids binary" * with_ids
+    schema = schema_of(docs, [key], "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", token_ids binary" * with_ids)
     names = [key, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["token_ids"] * with_ids
     end = end_id.to_bytes(4, "little")
 

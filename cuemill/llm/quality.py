@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ._spark import schema_of
 from ._words import blocks, split_words
 
 #: Labelled rows that the fit takes at most, drawn by a hash of the text; about 300 bytes each come to the driver.
@@ -159,5 +160,4 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
         for b in batches:
             yield pa.RecordBatch.from_arrays([*[b[c] for c in keep], pa.array(held.value.score(features(b["_text"])), pa.float64())], [*keep, "score"])
 
-    schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + ["score double"])
-    return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(run, schema_of(docs, keep, "score double"))

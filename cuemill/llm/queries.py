@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ._spark import table
-from . import fingerprints, html_text, langid, mixing, ngram_join, packing, quality, urls
+from ._spark import small, table
+from . import ann, fingerprints, html_text, langid, lm_scoring, mixing, ngram_join, packing, quality, urls
 
 
 def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,6 +42,23 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.with_edits(table(spark, sf_dir, "documents"))
 
 
+#: Labelled ids that are broadcast at most; beyond, that join is shuffled.
+BROADCAST_LABELS = 2_000_000
+
+
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The target are the documents that labels call good and not toxic, the background all others."""
+    docs = table(spark, sf_dir, "documents")
+    good = table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select(F.col("doc_id").alias("_good")).distinct()
+    marked = docs.join(small(good, BROADCAST_LABELS), F.col("doc_id") == F.col("_good"), "left")
+    model = lm_scoring.fit(lm_scoring.corpora(marked, "text", F.col("_good").isNotNull(), F.col("_good").isNull()))
+    return lm_scoring.score(docs, model, keep=["doc_id"])
+
+
+def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -53,6 +70,6 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.col("_copies")).alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html, op2_urls, op4_packing, op5_fingerprints, op6_ngram_join, op7_langid, op8_quality, op9_mixing)}
+QUERIES = {f.__name__: f for f in (op1_html, op2_urls, op3_lm_scoring, op4_packing, op5_fingerprints, op6_ngram_join, op7_langid, op8_quality, op9_mixing, op10_ann)}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -2,10 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ._spark import cut
-from . import mixing, packing
+from . import langid, mixing, ngram_join, packing, quality
+from ._spark import cut, table
+
+#: Least share of a document's letters in its language. Documents that mix two languages stay; word salad goes.
+LEAST_LANGUAGE = 0.35
+
+
+def _whole(docs: DataFrame) -> DataFrame:
+    """Rows as one struct beside the text, so that no column clashes with an operator's."""
+    return docs.select(F.struct(*docs.columns).alias("_doc"), F.col("text").alias("_body"))
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without letters, or without a language that holds LEAST_LANGUAGE of them, go."""
+    model = langid.fit(langid.training(docs, "text", "lang", F.lit(True)))
+    found = langid.label(_whole(docs), model, text="_body", keep=["_doc"])
+    return found.where((F.col("lang_pred") != langid.UND) & (F.col("score") >= LEAST_LANGUAGE)).select("_doc.*")
+
+
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents below the quality threshold go."""
+    model = quality.fit(quality.training(docs, table(spark, sf_dir, "labels"), lambda key: F.lit(True)))
+    return quality.score(_whole(docs), model, text="_body", keep=["_doc"]).where("score >= 0.5").select("_doc.*")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates stays: five words, similarity 0.8."""
+    return ngram_join.one_of_each(docs, k=5, num=80, den=100)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,7 +44,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=True)
 
 
-STAGES = [("mixing", mix), ("packing", pack)]
+STAGES = [("language", language), ("quality", good), ("near_duplicates", near_duplicates), ("mixing", mix), ("packing", pack)]
 
 
 def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
