@@ -1,8 +1,8 @@
 """Document fingerprints: one-permutation MinHash with optimal densification, packed to low-order bits.
 
 A text's shingles (runs of five words; the whole sequence if shorter) are hashed once. The top bits of a hash choose a
-bin, and a bin keeps its least hash. An empty bin takes the value of a filled one, chosen by hashing the pair of bins:
-each empty bin walks its own pseudo-random order of all bins to the first filled one, alike for all documents. The
+bin, and a bin keeps its least hash. An empty bin takes the value of a filled one: it walks its own pseudo-random order of bins,
+alike for all documents, to the first filled one (after ATTEMPTS steps, the filled one that its hash ranks first). The
 fingerprint holds BITS low-order bits of every bin in hexadecimal. Likeness is the share of equal bins, corrected for
 the 2^-BITS that agree by chance.
 
@@ -19,6 +19,8 @@ from ._spark import shuffle_partitions
 
 WORDS = 5
 BINS = 128
+#: Steps of an empty bin's walk before all filled bins are ranked.
+ATTEMPTS = 4
 #: Low-order bits kept of each bin; two hexadecimal digits.
 BITS = 8
 _BIN_BITS = BINS.bit_length() - 1
@@ -26,15 +28,15 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 
 def shingle_hashes(text: Column, k: int = WORDS) -> Column:
-    """Hashes of the shingles, sorted and distinct."""
-    words = F.filter(F.split(text, SPACE), lambda w: w != "")
+    """Hashes of the shingles, sorted."""
+    words = F.array_remove(F.split(text, SPACE), "")
     hashed = F.transform(words, lambda w: F.xxhash64(w))
 
     def of(h: Column) -> Column:
         runs = F.transform(F.sequence(F.lit(1), F.size(h) - (k - 1)), lambda i: F.xxhash64(*[F.element_at(h, i + j) for j in range(k)]))
         return F.when(F.size(h) >= k, runs).when(F.size(h) > 0, F.array(F.xxhash64(F.array_join(F.transform(h, lambda x: x.cast("string")), " ")))).otherwise(F.array().cast("array<bigint>"))
 
-    return F.array_sort(F.array_distinct(_let(hashed, of)))
+    return F.sort_array(_let(hashed, of))
 
 
 def _let(value: Column, use) -> Column:
@@ -50,25 +52,43 @@ def minima(hashes: Column) -> Column:
 def fingerprint(text: Column, k: int = WORDS) -> Column:
     """The hexadecimal fingerprint; "" without words."""
     bin_of = lambda h: F.shiftright(h, 64 - _BIN_BITS)
-    digits = lambda h: F.lpad(F.lower(F.hex(h.bitwiseAND(F.lit((1 << BITS) - 1)))), BITS // 4, "0")
     bins = F.sequence(F.lit(-BINS // 2).cast("bigint"), F.lit(BINS // 2 - 1).cast("bigint"))
 
-    def dense(found: Column) -> Column:
-        def borrowed(b: Column) -> Column:
-            return F.array_min(F.transform(found, lambda h: F.struct((bin_of(h) != b).alias("other"), F.xxhash64(b, bin_of(h)).alias("rank"), h.alias("h"))))["h"]
+    def dense(found: Column, filled: Column) -> Column:
+        """found: the minima in the order of their bins; filled: these bins."""
 
-        return F.when(F.size(found) == BINS, found).otherwise(F.transform(bins, borrowed))
+        def of(b: Column) -> Column:
+            own = F.array_position(filled, b)
+            return F.when(own > 0, F.element_at(found, own.cast("int"))).otherwise(F.coalesce(*[walk(b, a) for a in range(1, ATTEMPTS + 1)], nearest(b)))
+
+        def walk(b: Column, attempt: int) -> Column:
+            at = F.array_position(filled, F.pmod(F.xxhash64(b, F.lit(attempt)), F.lit(BINS)) - BINS // 2)
+            return F.when(at > 0, F.element_at(found, at.cast("int")))
+
+        def nearest(b: Column) -> Column:
+            ranks = F.transform(filled, lambda x, i: F.xxhash64(b, x).bitwiseAND(F.lit(-BINS)).bitwiseOR(i.cast("bigint")))
+            return F.element_at(found, (F.array_min(ranks).bitwiseAND(F.lit(BINS - 1)) + 1).cast("int"))
+
+        return F.when(F.size(found) == BINS, found).otherwise(F.transform(bins, of))
+
+    def packed(found: Column) -> Column:
+        digits = F.transform(_let(F.transform(found, bin_of), lambda filled: dense(found, filled)), lambda h: F.lpad(F.hex(h.bitwiseAND(F.lit((1 << BITS) - 1))), BITS // 4, "0"))
+        return F.lower(F.array_join(digits, ""))
 
-    packed = lambda found: F.array_join(F.transform(dense(found), digits), "")
     return F.coalesce(_let(_let(shingle_hashes(F.coalesce(text, F.lit("")), k), minima), lambda m: F.when(F.size(m) > 0, packed(m)).otherwise("")), F.lit(""))
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Estimated Jaccard similarity, 0 to 1."""
-    step = BITS // 4
-    same = F.aggregate(F.sequence(F.lit(0), F.lit(BINS - 1)), F.lit(0), lambda acc, i: acc + (F.substring(a, i * step + 1, F.lit(step)) == F.substring(b, i * step + 1, F.lit(step))).cast("int"))
+    size = BITS // 8
+
+    def same(x: Column, y: Column) -> Column:
+        at = lambda z, i: F.substring(z, i * size + 1, F.lit(size))
+        return F.aggregate(F.sequence(F.lit(0), F.lit(BINS - 1)), F.lit(0), lambda acc, i: acc + (at(x, i) == at(y, i)).cast("int"))
+
     chance = 1.0 / (1 << BITS)
-    return F.when(a == b, 1.0).when((a == "") | (b == ""), 0.0).otherwise(F.greatest(F.lit(0.0), (same / float(BINS) - chance) / (1 - chance)))
+    equal = _let(F.unhex(a), lambda x: _let(F.unhex(b), lambda y: same(x, y)))
+    return F.when(a == b, 1.0).when((a == "") | (b == ""), 0.0).otherwise(F.greatest(F.lit(0.0), (equal / float(BINS) - chance) / (1 - chance)))
 
 
 def with_next(docs: DataFrame, key: str, columns: dict[str, Column]) -> tuple[DataFrame, Window]:
