@@ -16,12 +16,15 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+_local = None
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share (spark.checkpoint.dir); a local one only where none is set, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    global _local
+    found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="cuemill-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = _local = _local or "file://" + tempfile.mkdtemp(prefix="cuemill-")
     return found.rstrip("/")
 
 

@@ -14,7 +14,6 @@ no languages: every text is then "und".
 from __future__ import annotations
 
 import bisect
-import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -97,6 +96,8 @@ class Model:
     def score(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(words, languages) scores; whether a word has letters."""
         scripts = np.array([script_of(w) for w in words])
+        if not self.languages:
+            return np.zeros((len(words), 0), np.float32), scripts >= 0
         grams, starts = word_grams(words)
         sums = np.add.reduceat(self.logp[grams], starts, axis=0) / len(ORDERS)
         sums -= sums.max(axis=1, keepdims=True)
