@@ -39,8 +39,8 @@ def read_files(spark: SparkSession, directory: str | list[str]) -> DataFrame:
 
 def _parsed(files: DataFrame) -> DataFrame:
     """One row per file: path, utf8 (bytes are valid), blocks: array of (n, index_ok, idx, starts, ends, text, anchored)."""
-    content = F.make_valid_utf8(F.decode("content", "UTF-8")) if dict(files.dtypes)["content"] == "binary" else F.col("content")
-    valid = F.is_valid_utf8(F.col("content").cast("string")) if dict(files.dtypes)["content"] == "binary" else F.lit(True)
+    content = F.make_valid_utf8(F.col("content").cast("string"))
+    valid = F.is_valid_utf8(F.col("content").cast("string"))
     body = F.regexp_replace(F.regexp_replace(content, "^﻿", ""), r"\r\n|\r", "\n")
     chunks = F.filter(F.split(body, r"\n(?:[ \t]*\n)+"), lambda b: X.strip(b) != "")
 
