@@ -1,17 +1,13 @@
-"""Queries of planning joins, aggregates and streams."""
+"""Queries of planning joins and aggregates."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import batching as E, metrics as J
 from ..plans import work as G
 from ..session import table
 from ..sources import views
-from ..streaming import jobs
 from ._registry import CUES, MEDIA, NAMES, SEGMENTS, query
 
 _WANTED = ["srt", "chs.srt", "txt"]
@@ -185,23 +181,3 @@ def j12_ordered_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
 def j13_realtime_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = views.segments(spark, sf_dir)
     return J.realtime_factor(s.select("media_id", (F.col("end_ms") - F.col("start_ms")).alias("media_ms"), (F.col("chunk_no") * 10 + 5).alias("wall_ms")))
-
-
-def _shared(spark: SparkSession) -> str:
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{(found or 'file://' + tempfile.mkdtemp(prefix='cuemill-')).rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
-@query("SELECT CAST(user_id % 15 AS VARCHAR) AS media_id, CAST(event_id % 4 AS INTEGER) AS chunk_no, CAST(round(max(greatest(0, least(1, value / 100.0))) * 1000000) AS BIGINT) AS fraction FROM events WHERE event_type <> 'error' GROUP BY ALL")
-def k2_stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as a stream; the last update of each chunk. The pattern lets a single file be a stream's source."""
-    path, schema = f"{sf_dir}/event[s].parquet", table(spark, sf_dir, "events").schema
-    events = spark.readStream.schema(schema).parquet(path).where("event_type <> 'error'").select((F.col("user_id") % 15).cast("string").alias("media_id"), (F.col("event_id") % 4).cast("int").alias("chunk_no"), (F.col("value") / 100.0).alias("fraction"), F.col("ts").cast("timestamp").alias("event_time"))
-    out = _shared(spark)
-
-    def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/rows/batch={number}")
-
-    jobs.stream_progress(events).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
-    rows = spark.read.parquet(f"{out}/rows")
-    return rows.groupBy("media_id", "chunk_no").agg(F.round(F.max("fraction") * 1000000).cast("long").alias("fraction"))
