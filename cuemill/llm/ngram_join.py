@@ -8,8 +8,9 @@ components of the links.
    bytes an n-gram. The most frequent n-grams, at most HEAVY of them (8 bytes each), are broadcast. They define the
    global order: rare n-grams first by hash, then the frequent ones by rising count. Any order gives right results.
 2. Prefixes. Linked sets share an n-gram among the first n - ceil(t n) + 1 of either, in the global order. Pairs that
-   share too few of them to reach the threshold go; the connected components of the others are the candidate groups. No
-   link is left out: a group holds every set that its members could link with.
+   share too few of them to reach the threshold go, and pairs whose parity bitmaps differ too much; the connected
+   components of the others, among sets of neighbouring sizes, are the candidate groups. No link is left out: the bounds
+   are exact, and some group holds both sets of every link.
 3. Tries. A group's sets meet once in a trie of their ordered n-grams. Each set walks it; sets below a node share the
    overlap counted so far, and a subtree goes when the overlap plus what remains on either side can't reach the
    threshold. A group beyond GROUP_SETS sets or GROUP_GRAMS n-grams is dealt into pairs of blocks of hashed members,
@@ -23,11 +24,12 @@ Other columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ._spark import cut, schema_of, small
 from ._words import blocks, mixed, shingles, split_words
@@ -160,26 +162,41 @@ class _Order:
 
 
 def prepared(docs: DataFrame, key: str, text: str, k: int, num: int, den: int) -> tuple[DataFrame, _Order]:
-    """One row per document: key, n (size of its set), set_key (null if empty), prefix (null for a set that its task
-    has met before). Written, as all later steps start from it."""
+    """One row per document: key, n (size of its set), set_key (null if empty), prefix and parity (null for a set that
+    its task has met before). Written, as all later steps start from it."""
     spark = docs.sparkSession
     heavy = spark.sparkContext.broadcast(_heavy(docs.select(text), k))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order, seen = _Order(heavy.value), set()
         for batch in batches:
-            n, keys, prefixes = np.zeros(batch.num_rows, np.int64), [None] * batch.num_rows, [None] * batch.num_rows
+            n, keys, prefixes, parities = np.zeros(batch.num_rows, np.int64), [None] * batch.num_rows, [None] * batch.num_rows, [None] * batch.num_rows
             for i, own, set_key in _sets(batch.column(1), k):
                 n[i], keys[i] = len(own), set_key
                 if set_key not in seen:
                     seen.add(set_key)
                     prefixes[i] = order.sort(own)[: len(own) - -(-num * len(own) // den) + 1].view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(keys, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], [key, "n", "set_key", "prefix"])
+                    parities[i] = parity(own)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(keys, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(parities, pa.binary())], [key, "n", "set_key", "prefix", "parity"])
 
-    rows = docs.select(F.col(key), F.col(text).alias("_text")).mapInArrow(run, schema_of(docs, [key], "n long, set_key long, prefix array<long>"))
+    rows = docs.select(F.col(key), F.col(text).alias("_text")).mapInArrow(run, schema_of(docs, [key], "n long, set_key long, prefix array<long>, parity binary"))
     return cut(rows, "prefixes"), heavy
 
 
+def parity(own: np.ndarray) -> bytes:
+    """Bits that tell whether an even number of the set's n-grams falls on them; at least two bits for each n-gram. No
+    fewer n-grams are in only one of two sets than bits differ."""
+    size = 1 << max(8, (2 * len(own) - 1).bit_length())
+    return np.packbits(np.bincount((own >> np.uint64(5)).astype(np.int64) & (size - 1), minlength=size) & 1).tobytes()
+
+
+def apart(a: bytes, b: bytes) -> int:
+    """In how many bits two parities differ; the longer one is folded to the other's length."""
+    x, y = sorted((np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)), key=len)
+    y = np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def components(edges: DataFrame) -> DataFrame:
     """edges: a, b (long). (node, root) for every node of an edge, root being the least node of its component. Each
     round joins every node's greater neighbours, then its lesser ones, to the least (large and small star) until nothing
@@ -206,7 +223,7 @@ class PrefixTree:
         order = sorted(range(len(sets)), key=lambda i: sets[i].tolist())
         self.sets, self.ids = [sets[i] for i in order], [ids[i] for i in order]
         self.sizes = np.array([len(s) for s in self.sets])
-        #: (edge, least size below, most n-grams after the edge, children, sets that end here)
+        #: (edge, least and greatest size below, depth after the edge, children, sets that end here)
         self.root = self._node(0, len(self.sets), 0)
 
     def _node(self, lo: int, hi: int, depth: int) -> tuple:
@@ -223,15 +240,15 @@ class PrefixTree:
             children.append(self._node(at, nxt, to))
             at = nxt
         sizes = self.sizes[lo:hi]
-        return self.sets[lo][depth:to], int(sizes.min()), int(sizes.max()) - to, children, [self.ids[i] for i in ends]
+        return self.sets[lo][depth:to], int(sizes.min()), int(sizes.max()), to, children, [self.ids[i] for i in ends]
 
     def walk(self, own: np.ndarray, member: np.ndarray, before: np.ndarray, num: int, den: int, skip) -> Iterator[int]:
         """Ids of the sets that reach the threshold with own. member: which integers own has; before: how many of own
         are below each integer; skip(ids): nothing to learn about these."""
         n, stack = len(own), [(self.root, 0)]
         while stack:
-            (edge, least, after, children, ends), overlap = stack.pop()
-            if not children and skip(ends):
+            (edge, least, most, depth, children, ends), overlap = stack.pop()
+            if den * most < num * n or den * n < num * least or (not children and skip(ends)):
                 continue
             if len(edge):
                 overlap += int(member[edge].sum())
@@ -239,7 +256,7 @@ class PrefixTree:
             else:
                 left = n
             # The union is at least n + least - overlap, whatever may still be shared.
-            best = overlap + min(left, after)
+            best = overlap + min(left, most - depth)
             if den * best < num * (n + least - best):
                 continue
             for i in ends:
@@ -263,8 +280,8 @@ def forest(keys: list[int], sets: list[np.ndarray], left: list[bool], num: int,
     grams, ranks = np.unique(np.concatenate([s for s in sets]), return_inverse=True)
     ends = np.cumsum([len(s) for s in sets])
     own = [ranks[e - len(s) : e] for s, e in zip(sets, ends)]
-    # The n-grams' order in these sets: as global as any order that all sets here share; rare ones come first.
-    by_count = np.argsort(np.bincount(ranks, minlength=len(grams)), kind="stable")
+    # One order for all sets here: those that most of them hold come first, so that paths are shared for long.
+    by_count = np.argsort(-np.bincount(ranks, minlength=len(grams)), kind="stable")
     place = np.empty(len(grams), np.int64)
     place[by_count] = np.arange(len(grams))
     own = [np.sort(place[s]) for s in own]
@@ -272,6 +289,8 @@ def forest(keys: list[int], sets: list[np.ndarray], left: list[bool], num: int,
     tree.size_of = [len(s) for s in sets]
     member, links = np.zeros(len(grams), bool), []
     for i in range(len(sets)):
+        if len(links) == len(sets) - 1:
+            break  # all are joined
         if not left[i]:
             continue
         member[own[i]] = True
@@ -300,39 +319,65 @@ def _linked(sets: DataFrame, num: int, den: int) -> DataFrame:
     return sets.groupBy("item").applyInArrow(run, "a long, b long")
 
 
+def _class(n: str, num: int, den: int) -> Column:
+    """Classes of set sizes: sets that link differ by one at most (a hundredth more guards against rounding)."""
+    return F.floor(F.log(n) / (1.01 * math.log(den / num))).cast("int") if num < den else F.col(n).cast("int")
+
+
 def candidates(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """rows: n, set_key, prefix. a, b: pairs of set keys whose components hold all sets that can link.
+    """rows: n, set_key, prefix, parity. bucket, a, b: pairs of set keys; the components of each bucket hold all sets that
+    can link there. Sets of class b meet those of class b and b - 1 in bucket b, and no others.
 
     Sets a and b can share no more than c n-grams of their prefixes and what comes after the prefix that ends first. An
     n-gram of at most PAIR_SETS sets gives all its pairs, so c is known up to the n-grams of more sets, which are
-    counted as shared; a pair that can't reach the threshold goes. An n-gram of more sets joins them all to the least."""
+    counted as shared; a pair that can't reach the threshold goes, as does one whose parities differ in too many bits. An
+    n-gram of more sets joins all of them in a bucket to the least one of the bucket's class."""
     entries = rows.select(F.explode("prefix").alias("gram"), "set_key", F.col("n").cast("int").alias("n")).repartition("gram").groupBy("gram", "set_key").agg(F.first("n").alias("n"))
-    groups = entries.groupBy("gram").agg(F.min("set_key").alias("least"), F.count("*").alias("sets")).where("sets > 1")
-    shared = entries.join(groups, "gram")
+    groups = entries.groupBy("gram").agg(F.count("*").alias("sets")).where("sets > 1")
+    shared = cut(entries.join(groups, "gram").withColumn("class", _class("n", num, den)), "shared")
     large = shared.where(F.col("sets") > PAIR_SETS)
-    few = shared.where(F.col("sets") <= PAIR_SETS).select("gram", "set_key", "n")
-    other = few.select("gram", F.col("set_key").alias("b"), F.col("n").alias("nb"))
-    pairs = few.withColumnRenamed("set_key", "a").withColumnRenamed("n", "na").join(other, "gram").where("a < b")
-    common = pairs.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.count("*").alias("c"))
+    few = shared.where(F.col("sets") <= PAIR_SETS).select("gram", "set_key", "n", "class")
+    other = few.select("gram", F.col("set_key").alias("b"), F.col("n").alias("nb"), F.col("class").alias("kb"))
+    pairs = few.withColumnsRenamed({"set_key": "a", "n": "na", "class": "ka"}).join(other, "gram").where("a < b and abs(ka - kb) <= 1")
+    common = pairs.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.first(F.greatest("ka", "kb")).alias("bucket"), F.count("*").alias("c"))
     more = large.groupBy("set_key").agg(F.count("*").alias("m"))
     common = common.join(more.select(F.col("set_key").alias("a"), F.col("m").alias("ma")), "a", "left").join(more.select(F.col("set_key").alias("b"), F.col("m").alias("mb")), "b", "left")
     after = lambda n: F.ceil(num * F.col(n) / F.lit(den)) - 1  # noqa: E731  n-grams beyond the prefix
     needed = F.ceil(num * (F.col("na") + F.col("nb")) / F.lit(num + den)) - F.greatest(after("na"), after("nb"))
-    kept = common.where(F.col("c") + F.least(F.coalesce("ma", F.lit(0)), F.coalesce("mb", F.lit(0))) >= needed)
-    return kept.select("a", "b").union(large.where("least <> set_key").select(F.col("least").alias("a"), F.col("set_key").alias("b")).distinct())
+    kept = common.where(F.col("c") + F.least(F.coalesce("ma", F.lit(0)), F.coalesce("mb", F.lit(0))) >= needed).select("bucket", "a", "b", "na", "nb")
+    bits = rows.where("parity is not null").groupBy("set_key").agg(F.any_value("parity").alias("p"))
+    kept = kept.join(bits.select(F.col("set_key").alias("a"), F.col("p").alias("pa")), "a").join(bits.select(F.col("set_key").alias("b"), F.col("p").alias("pb")), "b")
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            differ = np.array([apart(x.as_py(), y.as_py()) for x, y in zip(batch["pa"], batch["pb"])], np.int64)
+            both = batch["na"].to_numpy().astype(np.int64) + batch["nb"].to_numpy()
+            fine = (num + den) * differ <= (den - num) * both  # |a and b| >= num / den |a or b|, by the sizes and what differs
+            yield pa.RecordBatch.from_arrays([batch[c].filter(pa.array(fine)) for c in ("bucket", "a", "b")], ["bucket", "a", "b"])
+
+    kept = kept.mapInArrow(near, "bucket int, a long, b long")
+    placed = large.select("gram", "set_key", "class", F.explode(F.array(F.col("class"), F.col("class") + 1)).alias("bucket"))
+    least = placed.where("class = bucket").groupBy("gram", "bucket").agg(F.min("set_key").alias("a"))
+    stars = placed.select("gram", "bucket", F.col("set_key").alias("b")).join(least, ["gram", "bucket"]).where("a <> b").select("bucket", "a", "b").distinct()
+    return kept.union(stars)
+
+
+def groups_of(pairs: DataFrame) -> DataFrame:
+    """pairs: bucket, a, b. set_key, root: the candidate groups of every set, one for each bucket at most."""
+    node = lambda c: F.xxhash64("bucket", c)
+    edges = cut(pairs.select(node("a").alias("a"), node("b").alias("b"), F.col("a").alias("ka"), F.col("b").alias("kb")), "pairs")
+    keys = edges.select(F.col("a").alias("node"), F.col("ka").alias("set_key")).union(edges.select("b", "kb")).distinct()
+    return components(edges.select("a", "b")).join(keys, "node").select("set_key", "root")
 
 
 def links(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, num: int = 85, den: int = 100) -> tuple[DataFrame, DataFrame]:
     """(rows, edges). rows: key, n, set_key per document; edges: a, b: links between set keys that make up the classes."""
     rows, _ = prepared(docs, key, text, k, num, den)
-    groups = cut(components(candidates(rows, num, den)).withColumnRenamed("node", "set_key"), "groups")
+    groups = groups_of(candidates(rows, num, den))
     # The texts of the candidates: one document for each set.
     one = rows.where("set_key is not null").groupBy("set_key").agg(F.min(key).alias("_id"), F.first("n").alias("_n"))
-    wanted = cut(groups.join(one, "set_key"), "candidates")
-    sizes = wanted.groupBy("root").agg(F.count("*").alias("_sets"), F.sum("_n").alias("_grams"))
-    blocks_of = F.greatest(F.ceil(F.col("_sets") / GROUP_SETS), F.ceil(F.col("_grams") / GROUP_GRAMS)).cast("int")
-    wanted = wanted.join(sizes.select("root", blocks_of.alias("_blocks")), "root").drop("_n")
-    found = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(small(cut(wanted, "candidates"), BROADCAST_KEYS), F.col("_key").eqNullSafe(F.col("_id")))
+    wanted = cut(items_of(groups.join(one, "set_key")), "candidates")
+    found = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(small(wanted, BROADCAST_KEYS), F.col("_key").eqNullSafe(F.col("_id")))
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent = set()
@@ -344,17 +389,25 @@ def links(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4,
                     keep.append(i)
                     out.append(own.tobytes())
             rows_kept = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([*[batch[c].take(rows_kept) for c in ("set_key", "root", "_blocks")], pa.array(out, pa.binary())], ["set_key", "root", "_blocks", "grams"])
+            yield pa.RecordBatch.from_arrays([*[batch[c].take(rows_kept) for c in ("set_key", "items")], pa.array(out, pa.binary())], ["set_key", "items", "grams"])
 
-    sets = found.select("_text", "set_key", "root", "_blocks").mapInArrow(grams, "set_key long, root long, _blocks int, grams binary")
-    block = F.pmod(F.xxhash64("set_key"), F.col("_blocks")).cast("int")
+    sets = found.select("_text", "set_key", "items").mapInArrow(grams, "set_key long, items array<struct<root:bigint,blocks:int>>, grams binary")
+    dealt = sets.select("set_key", "grams", F.explode("items").alias("_i")).select("set_key", "grams", "_i.*")
+    block = F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int")
     # Block b meets every block: as the left side of items (b, x >= b), as the right side of (x < b, b).
-    others = F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda x: F.struct(F.least(x, block).alias("i"), F.greatest(x, block).alias("j")))
-    dealt = sets.withColumn("_block", block).select("set_key", "grams", "root", "_block", F.explode(others).alias("_pair"))
+    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, block).alias("i"), F.greatest(x, block).alias("j")))
+    dealt = dealt.withColumn("_block", block).select("set_key", "grams", "root", "_block", F.explode(others).alias("_pair"))
     item = F.struct("root", "_pair.i", "_pair.j")
     return rows.select(key, "n", "set_key"), _linked(dealt.select(item.alias("item"), (F.col("_block") == F.col("_pair.i")).alias("is_left"), "set_key", "grams"), num, den)
 
 
+def items_of(members: DataFrame) -> DataFrame:
+    """members: root, set_key, _id, _n. set_key, _id, items: the groups in which a set is compared (root, blocks); a group
+    that is large for a task has several blocks."""
+    sizes = members.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / GROUP_SETS), F.ceil(F.sum("_n") / GROUP_GRAMS)).cast("int").alias("blocks"))
+    return members.join(sizes, "root").groupBy("set_key", "_id").agg(F.collect_list(F.struct("root", "blocks")).alias("items"))
+
+
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """One row per document: key, n_shingles, component_id (the least key of its class)."""
     rows, edges = links(docs, key, text, k, num, den)
