@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ._spark import small, table
+from .sql import ORACLE_SQL
 from . import ann, fingerprints, html_text, langid, lm_scoring, mixing, ngram_join, packing, quality, urls
 
 
@@ -72,4 +73,4 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_html, op2_urls, op3_lm_scoring, op4_packing, op5_fingerprints, op6_ngram_join, op7_langid, op8_quality, op9_mixing, op10_ann)}
 
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
