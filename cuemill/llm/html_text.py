@@ -52,6 +52,8 @@ _STRONG = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs pagination pager comment comments disqus respond reply replies share sharing social related recommended recommendation recommendations login search searchbox toolbar "
     "contentinfo complementary skip hidden".split()
 )
+#: Beginnings of names that mark it likewise (commentlist, advertbox).
+_STRONG_START = re.compile(r"comment(?!ary)|advert|sponsor|cookie|newsletter|breadcrumb|disqus|adsby|adslot|adbox|adunit")
 #: Names that mark it unless another name speaks of content.
 _WEAK = frozenset("header footer sidebar side rail widget widgets masthead topbar bottombar meta tags tag byline copyright legal disclaimer alert toc".split())
 _CONTENT = frozenset("content article main post entry story body text page".split())
@@ -75,11 +77,16 @@ def _marked(tag: str, attrs: str) -> bool:
             return True
         if key in ("class", "id", "role"):
             names.update(_NAME.findall(value))
-    if names & _STRONG:
+    if names & _STRONG or any(_STRONG_START.match(n) for n in names):
         return tag not in _GOOD
     return bool(names & _WEAK) and not names & _CONTENT and tag not in _GOOD
 
 
+def _main(tag: str, attrs: str) -> bool:
+    """Whether the element says that it is the main part."""
+    return tag in _GOOD or bool(attrs and re.search(r"\b(?:role\s*=\s*[\"']?main|itemprop\s*=\s*[\"']?articleBody)\b", attrs, re.I))
+
+
 class _Blocks:
     """The blocks of a page in order: text, characters in links, heading or not, place (-1 against, 1 for, 0)."""
 
@@ -151,7 +158,7 @@ def blocks(page: str) -> list[list]:
                     if stack[i][0] == tag:
                         del stack[i:]
                         break
-                    if stack[i][0] in _GOOD and tag not in ("body", "html"):  # a stray end tag does not close an article
+                    if stack[i][0] in _GOOD and tag not in ("body", "html", "article", "main"):  # a stray end tag does not close an article
                         break
             else:
                 if tag in ("p", "li", "dt", "dd", "td", "th", "tr") or tag in _HEADING:
@@ -163,7 +170,7 @@ def blocks(page: str) -> list[list]:
                     stack.pop()
                 above = stack[-1] if stack else ("", False, 0)
                 bad = above[2] < 0 or tag in _BAD or tag in _SKIP or _marked(tag, attrs)
-                inside = any(s[0] in _GOOD for s in stack)
+                inside = above[2] == 1
                 if tag == "header" and not bad:  # only headings count in an article's header
                     own = -1 if not inside else 2
                 elif bad:
@@ -171,7 +178,7 @@ def blocks(page: str) -> list[list]:
                 elif above[2] == 2:
                     own = 1 if tag in _HEADING else 2
                 else:
-                    own = 1 if tag in _GOOD or above[2] == 1 else 0
+                    own = 1 if _main(tag, attrs) or above[2] == 1 else 0
                 stack.append((tag, tag in _HEADING, own))
             heading, place = any(s[1] for s in stack[-2:]), stack[-1][2] if stack else 0
             place = -1 if place == 2 else place
@@ -222,7 +229,7 @@ def classify(found: list[list]) -> list[bool]:
         elif kind == "near" or block[2]:
             keep.append("good" in near and (kind == "near" or after[i] == "good"))
         else:
-            keep.append(bool(near) and all(x == "good" for x in near))
+            keep.append(all(x == "good" for x in near) and block[1] <= LINK_DENSITY * len(block[0]))
     return keep
 
 
