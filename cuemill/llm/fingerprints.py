@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ._spark import shuffle_partitions
 
 WORDS = 5
-BINS = 128
+BINS = 256
 #: Steps of an empty bin's walk before all filled bins are ranked.
 ATTEMPTS = 4
 #: Low-order bits kept of each bin; two hexadecimal digits.
