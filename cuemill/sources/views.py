@@ -1,4 +1,4 @@
-"""Subtitle-shaped views of the tables at hand, for the registered queries. The DuckDB twins are in queries/sql.py."""
+"""Subtitle-shaped views of the tables at hand, for the registered queries. Their DuckDB forms are in queries/_registry.py."""
 
 from __future__ import annotations
 
