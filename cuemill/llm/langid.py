@@ -21,8 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ._spark import schema_of
-from ._words import blocks, mixed, split_words
+from ._spark import body, schema_of, with_body
+from ._words import blocks, mixed, release, split_words
 
 UND = "und"
 #: Hash buckets of n-grams in each language; 4 bytes each and language are broadcast.
@@ -36,9 +36,9 @@ PENALTY = 8.0
 #: Share of a language's letters that makes a script one of its own.
 SCRIPT_SHARE = 0.02
 #: Texts that share one run of the Viterbi loop, in bytes.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 6 << 20
 #: Words whose scores a task remembers.
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 
 # First code points of Unicode script ranges, with the script that holds up to the next one.
 _RANGES = [
@@ -199,10 +199,11 @@ def label(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
         known: dict[int, int] = {}
         table, lettered = np.zeros((1024, len(m.languages)), np.float32), np.zeros(1024, bool)
         for batch in batches:
-            for lo, hi in blocks(batch["_text"], BATCH_BYTES):
+            texts = body(batch, place)
+            for lo, hi in blocks(texts, BATCH_BYTES):
                 ids, weights, firsts, base = [], [], [0], 0
-                for a, b in blocks(batch["_text"].slice(lo, hi - lo)):
-                    found = split_words(batch["_text"].slice(lo + a, b - a))
+                for a, b in blocks(texts.slice(lo, hi - lo)):
+                    found = split_words(texts.slice(lo + a, b - a))
                     firsts.extend((found.first[1:] + base).tolist())
                     base += len(found.hash)
                     if not len(found.hash):
@@ -242,5 +243,7 @@ def label(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
                         rows.append([{"first": a, "words": b - a, "lang": m.languages[own[a]]} for a, b in zip(cuts, cuts[1:]) if b > a] if some[i] else [])
                     out.append(pa.array(rows, pa.list_(pa.struct([("first", pa.int32()), ("words", pa.int32()), ("lang", pa.string())]))))
                 yield pa.RecordBatch.from_arrays(out, [*keep, "lang_pred", "score", *["spans"] * spans])
+        release()
 
-    return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(run, schema)
+    rows, place = with_body(docs, keep, text)
+    return rows.mapInArrow(run, schema)

@@ -32,14 +32,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ._spark import cut, schema_of, small
-from ._words import blocks, mixed, shingles, split_words
+from ._words import blocks, mixed, release, shingles, split_words
 
 #: Frequent n-grams whose order is by count (4 MB as broadcast); least count that is looked at.
 HEAVY, HEAVY_COUNT = 1 << 19, 4
 #: Ranges of the 32-bit counters; where many rows stream by, a range has a counter of 32 MB.
 RANGES = 1024
 #: N-grams that a task gathers before it sends their counts.
-FLUSH = 4_000_000
+FLUSH = 2_000_000
 #: Sets of an n-gram whose pairs are counted; with more, all join the least of them.
 PAIR_SETS = 32
 #: Sets and n-grams of a group that one task holds.
@@ -86,6 +86,7 @@ def _counts(docs: DataFrame, k: int) -> DataFrame:
                         held, size = [], 0
         if held:
             yield flush()
+        release()
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         per, now, sums, codes, held = (1 << 16) // RANGES, None, None, [], 0

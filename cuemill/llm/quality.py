@@ -18,8 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ._spark import schema_of
-from ._words import blocks, split_words
+from ._spark import body, schema_of, with_body
+from ._words import blocks, release, split_words
 
 #: Labelled rows that the fit takes at most, drawn by a hash of the text; about 300 bytes each come to the driver.
 SAMPLE = 20_000
@@ -158,6 +158,8 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*[b[c] for c in keep], pa.array(held.value.score(features(b["_text"])), pa.float64())], [*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*[b[c] for c in keep], pa.array(held.value.score(features(body(b, place))), pa.float64())], [*keep, "score"])
+        release()
 
-    return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(run, schema_of(docs, keep, "score double"))
+    rows, place = with_body(docs, keep, text)
+    return rows.mapInArrow(run, schema_of(docs, keep, "score double"))

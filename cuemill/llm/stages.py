@@ -12,21 +12,21 @@ LEAST_LANGUAGE = 0.35
 
 
 def _whole(docs: DataFrame) -> DataFrame:
-    """Rows as one struct beside the text, so that no column clashes with an operator's."""
-    return docs.select(F.struct(*docs.columns).alias("_doc"), F.col("text").alias("_body"))
+    """Rows as one struct, so that no column clashes with an operator's."""
+    return docs.select(F.struct(*docs.columns).alias("_doc"))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters, or without a language that holds LEAST_LANGUAGE of them, go."""
     model = langid.fit(langid.training(docs, "text", "lang", F.lit(True)))
-    found = langid.label(_whole(docs), model, text="_body", keep=["_doc"])
+    found = langid.label(_whole(docs), model, text="_doc.text", keep=["_doc"])
     return found.where((F.col("lang_pred") != langid.UND) & (F.col("score") >= LEAST_LANGUAGE)).select("_doc.*")
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents below the quality threshold go."""
     model = quality.fit(quality.training(docs, table(spark, sf_dir, "labels"), lambda key: F.lit(True)))
-    return quality.score(_whole(docs), model, text="_body", keep=["_doc"]).where("score >= 0.5").select("_doc.*")
+    return quality.score(_whole(docs), model, text="_doc.text", keep=["_doc"]).where("score >= 0.5").select("_doc.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
