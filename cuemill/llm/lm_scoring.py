@@ -5,10 +5,11 @@ MIN_COUNT times in both corpora together; all others are one unknown word in bot
 its unigram and a uniform share. A document's score is the mean over its tokens of the loss under the target model less
 the loss under the background model, in bits: negative for text like the target.
 
-Counts come from all documents of the two corpora, none is left out: each task adds up counts in hashed cells and sends
-those that are not zero, so what is gathered grows with the corpora, while the summed tables (8 bytes a cell) stay at a
-fixed size and are broadcast. A token is a maximal run of bytes other than white space, with A-Z lower-cased; a document
-starts with an edge mark.
+Counts are exact, keyed by 64-bit hashes of words and bigrams, so the models grow with the corpora. Rows are written in
+blocks of BLOCK_BYTES of text; each block sends its distinct n-grams with their counts to ranges of the hashes, a range
+adds them up and answers every block with the sums of its own n-grams, and a block's texts are scored from the answers.
+The number of ranges grows with the text, so that no task holds more than a block or a range. A token is a maximal run of
+bytes other than white space, with A-Z lower-cased; a document starts with an edge mark.
 
 The matched background is drawn by a hash of the text: the fraction that brings its tokens to the target's number, if it
 has more. Null, empty and wordless texts have no tokens and score 0. Texts of any length are scored whole; repeated rows
@@ -21,40 +22,52 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ._spark import schema_of
-from ._words import Words, blocks, mixed, split_words
+from ._spark import cut
+from ._words import Words, blocks, mixed, release, split_words
 
-#: Cells of the hashed counts.
-WORD_CELLS, PAIR_CELLS = 1 << 19, 1 << 21
-RANGES = 64
+#: Bytes of text in a block of rows, and for each range of hashes. A longer text is a block of its own.
+BLOCK_BYTES = 16 << 20
+LEAST_RANGES = 64
 MIN_COUNT = 3
 #: Shares of bigram, unigram and uniform probability.
 MIX = (0.5, 0.45, 0.05)
 
-_CELLS = WORD_CELLS + PAIR_CELLS
 _UNKNOWN = np.uint64(0x2545F4914F6CDD1D)
 _EDGE = np.uint64(0x8CB92BA72F3D8DD7)
+_SENT = "block long, range int, hashes binary, counts binary"
 
 
-def _word_cells(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(20)).astype(np.int64) & (WORD_CELLS - 1)
+def _planes(a: np.ndarray) -> bytes:
+    """64-bit numbers by planes of bytes, so that small ones compress well."""
+    return np.ascontiguousarray(a).view(np.uint8).reshape(-1, 8).T.tobytes()
 
 
-def _pair_cells(h: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """For each token, the cell of the token before it in its text (or the edge) and it."""
-    before = np.empty_like(h)
-    before[1:] = h[:-1]
-    before[first[:-1][np.diff(first) > 0]] = _EDGE
-    return (mixed(before * np.uint64(0x9E3779B97F4A7C15) + h) >> np.uint64(13)).astype(np.int64) & (PAIR_CELLS - 1)
+def _numbers(b: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+
+
+def _hashes(b: bytes) -> np.ndarray:
+    return np.cumsum(_numbers(b), dtype=np.uint64)
+
+
+def _counts(b: bytes) -> np.ndarray:
+    """(n-grams, sides)"""
+    return _numbers(b).astype(np.int64).reshape(2, -1).T
 
 
-def _context_cells(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+def _before(h: np.ndarray, first: np.ndarray, edge) -> np.ndarray:
+    """For each token, the value of the token before it in its text, or edge."""
     before = np.empty_like(h)
     before[1:] = h[:-1]
-    before[first[:-1][np.diff(first) > 0]] = _EDGE
-    return _word_cells(before)
+    before[first[:-1][np.diff(first) > 0]] = edge
+    return before
+
+
+def _pairs(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    return mixed(_before(h, first, _EDGE) * np.uint64(0x9E3779B97F4A7C15) + h)
 
 
 def _words(texts: pa.Array) -> Iterator[tuple[int, int, Words]]:
@@ -62,49 +75,135 @@ def _words(texts: pa.Array) -> Iterator[tuple[int, int, Words]]:
         yield lo, hi, split_words(texts.slice(lo, hi - lo), lower=True)
 
 
-def _gather(corpus: DataFrame, cells, size: int) -> dict[int, np.ndarray]:
-    """corpus: text, side (0 or 1). Summed counts of both sides per cell. cells(words): cells of a block's tokens."""
-    per = size // RANGES
+class _Sums:
+    """Distinct hashes with their counts on both sides; a count of 0 only asks for the sum."""
+
+    def __init__(self):
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.waiting = 0
+
+    def add(self, h: np.ndarray, side: np.ndarray) -> None:
+        found, back = np.unique(h, return_inverse=True)
+        self.put(found, np.stack([np.bincount(back, side == s, len(found)) for s in (0, 1)], axis=1).astype(np.int64))
+
+    def put(self, h: np.ndarray, n: np.ndarray) -> None:
+        self.parts.append((h, n))
+        self.waiting += len(h)
+        if self.waiting > 1 << 21:
+            self.sum()
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((2, size), np.uint32)
-        some = False
+    def sum(self) -> tuple[np.ndarray, np.ndarray]:
+        h = np.concatenate([np.zeros(0, np.uint64), *[p[0] for p in self.parts]])
+        n = np.concatenate([np.zeros((0, 2), np.int64), *[p[1] for p in self.parts]])
+        found, back = np.unique(h, return_inverse=True)
+        self.parts = [(found, np.stack([np.bincount(back, n[:, s], len(found)) for s in (0, 1)], axis=1).astype(np.int64))]
+        self.waiting = 0
+        return self.parts[0]
+
+    def rows(self, block: int, ranges: int) -> Iterator[tuple]:
+        """A row for each range of the hashes; ranges follow the order of the hashes."""
+        h, n = self.sum()
+        at = np.searchsorted((h >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32), np.arange(ranges + 1))
+        for r in np.flatnonzero(np.diff(at)).tolist():
+            own = h[at[r] : at[r + 1]]
+            yield block, r, _planes(np.diff(own, prepend=np.uint64(0))), _planes(n[at[r] : at[r + 1]].T)
+
+
+def _table(rows: list[tuple]) -> pa.Table:
+    kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+    return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["block", "range", "hashes", "counts"])
+
+
+def _batch(rows: list[tuple]) -> list[pa.RecordBatch]:
+    return _table(rows).combine_chunks().to_batches()
+
+
+def _in_blocks(rows: DataFrame) -> DataFrame:
+    """rows with their block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held = TaskContext.get().partitionId() << 32, 0
         for b in batches:
-            sides = b["side"].to_numpy(zero_copy_only=False)
-            for lo, hi, w in _words(b["text"]):
-                side = np.repeat(sides[lo:hi], np.diff(w.first))
-                at = cells(w)
-                for s in (0, 1):
-                    own = at[side == s]
-                    if len(own):
-                        places, n = np.unique(own, return_counts=True)
-                        sums[s, places] += n.astype(np.uint32)
-                        some = True
-        if some:
-            for r in range(RANGES):
-                part = sums[:, r * per : (r + 1) * per].ravel()
-                at = np.flatnonzero(part).astype(np.uint32)
-                yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([at.tobytes() + part[at].tobytes()], pa.binary())], ["range", "counts"])
-
-    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, sums = None, None
-        out = lambda: pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([sums.tobytes()], pa.binary())], ["range", "counts"])
+            own = np.zeros(b.num_rows, np.int64)
+            for i, size in enumerate(b["_size"].to_pylist()):
+                if held and held + size > BLOCK_BYTES:
+                    block, held = block + 1, 0
+                held += size
+                own[i] = block
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own)], [*b.schema.names, "block"])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("block", T.LongType())]))
+
+
+def _sides(column: pa.Array) -> np.ndarray:
+    return column.fill_null(-1).to_numpy(zero_copy_only=False)
+
+
+def _word_counts(rows: DataFrame, ranges: int) -> DataFrame:
+    """What each block's words and the edge have. Rows of block -1 hold sums over a range, in counts: (known words,
+    edges), tokens and unknown tokens, of both sides."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sums, edges = None, None, None
+
+        def out() -> list[pa.RecordBatch]:
+            return _batch([*sums.rows(now, ranges), (now, ranges, _planes(np.array([_EDGE])), _planes(edges))])
+
         for b in batches:
-            for r, blob in zip(b["range"].to_pylist(), b["counts"].to_pylist()):
-                if r != now:
+            ids = b["block"].to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(ids)) + 1).tolist(), len(ids)]
+            for a, z in zip(cuts, cuts[1:]):
+                if a == z:
+                    continue
+                if ids[a] != now:
                     if now is not None:
-                        yield out()
-                    now, sums = r, np.zeros(2 * per, np.float32)
-                both = np.frombuffer(blob, np.uint32)
-                sums[both[: len(both) // 2]] += both[len(both) // 2 :]
+                        yield from out()
+                    now, sums, edges = int(ids[a]), _Sums(), np.zeros(2, np.int64)
+                side = _sides(b["_side"].slice(a, z - a))
+                for lo, hi, w in _words(b["_text"].slice(a, z - a)):
+                    own = np.diff(w.first)
+                    sums.add(w.hash, np.repeat(side[lo:hi], own))
+                    edges += [np.count_nonzero(own[side[lo:hi] == s]) for s in (0, 1)]
         if now is not None:
-            yield out()
+            yield from out()
+        release()
+
+    def known(h: np.ndarray, n: np.ndarray, r: int) -> np.ndarray:
+        if r == ranges:
+            return np.concatenate([[0, *n[0]], np.zeros(4)])
+        inside = n.sum(axis=1) >= MIN_COUNT
+        return np.concatenate([[inside.sum(), 0, 0], n.sum(axis=0), n[~inside].sum(axis=0)])
+
+    return rows.select("block", "_text", "_side").mapInArrow(ask, _SENT).groupBy("range").applyInArrow(lambda t: _answers(t, known), _SENT)
+
 
-    parts = corpus.mapInArrow(count, "range int, counts binary").repartition(RANGES, "range").sortWithinPartitions("range")
-    table = np.zeros((2, size), np.float32)
-    for row in parts.mapInArrow(total, "range int, counts binary").collect():  # RANGES rows
-        table[:, row["range"] * per : (row["range"] + 1) * per] = np.frombuffer(row["counts"], np.float32).reshape(2, per)
-    return table
+def _answers(asked: pa.Table, more=None) -> pa.Table:
+    """The sums of a range's n-grams for each block that sent them; more(hashes, sums, range) goes to block -1."""
+    names, r = asked["block"].to_pylist(), asked["range"][0].as_py()
+    h = [_hashes(x) for x in asked["hashes"].to_pylist()]
+    n = np.concatenate([_counts(x) for x in asked["counts"].to_pylist()])
+    found, back = np.unique(np.concatenate(h), return_inverse=True)
+    sums = np.stack([np.bincount(back, n[:, s], len(found)) for s in (0, 1)], axis=1).astype(np.int64)
+    at, out = np.cumsum([0, *map(len, h)]), []
+    for i, block in enumerate(names):
+        hashes = asked["hashes"][i].as_py() if more else None
+        out.append((block, r, hashes, _planes(sums[back[at[i] : at[i + 1]]].T)))
+    if more:
+        out.append((-1, r, None, _planes(more(found, sums, r).astype(np.int64))))
+    return _table(out)
+
+
+def _lexicon(answers: pa.Table, ranges: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted words of a block with their sums."""
+    rows = [(h, n) for r, h, n in zip(answers["range"].to_pylist(), answers["hashes"].to_pylist(), answers["counts"].to_pylist()) if h is not None and r < ranges]
+    h = np.concatenate([np.zeros(0, np.uint64), *[_hashes(x) for x, _ in rows]])
+    n = np.concatenate([np.zeros((0, 2), np.int64), *[_counts(x) for _, x in rows]])
+    h, one = np.unique(h, return_index=True)
+    return h, n[one]
+
+
+def _texts(rows: pa.Table) -> pa.Array:
+    return pa.chunked_array(rows["_text"].chunks, rows["_text"].type).cast(pa.large_string()).combine_chunks()
 
 
 def corpora(docs: DataFrame, text: str, target: Column, background: Column) -> DataFrame:
@@ -116,50 +215,70 @@ def corpora(docs: DataFrame, text: str, target: Column, background: Column) -> D
     return rows.where((F.col("side") == 0) | (part < share))
 
 
-def fit(corpus: DataFrame) -> tuple:
-    """(which word cells are in the vocabulary, word counts, pair counts) of both sides."""
-    words = _gather(corpus, lambda w: _word_cells(w.hash), WORD_CELLS)
-    known = words.sum(axis=0) >= MIN_COUNT
-    held = corpus.sparkSession.sparkContext.broadcast(known)
-
-    def pairs(w: Words) -> np.ndarray:
-        return _pair_cells(np.where(held.value[_word_cells(w.hash)], w.hash, _UNKNOWN), w.first)
+def fit(corpus: DataFrame) -> DataFrame:
+    """The model of a corpus (text, side) is its rows: they are counted together with the texts to score."""
+    return corpus.select(F.col("text").alias("_text"), F.col("side").cast("int").alias("_side"))
 
-    return known, words, _gather(corpus, pairs, PAIR_CELLS)
 
-
-def score(docs: DataFrame, model: tuple, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+def score(docs: DataFrame, model: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns in keep with n_tokens, target_loss, background_loss (bits a token) and score (their difference)."""
-    keep = keep or []
-    known, words, pairs = model
-    unknown = words[:, ~known].sum(axis=1)
-    words = np.where(known, words, 0)
-    vocabulary = int(known.sum()) + 1
-    totals = np.maximum(words.sum(axis=1) + unknown, 1)
-    held = docs.sparkSession.sparkContext.broadcast((known, words, unknown, totals, pairs, vocabulary))
-    schema = schema_of(docs, keep, "n_tokens long, target_loss double, background_loss double, score double")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, words, unknown, totals, pairs, vocabulary = held.value
-        for b in batches:
-            n, losses = np.zeros(b.num_rows, np.int64), np.zeros((2, b.num_rows))
-            for lo, hi, w in _words(b["_text"]):
-                own = np.diff(w.first)
-                n[lo:hi] = own
-                if not len(w.hash):
-                    continue
-                cell = _word_cells(w.hash)
-                inside = known[cell]
-                h = np.where(inside, w.hash, _UNKNOWN)
-                pair, context = _pair_cells(h, w.first), _context_cells(h, w.first)
-                text_no = np.repeat(np.arange(hi - lo), own)
-                for s in (0, 1):
-                    uni = np.where(inside, words[s][cell], unknown[s])
-                    before = np.where(known[context], words[s][context], unknown[s])
-                    both = np.minimum(pairs[s][pair], before)
-                    p = MIX[0] * both / np.maximum(before, 1) + MIX[1] * uni / totals[s] + MIX[2] / vocabulary
-                    losses[s, lo:hi] = np.bincount(text_no, -np.log2(p), hi - lo)
-            losses /= np.maximum(n, 1)
-            yield pa.RecordBatch.from_arrays([*[b[c] for c in keep], pa.array(n), pa.array(losses[0]), pa.array(losses[1]), pa.array(losses[0] - losses[1])], [*keep, "n_tokens", "target_loss", "background_loss", "score"])
-
-    return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(run, schema)
+    kept = F.struct(F.lit(0).alias("_no"), *(keep or []))
+    own = docs.select(kept.alias("_keep"), F.col(text).alias("_text"), F.lit(None).cast("int").alias("_side"), F.lit(True).alias("_own"))
+    rest = model.select(F.lit(None).cast(own.schema["_keep"].dataType).alias("_keep"), "_text", "_side", F.lit(False).alias("_own"))
+    return _scored(own.unionByName(rest), keep or [])
+
+
+def _scored(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """rows: _keep, _text, _side (null: not counted), _own (whether to score)."""
+    rows = cut(_in_blocks(rows.withColumn("_size", F.coalesce(F.octet_length("_text"), F.lit(0)).cast("long"))), "lm-blocks")
+    size = rows.agg(F.sum("_size").alias("n")).first()["n"] or 0
+    ranges = max(LEAST_RANGES, size // BLOCK_BYTES + 1)
+    words = cut(_word_counts(rows, ranges), "lm-words")
+    found = words.where("block = -1").select("counts").collect()  # one row a range
+    stats = np.sum([np.zeros(7), *[_numbers(r["counts"]).astype(np.float64) for r in found]], axis=0)
+    vocabulary, edges, totals, unknown = stats[0] + 1, stats[1:3], np.maximum(stats[3:5], 1), stats[5:7]
+
+    def ask(key: tuple, texts: pa.Table, answers: pa.Table) -> pa.Table:
+        if not texts.num_rows:
+            return _table([])
+        lexicon, n = _lexicon(answers, ranges)
+        inside, sums, side = n.sum(axis=1) >= MIN_COUNT, _Sums(), _sides(texts["_side"].combine_chunks())
+        for lo, hi, w in _words(_texts(texts)):
+            h = np.where(inside[np.searchsorted(lexicon, w.hash)], w.hash, _UNKNOWN) if len(w.hash) else w.hash
+            sums.add(_pairs(h, w.first), np.repeat(side[lo:hi], np.diff(w.first)))
+        return _table(list(sums.rows(key[0].as_py(), ranges)))
+
+    def lose(key: tuple, texts: pa.Table, answers: pa.Table) -> pa.Table:
+        texts_own = texts["_own"].combine_chunks().to_numpy(zero_copy_only=False) if texts.num_rows else np.zeros(0, bool)
+        lexicon, n = _lexicon(answers, ranges)
+        inside, sums, parts, loss = n.sum(axis=1) >= MIN_COUNT, _Sums(), [], np.zeros((2, texts.num_rows))
+        n = np.where(inside[:, None], n, unknown)
+        tokens = np.zeros(texts.num_rows, np.int64)
+        for lo, hi, w in _words(_texts(texts)):
+            tokens[lo:hi] = np.diff(w.first)
+            if len(w.hash):
+                at = np.searchsorted(lexicon, w.hash)
+                pair = _pairs(np.where(inside[at], w.hash, _UNKNOWN), w.first)
+                sums.add(pair, np.zeros(len(pair), np.int8))
+                parts.append((lo, hi, w.first, at.astype(np.int32), pair))
+        pairs, _ = sums.sum()
+        found = sorted((r, c) for r, h, c in zip(answers["range"].to_pylist(), answers["hashes"].to_pylist(), answers["counts"].to_pylist()) if h is None)
+        both = np.concatenate([np.zeros((0, 2), np.int64), *[_counts(c) for _, c in found]])
+        if len(both) != len(pairs):
+            raise ValueError(f"{len(both)} sums for {len(pairs)} bigrams")
+        for lo, hi, first, at, pair in parts:
+            where, text_no = np.searchsorted(pairs, pair), np.repeat(np.arange(hi - lo), np.diff(first))
+            for s in (0, 1):
+                uni = n[at, s]
+                p = MIX[0] * both[where, s] / np.maximum(_before(uni, first, edges[s]), 1) + MIX[1] * uni / totals[s] + MIX[2] / vocabulary
+                loss[s, lo:hi] = np.bincount(text_no, -np.log2(p), hi - lo)
+        loss /= np.maximum(tokens, 1)
+        found = pa.table([texts["_keep"], pa.array(tokens), pa.array(loss[0]), pa.array(loss[1]), pa.array(loss[0] - loss[1])], ["_keep", "n_tokens", "target_loss", "background_loss", "score"])
+        return found.filter(pa.array(texts_own))
+
+    asked = words.where((F.col("block") >= 0) & (F.col("range") < ranges))
+    texts = rows.select("block", "_keep", "_text", "_side", "_own").groupBy("block")
+    pairs = texts.cogroup(asked.groupBy("block")).applyInArrow(ask, _SENT).groupBy("range").applyInArrow(lambda t: _answers(t), _SENT)
+    schema = T.StructType([rows.schema["_keep"], *T.StructType.fromDDL("n_tokens long, target_loss double, background_loss double, score double").fields])
+    out = texts.cogroup(asked.unionByName(pairs).groupBy("block")).applyInArrow(lose, schema)
+    return out.select(*[F.col("_keep").getField(c).alias(c) for c in keep], "n_tokens", "target_loss", "background_loss", "score")

@@ -2,10 +2,12 @@
 
 import hashlib
 import html
+import math
 import random
 import re
 import string
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -106,6 +108,34 @@ def test_lm_scores_part_target_and_background(spark):
     assert {r.score for r in lm_scoring.score(table, empty).collect()} == {0.0}
 
 
+def exact_scores(texts, sides):
+    """Brute force: the score of each text under the models of the texts with side 0 and 1."""
+    tokens = [[w.translate(LOWER) for w in WORD.findall(t or "")] for t in texts]
+    seen = Counter(w for t, s in zip(tokens, sides) for w in t if s is not None)
+    tokens = [[w if seen[w] >= lm_scoring.MIN_COUNT else None for w in t] for t in tokens]
+    vocabulary = sum(n >= lm_scoring.MIN_COUNT for n in seen.values()) + 1
+    losses = []
+    for side in (0, 1):
+        own = [["", *t] for t, s in zip(tokens, sides) if s == side and t]
+        words, pairs = Counter(w for t in own for w in t), Counter(p for t in own for p in zip(t, t[1:]))
+        total = max(1, sum(len(t) - 1 for t in own))
+        p = lambda a, b: lm_scoring.MIX[0] * pairs[a, b] / max(1, words[a]) + lm_scoring.MIX[1] * words[b] / total + lm_scoring.MIX[2] / vocabulary  # noqa: B023, E731
+        losses.append([-sum(math.log2(p(a, b)) for a, b in zip(["", *t], t)) / max(1, len(t)) for t in tokens])
+    return [a - b for a, b in zip(*losses)]
+
+
+def test_lm_counts_are_exact_for_many_words(spark):
+    draw = random.Random(2)
+    often = [f"w{i}" for i in range(300)]
+    texts = [" ".join(x for j in range(200) for x in (draw.choice(often), f"rare{i}x{j}")) for i in range(150)] + ODD
+    sides = [i % 2 if i % 5 else None for i in range(len(texts))]
+    table = docs(spark, texts).repartition(3)
+    number = F.col("doc_id")
+    corpus = table.where(number % 5 != 0).select("text", (number % 2).cast("int").alias("side"))
+    got = {r.doc_id: r.score for r in lm_scoring.score(table, lm_scoring.fit(corpus), keep=["doc_id"]).collect()}
+    assert np.allclose([got[i] for i in range(len(texts))], exact_scores(texts, sides), atol=1e-9)
+
+
 # 4 packing
 
 
