@@ -1,18 +1,21 @@
 """Language-model scoring by cross-entropy difference.
 
-Two n-gram models, of a target and of a background corpus of matched size, share one vocabulary: the words seen at least
+Two n-gram models, of a target and of a background corpus, share one vocabulary: the words seen at least
 MIN_COUNT times in both corpora together; all others are one unknown word in both. A word's probability mixes its bigram,
 its unigram and a uniform share. A document's score is the mean over its tokens of the loss under the target model less
 the loss under the background model, in bits: negative for text like the target.
 
 Counts are exact, keyed by 64-bit hashes of words and bigrams, so the models grow with the corpora. Rows are written in
-blocks of BLOCK_BYTES of text; each block sends its distinct n-grams with their counts to ranges of the hashes, a range
+compressed blocks of BLOCK_BYTES of text; each block sends its distinct n-grams with their counts to ranges of the hashes, a range
 adds them up and answers every block with the sums of its own n-grams, and a block's texts are scored from the answers.
 The number of ranges grows with the text, so that no task holds more than a block or a range. A token is a maximal run of
 bytes other than white space, with A-Z lower-cased; a document starts with an edge mark.
 
-The matched background is drawn by a hash of the text: the fraction that brings its tokens to the target's number, if it
-has more. Null, empty and wordless texts have no tokens and score 0. Texts of any length are scored whole; repeated rows
+All rows of the target and of the background are counted, none is drawn or left out. The two are matched by scale: every
+count enters as a share of its own corpus's counts, so a factor that brings the background to the target's size cancels.
+A larger background still knows more different bigrams.
+
+Null, empty and wordless texts have no tokens and score 0. Texts of any length are scored whole; repeated rows
 score alike; other columns are untouched. Without a target or background, the models are uniform and scores 0.
 """
 
@@ -22,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -29,7 +33,7 @@ from ._spark import cut
 from ._words import Words, blocks, mixed, release, split_words
 
 #: Bytes of text in a block of rows, and for each range of hashes. A longer text is a block of its own.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 LEAST_RANGES = 64
 MIN_COUNT = 3
 #: Shares of bigram, unigram and uniform probability.
@@ -115,24 +119,39 @@ def _table(rows: list[tuple]) -> pa.Table:
 
 
 def _batch(rows: list[tuple]) -> list[pa.RecordBatch]:
-    return _table(rows).combine_chunks().to_batches()
+    return _table(rows).to_batches()
 
 
 def _in_blocks(rows: DataFrame) -> DataFrame:
-    """rows with their block."""
+    """A row per block: its rows as a compressed Arrow stream, and the bytes of their texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, held = TaskContext.get().partitionId() << 32, 0
+        block, held, parts = TaskContext.get().partitionId() << 32, 0, []
+
+        def out() -> pa.RecordBatch:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, parts[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+                stream.write_table(pa.Table.from_batches(parts).combine_chunks())
+            return pa.RecordBatch.from_arrays([pa.array([block]), pa.array([held]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "size", "rows"])
+
         for b in batches:
-            own = np.zeros(b.num_rows, np.int64)
-            for i, size in enumerate(b["_size"].to_pylist()):
+            for lo, hi in blocks(b["_text"], BLOCK_BYTES >> 4):
+                size = pc.sum(pc.binary_length(b["_text"].slice(lo, hi - lo))).as_py() or 0
                 if held and held + size > BLOCK_BYTES:
-                    block, held = block + 1, 0
+                    yield out()
+                    block, held, parts = block + 1, 0, []
                 held += size
-                own[i] = block
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own)], [*b.schema.names, "block"])
+                parts.append(b.slice(lo, hi - lo))
+        if parts:
+            yield out()
+        release()
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("block", T.LongType())]))
+    return rows.mapInArrow(run, "block long, size long, rows binary")
+
+
+def _opened(rows: pa.Table) -> pa.Table:
+    """The rows of one block."""
+    return pa.ipc.open_stream(rows["rows"][0].as_buffer()).read_all()
 
 
 def _sides(column: pa.Array) -> np.ndarray:
@@ -144,28 +163,15 @@ def _word_counts(rows: DataFrame, ranges: int) -> DataFrame:
     edges), tokens and unknown tokens, of both sides."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, sums, edges = None, None, None
-
-        def out() -> list[pa.RecordBatch]:
-            return _batch([*sums.rows(now, ranges), (now, ranges, _planes(np.array([_EDGE])), _planes(edges))])
-
         for b in batches:
-            ids = b["block"].to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(ids)) + 1).tolist(), len(ids)]
-            for a, z in zip(cuts, cuts[1:]):
-                if a == z:
-                    continue
-                if ids[a] != now:
-                    if now is not None:
-                        yield from out()
-                    now, sums, edges = int(ids[a]), _Sums(), np.zeros(2, np.int64)
-                side = _sides(b["_side"].slice(a, z - a))
-                for lo, hi, w in _words(b["_text"].slice(a, z - a)):
+            for i, block in enumerate(b["block"].to_pylist()):
+                rows, sums, edges = _opened(b.slice(i, 1)), _Sums(), np.zeros(2, np.int64)
+                side = _sides(rows["_side"].combine_chunks())
+                for lo, hi, w in _words(_texts(rows)):
                     own = np.diff(w.first)
                     sums.add(w.hash, np.repeat(side[lo:hi], own))
                     edges += [np.count_nonzero(own[side[lo:hi] == s]) for s in (0, 1)]
-        if now is not None:
-            yield from out()
+                yield from _batch([*sums.rows(block, ranges), (block, ranges, _planes(np.array([_EDGE])), _planes(edges))])
         release()
 
     def known(h: np.ndarray, n: np.ndarray, r: int) -> np.ndarray:
@@ -174,7 +180,7 @@ def _word_counts(rows: DataFrame, ranges: int) -> DataFrame:
         inside = n.sum(axis=1) >= MIN_COUNT
         return np.concatenate([[inside.sum(), 0, 0], n.sum(axis=0), n[~inside].sum(axis=0)])
 
-    return rows.select("block", "_text", "_side").mapInArrow(ask, _SENT).groupBy("range").applyInArrow(lambda t: _answers(t, known), _SENT)
+    return rows.select("block", "rows").mapInArrow(ask, _SENT).groupBy("range").applyInArrow(lambda t: _answers(t, known), _SENT)
 
 
 def _answers(asked: pa.Table, more=None) -> pa.Table:
@@ -188,6 +194,7 @@ def _answers(asked: pa.Table, more=None) -> pa.Table:
     for i, block in enumerate(names):
         hashes = asked["hashes"][i].as_py() if more else None
         out.append((block, r, hashes, _planes(sums[back[at[i] : at[i + 1]]].T)))
+    release()
     if more:
         out.append((-1, r, None, _planes(more(found, sums, r).astype(np.int64))))
     return _table(out)
@@ -206,13 +213,14 @@ def _texts(rows: pa.Table) -> pa.Array:
     return pa.chunked_array(rows["_text"].chunks, rows["_text"].type).cast(pa.large_string()).combine_chunks()
 
 
+def side_of(target: Column, background: Column) -> Column:
+    """0: target, 1: background, null: neither."""
+    return F.when(F.coalesce(target, F.lit(False)), 0).when(F.coalesce(background, F.lit(False)), 1).cast("int")
+
+
 def corpora(docs: DataFrame, text: str, target: Column, background: Column) -> DataFrame:
-    """text, side (0: target, 1: background, thinned to the target's number of words by a hash of the text)."""
-    rows = docs.select(F.col(text).alias("text"), F.when(F.coalesce(target, F.lit(False)), 0).when(F.coalesce(background, F.lit(False)), 1).cast("int").alias("side")).where("side is not null and text is not null")
-    sizes = {r["side"]: r["n"] or 0 for r in rows.groupBy("side").agg(F.sum(F.length("text")).alias("n")).collect()}
-    share = min(1.0, sizes.get(0, 0) / max(1, sizes.get(1, 0)))
-    part = F.xxhash64("text").bitwiseAND(F.lit((1 << 30) - 1)) / float(1 << 30)
-    return rows.where((F.col("side") == 0) | (part < share))
+    """text, side (0: target, 1: background) of all rows of the two corpora."""
+    return docs.select(F.col(text).alias("text"), side_of(target, background).alias("side")).where("side is not null and text is not null")
 
 
 def fit(corpus: DataFrame) -> DataFrame:
@@ -228,10 +236,17 @@ def score(docs: DataFrame, model: DataFrame, text: str = "text", keep: list[str]
     return _scored(own.unionByName(rest), keep or [])
 
 
+def score_members(docs: DataFrame, side: Column, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """score() of docs under the model of the same rows, each of which is sent once. side: as side_of() gives it."""
+    kept = F.struct(F.lit(0).alias("_no"), *(keep or []))
+    return _scored(docs.select(kept.alias("_keep"), F.col(text).alias("_text"), side.alias("_side"), F.lit(True).alias("_own")), keep or [])
+
+
 def _scored(rows: DataFrame, keep: list[str]) -> DataFrame:
     """rows: _keep, _text, _side (null: not counted), _own (whether to score)."""
-    rows = cut(_in_blocks(rows.withColumn("_size", F.coalesce(F.octet_length("_text"), F.lit(0)).cast("long"))), "lm-blocks")
-    size = rows.agg(F.sum("_size").alias("n")).first()["n"] or 0
+    kept = rows.schema["_keep"]
+    rows = cut(_in_blocks(rows), "lm-blocks")
+    size = rows.agg(F.sum("size").alias("n")).first()["n"] or 0
     ranges = max(LEAST_RANGES, size // BLOCK_BYTES + 1)
     words = cut(_word_counts(rows, ranges), "lm-words")
     found = words.where("block = -1").select("counts").collect()  # one row a range
@@ -239,19 +254,18 @@ def _scored(rows: DataFrame, keep: list[str]) -> DataFrame:
     vocabulary, edges, totals, unknown = stats[0] + 1, stats[1:3], np.maximum(stats[3:5], 1), stats[5:7]
 
     def ask(key: tuple, texts: pa.Table, answers: pa.Table) -> pa.Table:
-        if not texts.num_rows:
-            return _table([])
-        lexicon, n = _lexicon(answers, ranges)
+        texts, (lexicon, n) = _opened(texts), _lexicon(answers, ranges)
         inside, sums, side = n.sum(axis=1) >= MIN_COUNT, _Sums(), _sides(texts["_side"].combine_chunks())
         for lo, hi, w in _words(_texts(texts)):
             h = np.where(inside[np.searchsorted(lexicon, w.hash)], w.hash, _UNKNOWN) if len(w.hash) else w.hash
             sums.add(_pairs(h, w.first), np.repeat(side[lo:hi], np.diff(w.first)))
-        return _table(list(sums.rows(key[0].as_py(), ranges)))
+        found = _table(list(sums.rows(key[0].as_py(), ranges)))
+        release()
+        return found
 
     def lose(key: tuple, texts: pa.Table, answers: pa.Table) -> pa.Table:
-        texts_own = texts["_own"].combine_chunks().to_numpy(zero_copy_only=False) if texts.num_rows else np.zeros(0, bool)
-        lexicon, n = _lexicon(answers, ranges)
-        inside, sums, parts, loss = n.sum(axis=1) >= MIN_COUNT, _Sums(), [], np.zeros((2, texts.num_rows))
+        texts, (lexicon, n) = _opened(texts), _lexicon(answers, ranges)
+        inside, parts, loss = n.sum(axis=1) >= MIN_COUNT, [], np.zeros((2, texts.num_rows))
         n = np.where(inside[:, None], n, unknown)
         tokens = np.zeros(texts.num_rows, np.int64)
         for lo, hi, w in _words(_texts(texts)):
@@ -259,9 +273,8 @@ def _scored(rows: DataFrame, keep: list[str]) -> DataFrame:
             if len(w.hash):
                 at = np.searchsorted(lexicon, w.hash)
                 pair = _pairs(np.where(inside[at], w.hash, _UNKNOWN), w.first)
-                sums.add(pair, np.zeros(len(pair), np.int8))
                 parts.append((lo, hi, w.first, at.astype(np.int32), pair))
-        pairs, _ = sums.sum()
+        pairs = np.unique(np.concatenate([np.zeros(0, np.uint64), *[np.unique(x[-1]) for x in parts]]))
         found = sorted((r, c) for r, h, c in zip(answers["range"].to_pylist(), answers["hashes"].to_pylist(), answers["counts"].to_pylist()) if h is None)
         both = np.concatenate([np.zeros((0, 2), np.int64), *[_counts(c) for _, c in found]])
         if len(both) != len(pairs):
@@ -274,11 +287,12 @@ def _scored(rows: DataFrame, keep: list[str]) -> DataFrame:
                 loss[s, lo:hi] = np.bincount(text_no, -np.log2(p), hi - lo)
         loss /= np.maximum(tokens, 1)
         found = pa.table([texts["_keep"], pa.array(tokens), pa.array(loss[0]), pa.array(loss[1]), pa.array(loss[0] - loss[1])], ["_keep", "n_tokens", "target_loss", "background_loss", "score"])
-        return found.filter(pa.array(texts_own))
+        release()
+        return found.filter(texts["_own"])
 
     asked = words.where((F.col("block") >= 0) & (F.col("range") < ranges))
-    texts = rows.select("block", "_keep", "_text", "_side", "_own").groupBy("block")
+    texts = rows.select("block", "rows").groupBy("block")
     pairs = texts.cogroup(asked.groupBy("block")).applyInArrow(ask, _SENT).groupBy("range").applyInArrow(lambda t: _answers(t), _SENT)
-    schema = T.StructType([rows.schema["_keep"], *T.StructType.fromDDL("n_tokens long, target_loss double, background_loss double, score double").fields])
+    schema = T.StructType([kept, *T.StructType.fromDDL("n_tokens long, target_loss double, background_loss double, score double").fields])
     out = texts.cogroup(asked.unionByName(pairs).groupBy("block")).applyInArrow(lose, schema)
     return out.select(*[F.col("_keep").getField(c).alias(c) for c in keep], "n_tokens", "target_loss", "background_loss", "score")

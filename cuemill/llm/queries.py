@@ -52,8 +52,7 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     good = table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select(F.col("doc_id").alias("_good")).distinct()
     marked = docs.join(small(good, BROADCAST_LABELS), F.col("doc_id") == F.col("_good"), "left")
-    model = lm_scoring.fit(lm_scoring.corpora(marked, "text", F.col("_good").isNotNull(), F.col("_good").isNull()))
-    return lm_scoring.score(docs, model, keep=["doc_id"])
+    return lm_scoring.score_members(marked, lm_scoring.side_of(F.col("_good").isNotNull(), F.col("_good").isNull()), keep=["doc_id"])
 
 
 def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -136,6 +136,20 @@ def test_lm_counts_are_exact_for_many_words(spark):
     assert np.allclose([got[i] for i in range(len(texts))], exact_scores(texts, sides), atol=1e-9)
 
 
+def test_lm_counts_the_whole_background(spark):
+    draw = random.Random(3)
+    words = [f"w{i}" for i in range(40)]
+    target = [" ".join(draw.choices(words[:25], k=30)) for _ in range(10)]
+    rest = [" ".join(draw.choices(words[10:], k=30)) for _ in range(40)] + ["one text again and again " * 5] * 20
+    table, sides = docs(spark, target + rest), [0] * len(target) + [1] * len(rest)
+    side = lm_scoring.side_of(F.col("doc_id") < 10, F.col("doc_id") >= 10)
+    expected = exact_scores(target + rest, sides)
+    apart = lm_scoring.score(table, lm_scoring.fit(lm_scoring.corpora(table, "text", F.col("doc_id") < 10, F.col("doc_id") >= 10)), keep=["doc_id"])
+    for found in (lm_scoring.score_members(table, side, keep=["doc_id"]), apart):
+        got = {r.doc_id: r.score for r in found.collect()}
+        assert np.allclose([got[i] for i in range(len(sides))], expected, atol=1e-9)
+
+
 # 4 packing
 
 
