@@ -17,9 +17,11 @@ packed as often as they come. Empty tables give no rows. Other columns are not r
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
@@ -28,20 +30,26 @@ from ._spark import schema_of
 
 CAPACITY = 1024
 
+#: Stretches of so much white space, cut at multiples of it, go to the tokenizers library: tiktoken's pattern runs out of
+#: stack at a run of a million.
+LONG_RUN = 50_000
+
 _encoder = None
 
 
 class Encoder:
     """Ids of whole texts under a byte-level BPE vocabulary file of the tokenizers library. The file's vocabulary is
-    handed to tiktoken, whose merges by rank give the same ids in a fraction of the time (tests compare the two). The
-    strings of special tokens in a text are ordinary text."""
+    handed to tiktoken, whose merges by rank give the same ids in a fraction of the time (tests compare the two). Texts
+    with a long run of white space, and any that tiktoken cannot read, go to the tokenizers library itself. With added_tokens,
+    so do texts that hold an added token's string, and it gets that token's id; else such strings are ordinary text."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added_tokens: bool = False):
         import public_tokenizers
         import tiktoken
         from tokenizers import Tokenizer
 
-        source = Tokenizer.from_file(path)
+        source = self.source = Tokenizer.from_file(path)
+        source.encode_special_tokens = not added_tokens
         special = {t.content for t in source.get_added_tokens_decoder().values()}
         # Byte-level vocabularies write byte b as chr(b) where that prints, the others in order from chr(256) on.
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
@@ -49,8 +57,15 @@ class Encoder:
         ranks = {bytes(byte[c] for c in token): i for token, i in source.get_vocab().items() if token not in special}
         self.encoding = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+        self.added = re.compile("|".join(map(re.escape, special))) if added_tokens and special else None
+
     def encode(self, text: str) -> bytes:
-        return self.encoding.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
+        if not (self.added and self.added.search(text)) and not any(text[i : i + LONG_RUN].isspace() for i in range(0, len(text) - LONG_RUN + 1, LONG_RUN)):
+            try:
+                return self.encoding.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
+            except ValueError:  # tiktoken cannot read it
+                pass
+        return np.array(self.source.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 def _pieces(n: int, capacity: int) -> list[int]:
@@ -86,9 +101,9 @@ class _Bins:
                     at += 1 << j
 
 
-def pack(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = 0, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = 0, with_ids: bool = False, added_tokens: bool = False) -> DataFrame:
     """One row per piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset; with_ids adds token_ids
-    (binary, little-endian unsigned 32-bit)."""
+    (binary, little-endian unsigned 32-bit). added_tokens: as in Encoder."""
     if capacity & (capacity - 1):
         raise ValueError("capacity must be a power of two")
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).sortWithinPartitions("key")
@@ -98,8 +113,8 @@ def pack(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         global _encoder
-        if _encoder is None or _encoder[0] != tokenizer_path:
-            _encoder = (tokenizer_path, Encoder(tokenizer_path))
+        if _encoder is None or _encoder[0] != (tokenizer_path, added_tokens):
+            _encoder = ((tokenizer_path, added_tokens), Encoder(tokenizer_path, added_tokens))
         encoder, bins, out_type = _encoder[1], _Bins(capacity, TaskContext.get().partitionId() << 40), None
 
         def batch(found: list[dict]) -> pa.RecordBatch:

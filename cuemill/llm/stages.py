@@ -41,7 +41,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=True)
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=True, added_tokens=True)
 
 
 STAGES = [("language", language), ("quality", good), ("near_duplicates", near_duplicates), ("mixing", mix), ("packing", pack)]

@@ -190,6 +190,24 @@ def test_encoder_gives_the_ids_of_the_tokenizer():
         assert fast.encode(s) == np.array(plain.encode(s, add_special_tokens=False).ids, "<u4").tobytes(), ascii(s)
 
 
+def test_packing_gives_the_ids_of_the_plain_call(spark, tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from cuemill.llm import queries
+
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a<|endoftext|> b", "<|endoftext|>" * 3, "<|endoftext|", " " * 1_100_000, "x" + "\n" * 1_100_000 + "a", "\u3000" * 1_100_000 + "b"]
+    docs(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {}
+    for r in queries.op4_packing(spark, str(tmp_path)).collect():
+        got.setdefault(r.doc_id, []).append(r)
+    for i, t in enumerate(texts):
+        ids = np.array([*plain.encode(t, add_special_tokens=False).ids, 0], "<u4")
+        assert {r.doc_tokens for r in got[i]} == {len(ids)}
+        assert all(r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes()) for r in got[i])
+
+
 # 5 fingerprints
 
 
