@@ -5,6 +5,9 @@ the place in the page counts too: navigation, headers, footers, asides, forms an
 such a thing are bad, an article or main element counts as a word for the block. Pass 2 looks at the neighbours: a short
 or near-good block takes the label of the nearest decided blocks, both of which must be good outside an article.
 
+Stop words are of seven languages (STOP_WORDS). Where a page's text holds next to none of them, its blocks are judged by
+length, links and place alone. A long block of few stop words and few links is undecided, like a short one.
+
 A page without an article or main element is read as a whole. Unclosed elements end with the page or their parent;
 scripts, styles and comments never count as text. Null and empty pages give an empty text. Pages of any length are read
 whole; repeated rows give equal texts; other columns are not read. Empty tables give no rows.
@@ -23,6 +26,8 @@ from ._spark import schema_of
 
 LENGTH_LOW, LENGTH_HIGH = 40, 110
 STOP_LOW, STOP_HIGH = 0.08, 0.2
+#: Below this share of stop words in a page's text, its language is none of STOP_WORDS and density says nothing.
+STOP_PAGE = 0.1
 LINK_DENSITY = 0.25
 
 # Frequent function words.
@@ -189,11 +194,16 @@ def blocks(page: str) -> list[list]:
 def classify(found: list[list]) -> list[bool]:
     """Whether each block is main text."""
     any_article = any(place == 1 for *_, place in found)
-    kinds = []
-    for text, linked, heading, place in found:
-        n = len(text)
+    kinds, counted, stops, total = [], [], 0, 0
+    for text, linked, _, place in found:
         words = _WORD.findall(text.lower())
-        density = sum(w in STOP_WORDS for w in words) / max(1, len(words))
+        own = sum(w in STOP_WORDS for w in words)
+        counted.append(own / max(1, len(words)))
+        if len(text) >= LENGTH_LOW and linked <= LINK_DENSITY * len(text) and place >= 0 and not (any_article and place == 0):
+            stops, total = stops + own, total + len(words)
+    unknown = stops < STOP_PAGE * total
+    for (text, linked, heading, place), density in zip(found, counted):
+        n = len(text)
         links = linked / n
         if place < 0 or (any_article and place == 0):
             kinds.append("bad")
@@ -203,10 +213,12 @@ def classify(found: list[list]) -> list[bool]:
             kinds.append("short")
         elif density >= STOP_HIGH or place == 1:
             kinds.append("good" if n > LENGTH_HIGH or place == 1 else "near")
+        elif unknown and links <= LINK_DENSITY:
+            kinds.append("good" if n > LENGTH_HIGH else "near")
         elif density >= STOP_LOW:
             kinds.append("near")
-        else:
-            kinds.append("short" if n < LENGTH_HIGH else "bad")
+        else:  # long text of few function words (code, tables, names) goes with its neighbours
+            kinds.append("short" if n < LENGTH_HIGH or links <= LINK_DENSITY else "bad")
     if "good" not in kinds:
         kinds = ["good" if k == "near" else k for k in kinds]
     # Blocks outside the main part by their place say nothing about their neighbours inside it.

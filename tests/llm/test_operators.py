@@ -57,6 +57,18 @@ def test_html_main_text():
     assert [html_text.main_text(x) for x in (None, "", "<", "<!-- open", "<script>only")] == [""] * 2 + [html_text.main_text("<")] + [""] * 2
 
 
+def test_html_without_known_stop_words():
+    polish = "Rada miejska przyjęła wczoraj nowy plan budowy linii tramwajowej, która połączy dworzec z osiedlami północnej części miasta jeszcze przed zimą."
+    russian = "Городской совет вчера принял новый план строительства трамвайной линии, которая ещё до зимы соединит вокзал с жилыми районами северной части города."
+    chinese = "市议会昨天通过了新的有轨电车线路建设计划，" * 8
+    for text in (polish, russian, chinese):
+        links = "<div>" + " ".join(f"<a href=x>{text[:30]}</a>" for _ in range(6)) + "</div>"
+        assert html_text.main_text(f"<body>{links}<div><p>{text}</p><p>{text[:50]}</p><p>{text}</p></div>{links}</body>") == "\n".join([text, text[:50], text])
+    prose = "It was the best of times and it was the worst of times for all of us who had been there in the city with them at that time of the year."
+    code = "while queue: node = queue.popleft(); visited.add(node); queue.extend(child for child in graph[node] if child not in visited); total += weights[node]"
+    assert html_text.main_text(f"<div><p>{prose}</p><p>{prose}</p><pre>{code}</pre><p>{prose}</p></div>") == "\n".join([prose, prose, code, prose])
+
+
 def test_html_query_keeps_articles(spark, sf_dir):
     from cuemill.llm import queries
 
