@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ._spark import body, schema_of, with_body
@@ -30,7 +31,7 @@ BUCKETS = 1 << 17
 ORDERS = (1, 2, 3, 4, 5)
 #: Training rows per language at most, drawn by hash over the whole table.
 SAMPLE = 3000
-#: Languages at most; those with most training rows are learned.
+#: Languages up to which batches and what is remembered have their full size; beyond, they shrink as languages grow.
 LANGUAGES = 64
 PENALTY = 8.0
 #: Share of a language's letters that makes a script one of its own.
@@ -98,6 +99,9 @@ class Model:
         scripts = np.array([script_of(w) for w in words])
         if not self.languages:
             return np.zeros((len(words), 0), np.float32), scripts >= 0
+        most = max(1, (1 << 20) // len(self.languages))
+        if len(words) > most:
+            return np.concatenate([self.score(words[i : i + most])[0] for i in range(0, len(words), most)]), scripts >= 0
         grams, starts = word_grams(words)
         sums = np.add.reduceat(self.logp[grams], starts, axis=0) / len(ORDERS)
         sums -= sums.max(axis=1, keepdims=True)
@@ -109,7 +113,7 @@ class Model:
 def training(docs: DataFrame, text: str, lang: str, rows: Column) -> DataFrame:
     """A sample of rows with a language: at most about SAMPLE per language, by a hash of the text."""
     labelled = docs.where(rows & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
+    counts = labelled.groupBy("lang").count()
     share = counts.select(F.col("lang").alias("_lang"), F.least(F.lit(1.0), SAMPLE / F.col("count")).alias("_share"))
     part = (F.xxhash64("text").bitwiseAND(F.lit((1 << 30) - 1))) / float(1 << 30)
     return labelled.join(F.broadcast(share), F.col("lang") == F.col("_lang")).where(part < F.col("_share")).select("text", "lang")
@@ -121,6 +125,15 @@ def fit(sample: DataFrame) -> Model:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         scripts: dict[str, np.ndarray] = {}
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for lang in sums:
+                at, sc = np.flatnonzero(sums[lang]), np.flatnonzero(scripts[lang])
+                places = np.concatenate([at, BUCKETS + sc])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(places), pa.string()), pa.array(places, pa.int64()), pa.array(np.concatenate([sums[lang][at], scripts[lang][sc]]))], ["lang", "place", "n"])
+            sums.clear()
+            scripts.clear()
+
         for batch in batches:
             langs = batch["lang"].to_pylist()
             for lo, hi in blocks(batch["text"]):
@@ -140,16 +153,15 @@ def fit(sample: DataFrame) -> Model:
                     sums[lang] = sums.get(lang, 0) + np.bincount(grams, weight, BUCKETS)
                     lengths = np.array([len(w) for w in words]) * times
                     scripts[lang] = scripts.get(lang, 0) + np.bincount(kinds[kinds >= 0], lengths[kinds >= 0], len(SCRIPTS))
-        for lang in sums:
-            at, sc = np.flatnonzero(sums[lang]), np.flatnonzero(scripts[lang])
-            places = np.concatenate([at, BUCKETS + sc])
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(places), pa.string()), pa.array(places, pa.int64()), pa.array(np.concatenate([sums[lang][at], scripts[lang][sc]]))], ["lang", "place", "n"])
+                if len(sums) > LANGUAGES:
+                    yield from out()
+        yield from out()
 
     total = sample.mapInArrow(count, "lang string, place long, n double").groupBy("lang", "place").agg(F.sum("n").alias("n")).toArrow()
-    names = sorted(set(total["lang"].to_pylist()))
+    names = sorted(pc.unique(total["lang"]).to_pylist())
     counts = np.zeros((len(names), BUCKETS + len(SCRIPTS)))
     if names:
-        counts[[names.index(x) for x in total["lang"].to_pylist()], total["place"].to_numpy()] = total["n"].to_numpy()
+        counts[pc.index_in(total["lang"], pa.array(names, pa.string())).to_numpy(), total["place"].to_numpy()] = total["n"].to_numpy()
     grams, scripts = counts[:, :BUCKETS] + 0.3, counts[:, BUCKETS:]
     logp = np.log(grams / grams.sum(axis=1, keepdims=True)).T.astype(np.float32) if names else np.zeros((BUCKETS, 0), np.float32)
     allowed = (scripts >= SCRIPT_SHARE * np.maximum(scripts.sum(axis=1, keepdims=True), 1)).T & (scripts.T > 0)
@@ -166,7 +178,7 @@ def viterbi(scores: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray
     steps = int(length[0]) if len(length) else 0
     active = np.searchsorted(-length, -np.arange(steps), side="left")  # texts with more than t words
     stay = np.ones(scores.shape, bool)
-    best = np.zeros(len(scores), np.int8)
+    best = np.zeros(len(scores), np.int16)
     v = np.zeros((len(order), scores.shape[1]), np.float64)
     for t in range(steps):
         a = active[t]
@@ -177,7 +189,7 @@ def viterbi(scores: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray
             best[at] = now.argmax(axis=1)
             np.maximum(now, top, out=now)
         now += scores[at]
-    path = np.zeros(len(scores), np.int8)
+    path = np.zeros(len(scores), np.int16)
     state = v.argmax(axis=1)
     for t in range(steps - 1, -1, -1):
         a = active[t]
@@ -197,10 +209,11 @@ def label(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         known: dict[int, int] = {}
+        shrink = max(1, len(m.languages) / LANGUAGES)
         table, lettered = np.zeros((1024, len(m.languages)), np.float32), np.zeros(1024, bool)
         for batch in batches:
             texts = body(batch, place)
-            for lo, hi in blocks(texts, BATCH_BYTES):
+            for lo, hi in blocks(texts, int(BATCH_BYTES / shrink)):
                 ids, weights, firsts, base = [], [], [0], 0
                 for a, b in blocks(texts.slice(lo, hi - lo)):
                     found = split_words(texts.slice(lo + a, b - a))
@@ -208,7 +221,7 @@ def label(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
                     base += len(found.hash)
                     if not len(found.hash):
                         continue
-                    if len(known) > REMEMBERED and not ids:
+                    if len(known) > REMEMBERED / shrink and not ids:
                         known.clear()
                     own, one, back = np.unique(found.hash, return_index=True, return_inverse=True)
                     rows = np.array([known.get(h, -1) for h in own.tolist()])
@@ -225,7 +238,7 @@ def label(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
                 ids = np.concatenate(ids) if ids else np.zeros(0, np.int64)
                 weights = np.concatenate(weights) if weights else np.zeros(0, np.int64)
                 first = np.array(firsts)
-                path = viterbi(table[ids], first, penalty) if m.languages and len(ids) else np.zeros(len(ids), np.int8)
+                path = viterbi(table[ids], first, penalty) if m.languages and len(ids) else np.zeros(len(ids), np.int16)
                 weights = weights * lettered[ids]
                 text_no = np.repeat(np.arange(hi - lo), np.diff(first))
                 n = max(1, len(m.languages))

@@ -341,6 +341,19 @@ def test_language_spans(spark):
     assert langid.label(spark.createDataFrame([("a b",)], "text string"), none).first().lang_pred == "und"
 
 
+def test_every_language_is_learned(spark):
+    draw, names = random.Random(4), [f"l{i:03}" for i in range(140)]
+    rows = []
+    for i, name in enumerate(names):
+        words = ["".join(draw.choices(string.ascii_lowercase, k=6)) for _ in range(12)]
+        rows += [(j, name, " ".join(draw.choices(words, k=30))) for j in range(2 if i > 100 else 3)]
+    table = spark.createDataFrame(rows, "no int, lang string, text string")
+    model = langid.fit(langid.training(table, "text", "lang", F.lit(True)))
+    assert model.languages == names
+    got = langid.label(table, model, keep=["lang"]).collect()
+    assert len(got) == len(rows) and all(r.lang == r.lang_pred for r in got)
+
+
 def test_viterbi_is_the_best_path():
     draw = np.random.default_rng(0)
     for n in (1, 2, 5):
