@@ -1,12 +1,17 @@
 """Quality scores by Bradley-Terry ranking: document scores learned from preference pairs.
 
 Every pair of a document labelled 1 and one labelled 0 is a preference. The score is linear in features of the whole
-text, fitted by the logistic loss on feature differences. The threshold is a quantile of the training scores: the one
-that parts the labels best. The reported score is the logistic function of the distance to that threshold.
+text, fitted by the logistic loss on feature differences. The threshold is a quantile of the training scores: the level
+(Model.quantile) is the one that parts the labels best. The reported score is the logistic function of the distance to
+that threshold.
+
+The fit is bounded by two parameters: SAMPLE labelled rows, drawn by hash over the whole table, and PAIRS preference
+pairs drawn from them with a fixed seed (of up to SAMPLE^2 / 4). Scoring covers every row.
 
 Null and empty texts have all features 0 and get a score like any other. Texts of any length are read whole. Repeated
-rows get equal scores; other columns are not read. Without labels of both kinds there is nothing to learn: every score
-is 0.5.
+rows get equal scores; a label that comes twice counts once, labels that contradict each other both count, an id with
+several texts trains with one of them (by hash). Other columns are not read. Without labels of both kinds there is
+nothing to learn: every score is 0.5. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -23,8 +28,8 @@ from ._words import blocks, release, split_words
 
 #: Labelled rows that the fit takes at most, drawn by a hash of the text; about 300 bytes each come to the driver.
 SAMPLE = 20_000
-#: Preference pairs of the fit.
-PAIRS = 200_000
+#: Preference pairs of the fit, and those whose differences are held at a time.
+PAIRS, PAIR_STEP = 200_000, 4096
 RIDGE = 1e-3
 
 _UPPER, _LOWER, _DIGIT, _HIGH, _STOP, _MARK, _OTHER, _SPACE, _LINE = range(9)
@@ -79,6 +84,7 @@ class Model:
     scale: np.ndarray
     weights: np.ndarray
     threshold: float
+    quantile: float = 0.5
 
     def expand(self, x: np.ndarray) -> np.ndarray:
         """Each feature with hinges at quantiles of the training rows, so that too much and too little can both cost."""
@@ -92,14 +98,15 @@ class Model:
 
 
 def training(docs: DataFrame, labels: DataFrame, rows: Callable[[Column], Column], text: str = "text", key: str = "doc_id", label: str = "quality") -> DataFrame:
-    """(text, label) of labelled rows whose key passes rows, at most about SAMPLE of each label, by a hash of key and label. The sampled keys
-    are few, so they are broadcast to the documents."""
-    known = labels.select(F.col(key).alias("_key"), F.col(label).cast("int").alias("label")).where("_key is not null and label in (0, 1)").where(rows(F.col("_key")))
+    """(text, label) of labelled rows whose key passes rows: about SAMPLE at most, half of each label, by a hash of key and label.
+    The sampled keys are bounded by that, so they are broadcast to the documents; one row for each comes back."""
+    known = labels.select(F.col(key).alias("_key"), F.col(label).cast("int").alias("label")).where("_key is not null and label in (0, 1)").where(rows(F.col("_key"))).distinct()
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     part = F.xxhash64("_key", "label").bitwiseAND(F.lit((1 << 30) - 1)) / float(1 << 30)
     share = F.when(F.col("label") == 1, min(1.0, SAMPLE / 2 / max(1, counts.get(1, 0)))).otherwise(min(1.0, SAMPLE / 2 / max(1, counts.get(0, 0))))
     drawn = known.where(part < share)
-    return docs.select(F.col(key).alias("_doc"), F.col(text).alias("text")).join(F.broadcast(drawn), F.col("_doc") == F.col("_key")).select("text", "label")
+    found = docs.select(F.col(key).alias("_doc"), F.col(text).alias("text")).join(F.broadcast(drawn), F.col("_doc") == F.col("_key"))
+    return found.groupBy("_key", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("text", "label")
 
 
 def fit(sample: DataFrame) -> Model:
@@ -113,7 +120,9 @@ def fit(sample: DataFrame) -> Model:
     y = table["label"].to_numpy()
     x = np.array(table["x"].to_pylist(), float).reshape(-1, len(NAMES))
     order = np.lexsort((*x.T, y))  # the rows' order must not matter
-    return fit_rows(x[order], y[order])
+    model = fit_rows(x[order], y[order])
+    release()
+    return model
 
 
 def fit_rows(x: np.ndarray, y: np.ndarray) -> Model:
@@ -126,12 +135,16 @@ def fit_rows(x: np.ndarray, y: np.ndarray) -> Model:
     model.shift, model.scale = z.mean(axis=0), z.std(axis=0) + 1e-9
     z = np.clip((z - model.shift) / model.scale, -8, 8)
     draw = np.random.default_rng(0)
-    d = z[draw.choice(good, PAIRS)] - z[draw.choice(bad, PAIRS)]
+    better, worse = draw.choice(good, PAIRS), draw.choice(bad, PAIRS)
     w = np.zeros(z.shape[1])
-    for _ in range(12):  # Newton steps on the mean of log(1 + exp(-w d)) with a ridge
-        p = 1 / (1 + np.exp(np.clip(d @ w, -500, 500)))
-        hess = (d * (p * (1 - p))[:, None]).T @ d / len(d) + RIDGE * np.eye(len(w))
-        step = np.linalg.solve(hess, d.T @ p / len(d) - RIDGE * w)
+    for _ in range(12):  # Newton steps on the mean of log(1 + exp(-w d)) with a ridge; d: feature differences
+        hess, grad = np.zeros((len(w), len(w))), np.zeros(len(w))
+        for at in range(0, PAIRS, PAIR_STEP):
+            d = z[better[at : at + PAIR_STEP]] - z[worse[at : at + PAIR_STEP]]
+            p = 1 / (1 + np.exp(np.clip(d @ w, -500, 500)))
+            grad += d.T @ p
+            hess += (d * (p * (1 - p))[:, None]).T @ d
+        step = np.linalg.solve(hess / PAIRS + RIDGE * np.eye(len(w)), grad / PAIRS - RIDGE * w)
         w = w + step
         if np.abs(step).max() < 1e-6:
             break
@@ -147,6 +160,7 @@ def fit_rows(x: np.ndarray, y: np.ndarray) -> Model:
         return model
     top = np.flatnonzero(right == right.max())
     at = int(top[len(top) // 2])
+    model.quantile = (at + 1) / len(s)
     model.threshold = float((s[at] + s[at + 1]) / 2)
     return model
 
