@@ -18,8 +18,8 @@ components of the links.
 
 Equal sets are one set throughout, so groups of copies cost no more than one of them; copies come back by the set's
 64-bit key. Null and empty texts have empty sets and link with nothing, as have texts without words. A null key is kept
-and counts as the smallest id of its class only if no other exists. Repeated rows are copies. Empty tables give no rows.
-Other columns are not read.
+and counts as the smallest id of its class only if no other exists. Repeated rows are copies; one id may carry several
+texts. Empty tables give no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -40,12 +40,13 @@ HEAVY, HEAVY_COUNT = 1 << 19, 4
 RANGES = 1024
 #: N-grams that a task gathers before it sends their counts.
 FLUSH = 2_000_000
-#: Sets of an n-gram whose pairs are counted; with more, all join the least of them.
-PAIR_SETS = 32
+#: Sets of an n-gram whose pairs are counted; with more, all join the least of them. An n-gram of more than HOT sets is
+#: dealt into cells, as many as the root of its count. Both change the cost, not the links.
+PAIR_SETS, HOT = 32, 256
 #: Sets and n-grams of a group that one task holds.
 GROUP_SETS, GROUP_GRAMS = 1000, 4_000_000
-#: Candidates (16 bytes each) that are broadcast to find their texts; beyond, that join is shuffled.
-BROADCAST_KEYS = 2_000_000
+#: Keys that are broadcast to find their rows (under 100 bytes each); beyond, such a join is shuffled.
+BROADCAST_KEYS = 500_000
 
 
 def _sets(texts: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray, int]]:
@@ -152,35 +153,47 @@ class _Order:
     def __init__(self, heavy: tuple[np.ndarray, np.ndarray]):
         self.gram, self.count = heavy
 
-    def sort(self, own: np.ndarray) -> np.ndarray:
-        """own: ascending and distinct."""
+    def sort(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """own (ascending and distinct) in the order, and the counts of its frequent n-grams (0 for the others)."""
         if not len(self.gram):
-            return own
+            return own, np.zeros(len(own), np.int64)
         upper = (own >> np.uint64(32)).astype(np.uint32)
         at = np.minimum(np.searchsorted(self.gram, upper), len(self.gram) - 1)
-        weight = np.where(self.gram[at] == upper, self.count[at], 0)
-        return own[np.argsort(weight, kind="stable")]
+        weight = np.where(self.gram[at] == upper, self.count[at], 0).astype(np.int64)
+        order = np.argsort(weight, kind="stable")
+        return own[order], weight[order]
+
+
+def _cells(counts: np.ndarray, set_key: int) -> np.ndarray:
+    """The cell of a set under n-grams of these counts: 0 for all but the hot ones, whose sets spread over the root of
+    their count."""
+    number = np.where(counts > HOT, np.ceil(np.sqrt(counts)), 0).astype(np.int64)
+    return np.where(number > 0, 1 + set_key % np.maximum(number, 1), 0).astype(np.int32)
 
 
 def prepared(docs: DataFrame, key: str, text: str, k: int, num: int, den: int) -> tuple[DataFrame, _Order]:
-    """One row per document: key, n (size of its set), set_key (null if empty), prefix and parity (null for a set that
-    its task has met before). Written, as all later steps start from it."""
+    """One row per document: key, row (hash of its text), n (size of its set), set_key (null if empty), and prefix, cells
+    (of each n-gram of the prefix) and parity, null for a set that its task has met before. Written, as all later steps
+    start from it."""
     spark = docs.sparkSession
     heavy = spark.sparkContext.broadcast(_heavy(docs.select(text), k))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order, seen = _Order(heavy.value), set()
         for batch in batches:
-            n, keys, prefixes, parities = np.zeros(batch.num_rows, np.int64), [None] * batch.num_rows, [None] * batch.num_rows, [None] * batch.num_rows
-            for i, own, set_key in _sets(batch.column(1), k):
+            n, (keys, prefixes, cells, parities) = np.zeros(batch.num_rows, np.int64), ([None] * batch.num_rows for _ in range(4))
+            for i, own, set_key in _sets(batch.column(2), k):
                 n[i], keys[i] = len(own), set_key
                 if set_key not in seen:
                     seen.add(set_key)
-                    prefixes[i] = order.sort(own)[: len(own) - -(-num * len(own) // den) + 1].view(np.int64)
-                    parities[i] = parity(own)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(keys, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(parities, pa.binary())], [key, "n", "set_key", "prefix", "parity"])
-
-    rows = docs.select(F.col(key), F.col(text).alias("_text")).mapInArrow(run, schema_of(docs, [key], "n long, set_key long, prefix array<long>, parity binary"))
+                    size = len(own) - -(-num * len(own) // den) + 1
+                    grams, counts = order.sort(own)
+                    prefixes[i], cells[i], parities[i] = grams[:size].view(np.int64), _cells(counts[:size], set_key), parity(own)
+            found = [pa.array(n), pa.array(keys, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(cells, pa.list_(pa.int32())), pa.array(parities, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *found], [key, "row", "n", "set_key", "prefix", "cells", "parity"])
+
+    bare = docs.select(F.col(key), F.xxhash64(F.col(text)).alias("_row"), F.col(text).alias("_text"))
+    rows = bare.mapInArrow(run, schema_of(docs, [key], "row long, n long, set_key long, prefix array<long>, cells array<int>, parity binary"))
     return cut(rows, "prefixes"), heavy
 
 
@@ -326,18 +339,21 @@ def _class(n: str, num: int, den: int) -> Column:
 
 
 def candidates(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """rows: n, set_key, prefix, parity. bucket, a, b: pairs of set keys; the components of each bucket hold all sets that
-    can link there. Sets of class b meet those of class b and b - 1 in bucket b, and no others.
+    """rows: n, set_key, prefix, cells, parity. bucket, a, b: pairs of set keys; the components of each bucket hold all
+    sets that can link there. Sets of class b meet those of class b and b - 1 in bucket b, and no others.
 
     Sets a and b can share no more than c n-grams of their prefixes and what comes after the prefix that ends first. An
     n-gram of at most PAIR_SETS sets gives all its pairs, so c is known up to the n-grams of more sets, which are
     counted as shared; a pair that can't reach the threshold goes, as does one whose parities differ in too many bits. An
-    n-gram of more sets joins all of them in a bucket to the least one of the bucket's class."""
-    entries = rows.select(F.explode("prefix").alias("gram"), "set_key", F.col("n").cast("int").alias("n")).repartition("gram").groupBy("gram", "set_key").agg(F.first("n").alias("n"))
-    groups = entries.groupBy("gram").agg(F.count("*").alias("sets")).where("sets > 1")
-    shared = cut(entries.join(groups, "gram").withColumn("class", _class("n", num, den)), "shared")
-    large = shared.where(F.col("sets") > PAIR_SETS)
-    few = shared.where(F.col("sets") <= PAIR_SETS).select("gram", "set_key", "n", "class")
+    n-gram of more sets joins all of them in a bucket, by way of the least set of each cell. Rows are dealt by n-gram and
+    cell, so that no task gets all sets of a hot n-gram."""
+    members = rows.select(F.explode(F.arrays_zip("prefix", "cells")).alias("_e"), "set_key", F.col("n").cast("int").alias("n"))
+    entries = members.select(F.col("_e.prefix").alias("gram"), F.col("_e.cells").alias("cell"), "set_key", "n").repartition("gram", "cell").groupBy("gram", "cell", "set_key").agg(F.first("n").alias("n"))
+    groups = entries.groupBy("gram", "cell").agg(F.count("*").alias("sets")).where("sets > 1 or cell > 0")
+    shared = cut(entries.join(groups, ["gram", "cell"]).withColumn("class", _class("n", num, den)), "shared")
+    many = (F.col("sets") > PAIR_SETS) | (F.col("cell") > 0)
+    large = shared.where(many)
+    few = shared.where(~many).select("gram", "set_key", "n", "class")
     other = few.select("gram", F.col("set_key").alias("b"), F.col("n").alias("nb"), F.col("class").alias("kb"))
     pairs = few.withColumnsRenamed({"set_key": "a", "n": "na", "class": "ka"}).join(other, "gram").where("a < b and abs(ka - kb) <= 1")
     common = pairs.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.first(F.greatest("ka", "kb")).alias("bucket"), F.count("*").alias("c"))
@@ -357,10 +373,19 @@ def candidates(rows: DataFrame, num: int, den: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch[c].filter(pa.array(fine)) for c in ("bucket", "a", "b")], ["bucket", "a", "b"])
 
     kept = kept.mapInArrow(near, "bucket int, a long, b long")
-    placed = large.select("gram", "set_key", "class", F.explode(F.array(F.col("class"), F.col("class") + 1)).alias("bucket"))
-    least = placed.where("class = bucket").groupBy("gram", "bucket").agg(F.min("set_key").alias("a"))
-    stars = placed.select("gram", "bucket", F.col("set_key").alias("b")).join(least, ["gram", "bucket"]).where("a <> b").select("bucket", "a", "b").distinct()
-    return kept.union(stars)
+    return kept.union(_stars(large))
+
+
+def _stars(large: DataFrame) -> DataFrame:
+    """large: gram, cell, set_key, class. bucket, a, b: what joins the sets of every n-gram in each bucket that has a set
+    of its own class; the members of a cell to its least set, and those of the cells to each other."""
+    placed = large.select("gram", "cell", "set_key", "class", F.explode(F.array(F.col("class"), F.col("class") + 1)).alias("bucket"))
+    cells = placed.groupBy("gram", "bucket", "cell").agg(F.min("set_key").alias("a"), F.collect_set("set_key").alias("sets"), F.max(F.col("class") == F.col("bucket")).alias("own"))
+    cells = cut(cells, "cells")
+    joined = cut(cells.groupBy("gram", "bucket").agg(F.min("a").alias("a"), F.collect_set("a").alias("sets"), F.max("own").alias("own")).where("own").drop("own"), "joined")
+    inside = cells.drop("own").join(small(joined.select("gram", "bucket"), BROADCAST_KEYS), ["gram", "bucket"], "left_semi")
+    found = joined.select("bucket", "a", "sets").union(inside.select("bucket", "a", "sets"))
+    return found.select("bucket", "a", F.explode("sets").alias("b")).where("a <> b").distinct()
 
 
 def groups_of(pairs: DataFrame) -> DataFrame:
@@ -372,13 +397,14 @@ def groups_of(pairs: DataFrame) -> DataFrame:
 
 
 def links(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, num: int = 85, den: int = 100) -> tuple[DataFrame, DataFrame]:
-    """(rows, edges). rows: key, n, set_key per document; edges: a, b: links between set keys that make up the classes."""
+    """(rows, edges). rows: key, row, n, set_key per document; edges: a, b: links between set keys that make up the classes."""
     rows, _ = prepared(docs, key, text, k, num, den)
     groups = groups_of(candidates(rows, num, den))
     # The texts of the candidates: one document for each set.
-    one = rows.where("set_key is not null").groupBy("set_key").agg(F.min(key).alias("_id"), F.first("n").alias("_n"))
+    one = rows.where("set_key is not null").groupBy("set_key").agg(F.min(F.struct(F.col(key).alias("id"), F.col("row").alias("row"))).alias("_id"), F.first("n").alias("_n"))
     wanted = cut(items_of(groups.join(one, "set_key")), "candidates")
-    found = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(small(wanted, BROADCAST_KEYS), F.col("_key").eqNullSafe(F.col("_id")))
+    texts = docs.select(F.col(key).alias("_key"), F.xxhash64(F.col(text)).alias("_hash"), F.col(text).alias("_text"))
+    found = texts.join(small(wanted, BROADCAST_KEYS), F.col("_key").eqNullSafe(F.col("_id.id")) & (F.col("_hash") == F.col("_id.row")))
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent = set()
@@ -399,7 +425,7 @@ def links(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4,
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, block).alias("i"), F.greatest(x, block).alias("j")))
     dealt = dealt.withColumn("_block", block).select("set_key", "grams", "root", "_block", F.explode(others).alias("_pair"))
     item = F.struct("root", "_pair.i", "_pair.j")
-    return rows.select(key, "n", "set_key"), _linked(dealt.select(item.alias("item"), (F.col("_block") == F.col("_pair.i")).alias("is_left"), "set_key", "grams"), num, den)
+    return rows.select(key, "row", "n", "set_key"), _linked(dealt.select(item.alias("item"), (F.col("_block") == F.col("_pair.i")).alias("is_left"), "set_key", "grams"), num, den)
 
 
 def items_of(members: DataFrame) -> DataFrame:
@@ -419,11 +445,18 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
-    """docs with one document of each class: the one with the least key, once if its row repeats. Documents without a
-    key stay."""
-    found = cut(classes(docs, key, text, k, num, den), "classes")
-    own = found.where(F.col(key) == F.col("component_id")).select(F.col(key).alias("_kept"))
-    repeated = own.groupBy("_kept").count().where("count > 1").limit(1).count() > 0
-    kept = docs.join(small(own.distinct(), BROADCAST_KEYS), F.col(key) == F.col("_kept"), "left_semi")
-    kept = kept.dropDuplicates([key]) if repeated else kept
-    return kept.unionByName(docs.where(F.col(key).isNull()))
+    """docs with one row of each class: the one with the least key (null keys come last), of equal keys the one whose text
+    has the least hash. Rows without words belong to no class and stay, each of them. Any columns may be in docs."""
+    rows, edges = links(docs, key, text, k, num, den)
+    roots = components(edges).select(F.col("node").alias("set_key"), "root")
+    at = F.struct(F.col(key).isNull().alias("last"), F.col(key).alias("key"), F.col("row").alias("row"))
+    labelled = rows.where("set_key is not null").join(roots, "set_key", "left").select(F.coalesce("root", "set_key").alias("_class"), at.alias("_at"))
+    first = labelled.groupBy("_class").agg(F.min("_at").alias("_first"), F.count("*").alias("_rows")).where("_rows > 1").drop("_rows")
+    found = labelled.join(first, "_class").groupBy("_at").agg(F.max(F.col("_at") == F.col("_first")).alias("_stays"), F.count("*").alias("_times"))
+    found = cut(found.select(F.col("_at.key").alias("_key"), F.col("_at.row").alias("_row"), "_stays", "_times"), "copies")
+    bare = docs.select(F.struct(*docs.columns).alias("_doc"), F.col(key).alias("_own"), F.xxhash64(F.col(text)).alias("_hash"))
+    kept = bare.join(small(found, BROADCAST_KEYS), F.col("_own").eqNullSafe(F.col("_key")) & (F.col("_hash") == F.col("_row")), "left").where("coalesce(_stays, true)")
+    if found.where("_stays and _times > 1").limit(1).count():  # the same row again: one of them
+        again = kept.where("_times > 1").groupBy("_own", "_hash").agg(F.first("_doc").alias("_doc"))
+        kept = kept.where("coalesce(_times, 1) = 1").select("_doc").unionByName(again.select("_doc"))
+    return kept.select("_doc.*")
