@@ -453,3 +453,60 @@ def test_index_finds_every_code_in_the_radius():
     for q, found in zip(queries, ann.MultiIndex(rows).within(queries, 30)):
         far = np.unpackbits(rows ^ q, axis=1).sum(axis=1)
         assert sorted(found.tolist()) == np.flatnonzero(far <= np.sort(far)[29]).tolist()
+
+
+# handling that several operators share
+
+
+def test_one_of_each_with_odd_rows(spark):
+    """Clashing names, null keys, an id with two texts, the same row again, rows without words."""
+    rows = [(1, "a b c d e f", 9), (1, "other text of some words", 9), (1, "a b c d e f", 9), (None, "a b c d e f", 9), (None, "text with no key of its own", 9), (None, "Text with no key of its own", 9), (2, None, 9), (2, "", 9), (2, "", 9)]
+    names = ["_kept", "_doc", "_own", "_hash", "_key", "_row", "_stays", "_times", "row", "n", "set_key", "_class"]
+    table = spark.createDataFrame(rows, "doc_id long, text string, _kept int")
+    for name in names[1:]:
+        table = table.withColumn(name, F.lit(1))
+    got = ngram_join.one_of_each(table.repartition(2))
+    assert got.columns == table.columns
+    found = sorted((r.doc_id is None, r.doc_id or 0, (r.text or "").lower()) for r in got.collect())
+    assert found == sorted([(False, 1, "a b c d e f"), (False, 1, "other text of some words"), (True, 0, "text with no key of its own"), (False, 2, ""), (False, 2, ""), (False, 2, "")])
+    assert ngram_join.one_of_each(table.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("hot", [2, ngram_join.HOT])
+def test_hot_ngrams_are_dealt_into_cells(spark, monkeypatch, hot):
+    monkeypatch.setattr(ngram_join, "HOT", hot)
+    monkeypatch.setattr(ngram_join, "PAIR_SETS", 8)
+    shared = " ".join(f"all{i}" for i in range(30))
+    texts = near_copies(40) + [f"{shared} own{i} " + " ".join(f"x{i}y{j}" for j in range(i % 7)) for i in range(60)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.classes(docs(spark, texts).repartition(3)).collect()}
+    assert got == brute_classes(enumerate(texts))
+
+
+def test_quality_labels_that_repeat_or_contradict(spark, monkeypatch):
+    texts = ["Good text, with marks. And more of it." * (i % 5 + 1) if i % 2 else "$$ ## 77 @@ 88 " * (i % 5 + 1) for i in range(40)]
+    table = docs(spark, texts).withColumn("quality", F.lit("clash")).withColumn("label", F.lit("clash"))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(1, 1)] * 500 + [(3, 0), (None, 1), (5, None), (7, 9)], "doc_id long, quality int").withColumn("text", F.lit("clash"))
+    sample = quality.training(table.union(table), labels, lambda key: F.lit(True))
+    assert sample.count() == 41
+    model = quality.fit(sample)
+    assert 0 < model.quantile < 1
+    assert [r.score >= 0.5 for r in quality.score(table, model, keep=["doc_id"]).orderBy("doc_id").collect()] == [i % 2 == 1 for i in range(40)]
+    assert quality.score(table.limit(0), model).count() == 0
+
+
+def test_bradley_terry_weights_are_those_of_brute_force():
+    """The gradient of the mean pairwise loss with its ridge is 0 at the fitted weights."""
+    draw = np.random.default_rng(5)
+    x = draw.normal(size=(300, len(quality.NAMES)))
+    y = (x[:, 0] + draw.normal(size=300) > 0).astype(int)
+    model = quality.fit_rows(x, y)
+    z = np.clip((model.expand(x) - model.shift) / model.scale, -8, 8)
+    again = np.random.default_rng(0)
+    pairs = zip(again.choice(np.flatnonzero(y == 1), quality.PAIRS).tolist(), again.choice(np.flatnonzero(y == 0), quality.PAIRS).tolist())
+    s, grad, times = z @ model.weights, np.zeros(z.shape[1]), Counter(pairs)
+    for (a, b), n in times.items():
+        grad += n * (z[a] - z[b]) / (1 + math.exp(s[a] - s[b]))
+    assert np.abs(grad / quality.PAIRS - quality.RIDGE * model.weights).max() < 1e-4
+    right = lambda t: ((s >= t) == (y == 1)).mean()
+    assert right(model.threshold) == max(right(t) for t in [*s, s.max() + 1])
+    assert np.isclose((s < model.threshold).mean(), model.quantile)
