@@ -7,8 +7,8 @@ the loss under the background model, in bits: negative for text like the target.
 
 Counts are exact, keyed by 64-bit hashes of words and bigrams, so the models grow with the corpora. Rows are written in
 compressed blocks of BLOCK_BYTES of text; each block sends its distinct n-grams with their counts to ranges of the hashes, a range
-adds them up and answers every block with the sums of its own n-grams, and a block's texts are scored from the answers.
-The number of ranges grows with the text, so that no task holds more than a block or a range. A token is a maximal run of
+adds them up and answers every block with the sums of its own n-grams, in their order, and a block's texts are scored
+from the answers. The number of ranges grows with the text, so that no task holds more than a block or a range. A token is a maximal run of
 bytes other than white space, with A-Z lower-cased; a document starts with an edge mark.
 
 All rows of the target and of the background are counted, none is drawn or left out. The two are matched by scale: every
@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ._spark import cut
-from ._words import Words, blocks, mixed, release, split_words
+from ._words import blocks, mixed, release, split_words
 
 #: Bytes of text in a block of rows, and for each range of hashes. A longer text is a block of its own.
 BLOCK_BYTES = 8 << 20
@@ -41,7 +41,8 @@ MIX = (0.5, 0.45, 0.05)
 
 _UNKNOWN = np.uint64(0x2545F4914F6CDD1D)
 _EDGE = np.uint64(0x8CB92BA72F3D8DD7)
-_SENT = "block long, range int, hashes binary, counts binary"
+_ASKED = "block long, range int, hashes binary, counts binary"
+_ANSWERED = "block long, pairs boolean, range int, counts binary"
 
 
 def _planes(a: np.ndarray) -> bytes:
@@ -74,52 +75,35 @@ def _pairs(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     return mixed(_before(h, first, _EDGE) * np.uint64(0x9E3779B97F4A7C15) + h)
 
 
-def _words(texts: pa.Array) -> Iterator[tuple[int, int, Words]]:
+def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct words of all texts (ascending), the place of each token's word among them, and where each text's
+    tokens begin."""
+    hashes, first, base = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)], 0
     for lo, hi in blocks(texts):
-        yield lo, hi, split_words(texts.slice(lo, hi - lo), lower=True)
+        w = split_words(texts.slice(lo, hi - lo), lower=True)
+        hashes.append(w.hash)
+        first.append(w.first[1:] + base)
+        base += len(w.hash)
+    found, at = np.unique(np.concatenate(hashes), return_inverse=True)
+    return found, at, np.concatenate(first)
 
 
-class _Sums:
-    """Distinct hashes with their counts on both sides; a count of 0 only asks for the sum."""
+def _per_side(at: np.ndarray, size: int, side: np.ndarray) -> np.ndarray:
+    """(n-grams, sides): counts of the places at, by the side of their text."""
+    return np.stack([np.bincount(at[side == s], minlength=size) for s in (0, 1)], axis=1)
 
-    def __init__(self):
-        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
-        self.waiting = 0
 
-    def add(self, h: np.ndarray, side: np.ndarray) -> None:
-        found, back = np.unique(h, return_inverse=True)
-        self.put(found, np.stack([np.bincount(back, side == s, len(found)) for s in (0, 1)], axis=1).astype(np.int64))
+def _asked(h: np.ndarray, n: np.ndarray, block: int, ranges: int) -> list[tuple]:
+    """A row for each range of the hashes h (ascending) with counts n; ranges follow the order of the hashes."""
+    at = np.searchsorted((h >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32), np.arange(ranges + 1))
+    cut = [(r, slice(at[r], at[r + 1])) for r in np.flatnonzero(np.diff(at)).tolist()]
+    return [(block, r, _planes(np.diff(h[x], prepend=np.uint64(0))), _planes(n[x].T)) for r, x in cut]
 
-    def put(self, h: np.ndarray, n: np.ndarray) -> None:
-        self.parts.append((h, n))
-        self.waiting += len(h)
-        if self.waiting > 1 << 21:
-            self.sum()
 
-    def sum(self) -> tuple[np.ndarray, np.ndarray]:
-        h = np.concatenate([np.zeros(0, np.uint64), *[p[0] for p in self.parts]])
-        n = np.concatenate([np.zeros((0, 2), np.int64), *[p[1] for p in self.parts]])
-        found, back = np.unique(h, return_inverse=True)
-        self.parts = [(found, np.stack([np.bincount(back, n[:, s], len(found)) for s in (0, 1)], axis=1).astype(np.int64))]
-        self.waiting = 0
-        return self.parts[0]
-
-    def rows(self, block: int, ranges: int) -> Iterator[tuple]:
-        """A row for each range of the hashes; ranges follow the order of the hashes."""
-        h, n = self.sum()
-        at = np.searchsorted((h >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32), np.arange(ranges + 1))
-        for r in np.flatnonzero(np.diff(at)).tolist():
-            own = h[at[r] : at[r + 1]]
-            yield block, r, _planes(np.diff(own, prepend=np.uint64(0))), _planes(n[at[r] : at[r + 1]].T)
-
-
-def _table(rows: list[tuple]) -> pa.Table:
-    kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary()]
-    return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["block", "range", "hashes", "counts"])
-
-
-def _batch(rows: list[tuple]) -> list[pa.RecordBatch]:
-    return _table(rows).to_batches()
+def _rows(found: list[tuple], ddl: str) -> pa.Table:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "boolean": pa.bool_()}
+    columns = [c.split() for c in ddl.split(", ")]
+    return pa.table([pa.array([r[i] for r in found], kinds[k]) for i, (_, k) in enumerate(columns)], [n for n, _ in columns])
 
 
 def _in_blocks(rows: DataFrame) -> DataFrame:
@@ -159,54 +143,51 @@ def _sides(column: pa.Array) -> np.ndarray:
 
 
 def _word_counts(rows: DataFrame, ranges: int) -> DataFrame:
-    """What each block's words and the edge have. Rows of block -1 hold sums over a range, in counts: (known words,
-    edges), tokens and unknown tokens, of both sides."""
+    """The sums of each block's words; range ranges has those of the edge. Rows of block -1 hold sums over a range, in
+    counts: (known words, edges), tokens and unknown tokens, of both sides."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, block in enumerate(b["block"].to_pylist()):
-                rows, sums, edges = _opened(b.slice(i, 1)), _Sums(), np.zeros(2, np.int64)
-                side = _sides(rows["_side"].combine_chunks())
-                for lo, hi, w in _words(_texts(rows)):
-                    own = np.diff(w.first)
-                    sums.add(w.hash, np.repeat(side[lo:hi], own))
-                    edges += [np.count_nonzero(own[side[lo:hi] == s]) for s in (0, 1)]
-                yield from _batch([*sums.rows(block, ranges), (block, ranges, _planes(np.array([_EDGE])), _planes(edges))])
+                rows = _opened(b.slice(i, 1))
+                side, (h, at, first) = _sides(rows["_side"].combine_chunks()), _tokens(_texts(rows))
+                n = _per_side(at, len(h), np.repeat(side, np.diff(first)))
+                edges = np.array([np.count_nonzero((side == s) & (np.diff(first) > 0)) for s in (0, 1)])
+                yield from _rows([*_asked(h, n, block, ranges), (block, ranges, _planes(np.array([_EDGE])), _planes(edges))], _ASKED).to_batches()
         release()
 
-    def known(h: np.ndarray, n: np.ndarray, r: int) -> np.ndarray:
+    def known(n: np.ndarray, r: int) -> np.ndarray:
         if r == ranges:
-            return np.concatenate([[0, *n[0]], np.zeros(4)])
+            return np.concatenate([[0], n[0], np.zeros(4)])
         inside = n.sum(axis=1) >= MIN_COUNT
         return np.concatenate([[inside.sum(), 0, 0], n.sum(axis=0), n[~inside].sum(axis=0)])
 
-    return rows.select("block", "rows").mapInArrow(ask, _SENT).groupBy("range").applyInArrow(lambda t: _answers(t, known), _SENT)
+    return rows.select("block", "rows").mapInArrow(ask, _ASKED).groupBy("range").applyInArrow(lambda t: _answers(t, known), _ANSWERED)
 
 
 def _answers(asked: pa.Table, more=None) -> pa.Table:
-    """The sums of a range's n-grams for each block that sent them; more(hashes, sums, range) goes to block -1."""
+    """The sums of a range's n-grams for each block that sent them; more(sums, range) goes to block -1."""
     names, r = asked["block"].to_pylist(), asked["range"][0].as_py()
     h = [_hashes(x) for x in asked["hashes"].to_pylist()]
     n = np.concatenate([_counts(x) for x in asked["counts"].to_pylist()])
     found, back = np.unique(np.concatenate(h), return_inverse=True)
     sums = np.stack([np.bincount(back, n[:, s], len(found)) for s in (0, 1)], axis=1).astype(np.int64)
-    at, out = np.cumsum([0, *map(len, h)]), []
-    for i, block in enumerate(names):
-        hashes = asked["hashes"][i].as_py() if more else None
-        out.append((block, r, hashes, _planes(sums[back[at[i] : at[i + 1]]].T)))
-    release()
+    at = np.cumsum([0, *map(len, h)])
+    out = [(block, not more, r, _planes(sums[back[at[i] : at[i + 1]]].T)) for i, block in enumerate(names)]
     if more:
-        out.append((-1, r, None, _planes(more(found, sums, r).astype(np.int64))))
-    return _table(out)
+        out.append((-1, False, r, _planes(more(sums, r).astype(np.int64))))
+    out = _rows(out, _ANSWERED)
+    release()
+    return out
 
 
-def _lexicon(answers: pa.Table, ranges: int) -> tuple[np.ndarray, np.ndarray]:
-    """The sorted words of a block with their sums."""
-    rows = [(h, n) for r, h, n in zip(answers["range"].to_pylist(), answers["hashes"].to_pylist(), answers["counts"].to_pylist()) if h is not None and r < ranges]
-    h = np.concatenate([np.zeros(0, np.uint64), *[_hashes(x) for x, _ in rows]])
-    n = np.concatenate([np.zeros((0, 2), np.int64), *[_counts(x) for _, x in rows]])
-    h, one = np.unique(h, return_index=True)
-    return h, n[one]
+def _sums(answers: pa.Table, pairs: bool, size: int) -> np.ndarray:
+    """(n-grams, sides): the answers to a block in the order of its n-grams."""
+    rows = sorted((r, c) for p, r, c in zip(answers["pairs"].to_pylist(), answers["range"].to_pylist(), answers["counts"].to_pylist()) if p == pairs)
+    n = np.concatenate([np.zeros((0, 2), np.int64), *[_counts(c) for _, c in rows]])
+    if len(n) != size:
+        raise ValueError(f"{len(n)} sums for {size} n-grams")
+    return n
 
 
 def _texts(rows: pa.Table) -> pa.Array:
@@ -253,46 +234,38 @@ def _scored(rows: DataFrame, keep: list[str]) -> DataFrame:
     stats = np.sum([np.zeros(7), *[_numbers(r["counts"]).astype(np.float64) for r in found]], axis=0)
     vocabulary, edges, totals, unknown = stats[0] + 1, stats[1:3], np.maximum(stats[3:5], 1), stats[5:7]
 
+    def read(texts: pa.Table, answers: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The rows of a block, the sums of its words, the place of each token among them, where texts begin, bigrams."""
+        rows = _opened(texts)
+        h, at, first = _tokens(_texts(rows))
+        n = _sums(answers, False, len(h))
+        inside = n.sum(axis=1) >= MIN_COUNT
+        return rows, np.where(inside[:, None], n, unknown), at, first, _pairs(np.where(inside, h, _UNKNOWN)[at], first)
+
     def ask(key: tuple, texts: pa.Table, answers: pa.Table) -> pa.Table:
-        texts, (lexicon, n) = _opened(texts), _lexicon(answers, ranges)
-        inside, sums, side = n.sum(axis=1) >= MIN_COUNT, _Sums(), _sides(texts["_side"].combine_chunks())
-        for lo, hi, w in _words(_texts(texts)):
-            h = np.where(inside[np.searchsorted(lexicon, w.hash)], w.hash, _UNKNOWN) if len(w.hash) else w.hash
-            sums.add(_pairs(h, w.first), np.repeat(side[lo:hi], np.diff(w.first)))
-        found = _table(list(sums.rows(key[0].as_py(), ranges)))
+        rows, _, _, first, pairs = read(texts, answers)
+        found, at = np.unique(pairs, return_inverse=True)
+        n = _per_side(at, len(found), np.repeat(_sides(rows["_side"].combine_chunks()), np.diff(first)))
+        found = _rows(_asked(found, n, key[0].as_py(), ranges), _ASKED)
         release()
         return found
 
     def lose(key: tuple, texts: pa.Table, answers: pa.Table) -> pa.Table:
-        texts, (lexicon, n) = _opened(texts), _lexicon(answers, ranges)
-        inside, parts, loss = n.sum(axis=1) >= MIN_COUNT, [], np.zeros((2, texts.num_rows))
-        n = np.where(inside[:, None], n, unknown)
-        tokens = np.zeros(texts.num_rows, np.int64)
-        for lo, hi, w in _words(_texts(texts)):
-            tokens[lo:hi] = np.diff(w.first)
-            if len(w.hash):
-                at = np.searchsorted(lexicon, w.hash)
-                pair = _pairs(np.where(inside[at], w.hash, _UNKNOWN), w.first)
-                parts.append((lo, hi, w.first, at.astype(np.int32), pair))
-        pairs = np.unique(np.concatenate([np.zeros(0, np.uint64), *[np.unique(x[-1]) for x in parts]]))
-        found = sorted((r, c) for r, h, c in zip(answers["range"].to_pylist(), answers["hashes"].to_pylist(), answers["counts"].to_pylist()) if h is None)
-        both = np.concatenate([np.zeros((0, 2), np.int64), *[_counts(c) for _, c in found]])
-        if len(both) != len(pairs):
-            raise ValueError(f"{len(both)} sums for {len(pairs)} bigrams")
-        for lo, hi, first, at, pair in parts:
-            where, text_no = np.searchsorted(pairs, pair), np.repeat(np.arange(hi - lo), np.diff(first))
-            for s in (0, 1):
-                uni = n[at, s]
-                p = MIX[0] * both[where, s] / np.maximum(_before(uni, first, edges[s]), 1) + MIX[1] * uni / totals[s] + MIX[2] / vocabulary
-                loss[s, lo:hi] = np.bincount(text_no, -np.log2(p), hi - lo)
-        loss /= np.maximum(tokens, 1)
-        found = pa.table([texts["_keep"], pa.array(tokens), pa.array(loss[0]), pa.array(loss[1]), pa.array(loss[0] - loss[1])], ["_keep", "n_tokens", "target_loss", "background_loss", "score"])
+        rows, words, at, first, pairs = read(texts, answers)
+        found, pair = np.unique(pairs, return_inverse=True)
+        both, tokens, loss = _sums(answers, True, len(found)), np.diff(first), np.zeros((2, rows.num_rows))
+        text_no = np.repeat(np.arange(rows.num_rows), tokens)
+        for s in (0, 1):
+            uni = words[at, s]
+            p = MIX[0] * both[pair, s] / np.maximum(_before(uni, first, edges[s]), 1) + MIX[1] * uni / totals[s] + MIX[2] / vocabulary
+            loss[s] = np.bincount(text_no, -np.log2(p), rows.num_rows) / np.maximum(tokens, 1)
+        found = pa.table([rows["_keep"], pa.array(tokens), pa.array(loss[0]), pa.array(loss[1]), pa.array(loss[0] - loss[1])], ["_keep", "n_tokens", "target_loss", "background_loss", "score"])
         release()
-        return found.filter(texts["_own"])
+        return found.filter(rows["_own"])
 
     asked = words.where((F.col("block") >= 0) & (F.col("range") < ranges))
     texts = rows.select("block", "rows").groupBy("block")
-    pairs = texts.cogroup(asked.groupBy("block")).applyInArrow(ask, _SENT).groupBy("range").applyInArrow(lambda t: _answers(t), _SENT)
+    pairs = texts.cogroup(asked.groupBy("block")).applyInArrow(ask, _ASKED).groupBy("range").applyInArrow(lambda t: _answers(t), _ANSWERED)
     schema = T.StructType([kept, *T.StructType.fromDDL("n_tokens long, target_loss double, background_loss double, score double").fields])
     out = texts.cogroup(asked.unionByName(pairs).groupBy("block")).applyInArrow(lose, schema)
     return out.select(*[F.col("_keep").getField(c).alias(c) for c in keep], "n_tokens", "target_loss", "background_loss", "score")
