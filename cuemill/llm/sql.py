@@ -2,7 +2,7 @@
 
 _MIX = r"""
 WITH sized AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-  CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12) AS BIGINT) AS u FROM documents),
+  CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ' ' || md5(coalesce(text, ''))), 1, 12) AS BIGINT) AS u FROM documents),
 per AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS n FROM sized GROUP BY source),
 weighed AS (SELECT *, CAST([5, 2, 1][n % 3 + 1] AS DOUBLE) AS w, CAST(3 * source_size AS DOUBLE) AS most FROM per),
 levels AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(most) OVER (ORDER BY most / w, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
@@ -10,7 +10,7 @@ levels AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(most) OVER (ORDER
 targets AS (SELECT *, CASE WHEN most >= level * w THEN (SELECT level FROM levels WHERE most >= level * w ORDER BY most / w, n LIMIT 1) * w ELSE most END AS target FROM levels),
 rates AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS base FROM targets),
 drawn AS (SELECT s.doc_id, s.size, r.source_size, r.target, r.base, r.target - r.base * r.source_size AS need,
-  sum(s.size) OVER (PARTITION BY s.source ORDER BY s.u, s.doc_id) - s.size AS before FROM sized s JOIN rates r ON s.source IS NOT DISTINCT FROM r.source)
+  sum(s.size) OVER (PARTITION BY s.source ORDER BY s.u, s.doc_id, s.size ROWS UNBOUNDED PRECEDING) - s.size AS before FROM sized s JOIN rates r ON s.source IS NOT DISTINCT FROM r.source)
 SELECT doc_id, size, source_size, target, CAST(size * (base + CASE WHEN need > 0 AND before + size / 2 <= need THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM drawn"""
 
 _CLASSES = r"""
