@@ -1,18 +1,20 @@
 """Harmonic packing of token sequences.
 
-Lengths fall into reciprocal-capacity classes: class k holds the pieces of which k fill one sequence, and each sequence
-of class k takes exactly k pieces, without a look at other classes. Documents may be cut, so every piece is cut to a
-length of capacity / 2^j, the fullest of its class (k = 2^j): a document of n tokens gives n div capacity full sequences
-and a piece for each binary digit of the rest. Full sequences of any class then hold no padding at all. What is left of
-a class on a worker (fewer than k pieces) goes into sequences of 2^i pieces, one per binary digit of their number, whose
-length is a power of two again.
-
-Every worker packs the rows of its own partition, so the job is one map stage without a shuffle, and memory holds the
-counters of log2(capacity) classes besides the rows at hand. Sequence ids are the partition number times 2^40 plus a
-counter. Rows are sorted by key inside a partition first, so that a task that runs again packs alike.
+Lengths fall into reciprocal-capacity classes: class k holds the lengths in (capacity / (k + 1), capacity / k], and each
+sequence of class k takes exactly k of them, whole, without a look at other classes. What k such lengths leave open is
+less than one of them; as documents may be cut, the next document gives its first tokens to close it, so every sequence
+is full. A document of n tokens thus closes what is open, gives (rest div capacity) full sequences, and its last, shorter
+part goes whole to its class. What a worker holds at its end, sequences that lack documents or a filling, is laid
+end to end, into full sequences and then sequences of the binary digits of the rest: powers of two, which need no padding.
+
+Every worker packs the rows of its own partition, so the job is one map stage without a shuffle, and memory holds one
+sequence at most for each class (the classes of all lengths up to capacity are 2 sqrt(capacity)) besides the rows at hand.
+Sequence ids are the partition number times 2^40 plus a counter. Rows are sorted by key and a hash of the text inside a
+partition first, so that a task that runs again packs alike.
 
 A null text is an empty document: its only token is the end token. A null key sorts first and is kept. Repeated rows are
-packed as often as they come. Empty tables give no rows. Other columns are not read.
+packed as often as they come; one key may carry several texts. Texts of any length are read whole. Empty tables give no
+rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -68,37 +70,72 @@ class Encoder:
         return np.array(self.source.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
-def _pieces(n: int, capacity: int) -> list[int]:
-    """Lengths that n tokens are cut into: full sequences, then the binary digits of the rest, the longest first."""
-    rest = n % capacity
-    return [capacity] * (n // capacity) + [1 << j for j in range(capacity.bit_length() - 1, -1, -1) if rest >> j & 1]
-
-
-class _Bins:
-    """The open sequences of a worker. A class's pieces wait until k of them fill a sequence."""
+class _Packer:
+    """The sequences of a worker. A part is (key, start, ids as bytes, tokens of its document)."""
 
     def __init__(self, capacity: int, first: int):
-        self.capacity, self.next, self.waiting = capacity, first, {}
-
-    def put(self, piece: dict) -> Iterator[dict]:
-        wait = self.waiting.setdefault(piece["length"], [])
-        wait.append(piece)
-        if len(wait) * piece["length"] == self.capacity:
-            yield from self._close(wait)
-            self.waiting[piece["length"]] = []
-
-    def _close(self, wait: list[dict]) -> Iterator[dict]:
-        for i, p in enumerate(wait):
-            yield p | {"sequence_id": self.next, "offset": i * p["length"]}
+        self.capacity, self.next = capacity, first
+        self.classes: dict[int, list[tuple]] = {}  # parts that wait for the rest of their k
+        self.open: list[tuple[list[tuple], int]] = []  # sequences that have their k parts, and what they lack
+        self.out: list[tuple] = []
+
+    def put(self, key, ids: bytes) -> None:
+        n, start = len(ids) // 4, 0
+
+        def part(size: int) -> tuple:
+            nonlocal start
+            start += size
+            return key, start - size, ids[4 * (start - size) : 4 * start], n
+
+        while self.open and start < n:
+            parts, lack = self.open.pop()
+            size = min(lack, n - start)
+            parts.append(part(size))
+            if size < lack:
+                self.open.append((parts, lack - size))
+            else:
+                self._close(parts)
+        while n - start >= self.capacity:
+            self._close([part(self.capacity)])
+        if start < n:
+            k = self.capacity // (n - start)
+            parts = self.classes.setdefault(k, [])
+            parts.append(part(n - start))
+            if len(parts) == k:
+                del self.classes[k]
+                lack = self.capacity - sum(len(p[2]) for p in parts) // 4
+                if lack:
+                    self.open.append((parts, lack))
+                else:
+                    self._close(parts)
+
+    def _close(self, parts: list[tuple]) -> None:
+        at = 0
+        for key, start, ids, n in parts:
+            self.out.append((key, start, len(ids) // 4, zlib.crc32(ids), n, self.next, at, ids))
+            at += len(ids) // 4
         self.next += 1
 
-    def rest(self) -> Iterator[dict]:
-        for wait in self.waiting.values():
-            at = 0
-            for j in range(len(wait).bit_length() - 1, -1, -1):
-                if len(wait) >> j & 1:
-                    yield from self._close(wait[at : at + (1 << j)])
-                    at += 1 << j
+    def end(self) -> None:
+        rest = [p for parts, _ in self.open for p in parts] + [p for k in sorted(self.classes) for p in self.classes[k]]
+        self.open, self.classes = [], {}
+        total = sum(len(p[2]) for p in rest) // 4
+        sizes = [self.capacity] * (total // self.capacity) + [1 << j for j in range(self.capacity.bit_length() - 1, -1, -1) if total % self.capacity >> j & 1]
+        rest.reverse()
+        for size in sizes:
+            parts = []
+            while size:
+                key, start, ids, n = rest.pop()
+                own = ids[: 4 * size]
+                if len(ids) > len(own):
+                    rest.append((key, start + len(own) // 4, ids[len(own) :], n))
+                parts.append((key, start, own, n))
+                size -= len(own) // 4
+            self._close(parts)
+
+    def batch(self, names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
+        columns, self.out = list(zip(*self.out)) or [()] * 8, []
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
 
 def pack(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = 0, with_ids: bool = False, added_tokens: bool = False) -> DataFrame:
@@ -106,7 +143,7 @@ def pack(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str =
     (binary, little-endian unsigned 32-bit). added_tokens: as in Encoder."""
     if capacity & (capacity - 1):
         raise ValueError("capacity must be a power of two")
-    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).sortWithinPartitions("key")
+    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).sortWithinPartitions("key", F.xxhash64("text"))
     schema = schema_of(docs, [key], "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", token_ids binary" * with_ids)
     names = [key, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["token_ids"] * with_ids
     end = end_id.to_bytes(4, "little")
@@ -115,27 +152,17 @@ def pack(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str =
         global _encoder
         if _encoder is None or _encoder[0] != (tokenizer_path, added_tokens):
             _encoder = ((tokenizer_path, added_tokens), Encoder(tokenizer_path, added_tokens))
-        encoder, bins, out_type = _encoder[1], _Bins(capacity, TaskContext.get().partitionId() << 40), None
-
-        def batch(found: list[dict]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([x[n] for x in found], t) for n, t in zip(names, out_type)], names)
-
+        encoder, packer, kinds = _encoder[1], _Packer(capacity, TaskContext.get().partitionId() << 40), None
         for b in batches:
-            out_type = out_type or [b.schema.field("key").type, *[pa.int64()] * 6, *[pa.binary()] * with_ids]
+            kinds = kinds or [b.schema.field("key").type, *[pa.int64()] * 6, *[pa.binary()] * with_ids]
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                done: list[dict] = []
-                for k, own_text in zip(part["key"].to_pylist(), part["text"].to_pylist()):
-                    ids = encoder.encode(own_text) + end
-                    n, start = len(ids) // 4, 0
-                    for length in _pieces(n, capacity):
-                        own = ids[4 * start : 4 * (start + length)]
-                        piece = {key: k, "start": start, "length": length, "ids_crc32": zlib.crc32(own), "doc_tokens": n}
-                        done.extend(bins.put(piece | {"token_ids": own} if with_ids else piece))
-                        start += length
-                if done:
-                    yield batch(done)
-        if out_type:
-            yield batch(list(bins.rest()))
+                for k, own in zip(part["key"].to_pylist(), part["text"]):
+                    packer.put(k, encoder.encode(own.as_py()) + end)
+                if packer.out:
+                    yield packer.batch(names, kinds)
+        packer.end()
+        if packer.out:
+            yield packer.batch(names, kinds)
 
     return rows.mapInArrow(run, schema)

@@ -189,6 +189,47 @@ def test_packing_round_trip(spark):
     assert packing.pack(table.limit(0), path).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_packing_classes(seed):
+    """Sequences are full, a class's sequence has its k last parts whole, every id is in one place."""
+    draw = random.Random(seed)
+    packer, whole = packing._Packer(64, 100), {}
+    most = [3, 20, 64, 65, 200, 700][seed]
+    for key in range(300):
+        ids = np.array([draw.randrange(1000) for _ in range(draw.randrange(1, most + 1))], "<u4")
+        whole[key] = ids
+        packer.put(key, ids.tobytes())
+    inside = packer.out
+    packer.out = []
+    packer.end()
+    last = packer.out
+    found = {}
+    for key, start, length, crc, n, sequence, at, ids in inside + last:
+        assert n == len(whole[key]) and ids == whole[key][start : start + length].tobytes() and crc == zlib.crc32(ids)
+        found.setdefault(sequence, []).append((at, length, key, start, n))
+    for sequence, parts in found.items():
+        assert [p[0] for p in parts] == np.cumsum([0] + [p[1] for p in parts])[:-1].tolist()
+    for sequence in {r[5] for r in inside}:
+        parts = found[sequence]
+        assert sum(p[1] for p in parts) == 64
+        k = 64 // parts[0][1]  # the first part is of class k, as are the next ones; then comes what fills the rest
+        own = parts[:k] if parts[0][1] < 64 else parts
+        assert all(64 // p[1] == k and p[3] + p[1] == p[4] for p in own) or parts[0][1] == 64
+    assert all(sum(p[1] for p in parts) in (64, 32, 16, 8, 4, 2, 1) for parts in found.values())
+    assert sum(r[2] for r in inside + last) == sum(map(len, whole.values()))
+
+
+def test_packing_of_repeated_keys_is_the_same_again(spark):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = [(1, f"text number {i} " * (i % 40)) for i in range(60)] + [(None, "x"), (None, None), (1, "again"), (1, "again")]
+    first = spark.createDataFrame(rows, "doc_id long, text string").withColumn("length", F.lit(7)).coalesce(1)
+    again = spark.createDataFrame(rows[::-1], "doc_id long, text string").coalesce(1)
+    key = lambda r: (r.sequence_id, r.offset, r.start, r.length, r.ids_crc32, r.doc_id)
+    assert sorted(map(key, packing.pack(first, path).collect())) == sorted(map(key, packing.pack(again, path).collect()))
+
+
 def test_encoder_gives_the_ids_of_the_tokenizer():
     import public_tokenizers
     from tokenizers import Tokenizer
