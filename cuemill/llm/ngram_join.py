@@ -441,6 +441,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4
     roots = components(edges).select(F.col("node").alias("set_key"), "root")
     labelled = rows.join(roots, "set_key", "left").withColumn("_class", F.coalesce("root", "set_key")).drop("root", "set_key")
     least = labelled.where("_class is not null").groupBy("_class").agg(F.min(key).alias("_least"), F.count("*").alias("_rows")).where("_rows > 1").drop("_rows")
+    least = small(cut(least, "least"), BROADCAST_KEYS)  # so that a large class is not gathered in one task
     return labelled.join(least, "_class", "left").select(key, F.col("n").alias("n_shingles"), F.coalesce("_least", key).alias("component_id"))
 
 
@@ -452,6 +453,7 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int
     at = F.struct(F.col(key).isNull().alias("last"), F.col(key).alias("key"), F.col("row").alias("row"))
     labelled = rows.where("set_key is not null").join(roots, "set_key", "left").select(F.coalesce("root", "set_key").alias("_class"), at.alias("_at"))
     first = labelled.groupBy("_class").agg(F.min("_at").alias("_first"), F.count("*").alias("_rows")).where("_rows > 1").drop("_rows")
+    first = small(cut(first, "firsts"), BROADCAST_KEYS)  # so that a large class is not gathered in one task
     found = labelled.join(first, "_class").groupBy("_at").agg(F.max(F.col("_at") == F.col("_first")).alias("_stays"), F.count("*").alias("_times"))
     found = cut(found.select(F.col("_at.key").alias("_key"), F.col("_at.row").alias("_row"), "_stays", "_times"), "copies")
     bare = docs.select(F.struct(*docs.columns).alias("_doc"), F.col(key).alias("_own"), F.xxhash64(F.col(text)).alias("_hash"))
