@@ -3,20 +3,25 @@
 The host is what follows the first "://" up to "/", "?", "#" or the end, with A-Z lower-cased; the path follows up to
 "?", "#" or the end. A null url, or one without "://", has an empty host and path. A rule fits its host and all
 subdomains if the path starts with the rule's; the longest rule wins. Other urls are judged by a model whose features
-are the shares of hash buckets among the n-grams of "^host$" and of the path, trained from a small labelled table; an
-empty host has no n-grams and is allowed.
+are the counts of hash buckets among the n-grams of "^host$" and of the path, divided by the root of the number of
+n-grams. An empty host and path have no n-grams and are judged by the intercept.
 
-All steps are DataFrame functions: the trained weights (BUCKETS numbers) are a literal, so judging is map-only. Repeated
-rows get equal verdicts, urls of any length are read whole, other columns are not touched, an empty table gives no rows.
+The model is trained from a small labelled table that this module makes of ordinary words by a rule (labelled_urls), with
+no look at the urls to judge. All steps over data are DataFrame functions; the fit of a few hundred rows runs on the
+driver once a process, and its weights (BUCKETS numbers) are a literal, so judging is map-only. Repeated rows get equal
+verdicts, urls of any length are read whole, other columns are not touched, an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-BUCKETS = 2048
+BUCKETS = 4096
 ORDERS = (3, 4, 5)
-RIDGE = 0.0006
+RIDGE = 0.00001
 
 #: (host, start of the path, verdict)
 RULES = (
@@ -27,34 +32,42 @@ RULES = (
     ("org", "/es/", "block"),
 )
 
-# Names that make up the labelled hosts, unwanted and ordinary.
-_BLOCK = (
-    "casino casino-win win-casino free-casino jackpot slots slot-win poker online-poker roulette free-bets bets sports-bets betting best-bets pills cheap-pills buy-pills pill-shop pharmacy-cheap cheap-meds viagra cialis "
-    "adult adult-x adult-cams xxx xxx-tube porn sex-cams escort nude hot-girls spam spam-farm link-farm content-farm ads ads-track ad-track adserver tracker track-click click-track popads banner-ads affiliate-deals "
-    "free-money easy-money win-prize free-prize lottery crypto-double cheap-watches replica-watches warez crack-keygen torrent-free phishing-login loan-fast payday-loans weight-loss-fast clickbait"
+# Words that stand for unwanted sites, what they come with, and ordinary words of several languages.
+_UNWANTED = (
+    "casino poker slots roulette jackpot blackjack betting bets gambling lottery bingo pills viagra cialis pharmacy steroids meds "
+    "porn xxx sex adult escort nude cams erotic hentai spam malware phishing warez crack keygen torrent ads adserver tracker track clicks popup "
+    "banner affiliate payday loans scam replica clickbait linkfarm hacked cheats"
 ).split()
-_ALLOW = (
-    "news daily-news times herald tribune library museum university college school institute academy journal review magazine weather travel recipes cooking garden gardening music history science physics biology "
-    "chemistry medicine hospital health kitchen city council government parliament court bank insurance railway airport theatre cinema sports football cycling climbing hiking photo photography design architecture "
-    "books bookshop publisher research open-data software developer docs documentation wiki encyclopedia dictionary language forum community blog mail calendar maps shop store market furniture family kids nature animals "
-    "therion thandor ththent thering thonder tionent inghen erthand andorth ontion thereaing nderhe entionth verein zeitung garten schule bibliotheque jardin ecole musique voyage biblioteca escuela jardines noticias viajes"
+_WITH = "online best free 24 club top now bonus hot super king real world deals mega vip".split()
+_ORDINARY = (
+    "news daily times herald tribune library museum university college school institute academy journal review magazine weather travel recipes cooking garden music "
+    "history science physics biology chemistry medicine hospital health kitchen city council government parliament court bank insurance railway airport theatre cinema "
+    "sports football cycling climbing hiking photography design architecture books publisher research software developer documentation wiki encyclopedia dictionary "
+    "language forum community mail calendar maps store market furniture family kids nature animals orchard harbour mountain river lantern meadow bridge village "
+    "zeitung garten schule wetter reise kirche bibliothek verein rathaus bibliotheque jardin ecole musique voyage mairie cuisine biblioteca escuela jardin noticias "
+    "viajes cocina ayuntamiento giornale scuola cucina viaggi comune jornal escola cozinha krant winkel fiets bakkerij gazeta szkola kuchnia"
 ).split()
-#: Letter groups of running English; ordinary hosts of invented words are made of pairs of them.
-_GROUPS = "th er on an re he in ed nd ha at en es of or nt ea ti to it st io le is ou ar as de rt ve ly ble ing tion wh sh".split()
-_PATHS = ("/en/12", "/fr/825/", "/de/47.html", "/es/960", "/news/today", "/index.html", "/", "", "/a/b/c", "/2021/05/title-of-the-text")
-_PREFIXES = ("", "www.", "blog.", "m.")
-_SUFFIXES = (".example.com", ".example.net", ".example.org", ".com", ".org")
+_ONSETS, _VOWELS, _CODAS = "b br c d dr f g gl h j k l m n p pr r s st t tr v w z".split(), "a e i o u ai ou ea".split(), ["", "n", "r", "l", "s", "rd", "nt", "ck"]
+_PATHS = ("/", "", "/index.html", "/about", "/en/about", "/de/kontakt", "/a/b/c", "/2021/05/title-of-the-text", "/item/1284", "/es/inicio", "/search", "/fr/page/3")
+_PREFIXES = ("", "www.", "blog.", "m.", "shop.")
+_SUFFIXES = (".com", ".net", ".org", ".example.com", ".info", ".example.org", ".example.net")
 
 
 def labelled_urls() -> list[tuple[str, int]]:
-    """The small labelled table: each name under two suffixes, with paths and prefixes in turn."""
-    out = []
-    made = ["th" * (i % 3) + a + _GROUPS[(7 * i + 3) % len(_GROUPS)] + _GROUPS[(11 * i + 5) % len(_GROUPS)] * (i % 2) for i, a in enumerate(_GROUPS)]
-    for names, label in ((_BLOCK, 1), (_ALLOW + made, 0)):
-        for i, name in enumerate(names):
-            for j in (i, i + 2):
-                out.append((f"https://{_PREFIXES[j % 4]}{name}{_SUFFIXES[j % 5]}{_PATHS[(i + j) % len(_PATHS)]}", label))
-    return out
+    """The small labelled table, (url, 1 if unwanted): every word alone and in compounds, made-up names of syllables; prefix, suffix
+    and path are drawn by a hash of the name, alike for both labels."""
+    bad, good = [], []
+    for i, w in enumerate(_UNWANTED):
+        more = [_WITH[(i + j * 5) % len(_WITH)] for j in range(6)]
+        bad += [w, f"{more[0]}-{w}", f"{w}-{more[1]}", f"{w}{more[2]}", f"{more[3]}{w}", f"{w}-{_ONSETS[i % len(_ONSETS)]}", f"{w}-{more[4]}-{more[5]}"]
+    for i, w in enumerate(_ORDINARY):
+        other = _ORDINARY[(i * 7 + 3) % len(_ORDINARY)]
+        good += [w, f"{w}-{other}", f"{_WITH[i % len(_WITH)]}-{w}"]
+    n = len(_ONSETS) * len(_VOWELS) * len(_CODAS)
+    syllable = lambda i: _ONSETS[i % len(_ONSETS)] + _VOWELS[i // len(_ONSETS) % len(_VOWELS)] + _CODAS[i // (n // len(_CODAS)) % len(_CODAS)]
+    good += ["".join(syllable((i * 389 + j * 577) % n) for j in range(2 + i % 2)) for i in range(320)]
+    pick = lambda kind, name: kind[zlib.crc32(f"{len(kind)} {name}".encode()) % len(kind)]
+    return [(f"https://{pick(_PREFIXES, name)}{name}{pick(_SUFFIXES, name)}{pick(_PATHS, name)}", label) for names, label in ((bad, 1), (good, 0)) for name in names]
 
 
 def host(url: Column) -> Column:
@@ -88,19 +101,39 @@ def grams(host: Column, path: Column) -> Column:
     return F.concat(*of(name, 1), *of(path, 2))
 
 
-def train(spark: SparkSession, urls: list[tuple[str, int]] | None = None) -> tuple[list[float], float]:
-    """(weight of each bucket, intercept)."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector
+_trained: dict[tuple, tuple[list[float], float]] = {}
 
-    known = spark.createDataFrame(urls or labelled_urls(), "url string, label int").coalesce(1)
-    buckets = grams(host(F.col("url")), path(F.col("url")))
-    counted = F.aggregate(buckets, F.array_repeat(F.lit(0.0), BUCKETS), lambda acc, b: acc)  # shape only, for empty urls
-    shares = known.withColumn("_b", buckets).withColumn("_n", F.greatest(F.size("_b"), F.lit(1)))
-    x = F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda b: F.size(F.filter("_b", lambda g: g == b)) / F.sqrt("_n"))
-    rows = shares.select(F.col("label").cast("double").alias("label"), array_to_vector(F.coalesce(x, counted)).alias("features"))
-    model = LogisticRegression(regParam=RIDGE, maxIter=60, standardization=False).fit(rows)
-    return [round(float(w), 6) for w in model.coefficients], round(float(model.intercept), 6)
+
+def train(spark: SparkSession, urls: list[tuple[str, int]] | None = None) -> tuple[list[float], float]:
+    """(weight of each bucket, intercept). urls: a small labelled table of (url, 1 if unwanted), as it fits the driver."""
+    known = tuple(urls or labelled_urls())
+    if known not in _trained:
+        rows = spark.createDataFrame(list(known), "url string, label int").coalesce(1).select("label", grams(host(F.col("url")), path(F.col("url"))).alias("b")).collect()
+        counts = np.stack([np.bincount(r["b"], minlength=BUCKETS) / np.sqrt(max(1, len(r["b"]))) for r in rows])
+        weights, intercept = fit_rows(counts, np.array([r["label"] for r in rows], float))
+        _trained[known] = [round(float(w), 6) for w in weights], round(float(intercept), 6)
+    return _trained[known]
+
+
+def fit_rows(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights and intercept of the least mean logistic loss with RIDGE / 2 times the squared weights. Newton steps over
+    the rows' inner products, as rows are fewer than buckets."""
+    n, k = len(x), x @ x.T
+    share = np.clip(y.mean(), 1e-6, 1 - 1e-6)
+    alpha, intercept = np.zeros(n), float(np.log(share / (1 - share)))
+    for _ in range(50):
+        f = k @ alpha + intercept
+        p = 1 / (1 + np.exp(-np.clip(f, -35, 35)))
+        w = np.maximum(p * (1 - p), 1e-12)
+        system = np.zeros((n + 1, n + 1))
+        system[:n, :n] = k + np.diag(n * RIDGE / w)
+        system[:n, n] = system[n, :n] = 1
+        found = np.linalg.solve(system, np.append(f + (y - p) / w, 0))
+        step = np.abs(found[:n] - alpha).max()
+        alpha, intercept = found[:n], float(found[n])
+        if step < 1e-10:
+            break
+    return x.T @ alpha, intercept
 
 
 def probability(host: Column, path: Column, weights: list[float], intercept: float) -> Column:
@@ -116,5 +149,5 @@ def judge(pages: DataFrame, url: str = "url", keep: list[str] | None = None, rul
     weights, intercept = train(pages.sparkSession)
     parts = pages.select(*(keep or []), host(F.col(url)).alias("host"), path(F.col(url)).alias("path"))
     found = parts.withColumn("_rule", rule(F.col("host"), F.col("path"), rules)).withColumn("probability", probability(F.col("host"), F.col("path"), weights, intercept))
-    learned = F.when((F.col("host") != "") & (F.col("probability") >= 0.5), "block").otherwise("allow")
+    learned = F.when(F.col("probability") >= 0.5, "block").otherwise("allow")
     return found.select(*(keep or []), "host", "path", F.col("_rule.rule").alias("rule"), F.coalesce("_rule.verdict", learned).alias("verdict"), "probability")
