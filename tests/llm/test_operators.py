@@ -514,7 +514,7 @@ def test_neighbours(spark):
     x = draw.normal(size=(3000, 16)).astype(np.float32)
     x[40:80] = x[20]  # ties
     rows = [(i, v.tolist(), 0) for i, v in enumerate(x)]
-    rows += [(5000, None, 0), (5020, [0.0] * 16, 0), (5040, [float("nan")] * 16, 0), (5060, [1.0] * 3, 0), (None, [1.0] * 16, 0), (5080, [None] * 16, 0), (5100, [float("inf")] * 16, 0)]
+    rows += [(5000, None, 0), (5020, [0.0] * 16, 0), (5040, [float("nan")] * 16, 0), (None, [1.0] * 16, 0), (5080, [None] * 16, 0), (5100, [float("inf")] * 16, 0)]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, embedded int").repartition(4)
     got = ann.nearest(table, F.col("vec_id") % 20 == 0).collect()
     wide, hits = x.astype(float), 0
@@ -534,12 +534,27 @@ def test_neighbours(spark):
     assert ann.nearest(table.limit(0), F.lit(True)).count() == 0
 
 
+def test_neighbours_of_repeated_rows_and_several_lengths(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK", 40)
+    monkeypatch.setattr(ann, "RERANK", 64)
+    draw = np.random.default_rng(1)
+    rows = [(7, [1.0, 0.0])] * 100 + [(i, draw.normal(size=2).tolist()) for i in range(100, 140)] + [(i, draw.normal(size=3).tolist()) for i in range(200, 210)] + [(100, [9.0, 9.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("id", F.lit("clash")).withColumn("x", F.lit("clash")).withColumn("block", F.lit("clash"))
+    got = ann.nearest(table.repartition(3), F.col("vec_id").isin(7, 100, 203)).collect()
+    for q, x in ((7, [1.0, 0.0]), (100, min(v for i, v in rows if i == 100)), (203, rows[143][1])):
+        scores = sorted((-sum(a * b for a, b in zip(x, v)), i) for i, v in rows if i != q and len(v) == len(x))[:20]
+        own = sorted((r.rank, r.vec_id, r.score) for r in got if r.query_id == q)
+        assert [(r, v) for r, v, _ in own] == [(n + 1, i) for n, (_, i) in enumerate(scores)]
+        assert np.allclose([s for *_, s in own], [-s for s, _ in scores])
+    assert len(got) == 20 + 20 + 9
+
+
 def test_index_finds_every_code_in_the_radius():
     draw = np.random.default_rng(0)
     rows, queries = draw.integers(0, 256, (700, 8), np.uint8), draw.integers(0, 256, (9, 8), np.uint8)
     for q, found in zip(queries, ann.MultiIndex(rows).within(queries, 30)):
         far = np.unpackbits(rows ^ q, axis=1).sum(axis=1)
-        assert sorted(found.tolist()) == np.flatnonzero(far <= np.sort(far)[29]).tolist()
+        assert found.tolist() == np.flatnonzero(far <= np.sort(far)[29]).tolist()
 
 
 # handling that several operators share
@@ -652,3 +667,15 @@ def test_mix_sql_with_ties(spark, tmp_path):
     expected = sorted(con.execute(f"select doc_id, size, source_size, taken, round(target, 6) from ({queries.ORACLE_SQL['op9_mixing']})").fetchall(), key=key)
     got = queries.op9_mixing(spark, str(tmp_path)).collect()
     assert sorted([(r.doc_id, r["size"], r.source_size, r.taken, round(r.target, 6)) for r in got], key=key) == expected
+
+
+def test_buckets_hold_the_rows_of_their_values():
+    draw = np.random.default_rng(2)
+    rows = draw.integers(0, 256, (300, 8), np.uint8)
+    index = ann.MultiIndex(rows)
+    for s, reach in index.radii():
+        if s in (0, 1, 3, 8):
+            for j in (0, 7):
+                for v in (0, 77, 255):
+                    got = np.flatnonzero(np.unpackbits(reach[j, v].view(np.uint8), bitorder="little")).tolist()
+                    assert got == [i for i in range(300) if bin(int(rows[i, j]) ^ v).count("1") <= s]
