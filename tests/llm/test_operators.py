@@ -340,6 +340,26 @@ def test_fingerprints_of_one_document(spark):
     assert row.near_next == 1.0 and row.edited_sha256 == hashlib.sha256(b"a b c da b c ").hexdigest()
 
 
+def test_edits_with_repeated_and_null_keys(spark):
+    """Rows in the order of key (null first) and text hash, whatever the ranges are."""
+    draw = random.Random(7)
+    text = lambda: " ".join(draw.choices(string.ascii_lowercase, k=draw.randrange(30)))
+    rows = [(None, text()) for _ in range(150)] + [(5, text()) for _ in range(150)] + [(i, text()) for i in range(-40, 80)] + [(6, "same again")] * 20
+    table = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_part", F.lit("clash")).withColumn("_copy", F.lit("clash")).withColumn("_hash", F.lit(1))
+    hashed = [(r.doc_id, r.text, r.h) for r in table.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()]
+    order = sorted(hashed, key=lambda r: (r[0] is not None, r[0] or 0, r[2]))
+    expected = Counter()
+    for i, (d, t, _) in enumerate(order):
+        after = order[(i + 1) % len(order)][1]
+        expected[d, len(t), hashlib.sha256((t[: len(t) - len(t) // 2] + after[: len(t) // 2]).encode()).hexdigest()] += 1
+    for n in (1, 3):
+        got = Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in fingerprints.with_edits(table.repartition(n)).collect())
+        assert got == expected
+    rows, _ = fingerprints.with_next(table.select("doc_id", "text"), "doc_id", {"_text": F.col("text")})
+    sizes = [r["count"] for r in rows.groupBy("_part").count().collect()]
+    assert len(sizes) > 8 and max(sizes) < 0.25 * sum(sizes)
+
+
 # 6 n-gram join
 
 
