@@ -1,9 +1,13 @@
 """Main text of web pages by two passes of block rules.
 
-Pass 1 looks at each block alone: stop-word density, length and link density make it good, near good, short or bad;
-the place in the page counts too: navigation, headers, footers, asides, forms and elements whose class, id or role names
-such a thing are bad, an article or main element counts as a word for the block. Pass 2 looks at the neighbours: a short
-or near-good block takes the label of the nearest decided blocks, both of which must be good outside an article.
+Pass 1 looks at each block alone: link density makes it bad or undecided, stop-word density and length make it good,
+near good or undecided. Pass 2 looks at the neighbours: undecided and near-good blocks take the label of the nearest
+decided blocks.
+
+Elements are evidence beside that. Navigation, footers, asides, forms, and elements whose class, id or role names such a
+part are bad, whatever they say. Blocks of an article or main element need one good neighbour, others need good ones on
+both sides; and if the blocks of such elements hold at least as much text that may be good as the rest of the page
+does, the rest is bad.
 
 Stop words are of seven languages (STOP_WORDS). Where a page's text holds next to none of them, its blocks are judged by
 length, links and place alone. A long block of few stop words and few links is undecided, like a short one.
@@ -28,7 +32,8 @@ LENGTH_LOW, LENGTH_HIGH = 40, 110
 STOP_LOW, STOP_HIGH = 0.08, 0.2
 #: Below this share of stop words in a page's text, its language is none of STOP_WORDS and density says nothing.
 STOP_PAGE = 0.1
-LINK_DENSITY = 0.25
+#: Shares of a block's characters in links from which it is undecided, and bad.
+LINK_DENSITY, MANY_LINKS = 0.25, 0.6
 
 # Frequent function words.
 STOP_WORDS = frozenset(
@@ -55,18 +60,24 @@ _BLOCK = frozenset(
 _STRONG = frozenset(
     "ad ads advert adverts advertisement advertising adsense adslot sponsor sponsored promo promotion promoted banner cookie cookies consent gdpr notice popup modal overlay newsletter subscribe subscription signup "
     "nav navbar navigation menu breadcrumb breadcrumbs pagination pager comment comments disqus respond reply replies share sharing social related recommended recommendation recommendations login search searchbox toolbar "
-    "contentinfo complementary skip hidden".split()
+    "contentinfo complementary skip hidden sr-only visually-hidden screen-reader-text".split()
 )
+#: Those that mark it as the first part of a longer name, too (comment-list, related_posts), and as the last one
+#: (site-nav) unless what goes before says that the element only has or lacks such a thing.
+_STEMS = frozenset("ad ads advert advertisement sponsored promo banner cookie cookies consent popup modal newsletter nav navbar navigation menu breadcrumb breadcrumbs pagination comment comments disqus related recommended sidebar footer".split())
+_HAS = frozenset("has with no without is not show hide js overflow open closed under".split())
 #: Beginnings of names that mark it likewise (commentlist, advertbox).
 _STRONG_START = re.compile(r"comment(?!ary)|advert|sponsor|cookie|newsletter|breadcrumb|disqus|adsby|adslot|adbox|adunit")
 #: Names that mark it unless another name speaks of content.
 _WEAK = frozenset("header footer sidebar side rail widget widgets masthead topbar bottombar meta tags tag byline copyright legal disclaimer alert toc".split())
 _CONTENT = frozenset("content article main post entry story body text page".split())
+#: Names that mark an article or main element.
+_OTHER_ARTICLE = frozenset("ad ads advert advertisement sponsored promo comment comments reply related recommended teaser".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>", re.S)
 _ATTR = re.compile(r"(?:^|\s)(class|id|role|style|hidden|aria-hidden|aria-modal)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I | re.S)
-_NAME = re.compile(r"[a-z]+")
+_PARTS = re.compile(r"[-_:]+")
 _SPACES = re.compile(r"\s+")
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -75,16 +86,24 @@ def _marked(tag: str, attrs: str) -> bool:
     """Whether the attributes speak against the element."""
     if not attrs or tag in ("html", "body"):
         return False
-    names: set[str] = set()
+    names: list[str] = []
     for key, value in _ATTR.findall(attrs):
         key, value = key.lower(), value.strip("\"'").lower()
         if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
             return True
         if key in ("class", "id", "role"):
-            names.update(_NAME.findall(value))
-    if names & _STRONG or any(_STRONG_START.match(n) for n in names):
-        return tag not in _GOOD
-    return bool(names & _WEAK) and not names & _CONTENT and tag not in _GOOD
+            names += value.split()
+    if tag in _GOOD:
+        return any(n in _OTHER_ARTICLE or _PARTS.split(n)[0] in _OTHER_ARTICLE for n in names)
+    return any(map(_against, names)) or (any(n in _WEAK or _PARTS.split(n)[0] in _WEAK for n in names) and not any(p in _CONTENT for n in names for p in _PARTS.split(n)))
+
+
+def _against(name: str) -> bool:
+    """Whether a whole name marks an element as no part of the main text."""
+    if name in _STRONG or _STRONG_START.match(name):
+        return True
+    parts = _PARTS.split(name)
+    return len(parts) > 1 and (parts[0] in _STEMS or (parts[-1] in _STEMS and parts[0] not in _HAS))
 
 
 def _main(tag: str, attrs: str) -> bool:
@@ -191,57 +210,58 @@ def blocks(page: str) -> list[list]:
     return out.found
 
 
-def classify(found: list[list]) -> list[bool]:
-    """Whether each block is main text."""
-    any_article = any(place == 1 for *_, place in found)
-    kinds, counted, stops, total = [], [], 0, 0
+def _first_pass(found: list[list]) -> list[str]:
+    """good, near, bad or undecided, for each block alone."""
+    densities, stops, total = [], 0, 0
     for text, linked, _, place in found:
         words = _WORD.findall(text.lower())
         own = sum(w in STOP_WORDS for w in words)
-        counted.append(own / max(1, len(words)))
-        if len(text) >= LENGTH_LOW and linked <= LINK_DENSITY * len(text) and place >= 0 and not (any_article and place == 0):
+        densities.append(own / max(1, len(words)))
+        if place >= 0 and len(text) >= LENGTH_LOW and linked <= LINK_DENSITY * len(text):
             stops, total = stops + own, total + len(words)
     unknown = stops < STOP_PAGE * total
-    for (text, linked, heading, place), density in zip(found, counted):
-        n = len(text)
-        links = linked / n
-        if place < 0 or (any_article and place == 0):
+    kinds = []
+    for (text, linked, heading, place), density in zip(found, densities):
+        n, links = len(text), linked / len(text)
+        if place < 0 or links > MANY_LINKS:
             kinds.append("bad")
-        elif links > LINK_DENSITY and (links > 0.6 or n < LENGTH_HIGH):
-            kinds.append("bad" if links > 0.6 and not (place == 1 and n > LENGTH_HIGH) else "short")
-        elif n < LENGTH_LOW or heading:
-            kinds.append("short")
-        elif density >= STOP_HIGH or place == 1:
-            kinds.append("good" if n > LENGTH_HIGH or place == 1 else "near")
-        elif unknown and links <= LINK_DENSITY:
+        elif links > LINK_DENSITY or n < LENGTH_LOW or heading:
+            kinds.append("undecided")
+        elif unknown or density >= STOP_HIGH:
             kinds.append("good" if n > LENGTH_HIGH else "near")
-        elif density >= STOP_LOW:
-            kinds.append("near")
         else:  # long text of few function words (code, tables, names) goes with its neighbours
-            kinds.append("short" if n < LENGTH_HIGH or links <= LINK_DENSITY else "bad")
+            kinds.append("near" if density >= STOP_LOW else "undecided")
+    return kinds
+
+
+def classify(found: list[list]) -> list[bool]:
+    """Whether each block is main text."""
+    kinds, places = _first_pass(found), [b[3] for b in found]
+    mass = lambda place, some: sum(len(b[0]) for b, k in zip(found, kinds) if b[3] == place and k in some)
+    if 1 in places and mass(1, ("good", "near", "undecided")) >= mass(0, ("good",)):
+        places = [p if p else -1 for p in places]
+        kinds = [k if p >= 0 else "bad" for k, p in zip(kinds, places)]
     if "good" not in kinds:
         kinds = ["good" if k == "near" else k for k in kinds]
     # Blocks outside the main part by their place say nothing about their neighbours inside it.
-    outside = [b[3] < 0 or (any_article and b[3] == 0) for b in found]
+    decided = [k if k in ("good", "bad") and p >= 0 else None for k, p in zip(kinds, places)]
     before, after, last = [None] * len(kinds), [None] * len(kinds), None
-    for i, k in enumerate(kinds):
-        before[i] = last
-        last = k if k in ("good", "bad") and not outside[i] else last
+    for i, k in enumerate(decided):
+        before[i], last = last, k or last
     last = None
     for i in range(len(kinds) - 1, -1, -1):
-        after[i] = last
-        last = kinds[i] if kinds[i] in ("good", "bad") and not outside[i] else last
+        after[i], last = last, decided[i] or last
     keep = []
-    for i, (kind, block) in enumerate(zip(kinds, found)):
+    for i, (kind, (text, linked, heading, _), place) in enumerate(zip(kinds, found, places)):
         near = [x for x in (before[i], after[i]) if x]
         if kind in ("good", "bad"):
             keep.append(kind == "good")
-        elif block[3] == 1:  # in an article one good neighbour will do, and no neighbour speaks against it
+        elif place == 1:  # no neighbour that is decided: the element alone speaks
             keep.append("good" in near or not near)
-        elif kind == "near" or block[2]:
+        elif kind == "near" or heading:
             keep.append("good" in near and (kind == "near" or after[i] == "good"))
         else:
-            keep.append(all(x == "good" for x in near) and block[1] <= LINK_DENSITY * len(block[0]))
+            keep.append(all(x == "good" for x in near) and linked <= LINK_DENSITY * len(text))
     return keep
 
 

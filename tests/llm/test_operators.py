@@ -69,6 +69,54 @@ def test_html_without_known_stop_words():
     assert html_text.main_text(f"<div><p>{prose}</p><p>{prose}</p><pre>{code}</pre><p>{prose}</p></div>") == "\n".join([prose, prose, code, prose])
 
 
+PROSE = "This is one of the paragraphs of the text that we want to have, and it is long enough to be good for all of us who read."
+SPECS = "Steel frame, twelve gears, disc brakes, carbon fork, leather saddle, rubber tyres, aluminium rims, sealed bearings, bottle cage"
+LINKS = " ".join(f"<a href=x>Link number {i} somewhere</a>" for i in range(9))
+
+
+def test_html_rules_decide(monkeypatch):
+    """Stop words, length and links decide, in articles and without them."""
+    page = f"<div><p>{PROSE}</p><p>{PROSE}</p></div><p>{LINKS}</p><p>{SPECS}</p><p>{LINKS}</p>"
+    assert html_text.main_text(page) == f"{PROSE}\n{PROSE}"
+    article = f"<article><p>{PROSE}</p><p>Short.</p><p>{PROSE}</p><p>{LINKS}</p><p>{SPECS}</p><p>{LINKS}</p></article><p>{PROSE}</p>"
+    assert html_text.main_text(article) == f"{PROSE}\nShort.\n{PROSE}"
+    with monkeypatch.context() as m:
+        m.setattr(html_text, "STOP_WORDS", frozenset())
+        assert SPECS in html_text.main_text(page) and SPECS in html_text.main_text(article)
+    with monkeypatch.context() as m:
+        m.setattr(html_text, "LINK_DENSITY", 1.0)
+        m.setattr(html_text, "MANY_LINKS", 1.0)
+        assert "Link number 3" in html_text.main_text(article)
+    with monkeypatch.context() as m:
+        m.setattr(html_text, "LENGTH_HIGH", 10**6)
+        m.setattr(html_text, "LENGTH_LOW", 10**6)
+        assert html_text.main_text(page) != f"{PROSE}\n{PROSE}"
+    # A small article beside a long text outside is not the main part alone.
+    assert html_text.main_text(f"<article><p>{PROSE[:60]}</p></article><div><p>{PROSE}</p><p>{PROSE}</p></div>").count(PROSE) == 2
+
+
+def test_html_names_of_elements():
+    keep = f"<p>{PROSE}</p><p>{PROSE}</p>"
+    for attrs in ("class='wrap overflow-hidden'", "class=market-share", "class='content has-sidebar'", "id=main-content", "class=entry"):
+        assert html_text.main_text(f"<div {attrs}><article>{keep}</article></div>") == f"{PROSE}\n{PROSE}", attrs
+        assert html_text.main_text(f"<body><div {attrs}>{keep}</div></body>") == f"{PROSE}\n{PROSE}", attrs
+    for tag in ("div class=comment-list", "article class=comment", "article class='related'", "div id=comments", "ul class=site-nav", "div class='ad'", "section class=related-posts", "div class=cookie-banner", "div hidden", "div class=visually-hidden", "span class=share"):
+        name = tag.split()[0]
+        assert html_text.main_text(f"<article>{keep}<{tag}><p>{PROSE} Not this.</p></{name}></article>") == f"{PROSE}\n{PROSE}", tag
+        assert html_text.main_text(f"<main>{keep}</main><{tag}><p>{PROSE} Not this.</p></{name}>") == f"{PROSE}\n{PROSE}", tag
+    for text in ("Городской совет вчера принял новый план строительства трамвайной линии, которая ещё до зимы соединит вокзал с жилыми районами северной части города.", "市议会昨天通过了新的有轨电车线路建设计划，" * 8):
+        assert html_text.main_text(f"<nav>{LINKS}</nav><div class=content><p>{text}</p></div><footer>x</footer>") == text
+
+
+def test_html_odd_tables(spark):
+    pages = [None, "", "<p>" + "a " * 200_000, f"<p>{PROSE}", f"<p>{PROSE}", "<" * 5000, "<div>" * 3000 + PROSE, "&#0;&#x110000;&nbsp;&notanentity;"]
+    table = spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").withColumn("text", F.lit("clash")).withColumn("_html", F.lit("clash")).withColumn("n_chars", F.lit("clash"))
+    got = {r.page_id: r for r in html_text.extract(table.repartition(2), keep=["page_id"]).collect()}
+    assert len(got) == len(pages) and got[0].text == got[1].text == "" and got[3].text == got[4].text == PROSE
+    assert all(r.n_chars == len(r.text) for r in got.values())
+    assert html_text.extract(table.limit(0), keep=["page_id"]).count() == 0
+
+
 def test_html_query_keeps_articles(spark, sf_dir):
     from cuemill.llm import queries
 
