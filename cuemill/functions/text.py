@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 from . import vocab
@@ -20,10 +22,15 @@ def srt_ts_to_seconds(ts: Column) -> Column:
     return F.get(part, F.lit(0)).cast("double") * 3600 + F.get(part, F.lit(1)).cast("double") * 60 + F.get(part, F.lit(2)).cast("double")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once, however often use names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def srt_ts_to_ms(ts: Column) -> Column:
-    part = F.split(ts, "[:,.]")
-    whole = (F.get(part, F.lit(0)).cast("long") * 60 + F.get(part, F.lit(1)).cast("long")) * 60 + F.get(part, F.lit(2)).cast("long")
-    return whole * 1000 + F.rpad(F.get(part, F.lit(3)), 3, "0").cast("long")
+    """Milliseconds of "HH:MM:SS,m", with 1 to 3 digits after the comma or point."""
+    number = lambda at, n: F.substring(ts, at, n).cast("long")
+    return ((number(1, 2) * 60 + number(4, 2)) * 60 + number(7, 2)) * 1000 + F.rpad(F.substring(ts, 10, 3), 3, "0").cast("long")
 
 
 def _clock(whole: Column) -> list[Column]:
@@ -119,10 +126,10 @@ def duration_label(seconds: Column) -> Column:
 def stage_progress(stage: Column, fraction: Column) -> Column:
     """The job's progress at a fraction of a stage, both 0 to 1."""
     inside = F.greatest(F.lit(0.0), F.least(F.lit(1.0), fraction))
-    start, width = F.lit(None).cast("double"), F.lit(None).cast("double")
-    for name, (a, w) in vocab.STAGE_SPANS.items():
-        start, width = F.when(stage == name, a).otherwise(start), F.when(stage == name, w).otherwise(width)
-    return start + width * inside
+    start, end = F.lit(None).cast("double"), F.lit(None).cast("double")
+    for name, (a, b) in vocab.STAGE_SPANS.items():
+        start, end = F.when(stage == name, a).otherwise(start), F.when(stage == name, b).otherwise(end)
+    return start + (end - start) * inside
 
 
 def extension(name: Column) -> Column:

@@ -33,14 +33,16 @@ PROVIDER_CODES = {
 }
 PROVIDER_DEFAULT = {"edge": "auto", "gtx": "zh"}
 
-# Stage -> start and width of its part of a job's progress.
-STAGE_SPANS = {"extracting": (0.0, 0.12), "splitting": (0.12, 0.04), "loading_model": (0.16, 0.10), "transcribing": (0.26, 0.70), "writing": (0.96, 0.04)}
+# Stage -> start and end of its part of a job's progress.
+STAGE_SPANS = {"extracting": (0.00, 0.12), "splitting": (0.12, 0.16), "loading_model": (0.16, 0.26), "transcribing": (0.26, 0.96), "writing": (0.96, 1.00)}
 
 # HTTP states after which a request may be sent again.
 TRANSIENT = (408, 429, 500, 502, 503, 504)
 
 # Extensions of media files.
-MEDIA_EXTENSIONS = ("mp4", "mkv", "avi", "mov", "flv", "wmv", "webm", "m4v", "ts", "mp3", "wav", "flac", "m4a", "aac", "ogg", "opus", "wma")
+MEDIA_EXTENSIONS = ("mp4", "mkv", "mov", "avi", "flv", "wmv", "m4a", "mp3", "wav", "flac", "ogg", "opus", "aac", "wma")
+#: Further ones that inputs may have.
+MORE_MEDIA_EXTENSIONS = ("webm", "m4v", "ts")
 
 # Share of a job's progress that recognition fills before translation.
 ASR_CEILING = {"web": 0.75, "local": 0.85, "none": 1.0}

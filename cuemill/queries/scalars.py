@@ -110,7 +110,7 @@ _STAGES = list(vocab.STAGE_SPANS)
 _FRACTION = "greatest(0, least(1, value / 100.0))"
 
 
-@query("SELECT event_id, CAST(round((CASE event_id % 5 " + " ".join(f"WHEN {i} THEN {a} + {w} * {_FRACTION}" for i, (a, w) in enumerate(vocab.STAGE_SPANS.values())) + " END) * 10000) AS BIGINT) AS progress FROM events")
+@query("SELECT event_id, CAST(round((CASE event_id % 5 " + " ".join(f"WHEN {i} THEN {a} + ({b} - {a}) * {_FRACTION}" for i, (a, b) in enumerate(vocab.STAGE_SPANS.values())) + " END) * 10000) AS BIGINT) AS progress FROM events")
 def b15_stage_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     stage = F.element_at(F.lit(_STAGES), (F.col("event_id") % 5 + 1).cast("int"))
     return table(spark, sf_dir, "events").select("event_id", F.round(X.stage_progress(stage, F.col("value") / 100.0) * 10000).cast("long").alias("progress"))
@@ -176,7 +176,7 @@ def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return srt.to_srt(views.cues(spark, sf_dir)).select(F.concat("media_id", F.lit(".srt")).alias("path"), "content")
 
 
-@query(f"SELECT media_id || '.srt' AS path, cue_no, cue_no AS idx, start_ms, end_ms, {_STRIP.format('text')} AS text FROM v_cues", CUES)
+@query(f"SELECT media_id || '.srt' AS path, cue_no, CAST(cue_no AS BIGINT) AS idx, start_ms, end_ms, {_STRIP.format('text')} AS text FROM v_cues", CUES)
 def a3_read_srt_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return srt.cues_of(srt.read_srt(_files(spark, sf_dir), "strict")).select("path", "cue_no", "idx", "start_ms", "end_ms", "text")
 

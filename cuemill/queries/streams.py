@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import batching as E
-from ..session import table
+from ..session import new_folder, table
 from ..sources import srt, views
 from ..streaming import jobs
 from ._registry import CUES, query
@@ -19,8 +16,7 @@ _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 def _shared(spark: SparkSession) -> str:
     """A new folder in the one that all executors share."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="cuemill-")
-    return f"{found.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return new_folder(spark, "stream")
 
 
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -2,8 +2,43 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
+_local: str | None = None
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share (spark.checkpoint.dir). Where none is set, as in tests, a local one in local
+    mode; on a cluster that would lose files, so it is an error."""
+    global _local
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors share (master: {master})")
+        found = _local = _local or "file://" + tempfile.mkdtemp(prefix="cuemill-")
+    return found.rstrip("/")
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder's name in the shared one; its files go when the driver's JVM ends, as results that are still to be
+    computed may read them until then."""
+    path = f"{shared_dir(spark)}/cuemill-{name}-{uuid.uuid4().hex}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return path
+
+
+def cut(df: DataFrame, name: str = "stage") -> DataFrame:
+    """df written to the shared folder and read again: later uses don't compute it anew, and a lost executor costs
+    nothing but its running tasks. The lineage ends here."""
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     return (

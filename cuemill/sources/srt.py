@@ -1,20 +1,27 @@
 """Subtitle files in and documents out.
 
 A file is one row (path, content). Parsing is array functions on that row, with no shuffle and no window, so the same
-code serves batch and streaming readers. Line breaks are \\r\\n, \\r or \\n; a block ends at a blank line.
+code serves batch and streaming readers. Line breaks are \\r\\n, \\r or \\n; a block ends at a blank line, which is one of
+white space of any script.
 """
 
 from __future__ import annotations
 
+import os
+import shutil
+import uuid
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 from ..functions import text as X
 
-TIME = r"^\s*(\d{2}:\d{2}:\d{2}[,.]\d{1,3})\s*-->\s*(\d{2}:\d{2}:\d{2}[,.]\d{1,3})"
-INDEX = r"^\s*[+-]?\d+\s*$"
+TIME = r"^(\d{2}:\d{2}:\d{2}[,.]\d{1,3})\s*-->\s*(\d{2}:\d{2}:\d{2}[,.]\d{1,3})"
+INDEX = r"^[+-]?\d+$"
+BLANK_LINES = r"(?U)\n(?:[^\S\n]*\n)+"
 LEAST_BYTES = 50
 
 
@@ -38,33 +45,32 @@ def read_files(spark: SparkSession, directory: str | list[str]) -> DataFrame:
 
 
 def _parsed(files: DataFrame) -> DataFrame:
-    """One row per file: path, utf8 (bytes are valid), blocks: array of (n, index_ok, idx, starts, ends, text, anchored)."""
+    """One row per file: path, utf8 (bytes are valid), blocks: array of (strict, idx, start_ts, end_ts, text, anchored).
+    Each value that is used twice is bound once, so the work is one pass over a file's lines."""
     content = F.make_valid_utf8(F.col("content").cast("string"))
     valid = F.is_valid_utf8(F.col("content").cast("string"))
-    body = F.regexp_replace(F.regexp_replace(content, "^﻿", ""), r"\r\n|\r", "\n")
-    chunks = F.filter(F.split(body, r"\n(?:[ \t]*\n)+"), lambda b: X.strip(b) != "")
+    body = F.regexp_replace(F.regexp_replace(content, "^\ufeff", ""), r"\r\n|\r", "\n")
 
-    def block(b: Column, i: Column) -> Column:
-        lines = F.filter(F.split(b, "\n"), lambda x: X.strip(x) != "")
-        times = F.transform(lines, lambda x: x.rlike(TIME))
-        at = F.array_position(times, F.lit(True)).cast("int")
-        anchor = F.when(at > 0, F.element_at(lines, F.greatest(at, F.lit(1))))
-        after = F.when(at > 0, F.slice(lines, at + 1, F.greatest(F.size(lines) - at, F.lit(0))))
-        text = F.array_join(F.transform(after, X.strip), "\n")
-        strict = (at == 2) & F.get(lines, F.lit(0)).rlike(INDEX) & (F.size(lines) > 2) & ~F.exists(after, lambda x: x.rlike(TIME))
-        return F.struct(
-            i.alias("n"), F.coalesce(strict, F.lit(False)).alias("strict"), F.when(strict, X.strip(F.get(lines, F.lit(0))).cast("int")).alias("idx"), (at > 0).alias("anchored"),
-            F.regexp_extract(anchor, TIME, 1).alias("start_ts"), F.regexp_extract(anchor, TIME, 2).alias("end_ts"), F.coalesce(text, F.lit("")).alias("text"),
-        )
+    def block(lines: Column) -> Column:
+        return X.let(F.array_position(F.transform(lines, lambda x: x.rlike(TIME)), F.lit(True)).cast("int"), lambda at: anchored(lines, at))
 
-    return files.select("path", F.coalesce(valid, F.lit(False)).alias("utf8"), F.transform(F.coalesce(chunks, F.array().cast("array<string>")), block).alias("blocks"))
+    def anchored(lines: Column, at: Column) -> Column:
+        """at: which line is the first time line; 0 if none is. What follows it is text, time lines too."""
+        index = F.when((at == 2) & F.get(lines, F.lit(0)).rlike(INDEX) & (F.size(lines) > 2), F.get(lines, F.lit(0)).try_cast("long"))
+        anchor = F.when(at > 0, F.get(lines, at - 1))
+        text = F.when(at > 0, F.array_join(F.slice(lines, at + 1, F.size(lines)), "\n"))
+        return F.struct(index.isNotNull().alias("strict"), index.alias("idx"), (at > 0).alias("anchored"), F.regexp_extract(anchor, TIME, 1).alias("start_ts"), F.regexp_extract(anchor, TIME, 2).alias("end_ts"), F.coalesce(text, F.lit("")).alias("text"))
+
+    lines = F.transform(F.split(body, BLANK_LINES), lambda b: F.filter(F.transform(F.split(b, "\n"), X.strip), lambda x: x != ""))
+    blocks = F.transform(F.filter(lines, lambda x: F.size(x) > 0), block)
+    return files.select("path", F.coalesce(valid, F.lit(False)).alias("utf8"), F.coalesce(blocks, F.filter(F.array(block(F.array(F.lit("")))), lambda x: F.lit(False))).alias("blocks"))
 
 
 def read_srt(files: DataFrame, mode: str = "auto") -> DataFrame:
     """One row per file: path, how (strict, lenient, error), message, skipped, cues (array of cue_no, idx, start_ts,
     end_ts, start_ms, end_ms, text).
 
-    strict: every block is an index, a time line and text, in valid UTF-8. lenient: a block's first time line and what
+    strict: every block is an index (of up to 18 digits), a time line and text, in valid UTF-8. lenient: a block's first time line and what
     follows; blocks without text are skipped and counted, those without a time line ignored, cues numbered anew. auto:
     strict, else lenient; a file without a usable cue is an error row and stops nothing else.
     """
@@ -76,7 +82,7 @@ def read_srt(files: DataFrame, mode: str = "auto") -> DataFrame:
     how["auto"] = F.when(strict_ok, "strict").otherwise(how["lenient"])
 
     def cue(b: Column, i: Column) -> Column:
-        number = F.when(F.col("how") == "strict", b["idx"]).otherwise((i + 1).cast("int"))
+        number = F.when(F.col("how") == "strict", b["idx"]).otherwise(i + 1)
         return F.struct((i + 1).cast("int").alias("cue_no"), number.alias("idx"), b["start_ts"].alias("start_ts"), b["end_ts"].alias("end_ts"), X.srt_ts_to_ms(b["start_ts"]).alias("start_ms"), X.srt_ts_to_ms(b["end_ts"]).alias("end_ms"), b["text"].alias("text"))
 
     marked = rows.withColumn("how", how[mode])
@@ -112,12 +118,13 @@ def to_srt(cues: DataFrame, text: str = "text", keep_index: bool = False) -> Dat
 
 
 def to_plaintext(cues: DataFrame) -> DataFrame:
-    """Texts joined; a space between them if the first five read as English, else nothing."""
-    sample = _joined(cues.where("cue_no <= 5"), F.col("text"), "_sample", " ")
-    lang = cues.groupBy("media_id").agg(F.min_by("lang", "cue_no").alias("_lang"))
-    joined = [_joined(cues, X.strip(F.col("text")), name, sep) for name, sep in (("_spaced", " "), ("_plain", ""))]
-    found = sample.join(lang, "media_id").join(joined[0], "media_id").join(joined[1], "media_id")
-    return found.select("media_id", F.concat(F.when(X.is_english(F.col("_lang"), F.col("_sample")), F.col("_spaced")).otherwise(F.col("_plain")), F.lit("\n")).alias("content"))
+    """Texts joined; a space between them if the first five read as English, else nothing. The language is that of the
+    first cue. One exchange: a media item's cues are gathered once, in order."""
+    held = cues.select("media_id", "cue_no", "lang", "text").groupBy("media_id").agg(F.array_sort(F.collect_list(F.struct("cue_no", "lang", "text"))).alias("_cues"))
+    first = F.array_join(F.transform(F.slice("_cues", 1, 5), lambda c: c["text"]), " ")
+    texts = F.transform("_cues", lambda c: X.strip(c["text"]))
+    spaced = X.is_english(F.get("_cues", F.lit(0))["lang"], first)
+    return held.select("media_id", F.concat(F.when(spaced, F.array_join(texts, " ")).otherwise(F.array_join(texts, "")), F.lit("\n")).alias("content"))
 
 
 def to_markdown(cues: DataFrame) -> DataFrame:
@@ -157,8 +164,9 @@ def write_documents(docs: DataFrame, directory: str, as_files: bool = False) ->
 
 
 class TextFiles(DataSource):
-    """One file per row (file_name, content) in a folder that all executors share. A file appears under its name only
-    when it is complete."""
+    """One file per row (file_name, content), folders in names kept, in a folder that all executors share, mounted as a
+    local path; other file systems are refused. Tasks write beside the target, and the commit moves the files of those
+    that ended well to their names; two rows of one name fail the job before any file is moved."""
 
     @classmethod
     def name(cls) -> str:
@@ -171,21 +179,44 @@ class TextFiles(DataSource):
         return _FileWriter(self.options["path"])
 
 
+@dataclass
+class _Written(WriterCommitMessage):
+    names: list[tuple[str, str]]
+
+
 class _FileWriter(DataSourceWriter):
     def __init__(self, path: str):
-        self.path = path.removeprefix("file://")
+        if "://" in path and not path.startswith("file://"):
+            raise ValueError(f"files can be exported to a mounted folder only, not to {path}")
+        self.path = "/" + path.removeprefix("file://").lstrip("/") if path.startswith("file:") else os.path.abspath(path)
+        self.parts = f"{self.path}/.parts-{uuid.uuid4().hex}"
 
     def write(self, rows: Iterator) -> WriterCommitMessage:
-        import os
-        import uuid
-
-        os.makedirs(self.path, exist_ok=True)
+        os.makedirs(self.parts, exist_ok=True)
+        written = []
         for row in rows:
-            part = f"{self.path}/.{uuid.uuid4().hex}"
+            name = os.path.normpath(row.file_name)
+            if name.startswith(("/", "..")):
+                raise ValueError(f"a file name must stay in the folder: {row.file_name}")
+            part = f"{self.parts}/{uuid.uuid4().hex}"
             with open(part, "w", encoding="utf-8", newline="") as f:
                 f.write(row.content)
-            os.replace(part, f"{self.path}/{os.path.basename(row.file_name)}")
-        return WriterCommitMessage()
+            written.append((part, name))
+        return _Written(written)
+
+    def commit(self, messages: list) -> None:
+        moves = [m for message in messages if message for m in message.names]
+        again = [n for n, c in Counter(n for _, n in moves).items() if c > 1]
+        if again:
+            self.abort(messages)
+            raise ValueError(f"{len(again)} file names come twice, as {again[0]}")
+        for part, name in moves:
+            os.makedirs(os.path.dirname(f"{self.path}/{name}"), exist_ok=True)
+            os.replace(part, f"{self.path}/{name}")
+        shutil.rmtree(self.parts, ignore_errors=True)
+
+    def abort(self, messages: list) -> None:
+        shutil.rmtree(self.parts, ignore_errors=True)
 
 
 PROGRESS = "media_id string, status string, language string, fp struct<size:bigint,mtime:bigint,head_tail_hash:string,duration:double>"

@@ -93,3 +93,48 @@ def test_scalars(spark):
     ).first()
     assert (row.cut, row.rounded, row.s) == ("00:00:20,219", "00:00:20,220", 61.5)
     assert (row.kept, row.bare, row.j, row.cjk, row.zh, row.mixed, row.none, row.d, row.u, row.cht) == ("“b”", "b", "世界", 10, 15, False, "auto-detect", "1h02m", "x", "cht")
+
+
+def test_huge_index_and_blank_lines_of_any_script(spark):
+    got = read(spark, "99999999999\n00:00:01,000 --> 00:00:02,000\nA\n　\n2\n00:00:03,000 --> 00:00:04,000\nB\n", "strict")
+    assert [(c.idx, c.text) for c in got.cues] == [(99999999999, "A"), (2, "B")]
+    got = read(spark, "9" * 30 + "\n00:00:01,000 --> 00:00:02,000\nA\n")
+    assert (got.how, [c.text for c in got.cues]) == ("lenient", ["A"])
+    assert read(spark, "9" * 30 + "\n00:00:01,000 --> 00:00:02,000\nA\n", "strict").how == "error"
+
+
+def test_time_lines_in_texts(spark):
+    text = " \n1\n00:00:01,000 --> 00:00:02,000\nA\n00:00:05,000 --> 00:00:06,000\nB\n\n\t\n2\n00:00:03,000 --> 00:00:04,000 align:start\nC"
+    for mode in ("strict", "lenient"):
+        got = read(spark, text, mode)
+        assert [(c.start_ms, c.text) for c in got.cues] == [(1000, "A\n00:00:05,000 --> 00:00:06,000\nB"), (3000, "C")]
+
+
+def test_a_bad_file_does_not_stop_others(spark):
+    rows = [("bad", bytearray(b"99999999999999999999\n00:00:01,000 --> 00:00:02,000\nA\n")), ("none", None), ("good", bytearray(SIMPLE.encode()))]
+    got = {r.path: r.how for r in srt.read_srt(spark.createDataFrame(rows, "path string, content binary"), "strict").collect()}
+    assert got == {"bad": "error", "none": "error", "good": "strict"}
+
+
+def test_a_long_file_is_one_pass(spark):
+    import time
+
+    body = "".join(f"{i}\n00:00:01,000 --> 00:00:02,000\ntext {i}\n\n" for i in range(1, 20_001))
+    began = time.time()
+    got = read(spark, body, "strict")
+    assert len(got.cues) == 20_000 and got.cues[-1].text == "text 20000" and time.time() - began < 20
+
+
+def test_export_keeps_folders_and_refuses_what_it_cannot_write(spark, tmp_path):
+    import pytest
+
+    rows = spark.createDataFrame([("x/m.srt", "1"), ("y/m.srt", "2")], "file_name string, content string").repartition(2)
+    srt.write_documents(rows, str(tmp_path / "out"), as_files=True)
+    assert ((tmp_path / "out/x/m.srt").read_text(), (tmp_path / "out/y/m.srt").read_text()) == ("1", "2")
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["x", "y"]
+    for bad in (rows.union(rows), spark.createDataFrame([("../a", "1")], "file_name string, content string")):
+        with pytest.raises(Exception):
+            srt.write_documents(bad, str(tmp_path / "bad"), as_files=True)
+        assert not (tmp_path / "bad").exists() or not [p for p in (tmp_path / "bad").rglob("*") if p.is_file()]
+    with pytest.raises(Exception):
+        srt.write_documents(rows, "hdfs://somewhere/out", as_files=True)
