@@ -81,20 +81,23 @@ def read_srt(files: DataFrame, mode: str = "auto") -> DataFrame:
     how = {"strict": F.when(strict_ok, "strict").otherwise("error"), "lenient": F.when(F.size(usable) > 0, "lenient").otherwise("error")}
     how["auto"] = F.when(strict_ok, "strict").otherwise(how["lenient"])
 
-    def cue(b: Column, i: Column) -> Column:
-        number = F.when(F.col("how") == "strict", b["idx"]).otherwise(i + 1)
-        return F.struct((i + 1).cast("int").alias("cue_no"), number.alias("idx"), b["start_ts"].alias("start_ts"), b["end_ts"].alias("end_ts"), X.srt_ts_to_ms(b["start_ts"]).alias("start_ms"), X.srt_ts_to_ms(b["end_ts"]).alias("end_ms"), b["text"].alias("text"))
+    def cues(blocks: Column, own_index: bool) -> Column:
+        def cue(b: Column, i: Column) -> Column:
+            times = X.srt_ts_to_ms(b["start_ts"]).alias("start_ms"), X.srt_ts_to_ms(b["end_ts"]).alias("end_ms")
+            index = b["idx"] if own_index else (i + 1).cast("long")
+            return F.struct((i + 1).cast("int").alias("cue_no"), index.alias("idx"), b["start_ts"].alias("start_ts"), b["end_ts"].alias("end_ts"), *times, b["text"].alias("text"))
+
+        return F.transform(blocks, cue)
 
     marked = rows.withColumn("how", how[mode])
-    none = F.filter(F.transform(usable, cue), lambda c: F.lit(False))
     message = F.when(F.col("how") == "error", F.when(~F.col("utf8") & F.lit(mode == "strict"), "not valid UTF-8").when(F.size("blocks") == 0, "no cue").when(F.lit(mode == "strict"), "bad block").otherwise("no usable cue"))
-    return marked.select(
-        "path", "how", message.alias("message"), F.when(F.col("how") == "lenient", skipped).otherwise(0).alias("skipped"), F.when(F.col("how") == "error", none).otherwise(F.transform(F.when(F.col("how") == "strict", F.col("blocks")).otherwise(usable), cue)).alias("cues")
-    )
+    found = F.when(F.col("how") == "strict", cues(F.col("blocks"), True)).when(F.col("how") == "lenient", cues(usable, False)).otherwise(F.slice(cues(F.col("blocks"), False), 1, 0))
+    return marked.select("path", "how", message.alias("message"), F.when(F.col("how") == "lenient", skipped).otherwise(0).alias("skipped"), found.alias("cues"))
 
 
 def cues_of(read: DataFrame) -> DataFrame:
-    return read.select("path", "how", F.explode("cues").alias("_c")).select("path", "how", "_c.*")
+    """One row per cue. The outer explode keeps the optimizer from parsing once more for a filter of files with cues."""
+    return read.select("path", "how", F.explode_outer("cues").alias("_c")).where("_c is not null").select("path", "how", "_c.*")
 
 
 def errors_of(read: DataFrame) -> DataFrame:
