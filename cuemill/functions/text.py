@@ -62,6 +62,14 @@ def flatten_request(text: Column) -> Column:
     return F.array_join(F.split(text, r"\r\n|\r|\n"), " ")
 
 
+def has_latin(text: Column) -> Column:
+    return text.rlike("[A-Za-z]")
+
+
+def has_cjk(text: Column) -> Column:
+    return text.rlike(_CJK)
+
+
 def is_english(lang: Column, text: Column) -> Column:
     """Whether English spacing rules hold: fixed by language, or by script for "auto"."""
     return F.when(lang == "en", True).when(lang != "auto", False).otherwise(text.rlike("[A-Za-z]") & ~text.rlike(_CJK))

@@ -1,4 +1,8 @@
-"""Batches of cues for model calls, their replies, and the calls themselves."""
+"""Batches of cues for model calls, their replies, and the calls themselves.
+
+Model calls cost money, so translate() and transcribe() make them when they are called, once, and write what came back to
+the folder that executors share; what they return reads from there.
+"""
 
 from __future__ import annotations
 
@@ -7,23 +11,26 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F, types as T
 
 from ..functions import text as X
+from ..session import cut
 
 MAX_PACKED = 20
+# Fixed value: a line of a numbered reply.
 NUMBERED = r"^\s*(\d+)\s*[.、．)）]\s*(.*)$"
 TEMPLATE = "Translate the following numbered lines. Keep the numbers, one line each.\n\n"
 
 
 def plan_chunks(media: DataFrame, seconds: Column | None = None, workers: int = 4) -> DataFrame:
-    """media: media_id, duration_ms. chunk_no, offset_ms, length_ms; seconds: fixed length, else even over workers with
+    """media: media_id, duration_ms, others. chunk_no, offset_ms, length_ms and the others; seconds: fixed length, else even over workers with
     30 s at least. No split if the media is no longer than a chunk."""
     size = (seconds if seconds is not None else F.greatest(F.lit(30), F.floor(F.col("duration_ms") / 1000 / workers))).cast("long") * 1000
     planned = media.withColumn("_size", F.when(F.col("duration_ms") <= size, F.greatest(F.col("duration_ms"), F.lit(1))).otherwise(size))
     last = F.greatest(F.ceil(F.col("duration_ms") / F.col("_size")).cast("int") - 1, F.lit(0))
     chunks = planned.withColumn("chunk_no", F.explode(F.sequence(F.lit(0), last))).withColumn("offset_ms", F.col("chunk_no") * F.col("_size"))
-    return chunks.withColumn("length_ms", F.least(F.col("_size"), F.col("duration_ms") - F.col("offset_ms"))).select("media_id", "chunk_no", "offset_ms", "length_ms")
+    kept = [c for c in media.columns if c not in ("media_id", "duration_ms", "chunk_no", "offset_ms", "length_ms")]
+    return chunks.withColumn("length_ms", F.least(F.col("_size"), F.col("duration_ms") - F.col("offset_ms"))).select("media_id", "chunk_no", "offset_ms", "length_ms", *kept)
 
 
 def batch_fixed(cues: DataFrame, n: int = 50) -> DataFrame:
@@ -42,17 +49,25 @@ def cost(text: Column) -> Column:
 
 
 def batch_by_budget(cues: DataFrame, budget: int = 400, cost_of: Callable[[Column], Column] = cost) -> DataFrame:
-    """Greedy groups: a new one opens when the cost would pass the budget and the group isn't empty. A fold over each
+    """Greedy groups: a new one opens when the cost would pass the budget and the group isn't empty. One pass over each
     media item's costs."""
-    rows = cues.groupBy("media_id").agg(F.array_sort(F.collect_list(F.struct("cue_no", cost_of(F.col("text")).alias("cost")))).alias("_rows"))
-    start = F.struct(F.lit(0).alias("batch"), F.lit(0).alias("used"), F.array().cast("array<struct<cue_no:int,batch_no:int>>").alias("out"))
 
-    def add(acc: Column, row: Column) -> Column:
-        opens = (acc["used"] > 0) & (acc["used"] + row["cost"] > budget)
-        batch = acc["batch"] + opens.cast("int")
-        return F.struct(batch.alias("batch"), F.when(opens, row["cost"]).otherwise(acc["used"] + row["cost"]).alias("used"), F.concat(acc["out"], F.array(F.struct(row["cue_no"].alias("cue_no"), batch.alias("batch_no")))).alias("out"))
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def groups(costs: pd.Series) -> pd.Series:
+        def numbers(own) -> list[int]:
+            batch, used, out = 0, 0, []
+            for c in own.tolist():
+                if used and used + c > budget:
+                    batch, used = batch + 1, 0
+                used += c
+                out.append(batch)
+            return out
+
+        return costs.map(numbers)
 
-    return rows.select("media_id", F.explode(F.aggregate("_rows", start, add)["out"]).alias("_o")).select("media_id", "_o.cue_no", "_o.batch_no")
+    rows = cues.groupBy("media_id").agg(F.array_sort(F.collect_list(F.struct("cue_no", cost_of(F.col("text")).alias("cost")))).alias("_rows"))
+    numbered = rows.select("media_id", F.arrays_zip(F.col("_rows.cue_no").alias("cue_no"), groups(F.col("_rows.cost")).alias("batch_no")).alias("_rows"))
+    return numbered.select("media_id", F.explode("_rows").alias("_o")).select("media_id", "_o.cue_no", "_o.batch_no")
 
 
 def _lines(batches: DataFrame, line: Column, keys: list[str]) -> DataFrame:
@@ -151,49 +166,93 @@ class TransientError(Exception):
     """A failure that the provider has already tried to get over."""
 
 
-def run_batches(batches: DataFrame, make: Callable[[], Provider], source: str, target: str, retries: int = 2, delay_s: float = 0.0) -> DataFrame:
-    """One row per attempt. batches: media_id, batch_no, texts (array). A failed batch is tried again up to retries
-    times, after delay_s times the attempt, unless the failure is transient. Providers live as long as their task."""
+def _asked(backend, texts: list[str], source: str, target: str, halve: bool, log: Callable[[str], None]) -> list[str]:
+    """A reply of one line for each text. With halve, a reply of another length, or a transient failure (once), makes two
+    requests of half the texts each, down to single ones."""
+    once = halve
+    try:
+        if hasattr(backend, "translate_batch"):
+            out = [str(x) for x in backend.translate_batch(texts, source, target)]
+        else:
+            out = [str(backend.translate(t, source, target)) for t in texts]
+        if len(out) == len(texts):
+            return out
+        reason = f"{len(out)} lines for {len(texts)}"
+        if not halve or len(texts) == 1:
+            raise ValueError(reason)
+    except TransientError as e:
+        if not halve or len(texts) == 1:
+            raise
+        reason, once = str(e), False
+    log(reason)
+    middle = len(texts) // 2
+    return [*_asked(backend, texts[:middle], source, target, once, log), *_asked(backend, texts[middle:], source, target, once, log)]
+
+
+def run_batches(batches: DataFrame, make: Callable[[], Provider], source: str, target: str, retries: int = 2, delay_s: float = 0.0, halve: bool = False) -> DataFrame:
+    """One row per attempt, and one with status "split" for each request that was halved. batches: media_id, batch_no,
+    texts (array). A failed batch is tried again up to retries times, after delay_s times the attempt, unless the failure
+    is transient. A task sends no more batches of a media item after one was lost. Providers live as long as their task."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        backend = make()
-        single = getattr(backend, "translate", None)
+        backend, lost = make(), set()
         for frame in frames:
             rows = []
             for media_id, batch_no, texts in zip(frame["media_id"], frame["batch_no"], frame["texts"]):
-                texts = list(texts)
+                if media_id in lost:
+                    continue
                 for attempt in range(retries + 1):
+                    log = lambda reason: rows.append((media_id, batch_no, attempt, "split", reason, None))  # noqa: B023, E731
                     try:
-                        if hasattr(backend, "translate_batch"):
-                            out = [str(x) for x in backend.translate_batch(texts, source, target)]
-                        else:
-                            out = [str(single(t, source, target)) for t in texts]
-                        if len(out) != len(texts):
-                            raise ValueError(f"{len(out)} lines for {len(texts)}")
-                        rows.append((media_id, batch_no, attempt, "ok", None, out))
+                        rows.append((media_id, batch_no, attempt, "ok", None, _asked(backend, list(texts), source, target, halve, log)))
                         break
                     except TransientError as e:
                         rows.append((media_id, batch_no, attempt, "transient", str(e), None))
+                        lost.add(media_id)
                         break
                     except Exception as e:
                         rows.append((media_id, batch_no, attempt, "failed", str(e), None))
-                        if attempt < retries:
+                        if attempt == retries:
+                            lost.add(media_id)
+                        else:
                             time.sleep(delay_s * (attempt + 1))
             yield pd.DataFrame(rows, columns=["media_id", "batch_no", "attempt", "status", "error", "texts"])
 
     return batches.select("media_id", F.col("batch_no").cast("int").alias("batch_no"), "texts").mapInPandas(run, ATTEMPTS)
 
 
-def translate(cues: DataFrame, make: Callable[[], Provider], source: str, target: str, batch_size: int | None = None, retries: int = 0) -> tuple[DataFrame, DataFrame]:
-    """(cues with translation, attempts). A media item with a lost batch gives no cues at all; others go on."""
+def translate(
+    cues: DataFrame, make: Callable[[], Provider], source: str, target: str, batch_size: int | None = None, retries: int = 0, delay_s: float = 0.0, halve: bool = False, workers: int = 4, progress: Callable[[float], None] | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """(cues with translation, attempts). Each media item's first batch goes alone; only where it comes back do the others
+    follow, up to workers at a time, and none after one of the same task was lost. A media item with a lost batch gives no
+    cues at all; others go on. Calls are made here, once; progress hears the share of batches that are done, as the tasks
+    observe it. cues: media_id, cue_no, text; of each media item all its cues."""
     batches = batch_fixed(cues, batch_size or make().batch_size)
     texts = F.transform(F.array_sort(F.collect_list(F.struct("pos", X.flatten_request(F.col("text")).alias("t")))), lambda s: s["t"])
-    grouped = batches.groupBy("media_id", "batch_no").agg(texts.alias("texts"))
-    attempts = run_batches(grouped, make, source, target, retries)
-    best = attempts.groupBy("media_id", "batch_no").agg(F.max(F.col("status") == "ok").alias("_ok"), F.max(F.when(F.col("status") == "ok", F.col("texts"))).alias("texts"))
-    lost = best.groupBy("media_id").agg(F.min("_ok").alias("_all"))
-    lines = best.join(lost.where("_all"), "media_id").select("media_id", "batch_no", F.posexplode("texts").alias("pos", "translation"))
-    return batches.drop("translation").join(lines, ["media_id", "batch_no", "pos"]).withColumn("translation", F.coalesce(F.when(F.col("translation") != "", F.col("translation")), F.col("text"))), attempts
+    grouped = cut(batches.groupBy("media_id", "batch_no").agg(texts.alias("texts")), "requests")
+    total, done = max(1, grouped.count()) if progress else 1, 0
+
+    def sent(some: DataFrame) -> DataFrame:
+        nonlocal done
+        seen = Observation()
+        found = cut(run_batches(some, make, source, target, retries, delay_s, halve).observe(seen, F.count_if(F.col("status") == "ok").alias("ok")), "replies")
+        if progress:
+            done += seen.get["ok"]
+            progress(done / total)
+        return found
+
+    first, rest = canary(grouped)
+    tried = sent(first.repartition("media_id"))
+    fine = tried.where("status = 'ok'").select("media_id")
+    lane = (F.col("batch_no") % workers).alias("_lane")
+    others = rest.join(fine, "media_id", "left_semi").withColumn("_lane", lane).repartition("media_id", "_lane").sortWithinPartitions("media_id", "batch_no")
+    attempts = tried.unionByName(sent(others))
+    replies = attempts.where("status = 'ok'").select("media_id", "batch_no", "texts")
+    whole = grouped.groupBy("media_id").count().join(replies.groupBy("media_id").agg(F.count("*").alias("_ok")), "media_id").where("count = _ok").select("media_id")
+    lines = replies.join(whole, "media_id", "left_semi").select("media_id", "batch_no", F.posexplode("texts").alias("pos", "translation"))
+    translated = batches.drop("translation").join(lines, ["media_id", "batch_no", "pos"])
+    return translated.withColumn("translation", F.coalesce(F.when(F.col("translation") != "", F.col("translation")), F.col("text"))), attempts
 
 
 def canary(batches: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -204,23 +263,25 @@ def canary(batches: DataFrame) -> tuple[DataFrame, DataFrame]:
 RESULTS = "media_id string, chunk_no int, language string, segments array<struct<start_ms:bigint,end_ms:bigint,text:string,avg_logprob:double>>, error string"
 
 
-def transcribe(chunks: DataFrame, make: Callable[[], Callable], options: dict | None = None) -> DataFrame:
+def transcribe(chunks: DataFrame, make: Callable[[], Callable], options: dict | None = None, reference: str = "media_id") -> DataFrame:
     """One row per chunk: segments and language, or the reason. make() gives a function (reference, offset_ms,
-    length_ms, options) -> (segments, language), once a task."""
+    length_ms, options) -> (segments, language), once a task; reference is what the column of that name holds. Calls are
+    made here, once."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = make()
         for frame in frames:
             rows = []
-            for media_id, chunk_no, offset, length in zip(frame["media_id"], frame["chunk_no"], frame["offset_ms"], frame["length_ms"]):
+            for media_id, chunk_no, audio, offset, length in zip(frame["media_id"], frame["chunk_no"], frame["_reference"], frame["offset_ms"], frame["length_ms"]):
                 try:
-                    segments, language = model(media_id, int(offset), int(length), options or {})
+                    segments, language = model(audio, int(offset), int(length), options or {})
                     rows.append((media_id, chunk_no, language, [dict(zip(("start_ms", "end_ms", "text", "avg_logprob"), s)) for s in segments], None))
                 except Exception as e:
                     rows.append((media_id, chunk_no, None, None, str(e)))
             yield pd.DataFrame(rows, columns=["media_id", "chunk_no", "language", "segments", "error"])
 
-    return chunks.select("media_id", F.col("chunk_no").cast("int").alias("chunk_no"), "offset_ms", "length_ms").mapInPandas(run, RESULTS)
+    rows = chunks.select("media_id", F.col("chunk_no").cast("int").alias("chunk_no"), F.col(reference).alias("_reference"), "offset_ms", "length_ms")
+    return cut(rows.mapInPandas(run, RESULTS), "transcripts")
 
 
 def missing_results(planned: DataFrame, results: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ milliseconds; shares of a span are taken in microseconds and rounded at the end.
 
 from __future__ import annotations
 
+import bisect
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -82,47 +84,69 @@ def split_semantic(lang: Column, text: Column, most: int = vocab.MAX_CHARS, hard
 
 
 class PhraseBreaks:
-    """English line breaks that part no tight phrase and leave no function word behind."""
+    """English line breaks that part no protected phrase and leave no function word behind.
 
-    def __init__(self, most: int = vocab.MAX_CHARS):
-        import re
+    One pass over a text's words grades every boundary between two of them; lines are then cut one after another, each
+    with a choice among the gaps of a bounded window."""
+
+    #: Grades of a gap: a function word stands before it or a phrase spans it; one begins the next line; neither.
+    NONE, LOOSE, STRICT = range(3)
 
-        self.most, self.space, self.word = most, re.compile(r"\s+"), re.compile(r"[A-Za-z']+")
+    def __init__(self, most: int = vocab.MAX_CHARS):
+        self.most, self.reach = most, most + vocab.PHRASE_OVERFLOW
+        self.space, self.word = re.compile(r"\s+"), re.compile(r"[A-Za-z']+")
         self.function = frozenset(vocab.FUNCTION_WORDS)
-        self.splits = {(tuple(p[:i]), tuple(p[i:])) for p in map(str.split, vocab.PROTECTED_PHRASES) for i in range(1, len(p))}
-
-    def holds(self, left: str, right: str, function_may_begin: bool) -> bool:
-        a, b = self.word.findall(left[-200:].lower()), self.word.findall(right[:200].lower())
-        if not a or not b:
-            return True
-        if a[-1] in self.function or (b[0] in self.function and not function_may_begin):
-            return False
-        return not any(tuple(a[-len(x) :]) == x and tuple(b[: len(y)]) == y for x, y in self.splits)
-
-    def at(self, text: str) -> int:
-        """Where to break: a strict place within PHRASE_OVERFLOW characters beyond the limit, else the last strict
-        place if it is late enough, the last looser one, any strict one, the first looser one beyond, the end."""
-        gaps = [m.start() for m in self.space.finditer(text)]
-        near, far = [g for g in gaps if 0 < g <= self.most], [g for g in gaps if g > self.most]
-        fits = lambda g, loose: self.holds(text[:g], text[g:], loose)
-        strict = next((g for g in reversed(near) if fits(g, False)), None)
-        over = next((g for g in far if g <= self.most + vocab.PHRASE_OVERFLOW and fits(g, False)), None)
-        if over is not None:
-            return over
-        if strict is not None and strict >= 0.75 * self.most:
-            return strict
-        loose = next((g for g in reversed(near) if fits(g, True)), None)
-        if loose is not None or strict is not None:
-            return loose if loose is not None else strict
-        return next((g for g in far if fits(g, True)), len(text))
+        self.phrases: dict[str, list[list[str]]] = {}
+        for words in map(str.split, vocab.PROTECTED_PHRASES):
+            self.phrases.setdefault(words[0], []).append(words)
+
+    def _grades(self, words: list[str]) -> tuple[list[int], list[int]]:
+        """For the boundary before each word: its grade but for phrases, and where the last phrase across it begins."""
+        plain = [self.STRICT] + [self.NONE if a in self.function else self.LOOSE if b in self.function else self.STRICT for a, b in zip(words, words[1:])] + [self.STRICT]
+        across = [-1] * len(plain)
+        for i, w in enumerate(words):
+            for phrase in self.phrases.get(w, ()):
+                if words[i : i + len(phrase)] == phrase:
+                    across[i + 1 : i + len(phrase)] = [i] * (len(phrase) - 1)
+        return plain, across
+
+    def _ranked(self, far: int, grade: int) -> tuple[int, int]:
+        """How good a gap is as the end of a line, far characters from its start; the highest wins."""
+        if far > self.most:
+            return (4, -far) if grade == self.STRICT else (0, 0)
+        if grade == self.STRICT and far >= 0.75 * self.most:
+            return 3, far
+        return (2, far) if grade != self.NONE else (0, 0)
 
     def split(self, text: str) -> list[str]:
-        rest, out = text.strip(), []
-        while len(rest) > self.most:
-            cut = self.at(rest)
-            out.append(rest[:cut].rstrip())
-            rest = rest[cut:].lstrip()
-        return [*out, rest] if rest else out
+        text = text.strip()
+        found = list(self.word.finditer(text))
+        plain, across = self._grades([m[0].lower() for m in found])
+        starts, gaps = [m.start() for m in found], [m.span() for m in self.space.finditer(text)]
+        before = [bisect.bisect_left(starts, a) for a, _ in gaps]  # words before each gap
+        out, at, g = [], 0, 0
+        while len(text) - at > self.most:
+            first = bisect.bisect_left(starts, at)
+
+            def grade(i: int) -> int:
+                w = before[i]
+                if w in (first, len(starts)):  # no words on one side
+                    return self.STRICT
+                return self.NONE if across[w] >= first else plain[w]
+
+            best, chosen, i = (0, 0), None, g
+            while i < len(gaps) and gaps[i][0] - at <= self.reach:
+                rank = self._ranked(gaps[i][0] - at, grade(i))
+                if rank > best:
+                    best, chosen = rank, i
+                i += 1
+            if chosen is None:
+                chosen = next((j for j in range(g, len(gaps)) if gaps[j][0] - at > self.most and grade(j) != self.NONE), None)
+            if chosen is None:
+                break
+            out.append(text[at : gaps[chosen][0]])
+            at, g = gaps[chosen][1], chosen + 1
+        return [*out, text[at:]] if text else out
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -137,36 +161,44 @@ def split_english_phrase_safe(text: Column) -> Column:
     return _phrase_safe(text)
 
 
+def _parent(keys: list[str]) -> Window:
+    return Window.partitionBy(*keys)
+
+
+def _share(keys: tuple = ("media_id", "seg_no")) -> Column:
+    """Microseconds of a piece by its share of the pieces' length."""
+    return F.floor(F.length("piece").cast("long") * (F.col("end_ms") - F.col("start_ms")) * 1000 / F.sum(F.length("piece")).over(_parent(keys)))
+
+
+def _speed(keys: tuple = ("media_id", "seg_no")) -> Column:
+    """Microseconds by its share of the parent's text, but what it takes to read if the parent can hold that for all."""
+    span = (F.col("end_ms") - F.col("start_ms")) * 1000
+    least = F.floor(F.length("piece").cast("long") * 1000000 / X.reading_speed(F.col("lang"), F.col("piece"))).cast("long")
+    share = F.floor(F.length("piece").cast("long") * span / F.col("total_chars")).cast("long")
+    return F.when(F.sum(least).over(_parent(keys)) <= span, F.greatest(share, least)).otherwise(share)
+
+
 def time_by_share(pieces: DataFrame, keys: list[str]) -> DataFrame:
     """pieces: keys of the parent, piece_no, piece, start_ms, end_ms of the parent. Each piece gets its share of the
     parent's time by length, 7 s at most, one after another, within the parent."""
-    whole = Window.partitionBy(*keys)
-    order = whole.orderBy("piece_no")
-    span = F.col("end_ms") - F.col("start_ms")
-    length, total = F.length("piece").cast("long"), F.sum(F.length("piece")).over(whole)
-    own = F.least(F.floor(length * span * 1000 / total), F.lit(vocab.MAX_CUE_MS * 1000))
-    return _chained(pieces.where("piece <> ''").withColumn("_own", own.cast("long")), order)
+    return _timed(pieces.where("piece <> ''"), keys, _share(tuple(keys)))
 
 
 def time_by_reading_speed(pieces: DataFrame, keys: list[str]) -> DataFrame:
     """As time_by_share, but a piece gets the time it takes to read if the parent can hold that for all. pieces also has
     total_chars (of the parent's text) and lang."""
-    whole = Window.partitionBy(*keys)
-    order = whole.orderBy("piece_no")
-    span = (F.col("end_ms") - F.col("start_ms")) * 1000
-    least = F.floor(F.length("piece").cast("long") * 1000000 / X.reading_speed(F.col("lang"), F.col("piece"))).cast("long")
-    share = F.floor(F.length("piece").cast("long") * span / F.col("total_chars")).cast("long")
-    timed = pieces.withColumn("_least", least).withColumn("_room", F.sum("_least").over(whole) <= span)
-    own = F.least(F.when(F.col("_room"), F.greatest(share, F.col("_least"))).otherwise(share), F.lit(vocab.MAX_CUE_MS * 1000))
-    return _chained(timed.withColumn("_own", own.cast("long")).drop("_least", "_room"), order)
+    return _timed(pieces, keys, _speed(tuple(keys)))
 
 
-def _chained(timed: DataFrame, order: Window) -> DataFrame:
-    upto = F.sum("_own").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    end = F.least(F.col("start_ms") * 1000 + upto, F.col("end_ms") * 1000)
-    begin = F.least(F.col("start_ms") * 1000 + upto - F.col("_own"), F.col("end_ms") * 1000)
+def _timed(pieces: DataFrame, keys: list[str], own: Column) -> DataFrame:
+    """pieces with own times, one after another from the parent's start; where own is null, the parent's times."""
+    capped = pieces.withColumn("_own", F.least(own, F.lit(vocab.MAX_CUE_MS * 1000)).cast("long"))
+    upto = F.sum("_own").over(_parent(keys).orderBy("piece_no").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    begin, end = F.col("start_ms") * 1000, F.col("end_ms") * 1000
     ms = lambda us: F.floor((us + 500) / 1000).cast("long")
-    return timed.select("*", ms(begin).alias("_b"), ms(end).alias("_e")).drop("_own", "start_ms", "end_ms").withColumnsRenamed({"_b": "start_ms", "_e": "end_ms"})
+    from_us, to_us = F.least(begin + F.col("_upto") - F.col("_own"), end), F.least(begin + F.col("_upto"), end)
+    timed = capped.withColumn("_upto", upto).select("*", F.when(F.col("_own").isNull(), F.col("start_ms")).otherwise(ms(from_us)).alias("_b"), F.when(F.col("_own").isNull(), F.col("end_ms")).otherwise(ms(to_us)).alias("_e"))
+    return timed.drop("_own", "_upto", "start_ms", "end_ms").withColumnsRenamed({"_b": "start_ms", "_e": "end_ms"})
 
 
 def merge_islands(cues: DataFrame) -> DataFrame:
@@ -179,20 +211,38 @@ def merge_islands(cues: DataFrame) -> DataFrame:
     return cues.withColumn("_new", F.coalesce(new, F.lit(True)).cast("int")).withColumn("island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("_new")
 
 
-def merge_short(cues: DataFrame) -> DataFrame:
-    """Neighbours become one cue if either is short, the joined text fits a line, and they share an island. A fold over
-    each island's cues, which pauses keep small."""
-    held = merge_islands(cues).groupBy("media_id", "island").agg(F.array_sort(F.collect_list(F.struct("seg_no", "start_ms", "end_ms", "text", "lang"))).alias("_cues"))
+_CUE = T.StructType([T.StructField("seg_no", T.IntegerType()), T.StructField("start_ms", T.LongType()), T.StructField("end_ms", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType())])
+
 
-    def add(done: Column, cue: Column) -> Column:
-        last = F.element_at(done, -1)
-        joined = X.join_text(last["lang"], last["text"], cue["text"])
-        short = (cue["end_ms"] - cue["start_ms"] < vocab.MIN_CUE_MS) | (last["end_ms"] - last["start_ms"] < vocab.MIN_CUE_MS)
-        both = F.struct(last["seg_no"].alias("seg_no"), last["start_ms"].alias("start_ms"), cue["end_ms"].alias("end_ms"), joined.alias("text"), last["lang"].alias("lang"))
-        return F.when(short & (F.length(joined) <= vocab.MAX_CHARS), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(both))).otherwise(F.concat(done, F.array(cue)))
+@F.pandas_udf(T.ArrayType(_CUE))
+def _folded(seg_no: pd.Series, start: pd.Series, end: pd.Series, text: pd.Series, lang: pd.Series, latin: pd.Series, cjk: pd.Series) -> pd.Series:
+    """The cues of islands, short neighbours joined. latin and cjk: whether each text has such letters."""
+    seam_left, seam_right, ends = re.compile(r"\s+\Z"), re.compile(r"\A\s+"), re.compile(r"\A\s+|\s+\Z")
 
-    folded = held.withColumn("_cues", F.aggregate(F.slice("_cues", F.lit(2), F.greatest(F.size("_cues") - 1, F.lit(0))), F.slice("_cues", 1, 1), add))
-    return folded.select("media_id", F.explode("_cues").alias("_c")).select("media_id", "_c.*")
+    def fold(rows: list[tuple]) -> list[dict]:
+        done: list[list] = []
+        for number, a, b, t, code, has_latin, has_cjk in rows:
+            if done:
+                last = done[-1]
+                english = last[4] == "en" or last[4] == "auto" and (last[5] or has_latin) and not (last[6] or has_cjk)
+                joined = ends.sub("", seam_left.sub("", last[3]) + (" " if english else "") + seam_right.sub("", t))
+                if len(joined) <= vocab.MAX_CHARS and (b - a < vocab.MIN_CUE_MS or last[2] - last[1] < vocab.MIN_CUE_MS):
+                    last[2], last[3], last[5], last[6] = b, joined, last[5] or has_latin, last[6] or has_cjk
+                    continue
+            done.append([number, a, b, t, code, has_latin, has_cjk])
+        return [dict(zip(_CUE.names, d)) for d in done]
+
+    return pd.Series([fold(list(zip(*map(list, row)))) for row in zip(seg_no, start, end, text, lang, latin, cjk)])
+
+
+def merge_short(cues: DataFrame) -> DataFrame:
+    """Neighbours become one cue if either is short, the joined text fits a line, and they share an island. One pass over
+    each island's cues, which pauses keep small."""
+    marked = merge_islands(cues).select("media_id", "island", F.struct(F.col("seg_no").cast("int").alias("seg_no"), "start_ms", "end_ms", "text", "lang", X.has_latin(F.col("text")).alias("latin"), X.has_cjk(F.col("text")).alias("cjk")).alias("_c"))
+    held = marked.groupBy("media_id", "island").agg(F.array_sort(F.collect_list("_c")).alias("_cues"))
+    alone = held.where("size(_cues) = 1").select("media_id", F.col("_cues")[0].alias("_c")).select("media_id", *[f"_c.{c}" for c in _CUE.names])
+    folded = held.where("size(_cues) > 1").select("media_id", _folded(*[F.col(f"_cues.{c}") for c in (*_CUE.names, "latin", "cjk")]).alias("_cues"))
+    return folded.select("media_id", F.explode("_cues").alias("_c")).select("media_id", "_c.*").unionByName(alone)
 
 
 def split_for_srt(segments: DataFrame) -> DataFrame:
@@ -203,18 +253,16 @@ def split_for_srt(segments: DataFrame) -> DataFrame:
     split = needs_split(lang, text, F.col("start_ms"), F.col("end_ms"))
     base = base.withColumn("_how", F.when(~split, "keep").when(sentence_marks(lang, text) > 0, "sentence").otherwise("length"))
     sentence = base.select("*", F.posexplode(F.when(F.col("_how") == "sentence", split_sentences(lang, text)).otherwise(F.array(text))).alias("_s", "_sentence"))
-    marks = split_semantic(lang, F.col("_sentence"), hard=False)
-    loses = F.array_join(marks, "") != F.col("_sentence")
-    long = (F.col("_how") != "keep") & (F.length("_sentence") > vocab.MAX_CHARS)
-    sentence = sentence.withColumn("_way", F.when(~long, "whole").when(~loses, "marks").when(X.is_english(lang, F.col("_sentence")), "phrase").otherwise("hard"))
-    cut = F.when(F.col("_way") == "whole", F.array("_sentence")).when(F.col("_way") == "marks", marks).otherwise(split_semantic(lang, F.col("_sentence")))
-    plain = sentence.where("_way <> 'phrase'").withColumn("_pieces", cut)
-    phrase = sentence.where("_way = 'phrase'").withColumn("_pieces", split_english_phrase_safe(F.col("_sentence")))
-    pieces = plain.unionByName(phrase).select("*", F.posexplode("_pieces").alias("_p", "piece")).withColumn("total_chars", F.length("text"))
-    pieces = pieces.withColumn("piece_no", F.col("_s").cast("long") * 1000000 + F.col("_p")).drop("_pieces", "_sentence", "_way", "_s", "_p")
-    keys = ["media_id", "seg_no"]
-    kept = pieces.where("_how = 'keep'")
-    timed = time_by_share(pieces.where("_how = 'sentence'"), keys).unionByName(time_by_reading_speed(pieces.where("_how = 'length'"), keys)).unionByName(kept)
+    own = F.col("_sentence")
+    long = (F.col("_how") != "keep") & (F.length(own) > vocab.MAX_CHARS)
+    # Cut by marks where that keeps the whole text, else hard, or in English at phrase-safe places: null here, as that
+    # runs Python for these lines only.
+    marked = X.let(split_semantic(lang, own, hard=False), lambda m: F.when(F.array_join(m, "") == own, m).when(X.is_english(lang, own), F.lit(None)).otherwise(split_semantic(lang, own)))
+    sentence = sentence.withColumn("_cut", F.when(~long, F.array(own)).otherwise(marked))
+    sentence = sentence.withColumn("_safe", split_english_phrase_safe(F.when(F.col("_cut").isNull(), own)))
+    pieces = sentence.select("*", F.posexplode(F.coalesce("_cut", "_safe")).alias("_p", "piece")).withColumn("total_chars", F.length("text"))
+    pieces = pieces.withColumn("piece_no", F.col("_s").cast("long") * 1000000 + F.col("_p")).drop("_safe", "_cut", "_sentence", "_s", "_p")
+    timed = _timed(pieces.where("_how <> 'sentence' or piece <> ''"), ["media_id", "seg_no"], F.when(F.col("_how") == "sentence", _share()).when(F.col("_how") == "length", _speed()))
     order = Window.partitionBy("media_id").orderBy("seg_no", "piece_no")
     cues = timed.select("media_id", "seg_no", "piece_no", "start_ms", "end_ms", X.strip(F.col("piece")).alias("text"), "lang").where("text <> ''")
     cues = cues.withColumn("_n", F.row_number().over(order)).drop("seg_no", "piece_no").withColumnRenamed("_n", "seg_no")

@@ -137,12 +137,12 @@ def j4_queue_stage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.queue_stage_counts(_classified(spark, sf_dir))
 
 
-_PROGRESS = "v_top AS (SELECT user_id % 15 AS m, event_id % 4 AS c, max(greatest(0, least(1, value / 100.0))) FILTER (WHERE event_type <> 'error' AND event_id % 4 < 3) AS top FROM events GROUP BY ALL)"
+_PROGRESS = "v_top AS (SELECT user_id // 10 AS m, event_id % 4 AS c, max(greatest(0, least(1, value / 100.0))) FILTER (WHERE event_type <> 'error' AND event_id % 4 < 3) AS top FROM events GROUP BY ALL)"
 
 
 def _progress(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """All chunks, and reports of all but the last one."""
-    e = table(spark, sf_dir, "events").select((F.col("user_id") % 15).cast("string").alias("media_id"), (F.col("event_id") % 4).cast("int").alias("chunk_no"), (F.col("value") / 100.0).alias("fraction"), "event_type", F.col("ts").cast("timestamp").alias("event_time"))
+    e = table(spark, sf_dir, "events").select(F.floor(F.col("user_id") / 10).cast("string").alias("media_id"), (F.col("event_id") % 4).cast("int").alias("chunk_no"), (F.col("value") / 100.0).alias("fraction"), "event_type", F.col("ts").cast("timestamp").alias("event_time"))
     return e.select("media_id", "chunk_no").distinct(), e.where("event_type <> 'error' and chunk_no < 3")
 
 

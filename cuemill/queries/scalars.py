@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as X, vocab
 from ..operators import segments as D
-from ..session import table
+from ..session import new_folder, table
 from ..sources import srt, views
-from ._registry import CUES, ENGLISH, MEDIA, NAMES, clock, query
+from ._registry import CUES, ENGLISH, MEDIA, MIXED, NAMES, clock, query
 
 _MAP = lambda pairs: "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in pairs.items()) + "}"
 _SRT_LINE = f"CAST(cue_no AS VARCHAR) || chr(10) || {clock('start_ms')} || ' --> ' || {clock('end_ms')} || chr(10) || {{0}} || chr(10)"
@@ -127,9 +127,12 @@ def c3_classify_failure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", X.classify_failure(status).alias("failure"))
 
 
-@query(f"SELECT media_id, cue_no, (end_ms - start_ms <= 7000 AND length(text) <= 40 AND len(regexp_extract_all(text, '[.!?' || chr(10) || ']')) <= 1) = false AS splits FROM v_cues WHERE {ENGLISH.format('text')}", CUES)
+_ENDS = f"CASE WHEN {ENGLISH.format('text')} THEN len(regexp_extract_all(text, '[.!?' || chr(10) || ']')) ELSE len(regexp_extract_all(text, '[。！？!?…' || chr(10) || ']')) END"
+
+
+@query(f"SELECT media_id, cue_no, (end_ms - start_ms <= 7000 AND length(text) <= 40 AND {_ENDS} <= 1) = false AS splits FROM v_mixed", CUES, MIXED)
 def d4_needs_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = views.cues(spark, sf_dir).where(X.is_english(F.lit("auto"), F.col("text")))
+    c = views.mixed_cues(spark, sf_dir)
     return c.select("media_id", "cue_no", D.needs_split(F.lit("auto"), F.col("text"), F.col("start_ms"), F.col("end_ms")).alias("splits"))
 
 
@@ -201,14 +204,25 @@ def a5_read_srt_auto(spark: SparkSession, sf_dir: str) -> DataFrame:
     return srt.read_srt(files.withColumn("content", body), "auto").select("path", "how", "message", "skipped", F.size("cues").alias("cues"))
 
 
-@query("SELECT media_id || '.srt' AS path, sum(length(CAST(cue_no AS VARCHAR)) + 29 + 3 + octet_length(encode(text))) + count(*) - 1 > 50 AS valid FROM v_cues GROUP BY media_id", CUES)
+_BYTES = "CAST(sum(length(CAST(cue_no AS VARCHAR)) + 29 + 3 + octet_length(encode(text))) + count(*) - 1 AS BIGINT)"
+
+
+@query(f"SELECT media_id || '.srt' AS path, CAST(media_id AS BIGINT) % 4 = 0 AND {_BYTES} > 50 AS valid FROM v_cues GROUP BY media_id", CUES)
 def a6_srt_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _files(spark, sf_dir).select("path", srt.srt_valid(F.octet_length("content"), F.col("content")).alias("valid"))
+    """Good files, files with bytes that are no UTF-8, without time lines, and too short."""
+    n = F.regexp_extract("path", r"(\d+)", 1).cast("long") % 4
+    good = F.col("content").cast("binary")
+    content = F.when(n == 1, F.concat(good, F.lit(b"\xff\xfe"))).when(n == 2, F.replace("content", F.lit("-->"), F.lit("--")).cast("binary")).when(n == 3, F.substring(good, 1, 50)).otherwise(good)
+    return _files(spark, sf_dir).withColumn("content", content).select("path", srt.srt_valid(F.octet_length("content"), F.col("content")).alias("valid"))
 
 
-@query()
+@query(f"SELECT media_id || '.srt' AS name, media_id, {_BYTES} AS length FROM v_cues GROUP BY media_id", CUES)
 def a1_scan_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return srt.scan_media(spark, sf_dir, ["PARQUET"]).select("name", "media_id", "length")
+    """Subtitle files made of the documents, in one folder for each last digit."""
+    folder = new_folder(spark, "scan")
+    files = srt.to_srt(views.cues(spark, sf_dir)).select(F.concat(F.substring("media_id", -1, 1), F.lit("/"), "media_id", F.lit(".srt")).alias("file_name"), "content")
+    srt.write_documents(files, folder, as_files=True)
+    return srt.scan_media(spark, folder, ["SRT"]).select("name", "media_id", "length")
 
 
 @query(f"SELECT media_id, CASE WHEN doc_id % 2 = 0 THEN 'done' WHEN known THEN 'failed' ELSE 'pending' END AS status, CASE WHEN doc_id % 3 = 0 THEN lang END AS language FROM v_media", MEDIA)

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as X
 from ..operators import batching as E, segments as D
 from ..session import table
 from ..sources import views
-from ._registry import CUES, ENGLISH, MEDIA, SEGMENTS, query
+from ._registry import CUES, ENGLISH, MEDIA, MIXED, SEGMENTS, query
 
 _STRIP = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
 _MARKS = "'[^.!?' || chr(10) || ']*[.!?' || chr(10) || ']|[^.!?' || chr(10) || ']+'"
@@ -68,12 +70,13 @@ def d8_split_english_phrase_safe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard.select("media_id", "cue_no", F.posexplode(D.split_english_phrase_safe(text)).alias("pos", "piece"))
 
 
-_PIECE = f"p0 AS (SELECT media_id, cue_no, start_ms, end_ms, text, regexp_extract_all(text, {_MARKS}) AS l FROM v_cues WHERE {ENGLISH.format('text')}), p AS (SELECT media_id, cue_no, start_ms, end_ms, text, unnest(l) AS piece, generate_subscripts(l, 1) AS piece_no FROM p0)"
+_CJK_MARKS = "'[^。！？!?…]*[。！？!?…]|[^。！？!?…]+'"
+_PIECE = f"p0 AS (SELECT media_id, cue_no, start_ms, end_ms, text, CASE WHEN {ENGLISH.format('text')} THEN regexp_extract_all(text, {_MARKS}) ELSE regexp_extract_all(text, {_CJK_MARKS}) END AS l FROM v_mixed), p AS (SELECT media_id, cue_no, start_ms, end_ms, text, unnest(l) AS piece, generate_subscripts(l, 1) AS piece_no FROM p0)"
 _CHAIN = "SELECT media_id, cue_no, CAST(piece_no AS INTEGER) AS piece_no, piece, CAST(floor((least(start_ms * 1000 + upto - own, end_ms * 1000) + 500) / 1000) AS BIGINT) AS start_ms, CAST(floor((least(start_ms * 1000 + upto, end_ms * 1000) + 500) / 1000) AS BIGINT) AS end_ms FROM u"
 
 
 def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = views.cues(spark, sf_dir).where(X.is_english(F.lit("auto"), F.col("text")))
+    c = views.mixed_cues(spark, sf_dir)
     return c.select("media_id", "cue_no", "start_ms", "end_ms", "text", F.posexplode(D.split_sentences(F.lit("auto"), F.col("text"))).alias("_p", "piece")).withColumn("piece_no", F.col("_p") + 1).drop("_p")
 
 
@@ -81,6 +84,7 @@ def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """, s AS (SELECT *, CAST(least(floor(length(piece) * (end_ms - start_ms) * 1000 / sum(length(piece)) OVER (PARTITION BY media_id, cue_no)), 7000000) AS BIGINT) AS own FROM p),
 u AS (SELECT *, CAST(sum(own) OVER (PARTITION BY media_id, cue_no ORDER BY piece_no) AS BIGINT) AS upto FROM s) """ + _CHAIN,
     CUES,
+    MIXED,
     _PIECE,
 )
 def d9_time_by_share(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,11 +92,12 @@ def d9_time_by_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """, m AS (SELECT *, CAST(floor(length(piece) * 1000000 / (CASE WHEN regexp_matches(piece, '[A-Za-z]') THEN 17 ELSE 18 END)) AS BIGINT) AS least_us, CAST(floor(length(piece) * ((end_ms - start_ms) * 1000) / length(text)) AS BIGINT) AS share FROM p),
+    """, m AS (SELECT *, CAST(floor(length(piece) * 1000000 / (CASE WHEN regexp_matches(piece, '[぀-ヿ㐀-鿿가-힯]') THEN 10 WHEN regexp_matches(piece, '[A-Za-z]') THEN 17 ELSE 18 END)) AS BIGINT) AS least_us, CAST(floor(length(piece) * ((end_ms - start_ms) * 1000) / length(text)) AS BIGINT) AS share FROM p),
 r AS (SELECT *, sum(least_us) OVER (PARTITION BY media_id, cue_no) <= (end_ms - start_ms) * 1000 AS room FROM m),
 s AS (SELECT *, least(CASE WHEN room THEN greatest(share, least_us) ELSE share END, 7000000) AS own FROM r),
 u AS (SELECT *, CAST(sum(own) OVER (PARTITION BY media_id, cue_no ORDER BY piece_no) AS BIGINT) AS upto FROM s) """ + _CHAIN,
     CUES,
+    MIXED,
     _PIECE,
 )
 def d10_time_by_reading_speed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,7 +105,20 @@ def d10_time_by_reading_speed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.time_by_reading_speed(pieces, ["media_id", "cue_no"]).select("media_id", "cue_no", "piece_no", "piece", "start_ms", "end_ms")
 
 
-@query()
+_JOINED = f"{_STRIP.format(chr(40) + 'regexp_replace(r.t, ' + chr(39) + chr(92) + 's+$' + chr(39) + ', ' + chr(39) * 2 + ') || CASE WHEN ' + ENGLISH.format('(r.t || chr(32) || m.text)') + ' THEN chr(32) ELSE ' + chr(39) * 2 + ' END || regexp_replace(m.text, ' + chr(39) + '^' + chr(92) + 's+' + chr(39) + ', ' + chr(39) * 2 + ')' + chr(41))}"
+
+
+@query(
+    f""", o AS (SELECT *, lag(end_ms) OVER w AS pe, lag(text) OVER w AS pt FROM v_cues WINDOW w AS (PARTITION BY media_id ORDER BY cue_no)),
+m AS (SELECT media_id, cue_no, start_ms, end_ms, text, pe IS NULL OR start_ms - pe > 350 OR start_ms - pe < -50
+  OR CASE WHEN {ENGLISH.format('pt')} THEN regexp_matches(pt, '[.!?\\n]\\s*$') ELSE regexp_matches(pt, '[。！？!?…\\n]\\s*$') END AS new FROM o),
+r AS (SELECT media_id, cue_no AS n, cue_no AS head, start_ms AS s, end_ms AS e, text AS t FROM m WHERE cue_no = 1 UNION ALL
+SELECT media_id, n, CASE WHEN fits THEN head ELSE n END, CASE WHEN fits THEN s ELSE ns END, ne, CASE WHEN fits THEN joined ELSE nt END FROM
+  (SELECT r.media_id, m.cue_no AS n, r.head, r.s, m.start_ms AS ns, m.end_ms AS ne, m.text AS nt, {_JOINED} AS joined,
+    NOT m.new AND (m.end_ms - m.start_ms < 800 OR r.e - r.s < 800) AND length({_JOINED}) <= 40 AS fits FROM r JOIN m ON m.media_id = r.media_id AND m.cue_no = r.n + 1))
+SELECT media_id, head AS seg_no, max_by(s, n) AS start_ms, max_by(e, n) AS end_ms, max_by(t, n) AS text, 'auto' AS lang FROM r GROUP BY media_id, head""",
+    CUES,
+)
 def d11_merge_short(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = views.cues(spark, sf_dir).withColumn("seg_no", F.col("cue_no")).withColumn("lang", F.lit("auto"))
     return D.merge_short(c.select("media_id", "seg_no", "start_ms", "end_ms", "text", "lang"))
@@ -141,7 +159,13 @@ def c2_non_empty_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.join(sent, ["media_id", "cue_no"], "left").select("media_id", "cue_no", F.coalesce("_sent", F.lit("")).alias("sent"), F.col("_sent").isNotNull().alias("is_sent"))
 
 
-@query()
+@query(
+    """, c AS (SELECT media_id, cue_no, greatest(1, length(text) // 2) + 10 AS cost FROM v_cues),
+r AS (SELECT media_id, cue_no, 0 AS batch_no, cost AS used FROM c WHERE cue_no = 1 UNION ALL
+SELECT c.media_id, c.cue_no, r.batch_no + CASE WHEN r.used + c.cost > 400 THEN 1 ELSE 0 END, c.cost + CASE WHEN r.used + c.cost > 400 THEN 0 ELSE r.used END FROM r JOIN c ON c.media_id = r.media_id AND c.cue_no = r.cue_no + 1)
+SELECT media_id, cue_no, CAST(batch_no AS INTEGER) AS batch_no FROM r""",
+    CUES,
+)
 def e4_batch_by_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.batch_by_budget(views.cues(spark, sf_dir))
 
@@ -200,23 +224,70 @@ def e11_translate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("media_id", "cue_no", "translation")
 
 
-def _listen(media_id: str, offset: int, length: int, options: dict) -> tuple[list, str]:
-    """Stands in for a recogniser: two segments a chunk; chunks of some items fail."""
-    if int(media_id) % 50 == 7 and offset > 0:
-        raise RuntimeError("decoder failed")
-    return [(offset, offset + length // 2, "first", -0.1), (offset + length // 2, offset + length, "second", -0.2)], "en" if int(media_id) % 2 else "fr"
+class _Strict(E.Glossary):
+    """Refuses batches with a long line, and loses a line of those that are long together."""
 
+    batch_size = 8
+    longest, together = 400, 500
 
-@query()
+    def translate_batch(self, texts: list[str], source: str, target: str) -> list[str]:
+        if max(map(len, texts)) > self.longest:
+            raise E.TransientError("line too long")
+        out = super().translate_batch(texts, source, target)
+        return out[1:] if len(texts) > 1 and sum(map(len, texts)) > self.together else out
+
+
+@query("SELECT media_id, cue_no, array_to_string(list_transform(string_split(text, ' '), lambda w: CASE WHEN w = 'the' THEN 'le' ELSE w END), ' ') AS translation FROM v_cues WHERE media_id NOT IN (SELECT media_id FROM v_cues WHERE length(text) > 400)", CUES)
+def e11_translate_with_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A provider that refuses some lines, whose media items are lost, and drops lines of long requests, which are halved."""
+    done, _ = E.translate(views.cues(spark, sf_dir), lambda: _Strict({"the": "le"}), "en", "fr", halve=True)
+    return done.select("media_id", "cue_no", "translation")
+
+
+@query("SELECT media_id, CAST(1 AS BIGINT) AS sent FROM v_cues GROUP BY media_id", CUES)
+def u4_canary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A provider that refuses everything is asked once for each media item."""
+    refuse = lambda: _Refusing({})
+    _, attempts = E.translate(views.cues(spark, sf_dir), refuse, "en", "fr")
+    return attempts.groupBy("media_id").agg(F.count("*").alias("sent"))
+
+
+class _Refusing(_Strict):
+    longest = -1
+
+
+def _listen(text: str, offset: int, length: int, options: dict) -> tuple[list, str]:
+    """Reads a document as if it were audio of 60 ms a character: the words of a chunk in two segments."""
+    own = text[offset // views.MS_PER_CHAR : (offset + length) // views.MS_PER_CHAR]
+    if not re.search("[A-Za-z]", own):
+        raise RuntimeError("no speech")
+    half = len(own) // 2
+    middle = offset + half * views.MS_PER_CHAR
+    return [(offset, middle, own[:half], -0.1), (middle, offset + length, own[half:], -0.2)], "en" if " the " in own else "xx"
+
+
+_HEARD = """v_chunks AS (SELECT media_id, doc_id, CAST(c AS INTEGER) AS chunk_no, c * csize AS a, least(csize, duration_ms - c * csize) AS l FROM (SELECT *, unnest(range(CAST(greatest(ceil(duration_ms / csize), 1) AS BIGINT))) AS c
+  FROM (SELECT *, CASE WHEN duration_ms <= greatest(30, duration_ms // 4000) * 1000 THEN greatest(duration_ms, 1) ELSE greatest(30, duration_ms // 4000) * 1000 END AS csize FROM v_media))),
+v_heard AS (SELECT media_id, chunk_no, substr(text, a // 60 + 1, (a + l) // 60 - a // 60) AS own FROM v_chunks JOIN documents USING (doc_id) WHERE text IS NOT NULL)"""
+
+
+def _heard(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Chunks of the documents, and what was heard in them."""
+    texts = table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").cast("string").alias("media_id"), "text")
+    planned = E.plan_chunks(views.media(spark, sf_dir).select("media_id", "duration_ms").join(texts, "media_id"))
+    return planned, E.transcribe(planned, lambda: _listen, reference="text")
+
+
+@query("SELECT media_id, chunk_no, CASE WHEN regexp_matches(own, '[A-Za-z]') THEN CASE WHEN contains(own, ' the ') THEN 'en' ELSE 'xx' END END AS language, CASE WHEN regexp_matches(own, '[A-Za-z]') THEN md5(own) END AS digest, CASE WHEN NOT regexp_matches(own, '[A-Za-z]') THEN 'no speech' END AS error FROM v_heard", MEDIA, _HEARD)
 def e12_transcribe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    results = E.transcribe(E.plan_chunks(views.media(spark, sf_dir)), lambda: _listen)
-    return results.select("media_id", "chunk_no", "language", F.size(F.coalesce("segments", F.array().cast("array<struct<start_ms:bigint,end_ms:bigint,text:string,avg_logprob:double>>"))).alias("segments"), "error")
+    """Documents as audio, through a recogniser that reads them."""
+    results = _heard(spark, sf_dir)[1]
+    return results.select("media_id", "chunk_no", "language", F.md5(F.array_join(F.transform("segments", lambda s: s["text"]), "")).alias("digest"), "error")
 
 
-@query("SELECT media_id, printf('%d/%d chunk(s) failed transcription: %s', CAST(chunks - 1 AS BIGINT), CAST(chunks AS BIGINT), 'decoder failed') AS message FROM (SELECT media_id, doc_id, ceil(duration_ms / csize) AS chunks FROM (SELECT *, CASE WHEN duration_ms <= greatest(30, duration_ms // 4000) * 1000 THEN greatest(duration_ms, 1) ELSE greatest(30, duration_ms // 4000) * 1000 END AS csize FROM v_media)) WHERE doc_id % 50 = 7 AND chunks > 1", MEDIA)
+@query("SELECT media_id, printf('%d/%d chunk(s) failed transcription: %s', CAST(count(*) FILTER (WHERE NOT regexp_matches(own, '[A-Za-z]')) AS BIGINT), CAST(count(*) AS BIGINT), 'no speech') AS message FROM v_heard GROUP BY media_id HAVING count(*) FILTER (WHERE NOT regexp_matches(own, '[A-Za-z]')) > 0", MEDIA, _HEARD)
 def e12_chunk_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    planned = E.plan_chunks(views.media(spark, sf_dir))
-    return E.chunk_failures(E.missing_results(planned, E.transcribe(planned, lambda: _listen)))
+    return E.chunk_failures(E.missing_results(*_heard(spark, sf_dir)))
 
 
 @query("SELECT media_id, cue_no, role, text FROM (SELECT CAST(conv_id AS VARCHAR) AS media_id, CAST(turn AS INTEGER) AS cue_no, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations WHERE text IS NOT NULL) WHERE n <= 5")

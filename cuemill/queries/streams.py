@@ -45,11 +45,11 @@ def k1_stream_srt_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select(name.alias("name"), F.size("cues").cast("long").alias("cues"), F.aggregate("cues", F.lit(0).cast("long"), lambda a, c: a + c["start_ms"]).alias("start_sum"))
 
 
-@query("SELECT CAST(user_id % 15 AS VARCHAR) AS media_id, CAST(event_id % 4 AS INTEGER) AS chunk_no, CAST(round(max(greatest(0, least(1, value / 100.0))) * 1000000) AS BIGINT) AS fraction FROM events WHERE event_type <> 'error' GROUP BY ALL")
+@query("SELECT CAST(user_id // 10 AS VARCHAR) AS media_id, CAST(event_id % 4 AS INTEGER) AS chunk_no, CAST(round(max(greatest(0, least(1, value / 100.0))) * 1000000) AS BIGINT) AS fraction FROM events WHERE event_type <> 'error' GROUP BY ALL")
 def k2_stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a stream; the highest update of each chunk."""
     events = _stream(spark, sf_dir, "events").where("event_type <> 'error'")
-    shaped = events.select((F.col("user_id") % 15).cast("string").alias("media_id"), (F.col("event_id") % 4).cast("int").alias("chunk_no"), (F.col("value") / 100.0).alias("fraction"), F.col("ts").cast("timestamp").alias("event_time"))
+    shaped = events.select(F.floor(F.col("user_id") / 10).cast("string").alias("media_id"), (F.col("event_id") % 4).cast("int").alias("chunk_no"), (F.col("value") / 100.0).alias("fraction"), F.col("ts").cast("timestamp").alias("event_time"))
     rows = _finished(jobs.stream_progress(shaped), _shared(spark), "update")
     return rows.groupBy("media_id", "chunk_no").agg(F.round(F.max("fraction") * 1000000).cast("long").alias("fraction"))
 

@@ -106,7 +106,8 @@ def errors_of(read: DataFrame) -> DataFrame:
 
 def srt_valid(length: Column, content: Column, least: int = LEAST_BYTES) -> Column:
     """Longer than least bytes, valid UTF-8, with a full time line."""
-    return (length > least) & F.is_valid_utf8(content) & content.rlike(r"\d{2}:\d{2}:\d{2}[,.]\d{3}\s*-->\s*\d{2}:\d{2}:\d{2}[,.]\d{3}")
+    text = content.cast("string")
+    return (length > least) & F.is_valid_utf8(text) & text.rlike(r"\d{2}:\d{2}:\d{2}[,.]\d{3}\s*-->\s*\d{2}:\d{2}:\d{2}[,.]\d{3}")
 
 
 def _joined(cues: DataFrame, line: Column, alias: str = "content", sep: str = "\n") -> DataFrame:

@@ -22,17 +22,27 @@ def cues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timed.select("media_id", "cue_no", start.alias("start_ms"), F.when(F.col("cue_no") % 11 == 0, start).otherwise(F.col("_upto")).alias("end_ms"), "lang", "text")
 
 
+#: Letters and marks, and the signs that stand for them in each third cue of mixed_cues.
+LETTERS, SIGNS = "abcdefghijklmnopqrstuvwxyz.!;,", "日月火水木金土山川田人口手目耳足力男女子学校生先。！；、"
+
+
+def mixed_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """cues, each third of them in CJK signs, as the tables hold none."""
+    found = cues(spark, sf_dir)
+    return found.withColumn("text", F.when(F.col("cue_no") % 3 == 0, F.translate("text", LETTERS, SIGNS)).otherwise(F.col("text")))
+
+
 def segments_of(found: DataFrame) -> DataFrame:
     """Cues in the shape of recogniser segments of one chunk."""
     return found.select("media_id", F.lit(0).alias("chunk_no"), F.col("cue_no").alias("seg_no"), "start_ms", "end_ms", "text", "lang")
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Overlapping segments of four chunks, from events."""
+    """Overlapping segments of four chunks, from events; ten users make up a media item, so items grow in number."""
     at = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000).cast("long")
     span = F.round(F.col("value") * 60000).cast("long")
     return table(spark, sf_dir, "events").select(
-        (F.col("user_id") % 15).cast("string").alias("media_id"), (F.col("event_id") % 4).cast("int").alias("chunk_no"), F.col("event_id").alias("seg_no"), at.alias("start_ms"), (at + span).alias("end_ms"), F.col("event_type").alias("text")
+        F.floor(F.col("user_id") / 10).cast("string").alias("media_id"), (F.col("event_id") % 4).cast("int").alias("chunk_no"), F.col("event_id").alias("seg_no"), at.alias("start_ms"), (at + span).alias("end_ms"), F.col("event_type").alias("text")
     )
 
 

@@ -42,7 +42,8 @@ class FailureStreak(StatefulProcessor):
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         failures, given = tuple(self.state.get()) if self.state.exists() else (0, False)
         alarms = []
-        for ok, at in pd.concat(list(rows)).sort_values("event_time", kind="stable")[["ok", "event_time"]].itertuples(index=False):
+        held = pd.concat([r[["ok", "event_time"]] for r in rows])  # in order of time; at the same time failures come first
+        for ok, at in held.sort_values(["event_time", "ok"], kind="stable").itertuples(index=False):
             failures, given = (0, False) if ok else (failures + 1, given)
             if failures >= self.limit and not given:
                 alarms.append((key[0], at, failures))
@@ -61,7 +62,8 @@ def stream_failure_streak(outcomes: DataFrame) -> DataFrame:
 
 def stream_translate(cues: DataFrame, make: Callable, source: str, target: str, directory: str, checkpoint: str) -> StreamingQuery:
     """Translates each batch of finished transcripts into a folder of its own under directory, so that a batch which runs
-    again replaces its own output. A media item that fails is left out of its batch's cues; others go on."""
+    again replaces its own output. A media item that fails is left out of its batch's cues; others go on. A transcript
+    should arrive whole: the cues of one that is split over micro-batches are batched and judged part by part."""
 
     def write(batch: DataFrame, number: int) -> None:
         translated, _ = batching.translate(batch, make, source, target)

@@ -35,6 +35,22 @@ class Broken:
         return texts[:-1] if "short" in texts else texts
 
 
+class Counted:
+    """Upper case; notes every request in a file."""
+
+    batch_size = 1
+
+    def __init__(self, path, refuse=(), most=99):
+        self.path, self.refuse, self.most = path, refuse, most
+
+    def translate_batch(self, texts, source, target):
+        with open(self.path, "a") as f:
+            f.write("|".join(texts) + "\n")
+        if any(t in self.refuse for t in texts):
+            raise E.TransientError("no")
+        return [t.upper() for t in texts[: self.most]]
+
+
 class Single:
     def translate(self, text, source, target):
         return text + "!"
@@ -91,3 +107,53 @@ def test_plan_and_failures(spark):
 def test_halving(spark):
     rows = spark.createDataFrame([("m", 5, i) for i in range(3)] + [("m", 6, 0)], "media_id string, batch_no int, pos int")
     assert [(r.batch_no, r.pos) for r in E.halve_failed_groups(rows).orderBy("batch_no", "pos").collect()] == [(10, 0), (11, 0), (11, 1)]
+
+
+def test_calls_are_made_once(spark, tmp_path):
+    heard = []
+    done, attempts = E.translate(cues(spark, ["a", "b", "c"]), lambda: Counted(tmp_path / "calls"), "en", "fr", progress=heard.append)
+    for _ in range(2):
+        assert done.count() == 3 and attempts.count() == 3 and done.where("translation = 'A'").count() == 1
+    assert sorted((tmp_path / "calls").read_text().split()) == ["a", "b", "c"] and heard == [1 / 3, 1.0]
+
+
+def test_only_the_first_batch_is_sent_where_it_fails(spark, tmp_path):
+    both = cues(spark, ["a", "b", "c"]).union(cues(spark, ["d", "e", "f", "g"], "n")).union(cues(spark, ["h", "no", "i", "j"], "o"))
+    done, attempts = E.translate(both, lambda: Counted(tmp_path / "calls", refuse=("a", "no")), "en", "fr", workers=1)
+    assert {r.media_id for r in done.collect()} == {"n"}
+    assert sorted((tmp_path / "calls").read_text().split()) == ["a", "d", "e", "f", "g", "h", "no"]
+    assert {(r.media_id, r.batch_no) for r in attempts.where("status <> 'ok'").collect()} == {("m", 0), ("o", 1)}
+
+
+def test_requests_are_halved(spark, tmp_path):
+    four = cues(spark, ["a", "b", "c", "d"])
+    done, attempts = E.translate(four, lambda: Counted(tmp_path / "calls", most=1), "en", "fr", batch_size=4, halve=True)
+    assert [r.translation for r in done.orderBy("cue_no").collect()] == ["A", "B", "C", "D"]
+    assert (tmp_path / "calls").read_text().split() == ["a|b|c|d", "a|b", "a", "b", "c|d", "c", "d"]
+    assert [r.status for r in attempts.collect()] == ["split", "split", "split", "ok"]
+
+    class Slow(Counted):
+        def translate_batch(self, texts, source, target):
+            if len(texts) > 2:
+                raise E.TransientError("timeout")
+            return super().translate_batch(texts, source, target)
+
+    done, _ = E.translate(four, lambda: Slow(tmp_path / "more"), "en", "fr", batch_size=4, halve=True)
+    assert [r.translation for r in done.orderBy("cue_no").collect()] == ["A", "B", "C", "D"] and (tmp_path / "more").read_text().split() == ["a|b", "c|d"]
+    done, attempts = E.translate(cues(spark, list("abcdefgh")), lambda: Slow(tmp_path / "last"), "en", "fr", batch_size=8, halve=True)
+    assert done.count() == 0 and [r.status for r in attempts.collect()] == ["split", "transient"]  # a transient failure splits once
+
+
+def test_chunks_are_heard_once(spark, tmp_path):
+    def make():
+        def hear(audio, offset, length, options):
+            with open(tmp_path / "heard", "a") as f:
+                f.write(f"{audio}{offset} ")
+            return [(offset, offset + length, "x", 0.0)], "en"
+
+        return hear
+
+    planned = E.plan_chunks(spark.createDataFrame([("a", 90_000)], "media_id string, duration_ms long"), F.lit(30))
+    results = E.transcribe(planned, make)
+    assert results.count() == 3 and E.missing_results(planned, results).where("error is null").count() == 3 and E.chunk_failures(results).count() == 0
+    assert sorted((tmp_path / "heard").read_text().split()) == ["a0", "a30000", "a60000"]

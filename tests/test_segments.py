@@ -21,6 +21,29 @@ def test_phrase_safe_breaks():
     assert breaks.split("x" * 100) == ["x" * 100]
 
 
+def test_breaks_part_no_phrase_and_lose_no_text():
+    import random
+
+    draw, breaks = random.Random(0), D.PhraseBreaks(40)
+    words = [*vocab.FUNCTION_WORDS, "word", "subtitle", "x", "it's", "42", "--", "antidisestablishmentarianism"]
+    for _ in range(300):
+        text = " ".join(draw.choice(vocab.PROTECTED_PHRASES) if draw.random() < 0.2 else draw.choice(words) for _ in range(draw.randrange(60)))
+        lines = breaks.split(text)
+        assert " ".join(lines) == text
+        for n, (line, after) in enumerate(zip(lines, lines[1:])):
+            letters = any(c.isalpha() for c in " ".join(lines[n + 1 :]))
+            assert line.split()[-1] not in vocab.FUNCTION_WORDS or not letters
+            assert not any(line.endswith(" ".join(p.split()[:i])) and f"{after} ".startswith(" ".join(p.split()[i:]) + " ") and f" {line}".endswith(" " + " ".join(p.split()[:i])) for p in vocab.PROTECTED_PHRASES for i in range(1, len(p.split())))
+
+
+def test_breaks_take_linear_time():
+    import time
+
+    began = time.time()
+    assert len(D.PhraseBreaks(40).split("some words of a long text without marks " * 20_000)) > 10_000
+    assert time.time() - began < 10
+
+
 def test_short_parent_keeps_durations(spark):
     got = split(spark, [(4000, 5639, "this is a line of fifty seven characters and has no marks", "auto")])
     assert len(got) == 2 and all(b > a for a, b, _ in got) and got[-1][1] <= 5639
