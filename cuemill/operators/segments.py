@@ -232,7 +232,7 @@ def _folded(seg_no: pd.Series, start: pd.Series, end: pd.Series, text: pd.Series
             done.append([number, a, b, t, code, has_latin, has_cjk])
         return [dict(zip(_CUE.names, d)) for d in done]
 
-    return pd.Series([fold(list(zip(*map(list, row)))) for row in zip(seg_no, start, end, text, lang, latin, cjk)])
+    return pd.Series([None if row[0] is None else fold(list(zip(*map(list, row)))) for row in zip(seg_no, start, end, text, lang, latin, cjk)])
 
 
 def merge_short(cues: DataFrame) -> DataFrame:
@@ -240,9 +240,10 @@ def merge_short(cues: DataFrame) -> DataFrame:
     each island's cues, which pauses keep small."""
     marked = merge_islands(cues).select("media_id", "island", F.struct(F.col("seg_no").cast("int").alias("seg_no"), "start_ms", "end_ms", "text", "lang", X.has_latin(F.col("text")).alias("latin"), X.has_cjk(F.col("text")).alias("cjk")).alias("_c"))
     held = marked.groupBy("media_id", "island").agg(F.array_sort(F.collect_list("_c")).alias("_cues"))
-    alone = held.where("size(_cues) = 1").select("media_id", F.col("_cues")[0].alias("_c")).select("media_id", *[f"_c.{c}" for c in _CUE.names])
-    folded = held.where("size(_cues) > 1").select("media_id", _folded(*[F.col(f"_cues.{c}") for c in (*_CUE.names, "latin", "cjk")]).alias("_cues"))
-    return folded.select("media_id", F.explode("_cues").alias("_c")).select("media_id", "_c.*").unionByName(alone)
+    several = lambda c: F.when(F.size("_cues") > 1, F.col(f"_cues.{c}"))  # noqa: E731  null for islands of one cue, which stay
+    alone = F.transform("_cues", lambda c: F.struct(*[c[n].alias(n) for n in _CUE.names]))
+    folded = held.withColumn("_joined", _folded(*map(several, (*_CUE.names, "latin", "cjk"))))
+    return folded.select("media_id", F.explode(F.coalesce("_joined", alone)).alias("_c")).select("media_id", "_c.*")
 
 
 def split_for_srt(segments: DataFrame) -> DataFrame:
