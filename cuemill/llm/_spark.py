@@ -2,48 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from ..session import cut, table
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["body", "cut", "schema_of", "shuffle_partitions", "small", "table", "with_body"]
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-_local = None
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (spark.checkpoint.dir). Where none is set, as in tests, a local one in local
-    mode; on a cluster that would lose files, so it is an error."""
-    global _local
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        master = spark.sparkContext.master
-        if not (master == "local" or master.startswith("local[")):
-            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors share (master: {master})")
-        found = _local = _local or "file://" + tempfile.mkdtemp(prefix="cuemill-")
-    return found.rstrip("/")
-
-
-def cut(df: DataFrame, keep: str = "stage") -> DataFrame:
-    """df written to the shared folder and read again: later uses don't compute it anew, and a lost executor costs
-    nothing but its running tasks. The lineage ends here. The files go when the driver's JVM ends, as results that are
-    still to be computed may read them until then."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cuemill-{keep}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small(df: DataFrame, rows: int) -> DataFrame:
     """df with a broadcast hint if it has at most so many rows, else as it is, for a shuffled join. df should be cheap
     to compute or written already: its rows are counted."""

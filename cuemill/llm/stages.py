@@ -1,4 +1,8 @@
-"""The stages of the corpus pipeline."""
+"""The stages of the corpus pipeline.
+
+Each takes documents and gives documents with all their columns, whatever their names; the last one gives pieces. Rows of
+one key stay rows of their own; a key may be null. Empty tables give empty tables with the same columns.
+"""
 
 from __future__ import annotations
 
@@ -17,28 +21,35 @@ def _whole(docs: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters, or without a language that holds LEAST_LANGUAGE of them, go."""
+    """Documents without letters (so null and empty ones), or without a language that holds LEAST_LANGUAGE of them, go.
+    Languages are learned from the documents that have one; where none has, every document goes."""
     model = langid.fit(langid.training(docs, "text", "lang", F.lit(True)))
     found = langid.label(_whole(docs), model, text="_doc.text", keep=["_doc"])
     return found.where((F.col("lang_pred") != langid.UND) & (F.col("score") >= LEAST_LANGUAGE)).select("_doc.*")
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents below the quality threshold go."""
+    """Documents below the quality threshold go. Without labels of both kinds every score is 0.5 and all stay; rows of
+    equal texts share their fate."""
     model = quality.fit(quality.training(docs, table(spark, sf_dir, "labels"), lambda key: F.lit(True)))
     return quality.score(_whole(docs), model, text="_doc.text", keep=["_doc"]).where("score >= 0.5").select("_doc.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates stays: five words, similarity 0.8."""
+    """One document of each class of near-duplicates stays: five words, similarity 0.8. Documents without words stay, each
+    of them; ties go to the least key, then the least hash of the text."""
     return ngram_join.one_of_each(docs, k=5, num=80, den=100)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are repeated or left out, so that sources come near their targets (mixing.mix). Null sources are one
+    source, texts without words are copied as often as others of their source."""
     return mixing.mix(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 1,024 ids with their sequences; a null text is an end token alone. A repeated row is packed each
+    time it comes."""
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=True, added_tokens=True)

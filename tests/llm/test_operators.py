@@ -747,3 +747,28 @@ def test_buckets_hold_the_rows_of_their_values():
                 for v in (0, 77, 255):
                     got = np.flatnonzero(np.unpackbits(reach[j, v].view(np.uint8), bitorder="little")).tolist()
                     assert got == [i for i in range(300) if bin(int(rows[i, j]) ^ v).count("1") <= s]
+
+
+def test_lm_scores_of_odd_rows(spark):
+    """Clashing columns, repeated rows and ties, null keys, no rows."""
+    texts = ["alpha beta gamma " * 9, "alpha beta gamma " * 9, "one two three " * 9, None, "", "one two three " * 9, "delta " * 100_000]
+    table = spark.createDataFrame([(i if i else None, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    for name in ("_keep", "_side", "_own", "block", "range", "score", "_no"):
+        table = table.withColumn(name, F.lit("clash"))
+    sides = [0, 0, 1, 0, 1, 1, 1]
+    got = lm_scoring.score_members(table, lm_scoring.side_of(F.coalesce("doc_id", F.lit(0)).isin(0, 1, 3), F.lit(True)), keep=["doc_id", "score"])
+    assert got.columns[:2] == ["doc_id", "score"] and got.count() == len(texts)
+    found = {r[0] or 0: r[-1] for r in got.collect()}
+    assert np.allclose([found[i] for i in range(len(texts))], exact_scores(texts, sides), atol=1e-9)
+    assert found[0] == found[1] and found[2] == found[5]
+    assert lm_scoring.score_members(table.limit(0), F.lit(0), keep=["doc_id"]).count() == 0
+
+
+def test_languages_of_odd_rows(spark):
+    train = spark.createDataFrame([("aba baba " * 20, "xx"), ("olo lolo " * 20, "yy"), (None, "xx"), ("aba", None)], "text string, lang string")
+    model = langid.fit(langid.training(train, "text", "lang", F.lit(True)))
+    rows = spark.createDataFrame([(1, "aba baba"), (1, "aba baba"), (None, "lolo"), (2, None)], "doc_id long, text string").withColumn("lang_pred", F.lit("clash")).withColumn("_text", F.lit("clash"))
+    got = langid.label(rows.repartition(2), model, keep=["doc_id"]).collect()
+    assert sorted((r.doc_id or 0, r.lang_pred) for r in got) == [(0, "yy"), (1, "xx"), (1, "xx"), (2, "und")]
+    assert langid.label(rows.limit(0), model, keep=["doc_id"]).count() == 0
+    assert langid.fit(langid.training(train.limit(0), "text", "lang", F.lit(True))).languages == []
