@@ -136,7 +136,7 @@ def d13_renumber(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT media_id, CAST(c AS INTEGER) AS chunk_no, c * csize AS offset_ms, least(csize, duration_ms - c * csize) AS length_ms FROM (SELECT *, unnest(range(CAST(greatest(ceil(duration_ms / csize), 1) AS BIGINT))) AS c FROM (SELECT *, CASE WHEN duration_ms <= greatest(30, duration_ms // 4000) * 1000 THEN greatest(duration_ms, 1) ELSE greatest(30, duration_ms // 4000) * 1000 END AS csize FROM v_media))", MEDIA)
 def e1_plan_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.plan_chunks(views.media(spark, sf_dir))
+    return E.plan_chunks(views.media(spark, sf_dir).select("media_id", "duration_ms"))
 
 
 @query("SELECT media_id, cue_no, CAST((row_number() OVER (PARTITION BY media_id ORDER BY cue_no) - 1) // 5 AS INTEGER) AS batch_no, CAST((row_number() OVER (PARTITION BY media_id ORDER BY cue_no) - 1) % 5 AS INTEGER) AS pos FROM v_cues", CUES)
