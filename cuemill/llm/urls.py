@@ -131,14 +131,14 @@ def fit_rows(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
         found = np.linalg.solve(system, np.append(f + (y - p) / w, 0))
         step = np.abs(found[:n] - alpha).max()
         alpha, intercept = found[:n], float(found[n])
-        if step < 1e-10:
+        if step < 1e-8 * max(1.0, np.abs(alpha).max()):
             break
     return x.T @ alpha, intercept
 
 
 def probability(host: Column, path: Column, weights: list[float], intercept: float) -> Column:
     """That a url is unwanted."""
-    table = F.lit(weights)
+    table = F.split(F.lit(",".join(map(repr, weights))), ",").cast("array<double>")  # folded to one literal
     buckets = grams(host, path)
     total = F.aggregate(buckets, F.lit(0.0), lambda acc, b: acc + F.get(table, b))
     return 1 / (1 + F.exp(-(total / F.sqrt(F.greatest(F.size(buckets), F.lit(1))) + intercept)))
