@@ -6,15 +6,19 @@ the folder that executors share; what they return reads from there.
 
 from __future__ import annotations
 
+import threading
 import time
+import uuid
 from collections.abc import Callable, Iterator
+from contextlib import nullcontext
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Observation, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions import text as X
-from ..session import cut
+from ..session import cut, new_folder
+from .ledger import Ledger, Rows
 
 MAX_PACKED = 20
 # Fixed value: a line of a numbered reply.
@@ -189,65 +193,119 @@ def _asked(backend, texts: list[str], source: str, target: str, halve: bool, log
     return [*_asked(backend, texts[:middle], source, target, once, log), *_asked(backend, texts[middle:], source, target, once, log)]
 
 
-def run_batches(batches: DataFrame, make: Callable[[], Provider], source: str, target: str, retries: int = 2, delay_s: float = 0.0, halve: bool = False) -> DataFrame:
+def run_batches(
+    batches: DataFrame, make: Callable[[], Provider], source: str, target: str, retries: int = 2, delay_s: float = 2.0, halve: bool = False, request_delay_s: float = 0.0, ledger: Ledger | None = None
+) -> DataFrame:
     """One row per attempt, and one with status "split" for each request that was halved. batches: media_id, batch_no,
     texts (array). A failed batch is tried again up to retries times, after delay_s times the attempt, unless the failure
-    is transient. A task sends no more batches of a media item after one was lost. Providers live as long as their task."""
+    is transient. No batch of a media item is sent after one was lost: in the same task, and with a ledger in any. What
+    the ledger holds is not sent again. A task waits request_delay_s between requests. Providers live as long as their
+    task."""
+    how = f"{source}>{target}"
+
+    def attempts(backend, texts: list[str]) -> tuple[Rows, bool]:
+        rows: Rows = []
+        for attempt in range(retries + 1):
+            log = lambda reason: rows.append((attempt, "split", reason, None))  # noqa: B023, E731
+            try:
+                rows.append((attempt, "ok", None, _asked(backend, texts, source, target, halve, log)))
+                return rows, True
+            except TransientError as e:
+                rows.append((attempt, "transient", str(e), None))
+                return rows, False
+            except Exception as e:
+                rows.append((attempt, "failed", str(e), None))
+                if attempt < retries:
+                    time.sleep(delay_s * (attempt + 1))
+        return rows, False
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        backend, lost = make(), set()
+        backend, lost, sent = make(), set(), False
         for frame in frames:
-            rows = []
             for media_id, batch_no, texts in zip(frame["media_id"], frame["batch_no"], frame["texts"]):
-                if media_id in lost:
-                    continue
-                for attempt in range(retries + 1):
-                    log = lambda reason: rows.append((media_id, batch_no, attempt, "split", reason, None))  # noqa: B023, E731
-                    try:
-                        rows.append((media_id, batch_no, attempt, "ok", None, _asked(backend, list(texts), source, target, halve, log)))
-                        break
-                    except TransientError as e:
-                        rows.append((media_id, batch_no, attempt, "transient", str(e), None))
+                texts = list(texts)
+                request = (media_id, int(batch_no), texts, how)
+                rows = ledger and (ledger.read(*request) or ledger.lost(*request))
+                if rows is None:
+                    if media_id in lost or (ledger and ledger.stopped(media_id)):
+                        continue
+                    if sent:
+                        time.sleep(request_delay_s)
+                    rows, fine = attempts(backend, texts)
+                    sent = True
+                    if not fine:
                         lost.add(media_id)
-                        break
-                    except Exception as e:
-                        rows.append((media_id, batch_no, attempt, "failed", str(e), None))
-                        if attempt == retries:
-                            lost.add(media_id)
-                        else:
-                            time.sleep(delay_s * (attempt + 1))
-            yield pd.DataFrame(rows, columns=["media_id", "batch_no", "attempt", "status", "error", "texts"])
+                    if ledger:
+                        (ledger.write if fine else ledger.stop)(*request, rows)
+                yield pd.DataFrame([(media_id, batch_no, *r) for r in rows], columns=["media_id", "batch_no", "attempt", "status", "error", "texts"])
 
     return batches.select("media_id", F.col("batch_no").cast("int").alias("batch_no"), "texts").mapInPandas(run, ATTEMPTS)
 
 
+class _Heard:
+    """Tells progress the share of requests that have a reply, while tasks run: the ledger is counted again and again, with
+    pauses that are long beside the counting. Shares only rise."""
+
+    def __init__(self, ledger: Ledger, total: int, progress: Callable[[float], None], pause_s: float = 0.1):
+        self.ledger, self.total, self.progress, self.pause_s = ledger, max(1, total), progress, pause_s
+        self.last, self.over = 0.0, threading.Event()
+        self.thread = threading.Thread(target=self._watch, daemon=True)
+
+    def _watch(self) -> None:
+        pause = self.pause_s
+        while not self.over.wait(pause):
+            began = time.monotonic()
+            self._tell()
+            pause = max(self.pause_s, 20 * (time.monotonic() - began))
+
+    def _tell(self) -> None:
+        share = min(1.0, self.ledger.count() / self.total)
+        if share > self.last:
+            self.last = share
+            self.progress(share)
+
+    def __enter__(self) -> _Heard:
+        self.thread.start()
+        return self
+
+    def __exit__(self, *exc) -> None:
+        self.over.set()
+        self.thread.join()
+        self._tell()
+
+
 def translate(
-    cues: DataFrame, make: Callable[[], Provider], source: str, target: str, batch_size: int | None = None, retries: int = 0, delay_s: float = 0.0, halve: bool = False, workers: int = 4, progress: Callable[[float], None] | None = None
+    cues: DataFrame, make: Callable[[], Provider], source: str, target: str, batch_size: int | None = None, retries: int = 2, delay_s: float = 2.0, halve: bool = False, workers: int = 2, request_delay_s: float = 0.0,
+    progress: Callable[[float], None] | None = None, ledger: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(cues with translation, attempts). Each media item's first batch goes alone; only where it comes back do the others
-    follow, up to workers at a time, and none after one of the same task was lost. A media item with a lost batch gives no
-    cues at all; others go on. Calls are made here, once; progress hears the share of batches that are done, as the tasks
-    observe it. cues: media_id, cue_no, text; of each media item all its cues."""
+    follow, in lanes: up to workers of them are under way at a time, in tasks of their own, and none is sent after one was
+    lost. A media item with a lost batch gives no cues at all; others go on. Calls are made here, once. cues: media_id,
+    cue_no, text; of each media item all its cues.
+
+    Replies are kept one by one in a ledger (a folder of this call, or the one that is named), so a task that runs again
+    sends only what is missing; with a named folder, so does another call after this program has ended. progress hears the
+    share of batches that have a reply, as they come."""
+    spark = cues.sparkSession
+    kept = Ledger(ledger or new_folder(spark, "ledger"), uuid.uuid4().hex)
     batches = batch_fixed(cues, batch_size or make().batch_size)
     texts = F.transform(F.array_sort(F.collect_list(F.struct("pos", X.flatten_request(F.col("text")).alias("t")))), lambda s: s["t"])
     grouped = cut(batches.groupBy("media_id", "batch_no").agg(texts.alias("texts")), "requests")
-    total, done = max(1, grouped.count()) if progress else 1, 0
-
-    def sent(some: DataFrame) -> DataFrame:
-        nonlocal done
-        seen = Observation()
-        found = cut(run_batches(some, make, source, target, retries, delay_s, halve).observe(seen, F.count_if(F.col("status") == "ok").alias("ok")), "replies")
-        if progress:
-            done += seen.get["ok"]
-            progress(done / total)
-        return found
-
     first, rest = canary(grouped)
-    tried = sent(first.repartition("media_id"))
-    fine = tried.where("status = 'ok'").select("media_id")
     lane = (F.col("batch_no") % workers).alias("_lane")
-    others = rest.join(fine, "media_id", "left_semi").withColumn("_lane", lane).repartition("media_id", "_lane").sortWithinPartitions("media_id", "batch_no")
-    attempts = tried.unionByName(sent(others))
+    counts = grouped.agg(F.count("*").alias("all"), F.count_if(F.col("batch_no") == 0).alias("first"), F.count_distinct(F.when(F.col("batch_no") > 0, F.struct("media_id", lane))).alias("lanes")).first()
+    most = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+    def sent(some: DataFrame, tasks: int, *by: str) -> DataFrame:
+        """Dealt to a number of tasks, which stays as it is: requests are small, but take long."""
+        dealt = some.repartition(max(1, min(tasks, most)), *by).sortWithinPartitions("media_id", "batch_no")
+        return cut(run_batches(dealt, make, source, target, retries, delay_s, halve, request_delay_s, kept), "replies")
+
+    with _Heard(kept, counts["all"], progress) if progress else nullcontext():
+        tried = sent(first, counts["first"], "media_id")
+        fine = tried.where("status = 'ok'").select("media_id")
+        others = sent(rest.join(fine, "media_id", "left_semi").withColumn("_lane", lane), counts["lanes"], "media_id", "_lane")
+    attempts = tried.unionByName(others)
     replies = attempts.where("status = 'ok'").select("media_id", "batch_no", "texts")
     whole = grouped.groupBy("media_id").count().join(replies.groupBy("media_id").agg(F.count("*").alias("_ok")), "media_id").where("count = _ok").select("media_id")
     lines = replies.join(whole, "media_id", "left_semi").select("media_id", "batch_no", F.posexplode("texts").alias("pos", "translation"))

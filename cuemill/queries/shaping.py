@@ -223,7 +223,7 @@ def e10_merge_translations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT media_id, cue_no, array_to_string(list_transform(string_split(text, ' '), lambda w: CASE WHEN w = 'the' THEN 'le' WHEN w = 'and' THEN 'et' ELSE w END), ' ') AS translation FROM v_cues", CUES)
 def e11_translate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done, _ = E.translate(views.cues(spark, sf_dir), lambda: E.provider("glossary", words={"the": "le", "and": "et"}), "en", "fr")
+    done, _ = E.translate(views.cues(spark, sf_dir), lambda: E.provider("glossary", words={"the": "le", "and": "et"}), "en", "fr", workers=4)
     return done.select("media_id", "cue_no", "translation")
 
 
@@ -243,7 +243,7 @@ class _Strict(E.Glossary):
 @query("SELECT media_id, cue_no, array_to_string(list_transform(string_split(text, ' '), lambda w: CASE WHEN w = 'the' THEN 'le' ELSE w END), ' ') AS translation FROM v_cues WHERE media_id NOT IN (SELECT media_id FROM v_cues WHERE length(text) > 400)", CUES)
 def e11_translate_with_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A provider that refuses some lines, whose media items are lost, and drops lines of long requests, which are halved."""
-    done, _ = E.translate(views.cues(spark, sf_dir), lambda: _Strict({"the": "le"}), "en", "fr", halve=True)
+    done, _ = E.translate(views.cues(spark, sf_dir), lambda: _Strict({"the": "le"}), "en", "fr", halve=True, delay_s=0, workers=4)
     return done.select("media_id", "cue_no", "translation")
 
 
@@ -251,7 +251,7 @@ def e11_translate_with_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def u4_canary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A provider that refuses everything is asked once for each media item."""
     refuse = lambda: _Refusing({})
-    _, attempts = E.translate(views.cues(spark, sf_dir), refuse, "en", "fr")
+    _, attempts = E.translate(views.cues(spark, sf_dir), refuse, "en", "fr", workers=4)
     return attempts.groupBy("media_id").agg(F.count("*").alias("sent"))
 
 

@@ -1,3 +1,8 @@
+import subprocess
+import sys
+import time
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -114,7 +119,7 @@ def test_calls_are_made_once(spark, tmp_path):
     done, attempts = E.translate(cues(spark, ["a", "b", "c"]), lambda: Counted(tmp_path / "calls"), "en", "fr", progress=heard.append)
     for _ in range(2):
         assert done.count() == 3 and attempts.count() == 3 and done.where("translation = 'A'").count() == 1
-    assert sorted((tmp_path / "calls").read_text().split()) == ["a", "b", "c"] and heard == [1 / 3, 1.0]
+    assert sorted((tmp_path / "calls").read_text().split()) == ["a", "b", "c"] and heard[-1] == 1.0 and heard == sorted(set(heard))
 
 
 def test_only_the_first_batch_is_sent_where_it_fails(spark, tmp_path):
@@ -157,3 +162,95 @@ def test_chunks_are_heard_once(spark, tmp_path):
     results = E.transcribe(planned, make)
     assert results.count() == 3 and E.missing_results(planned, results).where("error is null").count() == 3 and E.chunk_failures(results).count() == 0
     assert sorted((tmp_path / "heard").read_text().split()) == ["a0", "a30000", "a60000"]
+
+
+class Slow:
+    """Upper case; notes the task and the process of each request, and refuses some."""
+
+    batch_size = 1
+
+    def __init__(self, path, refuse=(), wait_s=0.0):
+        self.path, self.refuse, self.wait_s = path, refuse, wait_s
+
+    def translate_batch(self, texts, source, target):
+        from pyspark import TaskContext
+
+        with open(self.path, "a") as f:
+            f.write(f"{texts[0]} {TaskContext.get().stageId()}-{TaskContext.get().partitionId()}\n")
+        time.sleep(self.wait_s)
+        if texts[0] in self.refuse:
+            raise E.TransientError("no")
+        return [t.upper() for t in texts]
+
+
+def requests(path):
+    return [line.split(" ") for line in path.read_text().splitlines()]
+
+
+def test_calls_are_spread_over_tasks_and_stop(spark, tmp_path):
+    many = cues(spark, [f"a{i}" for i in range(40)]).union(cues(spark, [f"b{i}" for i in range(10)], "n"))
+    E.translate(many, lambda: Slow(tmp_path / "all", wait_s=0.02), "en", "fr", workers=4)
+    calls = requests(tmp_path / "all")
+    assert len(calls) == 50 and len({c[0] for c in calls}) == 50
+    assert len({task for text, task in calls if text[0] == "a" and text != "a0"}) == 4  # a task for each lane, or more lanes than tasks
+    done, attempts = E.translate(many, lambda: Slow(tmp_path / "lost", refuse=("a9",), wait_s=0.3), "en", "fr", workers=4)
+    calls = [c[0] for c in requests(tmp_path / "lost")]
+    after = [c for c in calls[calls.index("a9") + 1 :] if c[0] == "a"]
+    assert len(after) <= 4 and {r.media_id for r in done.collect()} == {"n"}
+    assert attempts.where("status = 'transient'").count() == 1
+
+
+def test_replies_are_kept_for_the_next_run(spark, tmp_path):
+    six = cues(spark, [f"a{i}" for i in range(6)])
+    kept = f"file://{tmp_path}/ledger"
+    done, _ = E.translate(six, lambda: Slow(tmp_path / "one", refuse=("a3",)), "en", "fr", workers=1, ledger=kept)
+    assert done.count() == 0 and [c[0] for c in requests(tmp_path / "one")] == ["a0", "a1", "a2", "a3"]
+    heard = []
+    done, attempts = E.translate(six, lambda: Slow(tmp_path / "two"), "en", "fr", workers=1, ledger=kept, progress=heard.append)
+    assert [c[0] for c in requests(tmp_path / "two")] == ["a3", "a4", "a5"]  # a later run tries the lost one again
+    assert [r.translation for r in done.orderBy("cue_no").collect()] == [f"A{i}" for i in range(6)] and attempts.count() == 6 and heard[-1] == 1.0
+    changed = six.withColumn("text", F.when(F.col("cue_no") == 2, "new").otherwise(F.col("text")))
+    E.translate(changed, lambda: Slow(tmp_path / "three"), "en", "fr", workers=1, ledger=kept)
+    assert [c[0] for c in requests(tmp_path / "three")] == ["new"]
+    E.translate(six, lambda: Slow(tmp_path / "four"), "en", "de", workers=1, ledger=kept)
+    assert len(requests(tmp_path / "four")) == 6  # another language is another request
+
+
+def test_progress_is_heard_while_tasks_run(spark, tmp_path):
+    heard = []
+    E.translate(cues(spark, [f"a{i}" for i in range(12)]), lambda: Slow(tmp_path / "calls", wait_s=0.3), "en", "fr", workers=2, progress=heard.append)
+    assert heard == sorted(set(heard)) and len(heard) >= 5 and heard[-1] == 1.0 and heard[0] <= 2 / 12
+
+
+KILLED = """
+import os, sys, time
+os.environ["PYTHONPATH"] = {root!r}
+sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+from cuemill.operators import batching as E
+
+spark = SparkSession.builder.master("local[2,4]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", 2).getOrCreate()
+
+class Dies:
+    batch_size = 1
+    def translate_batch(self, texts, source, target):
+        with open({calls!r}, "a") as f:
+            f.write(texts[0] + "\\n")
+        if texts[0] == "a5" and not os.path.exists({mark!r}):
+            open({mark!r}, "w").close()
+            os.kill(os.getpid(), 9)
+        return [t.upper() for t in texts]
+
+cues = spark.createDataFrame([("m", i, f"a{{i}}") for i in range(10)], "media_id string, cue_no int, text string")
+done, _ = E.translate(cues, Dies, "en", "fr", workers=1)
+assert [r.translation for r in done.orderBy("cue_no").collect()] == [f"A{{i}}" for i in range(10)]
+"""
+
+
+def test_a_killed_task_pays_no_call_twice(tmp_path):
+    root = str(Path(__file__).resolve().parent.parent)
+    program = KILLED.format(root=root, calls=str(tmp_path / "calls"), mark=str(tmp_path / "mark"))
+    found = subprocess.run([sys.executable, "-c", program], capture_output=True, text=True, timeout=300)
+    assert found.returncode == 0, found.stderr[-2000:]
+    calls = (tmp_path / "calls").read_text().split()
+    assert sorted(calls) == sorted([f"a{i}" for i in range(10)] + ["a5"])  # the one under way when the worker died, and no other
