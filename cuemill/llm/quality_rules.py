@@ -51,12 +51,15 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), _SPACES), "")
 
 
-def _bucket(*hashes: Column) -> Column:
-    return F.pmod(F.xxhash64(*hashes), F.lit(BUCKETS)).cast("int")
+def pair_hashes(hashes: Column) -> Column:
+    """A 64-bit hash of each word with the next."""
+    n = F.size(hashes)
+    following = F.slice(hashes, 2, F.greatest(n - 1, F.lit(0)))
+    return F.slice(F.zip_with(hashes, following, lambda a, b: F.xxhash64(a, b)), 1, F.greatest(n - 1, F.lit(0)))
 
 
-def _pair(hashes: Column, i: Column) -> Column:
-    return _bucket(F.get(hashes, i), F.get(hashes, i + 1))
+def _bucket(h: Column) -> Column:
+    return h.bitwiseAND(F.lit(BUCKETS - 1).cast("long")).cast("int")
 
 
 def _indices(least: int, hashes: Column) -> Column:
@@ -65,9 +68,10 @@ def _indices(least: int, hashes: Column) -> Column:
     return F.when(n >= least, F.sequence(F.lit(0), n - least)).otherwise(F.array().cast("array<int>"))
 
 
-def grams(hashes: Column) -> Column:
-    """The buckets of all words and all pairs of neighbours."""
-    return F.concat(F.transform(hashes, lambda h: _bucket(h)), F.transform(_indices(2, hashes), lambda i: _pair(hashes, i)))
+def _grams(df: DataFrame, *keep: str | Column) -> DataFrame:
+    """df's columns in keep and its words' hashes (_hashes) with those of pairs (_pairs). Both are columns of their own, as
+    lambdas over an expression would compute it for every element."""
+    return df.select(*keep, "_hashes", pair_hashes(F.col("_hashes")).alias("_pairs"))
 
 
 @dataclass
@@ -82,11 +86,11 @@ def _literal(ratios: list[float]) -> Column:
     return F.split(F.lit(",".join(map(repr, ratios))), ",").cast("array<double>")  # folded to one literal
 
 
-def _score(hashes: Column, ratios: list[float]) -> Column:
-    table, n = _literal(ratios), F.size(hashes)
-    single = F.aggregate(hashes, F.lit(0.0), lambda acc, h: acc + F.get(table, _bucket(h)))
-    pairs = F.aggregate(_indices(2, hashes), F.lit(0.0), lambda acc, i: acc + F.get(table, _pair(hashes, i)))
-    return F.when(n > 0, (single + pairs) / (2 * n - 1)).otherwise(0.0)
+def _score(ratios: list[float]) -> Column:
+    """Over columns _hashes and _pairs."""
+    table, n = _literal(ratios), F.size("_hashes") + F.size("_pairs")
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda acc, h: acc + F.get(table, _bucket(h)))
+    return F.when(n > 0, (total("_hashes") + total("_pairs")) / n).otherwise(0.0)
 
 
 def log_ratios(target: np.ndarray, raw: np.ndarray) -> list[float]:
@@ -98,15 +102,17 @@ def log_ratios(target: np.ndarray, raw: np.ndarray) -> list[float]:
 def fit(docs: DataFrame, trusted: Column, text: str = "text") -> Model:
     """trusted: whether a row belongs to the target. Counts cover all rows, the threshold all trusted ones."""
     half = F.pmod(F.xxhash64(F.col(text)), F.lit(2)).cast("int") + 1
-    sided = docs.select(F.when(F.coalesce(trusted, F.lit(False)), half).otherwise(0).alias("_side"), word_hashes(F.col(text)).alias("_hashes"))
+    side = F.when(F.coalesce(trusted, F.lit(False)), half).otherwise(0)
+    sided = _grams(docs.select(side.alias("_side"), word_hashes(F.col(text)).alias("_hashes")), "_side")
+    buckets = F.concat(F.transform("_hashes", _bucket), F.transform("_pairs", _bucket))
     found = np.zeros((3, BUCKETS))
-    for r in sided.select("_side", F.explode(grams(F.col("_hashes"))).alias("_bucket")).groupBy("_bucket").agg(*[F.count_if(F.col("_side") == k).alias(f"n{k}") for k in range(3)]).collect():
+    for r in sided.select("_side", F.explode(buckets).alias("_bucket")).groupBy("_bucket").agg(*[F.count_if(F.col("_side") == k).alias(f"n{k}") for k in range(3)]).collect():
         found[:, r["_bucket"]] = r["n0"], r["n1"], r["n2"]
     raw, target = found.sum(axis=0), found[1] + found[2]
     if not target.any():
         return Model(None, 0.0)
     by = {1: log_ratios(found[2], raw), 2: log_ratios(found[1], raw)}
-    own = F.when(F.col("_side") == 1, _score(F.col("_hashes"), by[1])).otherwise(_score(F.col("_hashes"), by[2]))
+    own = F.when(F.col("_side") == 1, _score(by[1])).otherwise(_score(by[2]))
     at = F.floor(F.greatest(F.lit(-FAR), F.least(F.lit(FAR), own)) / STEP).cast("int")
     steps = sorted((r["at"], r["count"]) for r in sided.where("_side > 0 and size(_hashes) > 0").select(at.alias("at")).groupBy("at").count().collect())
     below, most = 0, TAIL * sum(n for _, n in steps)
@@ -145,10 +151,9 @@ def measure(docs: DataFrame, model: Model | None = None, text: str = "text", kee
         *keep, F.transform("_words", lambda w: F.xxhash64(w)).alias("_hashes"), F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
         "n_symbols", (size("_lines") - size(F.array_distinct("_lines"))).alias("n_dup_lines"),
     )
-    hashes = F.col("_hashes")
-    windows = F.transform(_indices(WINDOW, hashes), lambda i: F.xxhash64(*[F.get(hashes, i + j) for j in range(WINDOW)]))
-    scored = _score(hashes, model.ratios) if model and model.ratios else F.lit(0.0)
-    found = counted.select(*keep, size(hashes).alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", windows.alias("_windows"), *([scored.alias("score")] if model else []))
+    windows = F.transform(_indices(WINDOW, F.col("_hashes")), lambda i: F.xxhash64(*[F.get("_pairs", i + j) for j in range(0, WINDOW - 1, 2)], *[F.get("_hashes", i + WINDOW - 1)] * (WINDOW % 2)))
+    scored = _score(model.ratios) if model and model.ratios else F.lit(0.0)
+    found = _grams(counted, *keep, "word_chars", "n_symbols", "n_dup_lines").select(*keep, size(F.col("_hashes")).alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", windows.alias("_windows"), *([scored.alias("score")] if model else []))
     return found.select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", _repeated(F.col("_windows")).alias("n_repeat_words"), *(["score"] if model else []))
 
 

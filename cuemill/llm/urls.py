@@ -70,13 +70,18 @@ def labelled_urls() -> list[tuple[str, int]]:
     return [(f"https://{pick(_PREFIXES, name)}{name}{pick(_SUFFIXES, name)}{pick(_PATHS, name)}", label) for names, label in ((bad, 1), (good, 0)) for name in names]
 
 
+def _rest(url: Column) -> Column:
+    """What follows the first "://"; empty if there is none."""
+    at = F.instr(url, "://")
+    return F.coalesce(F.when(at > 0, F.substr(url, at + 3)), F.lit(""))
+
+
 def host(url: Column) -> Column:
-    rest = F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1)
-    return F.coalesce(F.translate(rest, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(""))
+    return F.translate(F.regexp_extract(_rest(url), r"^[^/?#]*", 0), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def path(url: Column) -> Column:
-    return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*(/[^?#]*)", 1), F.lit(""))
+    return F.regexp_extract(_rest(url), r"^[^/?#]*+(/[^?#]*)", 1)
 
 
 def rule(host: Column, path: Column, rules: tuple = RULES) -> Column:

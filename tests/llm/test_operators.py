@@ -6,6 +6,7 @@ import math
 import random
 import re
 import string
+import time
 import zlib
 from collections import Counter
 
@@ -129,6 +130,62 @@ def test_html_query_keeps_articles(spark, sf_dir):
         assert got[r.page_id].text == "\n".join(p for p in parts if p) and got[r.page_id].n_chars == len(got[r.page_id].text)
 
 
+def test_html_without_names_and_main_elements(spark, sf_dir, monkeypatch):
+    """The passes alone decide the given pages: without any name, main element or bad element they give the same text, but
+    for notices that read like the first or last lines of an article."""
+    pages = [r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").select("html").collect()]
+    with_elements = [html_text.main_text(p) for p in pages]
+    for name in ("_STRONG", "_STEMS", "_GOOD", "_WEAK", "_LEANING"):
+        monkeypatch.setattr(html_text, name, frozenset())
+    monkeypatch.setattr(html_text, "_STRONG_START", re.compile(r"(?!)"))
+    without = [html_text.main_text(p) for p in pages]
+    same = sum(a == b for a, b in zip(with_elements, without))
+    assert same >= 0.75 * len(pages)
+    for a, b, page in zip(with_elements, without, pages):
+        notices = {re.sub(r"\s+", " ", html.unescape(x)).strip() for x in re.findall(r'<div class="ad">(.*?)</div>', page, re.S)}
+        assert set(b.split("\n")) - set(a.split("\n")) <= notices
+    monkeypatch.setattr(html_text, "_BAD", frozenset())
+    bare = [html_text.main_text(p) for p in pages]
+    shared = [len(set(a.split("\n")) & set(b.split("\n"))) / max(1, len(set(a.split("\n")) | set(b.split("\n")))) for a, b in zip(with_elements, bare)]
+    assert sum(shared) >= 0.8 * len(shared)
+    for name in ("STOP_LOW", "STOP_HIGH"):  # and the passes do decide
+        monkeypatch.setattr(html_text, name, 1.1)
+    monkeypatch.setattr(html_text, "STOP_PAGE", 0.0)
+    assert sum(html_text.main_text(p) != b for p, b in zip(pages, bare)) >= 0.8 * len(pages)
+
+
+@pytest.mark.parametrize("part", ["<p ", '<a x="', "<b '", "<div>", "</b>", "<a '>'", "<a x='>'", "<!-", "<![", "&#", "<article><section></div>", '<a b=">', "<a b=   ", "<a class   "])
+def test_html_malformed_pages_end(part):
+    for page in (part * (200_000 // len(part)), part * (200_000 // len(part)) + '">', part * (200_000 // len(part)) + "='"):
+        began = time.process_time()
+        html_text.main_text(page)
+        assert time.process_time() - began < 4  # under half a second; time grows with the text
+    assert html_text.main_text("<p>" + "&#" + "9" * 6000 + ";" + PROSE).endswith(PROSE)
+
+
+def test_html_tags_with_quotes():
+    assert html_text.main_text(f"<div title='a > b'><p class=it's>{PROSE}</p><p title=\"x>y\">{PROSE}</p></div>") == f"{PROSE}\n{PROSE}"
+    assert html_text.main_text(f"<p>{PROSE}</p><p>{PROSE}</p><a href=\"x>{LINKS}") .startswith(f"{PROSE}\n{PROSE}")
+    assert html_text.main_text(f"<p>1 < 2 and {PROSE}</p><p>{PROSE}</p>") == f"1 < 2 and {PROSE}\n{PROSE}"
+
+
+def test_html_names_that_lean():
+    for attrs in ("class=commentator", "class=promotion", "class=social", "id=menu"):
+        assert html_text.main_text(f"<article><p>{PROSE}</p><div {attrs}><p>{PROSE} More of it.</p></div><p>{PROSE}</p></article>").count("More of it.") == 1, attrs
+        assert "Share" not in html_text.main_text(f"<article><p>{PROSE}</p><div {attrs if attrs != 'class=commentator' else 'class=social'}>Share</div><p>{PROSE}</p></article>"), attrs
+
+
+def test_html_threads_of_comments():
+    text = f"<h1>Title of it</h1><p>{PROSE}</p><p>{PROSE}</p><p>{PROSE} End.</p>"
+    for head in ("3 responses", "Comments", "12 comments", "Leave a reply", "Kommentare (4)"):
+        got = html_text.main_text(f"<article>{text}<div class=thread><h3>{head}</h3><p>Ann</p><p>{PROSE} I think so.</p></div></article>")
+        assert got.endswith("End.") and "I think" not in got, head
+    said = "".join(f"<div><div>Ann{i}, {i} hours ago</div><div>{PROSE} I think {i}.</div></div>" for i in range(1, 3)) + f"<div><div>Bob, 12 May 2020</div><div>{PROSE[:60]}</div></div>"
+    got = html_text.main_text(f"<article><p>Ann, 12 May 2020</p>{text}{text}{said}</article>")
+    assert got.endswith("End.") and "I think" not in got and got.startswith("Ann, 12 May 2020\nTitle")
+    assert html_text.main_text(f"<article>{text}<h2>Responses of cells to it</h2><p>{PROSE} Kept.</p></article>").endswith("Kept.")
+
+
 # 2 URLs
 
 
@@ -142,6 +199,9 @@ def test_urls(spark):
         ("https://blog.city-garden.example.org/es", "blog.city-garden.example.org", "/es", None, "allow"),
         ("://h?/q", "h", "", None, "allow"),
         ("no scheme", "", "", None, "allow"),
+        ("http://foo.com?next=http://example.com/en/77", "foo.com", "", None, "allow"),
+        ("http://a.net#x://y/de/1", "a.net", "", None, "allow"),
+        ("a://b.com/en/?u=c://d/de/8", "b.com", "/en/", "com/en/", "block"),
         (None, "", "", None, "allow"),
     ]
     table = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "page_id int, url string")
@@ -151,6 +211,24 @@ def test_urls(spark):
     assert urls.judge(table.limit(0)).count() == 0
 
 
+def test_url_parts_are_those_of_a_plain_parser(spark):
+    """The contract's words, read by splitting at the first of each mark."""
+    rng = random.Random(0)
+    made = ["".join(rng.choice(["://", "/", "?", "#", ":", "a", "B", "é", ".com", "en", "\n", " "]) for _ in range(rng.randrange(9))) for _ in range(600)]
+
+    def plain(url):
+        if "://" not in url:
+            return "", ""
+        rest = url.split("://", 1)[1]
+        cut = min((rest.index(c) for c in "/?#" if c in rest), default=len(rest))
+        after = rest[cut:]
+        return rest[:cut].translate(LOWER), after[: min((after.index(c) for c in "?#" if c in after), default=len(after))]
+
+    table = spark.createDataFrame([(u,) for u in made], "url string")
+    for r in table.select("url", urls.host(F.col("url")).alias("host"), urls.path(F.col("url")).alias("path")).collect():
+        assert (r.host, r.path) == plain(r.url), repr(r.url)
+
+
 def url_features(url):
     """Brute force: the buckets of a url's n-grams, counted."""
     import struct

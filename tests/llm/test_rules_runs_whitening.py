@@ -40,8 +40,7 @@ def base(text):
 
 def buckets(text):
     h = [hashed(w.encode()) for w in WORD.findall(text or "")]
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
-    return [signed(hashed(x)) % quality_rules.BUCKETS for x in h] + [signed(hashed(a, b)) % quality_rules.BUCKETS for a, b in zip(h, h[1:])]
+    return [x % quality_rules.BUCKETS for x in [*h, *map(hashed, h, h[1:])]]
 
 
 def judged(rows):
