@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import batching as E
@@ -14,6 +17,17 @@ _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvid
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
+@contextmanager
+def _state(spark: SparkSession) -> Iterator[None]:
+    """The state provider that timers and maps need."""
+    before = spark.conf.get(_PROVIDER)
+    spark.conf.set(_PROVIDER, _ROCKS)
+    try:
+        yield
+    finally:
+        spark.conf.set(_PROVIDER, before)
+
+
 def _shared(spark: SparkSession) -> str:
     """A new folder in the one that all executors share."""
     return new_folder(spark, "stream")
@@ -50,27 +64,31 @@ def k2_stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a stream; the highest update of each chunk."""
     events = _stream(spark, sf_dir, "events").where("event_type <> 'error'")
     shaped = events.select(F.floor(F.col("user_id") / 10).cast("string").alias("media_id"), (F.col("event_id") % 4).cast("int").alias("chunk_no"), (F.col("value") / 100.0).alias("fraction"), F.col("ts").cast("timestamp").alias("event_time"))
-    rows = _finished(jobs.stream_progress(shaped), _shared(spark), "update")
+    with _state(spark):
+        rows = _finished(jobs.stream_progress(shaped), _shared(spark), "update")
     return rows.groupBy("media_id", "chunk_no").agg(F.round(F.max("fraction") * 1000000).cast("long").alias("fraction"))
 
 
-@query("SELECT backend, at_us, CAST(streak AS INTEGER) AS failures FROM (SELECT backend, at_us, sum(CASE WHEN ok THEN 0 ELSE 1 END) OVER (PARTITION BY backend, island ORDER BY at_us) AS streak FROM (SELECT CAST(user_id AS VARCHAR) AS backend, epoch_us(ts) AS at_us, event_type <> 'error' AS ok, sum(CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts) AS island FROM events) WHERE NOT ok) WHERE streak = 3")
+@query("SELECT backend, at_us, CAST(streak AS INTEGER) AS failures FROM (SELECT backend, at_us, sum(CASE WHEN ok THEN 0 ELSE 1 END) OVER (PARTITION BY backend, island ORDER BY at_us) AS streak FROM (SELECT CAST(user_id AS VARCHAR) AS backend, epoch_us(ts) AS at_us, event_type <> 'error' AS ok, sum(CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts) AS island FROM events) WHERE NOT ok) WHERE streak = 3 AND at_us <= (SELECT max(epoch_us(ts)) // 1000 * 1000 - 3600000000 FROM events)")
 def k3_stream_failure_streak(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An alarm for each run of failures, at its third."""
-    before = spark.conf.get(_PROVIDER)
-    spark.conf.set(_PROVIDER, _ROCKS)
-    try:
-        outcomes = _stream(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("backend"), F.col("ts").cast("timestamp").alias("event_time"), (F.col("event_type") != "error").alias("ok"))
-        rows = _finished(jobs.stream_failure_streak(outcomes), _shared(spark), "append")
-    finally:
-        spark.conf.set(_PROVIDER, before)
+    """An alarm for each run of failures, at its third, up to where the last watermark stands: an hour before the end."""
+    outcomes = _stream(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("backend"), F.col("ts").cast("timestamp").alias("event_time"), (F.col("event_type") != "error").alias("ok"))
+    with _state(spark):
+        rows = _finished(jobs.stream_failure_streak(outcomes, "1 hour"), _shared(spark), "append")
     return rows.select("backend", F.unix_micros("event_time").alias("at_us"), "failures")
 
 
 @query("SELECT CAST(conv_id AS VARCHAR) AS media_id, CAST(turn AS INTEGER) AS cue_no, array_to_string(list_transform(string_split(replace(text, chr(10), ' '), ' '), lambda w: CASE WHEN w = 'the' THEN 'le' ELSE w END), ' ') AS translation FROM conversations WHERE text IS NOT NULL AND text <> ''")
 def k4_stream_translate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as transcripts that arrive."""
+    """Conversations as transcripts that arrive in three parts, each with every third turn, and are translated when they
+    are whole."""
     out = _shared(spark)
-    cues = _stream(spark, sf_dir, "conversations").where("text is not null and text <> ''").select(F.col("conv_id").cast("string").alias("media_id"), F.col("turn").cast("int").alias("cue_no"), "text")
-    jobs.stream_translate(cues, lambda: E.provider("glossary", words={"the": "le"}), "en", "fr", f"{out}/rows", f"{out}/state").awaitTermination()
+    own = table(spark, sf_dir, "conversations").where("text is not null and text <> ''").select(F.col("conv_id").cast("string").alias("media_id"), F.col("turn").cast("int").alias("cue_no"), "text")
+    parts = own.join(own.groupBy("media_id").agg(F.count("*").cast("int").alias("total")), "media_id")
+    for k in range(3):
+        parts.where(F.col("cue_no") % 3 == k).coalesce(1).write.mode("append").parquet(f"{out}/parts")
+    arriving = spark.readStream.schema(parts.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/parts").withColumn("event_time", F.current_timestamp())
+    with _state(spark):
+        whole = jobs.stream_transcripts(arriving).where("complete").drop("complete")
+        jobs.stream_translate(whole, lambda: E.provider("glossary", words={"the": "le"}), "en", "fr", f"{out}/rows", f"{out}/state").awaitTermination()
     return spark.read.parquet(f"{out}/rows").select("media_id", "cue_no", "translation")

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local: str | None = None
+_own = threading.local()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,13 +29,32 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_folder(spark: SparkSession, name: str) -> str:
     """A folder's name in the shared one; its files go when the driver's JVM ends, as results that are still to be
-    computed may read them until then."""
+    computed may read them until then, or with the scratch() around it."""
     path = f"{shared_dir(spark)}/cuemill-{name}-{uuid.uuid4().hex}"
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    if getattr(_own, "scratch", None):
+        _own.scratch[-1].append(path)
     return path
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Folders that are made inside by this thread go at the end, for work whose result has been written elsewhere."""
+    _own.scratch = [*getattr(_own, "scratch", []), []]
+    try:
+        yield
+    finally:
+        *_own.scratch, made = _own.scratch
+        for path in made:
+            remove(spark, path)
+
+
 def cut(df: DataFrame, name: str = "stage") -> DataFrame:
     """df written to the shared folder and read again: later uses don't compute it anew, and a lost executor costs
     nothing but its running tasks. The lineage ends here."""

@@ -1,4 +1,9 @@
-"""Structured Streaming forms: ingest of new files, progress, failure alarms, translation of what arrives."""
+"""Structured Streaming forms: ingest of new files, progress, failure alarms, transcripts that arrive in parts and their
+translation.
+
+The stateful ones need the RocksDB state provider. Their state ends: with the last report of a chunk, with the watermark
+that passes a buffered outcome, with the transcript that is handed on or timed out.
+"""
 
 from __future__ import annotations
 
@@ -10,9 +15,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..operators import batching
+from ..session import scratch
 from ..sources import srt
 
 FILES = "path string, modificationTime timestamp, length bigint, content binary"
+#: Rows of a frame that state hands on.
+FRAME = 1000
 
 
 def stream_srt(spark: SparkSession, directory: str, mode: str = "auto") -> DataFrame:
@@ -21,52 +29,203 @@ def stream_srt(spark: SparkSession, directory: str, mode: str = "auto") -> DataF
     return srt.read_srt(files.select("path", "content"), mode)
 
 
-def stream_progress(events: DataFrame, lateness: str = "1 hour") -> DataFrame:
-    """events: event_time, media_id, chunk_no, fraction. The highest fraction of each chunk; late lower reports change
-    nothing. The watermark ends the state of chunks that are long over."""
-    top = F.max(F.greatest(F.lit(0.0), F.least(F.lit(1.0), "fraction")))
-    return events.withWatermark("event_time", lateness).groupBy("media_id", "chunk_no").agg(top.alias("fraction"))
+PROGRESS = "media_id string, chunk_no int, fraction double, closed boolean"
+
+
+class ChunkProgress(StatefulProcessor):
+    """The highest fraction of a chunk. A timer that each report puts off closes the chunk after its last one."""
+
+    def __init__(self, idle_ms: int):
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("progress", "fraction double, last_ms long")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        known, last = tuple(self.state.get()) if self.state.exists() else (None, 0)
+        top = known
+        for r in rows:
+            best = r["fraction"].max()
+            if not pd.isna(best):
+                best = min(1.0, max(0.0, float(best)))
+                top = best if top is None else max(top, best)
+            last = max(last, int(r["at_ms"].max()))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(last + self.idle_ms)
+        self.state.update((top, last))
+        yield pd.DataFrame([(*key, top, False)] if top != known else [], columns=["media_id", "chunk_no", "fraction", "closed"])
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        found = [(*key, self.state.get()[0], True)] if self.state.exists() else []
+        self.state.clear()
+        yield pd.DataFrame(found, columns=["media_id", "chunk_no", "fraction", "closed"])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_progress(events: DataFrame, lateness: str = "1 hour", idle: str = "1 hour") -> DataFrame:
+    """events: event_time, media_id, chunk_no, fraction. A row whenever a chunk's highest fraction rises (cut to 0 and 1;
+    late lower reports change nothing), and one with closed when the watermark is idle beyond its last report; its state
+    ends then, and a still later report would begin a new one. Reports older than the watermark don't count; null
+    fractions only put the end off. Output mode: update."""
+    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
+    rows = events.select("media_id", "chunk_no", F.col("fraction").cast("double").alias("fraction"), "event_time", F.unix_millis("event_time").alias("at_ms"))
+    return rows.withWatermark("event_time", lateness).groupBy("media_id", "chunk_no").transformWithStateInPandas(ChunkProgress(idle_ms), PROGRESS, "Update", "EventTime")
 
 
 ALARM = "backend string, event_time timestamp, failures int"
 
 
 class FailureStreak(StatefulProcessor):
-    """One alarm when failures in a row reach limit; a success starts anew. State: (failures, alarm given)."""
+    """One alarm when failures in a row, by time, reach limit; a success starts anew. Outcomes wait in a buffer until the
+    watermark has passed them, so that their order does not depend on the micro-batch they came with; those of one time
+    count failures first."""
 
-    limit = 3
+    def __init__(self, limit: int = 3):
+        self.limit = limit
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("streak", "failures int, given boolean")
+        self.handle = handle
+        self.streak = handle.getValueState("streak", "failures int, given boolean")
+        self.buffer = handle.getMapState("buffer", "at_us long, ok boolean", "n int")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        failures, given = tuple(self.state.get()) if self.state.exists() else (0, False)
+        last = 0
+        for r in rows:
+            for (at, ok), n in r.groupby(["at_us", "ok"]).size().items():
+                place = (int(at), bool(ok))
+                held = self.buffer.getValue(place)[0] if self.buffer.containsKey(place) else 0
+                self.buffer.updateValue(place, (held + int(n),))
+            last = max(last, int(r["at_us"].max()))
+        self.handle.registerTimer(last // 1000 + 1)
+        yield self._released(key, timerValues)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        yield self._released(key, timerValues)
+
+    def _released(self, key: Any, timerValues: Any) -> pd.DataFrame:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        failures, given = tuple(self.streak.get()) if self.streak.exists() else (0, False)
         alarms = []
-        held = pd.concat([r[["ok", "event_time"]] for r in rows])  # in order of time; at the same time failures come first
-        for ok, at in held.sort_values(["event_time", "ok"], kind="stable").itertuples(index=False):
-            failures, given = (0, False) if ok else (failures + 1, given)
+        for at, ok in sorted((k[0], k[1]) for k in self.buffer.keys() if k[0] <= passed):
+            n = self.buffer.getValue((at, ok))[0]
+            self.buffer.removeKey((at, ok))
+            failures, given = (0, False) if ok else (failures + n, given)
             if failures >= self.limit and not given:
-                alarms.append((key[0], at, failures))
+                alarms.append((key[0], at, self.limit if failures - n < self.limit else failures))
                 given = True
-        self.state.update((failures, given))
-        yield pd.DataFrame(alarms, columns=["backend", "event_time", "failures"])
+        self.streak.update((failures, given))
+        return pd.DataFrame(alarms, columns=["backend", "at_us", "failures"])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_failure_streak(outcomes: DataFrame, lateness: str = "1 hour", limit: int = 3) -> DataFrame:
+    """outcomes: backend, event_time, ok (null: a failure). Alarms come once the watermark has passed the failure that is
+    the limit-th in a row; outcomes older than the watermark don't count. A backend's buffer holds one entry for each
+    distinct time within lateness; a streak is two numbers a backend. Output mode: append."""
+    rows = outcomes.select("backend", F.coalesce("ok", F.lit(False)).alias("ok"), "event_time", F.unix_micros("event_time").alias("at_us"))
+    alarms = rows.withWatermark("event_time", lateness).groupBy("backend").transformWithStateInPandas(FailureStreak(limit), "backend string, at_us long, failures int", "Append", "EventTime")
+    return alarms.select("backend", F.timestamp_micros("at_us").alias("event_time"), "failures")
+
+
+TRANSCRIPT = "media_id string, cue_no int, text string, complete boolean"
+
+
+class Assembly(StatefulProcessor):
+    """Holds the cues of a media item until all have come, or until none has come for a time; then hands them on, once.
+    That it has is remembered for the same time."""
+
+    def __init__(self, timeout_ms: int):
+        self.timeout_ms = timeout_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.cues = handle.getMapState("cues", "cue_no int", "text string")
+        self.seen = handle.getValueState("seen", "held int, total int, last_ms long")
+        self.over = handle.getValueState("over", "given boolean")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        if self.over.exists():
+            for _ in rows:
+                pass
+            yield self._frame([])
+            return
+        held, total, last = tuple(self.seen.get()) if self.seen.exists() else (0, -1, 0)
+        for r in rows:
+            last = max(last, int(r["at_ms"].max()))
+            for cue_no, text, all_cues in r[["cue_no", "text", "total"]].itertuples(index=False):
+                if not pd.isna(all_cues):
+                    total = int(all_cues)
+                if pd.isna(cue_no):
+                    continue  # an end marker alone
+                place = (int(cue_no),)
+                held += not self.cues.containsKey(place)
+                self.cues.updateValue(place, (None if text is None or pd.isna(text) else text,))
+        self._end_at(last + self.timeout_ms)
+        if 0 <= total <= held:
+            yield from self._handed_on(key, True)
+        else:
+            self.seen.update((held, total, last))
+            yield self._frame([])
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        if self.over.exists():
+            self.over.clear()
+            yield self._frame([])
+        else:
+            self._end_at(timerValues.getCurrentWatermarkInMs() + self.timeout_ms)
+            yield from self._handed_on(key, False)
+
+    def _end_at(self, when_ms: int) -> None:
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(when_ms)
+
+    def _handed_on(self, key: Any, complete: bool) -> Iterator[pd.DataFrame]:
+        rows = []
+        for (cue_no,), (text,) in self.cues.iterator():
+            rows.append((key[0], cue_no, text, complete))
+            if len(rows) == FRAME:
+                yield self._frame(rows)
+                rows = []
+        self.cues.clear()
+        self.seen.clear()
+        self.over.update((True,))
+        yield self._frame(rows)
+
+    @staticmethod
+    def _frame(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["media_id", "cue_no", "text", "complete"])
 
     def close(self) -> None:
         pass
 
 
-def stream_failure_streak(outcomes: DataFrame) -> DataFrame:
-    """outcomes: backend, event_time, ok. Needs the RocksDB state provider."""
-    return outcomes.groupBy("backend").transformWithStateInPandas(FailureStreak(), ALARM, "Append", "None")
+def stream_transcripts(cues: DataFrame, timeout: str = "1 hour", lateness: str = "10 minutes") -> DataFrame:
+    """cues: event_time (of arrival), media_id, cue_no, text and total, the number of the item's cues, which at least one
+    of its rows names (a row without cue_no may be an end marker alone). An item is handed on whole, in one micro-batch,
+    when as many cues have come; when the watermark is timeout beyond its newest cue as it is, with complete false. Order
+    does not matter; a cue that comes again replaces itself, and what comes within timeout of an item that was handed on is
+    ignored. Output mode: append."""
+    timeout_ms = int(pd.Timedelta(timeout).total_seconds() * 1000)
+    rows = cues.select("media_id", F.col("cue_no").cast("int").alias("cue_no"), "text", F.col("total").cast("int").alias("total"), "event_time", F.unix_millis("event_time").alias("at_ms"))
+    return rows.withWatermark("event_time", lateness).groupBy("media_id").transformWithStateInPandas(Assembly(timeout_ms), TRANSCRIPT, "Append", "EventTime")
 
 
-def stream_translate(cues: DataFrame, make: Callable, source: str, target: str, directory: str, checkpoint: str) -> StreamingQuery:
-    """Translates each batch of finished transcripts into a folder of its own under directory, so that a batch which runs
-    again replaces its own output. A media item that fails is left out of its batch's cues; others go on. A transcript
-    should arrive whole: the cues of one that is split over micro-batches are batched and judged part by part."""
+def stream_translate(cues: DataFrame, make: Callable, source: str, target: str, directory: str, checkpoint: str, **options: Any) -> StreamingQuery:
+    """Translates each micro-batch of whole transcripts (of stream_transcripts, or a stream that has each item in one
+    micro-batch) into a folder of its own under directory, so that a batch which runs again replaces its own output. A
+    media item that fails is left out of its batch's cues; others go on. Folders of a batch's work go when it is written.
+    options go to translate(); with a ledger a batch that runs again pays for no call twice."""
 
     def write(batch: DataFrame, number: int) -> None:
-        translated, _ = batching.translate(batch, make, source, target)
-        translated.write.mode("overwrite").parquet(f"{directory}/batch={number}")
+        with scratch(batch.sparkSession):
+            translated, _ = batching.translate(batch, make, source, target, **options)
+            translated.write.mode("overwrite").parquet(f"{directory}/batch={number}")
 
     return cues.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
