@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from ..functions import text as X
 from ..session import cut, new_folder
 from .ledger import Ledger, Rows
+from .scan import Scan
 
 MAX_PACKED = 20
 # Fixed value: a line of a numbered reply.
@@ -37,10 +38,10 @@ def plan_chunks(media: DataFrame, seconds: Column | None = None, workers: int =
     return chunks.withColumn("length_ms", F.least(F.col("_size"), F.col("duration_ms") - F.col("offset_ms"))).select("media_id", "chunk_no", "offset_ms", "length_ms", *kept)
 
 
-def batch_fixed(cues: DataFrame, n: int = 50) -> DataFrame:
-    """Adds batch_no and pos by position."""
-    at = F.row_number().over(Window.partitionBy("media_id").orderBy("cue_no")) - 1
-    return cues.withColumn("_at", at).withColumn("batch_no", F.floor(F.col("_at") / n).cast("int")).withColumn("pos", (F.col("_at") % n).cast("int")).drop("_at")
+def batch_fixed(cues: DataFrame, n: int = 50, huge: bool = False) -> DataFrame:
+    """Adds batch_no and pos by position. huge: media items may have more cues than a task holds."""
+    at = Scan(cues, "media_id", ["cue_no"], huge).add(_at=("sum", F.lit(1))).done().withColumn("_at", F.col("_at") - 1)
+    return at.withColumn("batch_no", F.floor(F.col("_at") / n).cast("int")).withColumn("pos", (F.col("_at") % n).cast("int")).drop("_at")
 
 
 def batch_nonempty(cues: DataFrame, n: int = MAX_PACKED) -> DataFrame:

@@ -14,43 +14,37 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions import text as X, vocab
+from .scan import Scan
 
 STRONG = {True: r"[.!?\n]", False: "[。！？!?…\\n]"}
 MEDIUM = {True: "[;:]", False: "[；;]"}
 WEAK = {True: "[,]", False: "[，,、]"}
 
 
-def _in_order() -> Window:
-    return Window.partitionBy("media_id").orderBy("start_ms", "chunk_no", "seg_no")
-
-
 def shift_chunks(segments: DataFrame, chunks: DataFrame) -> DataFrame:
     """Adds each chunk's offset to its segments' times. chunks: media_id, chunk_no, offset_ms."""
     moved = segments.join(chunks, ["media_id", "chunk_no"])
     return moved.withColumn("start_ms", F.col("start_ms") + F.col("offset_ms")).withColumn("end_ms", F.col("end_ms") + F.col("offset_ms")).drop("offset_ms")
 
 
-def combine_chunks(segments: DataFrame) -> DataFrame:
+def combine_chunks(segments: DataFrame, huge: bool = False) -> DataFrame:
     """Overlapping segments become one span: the end is the latest, the text that of the last segment which is longer
-    than the span before it; texts that went are listed."""
-    order = _in_order()
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    marked = segments.withColumn("_latest", F.max("end_ms").over(before)).withColumn("_new", F.coalesce(F.col("start_ms") >= F.col("_latest"), F.lit(True)).cast("int"))
-    marked = marked.withColumn("_span", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    inside = Window.partitionBy("media_id", "_span")
-    marked = marked.withColumn("_from", F.min("start_ms").over(inside)).withColumn("_no", F.row_number().over(inside.orderBy("start_ms", "chunk_no", "seg_no")))
-    wins = (F.col("_no") == 1) | (F.col("end_ms") - F.col("start_ms") > F.col("_latest") - F.col("_from"))
+    than the span before it; texts that went are listed. huge: media items may have more segments than a task holds."""
+    rows = Scan(segments, "media_id", ["start_ms", "chunk_no", "seg_no"], huge).add(before=True, _latest=("max", F.col("end_ms")))
+    rows.df = rows.df.withColumn("_new", F.coalesce(F.col("start_ms") >= F.col("_latest"), F.lit(True)))
+    # Starts rise, so the latest start of a span is where it begins.
+    marked = rows.add(_span=("sum", F.col("_new").cast("long")), _from=("max", F.when(F.col("_new"), F.col("start_ms")))).done()
+    wins = F.col("_new") | (F.col("end_ms") - F.col("start_ms") > F.col("_latest") - F.col("_from"))
     merged = marked.groupBy("media_id", "_span").agg(
-        F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.max_by("text", F.when(wins, F.col("_no"))).alias("text"), F.count("*").alias("parts")
+        F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.max_by("text", F.when(wins, F.struct("start_ms", "chunk_no", "seg_no"))).alias("text"), F.count("*").alias("parts")
     )
     return merged.withColumn("seg_no", F.col("_span").cast("int")).drop("_span")
 
 
-def absorb_zero_length(segments: DataFrame) -> DataFrame:
-    """A segment without duration adds its text to the segment before; at the start of a media item it goes."""
-    order = Window.partitionBy("media_id").orderBy("seg_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    kept = (F.col("end_ms") > F.col("start_ms")).cast("int")
-    held = segments.withColumn("_kept", kept).withColumn("_group", F.sum("_kept").over(order)).where("_group > 0")
+def absorb_zero_length(segments: DataFrame, huge: bool = False) -> DataFrame:
+    """A segment without duration adds its text to the segment before; at the start of a media item it goes. huge: media
+    items may have more segments than a task holds."""
+    held = Scan(segments, "media_id", ["seg_no"], huge).add(_group=("sum", (F.col("end_ms") > F.col("start_ms")).cast("int"))).done().where("_group > 0")
     texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seg_no", "text"))), lambda s: s["text"]), " ")
     first = [F.min_by(c, "seg_no").alias(c) for c in segments.columns if c not in ("media_id", "seg_no", "text")]
     return held.groupBy("media_id", "_group").agg(F.min("seg_no").alias("seg_no"), texts.alias("text"), *first).drop("_group")

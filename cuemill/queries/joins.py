@@ -166,9 +166,24 @@ def j7_failure_streak(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SPEED = "CASE WHEN lang = 'en' THEN 17 WHEN regexp_matches(text, '[぀-ヿ㐀-鿿가-힯]') THEN 10 WHEN regexp_matches(text, '[A-Za-z]') THEN 17 ELSE 18 END"
 
 
-@query(f"SELECT media_id, lang, count(*) AS cues, count(*) FILTER (WHERE trim(text) = '') AS empty, count(*) FILTER (WHERE end_ms <= start_ms) AS no_time, count(*) FILTER (WHERE length(text) > 40) AS too_long, count(*) FILTER (WHERE end_ms - start_ms > 7000) AS too_slow, count(*) FILTER (WHERE end_ms > start_ms AND length(text) * 1000 > {_SPEED} * (end_ms - start_ms)) AS too_fast, max(length(text)) AS longest, CAST(sum(end_ms - start_ms) AS BIGINT) AS total_ms FROM v_cues GROUP BY media_id, lang", CUES)
+# Four cues in a row make a parent; each third parent ends too early by one millisecond.
+_PARENTS = """
+v_parents AS (SELECT media_id, cue_no // 4 AS p, min(start_ms) AS p_start, max(end_ms) - CASE WHEN (cue_no // 4) % 3 = 0 THEN 1 ELSE 0 END AS p_end FROM v_cues GROUP BY media_id, cue_no // 4),
+v_outside AS (SELECT * FROM v_cues c WHERE NOT EXISTS (SELECT 1 FROM v_parents q WHERE q.media_id = c.media_id AND q.p_start <= c.start_ms AND q.p_end >= c.end_ms))"""
+
+
+@query(f"SELECT v_cues.media_id, v_cues.lang, count(*) AS cues, count(*) FILTER (WHERE trim(text) = '') AS empty, count(*) FILTER (WHERE end_ms <= start_ms) AS no_time, count(*) FILTER (WHERE length(text) > 40) AS too_long, count(*) FILTER (WHERE end_ms - start_ms > 7000) AS too_slow, count(*) FILTER (WHERE end_ms > start_ms AND length(text) * 1000 > {_SPEED} * (end_ms - start_ms)) AS too_fast, max(length(text)) AS longest, CAST(sum(end_ms - start_ms) AS BIGINT) AS total_ms, CAST((SELECT count(*) FROM v_outside o WHERE o.media_id = v_cues.media_id AND o.lang IS NOT DISTINCT FROM v_cues.lang) AS BIGINT) AS outside FROM v_cues GROUP BY v_cues.media_id, v_cues.lang", CUES, _PARENTS)
 def j8_cue_quality_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return J.cue_quality_audit(views.cues(spark, sf_dir))
+    cues = views.cues(spark, sf_dir)
+    group = F.floor(F.col("cue_no") / 4)
+    parents = cues.groupBy("media_id", group.alias("p")).agg(F.min("start_ms").alias("start_ms"), (F.max("end_ms") - F.when(F.col("p") % 3 == 0, 1).otherwise(0)).alias("end_ms"))
+    return J.cue_quality_audit(cues, parents)
+
+
+@query()
+def j8_cue_quality_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Medians and tails by language, from mergeable sketches (approximate, so without SQL)."""
+    return J.quality_quantiles(J.quality_sketches(views.cues(spark, sf_dir)))
 
 
 @query("SELECT text, min(event_id) AS first_at FROM (SELECT event_type || '/' || user_id AS text, event_id FROM events) GROUP BY text")
