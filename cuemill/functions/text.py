@@ -58,8 +58,13 @@ def fold_lines(text: Column) -> Column:
     return F.array_join(F.filter(F.transform(F.split(text, r"\r\n|\r|\n"), strip), lambda x: x != ""), " ")
 
 
+# What ends a line.
+LINE_ENDS = r"(?:\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029])"
+
+
 def flatten_request(text: Column) -> Column:
-    return F.array_join(F.split(text, r"\r\n|\r|\n"), " ")
+    """The text's lines joined by spaces; what ends the last line goes."""
+    return F.regexp_replace(F.regexp_replace(text, LINE_ENDS + r"\z", ""), LINE_ENDS, " ")
 
 
 def has_latin(text: Column) -> Column:

@@ -216,13 +216,24 @@ def a6_srt_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _files(spark, sf_dir).withColumn("content", content).select("path", srt.srt_valid(F.octet_length("content"), F.col("content")).alias("valid"))
 
 
-@query(f"SELECT media_id || '.srt' AS name, media_id, {_BYTES} AS length FROM v_cues GROUP BY media_id", CUES)
-def a1_scan_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Subtitle files made of the documents, in one folder for each last digit."""
+def _folders(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with the documents' subtitle files, in one folder for each last digit."""
     folder = new_folder(spark, "scan")
     files = srt.to_srt(views.cues(spark, sf_dir)).select(F.concat(F.substring("media_id", -1, 1), F.lit("/"), "media_id", F.lit(".srt")).alias("file_name"), "content")
     srt.write_documents(files, folder, as_files=True)
-    return srt.scan_media(spark, folder, ["SRT"]).select("name", "media_id", "length")
+    return folder
+
+
+@query(f"SELECT media_id || '.srt' AS name, media_id, {_BYTES} AS length FROM v_cues GROUP BY media_id", CUES)
+def a1_scan_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return srt.scan_media(spark, _folders(spark, sf_dir), ["SRT"]).select("name", "media_id", "length")
+
+
+@query(f"SELECT media_id || '.srt' AS name, media_id, {_BYTES} AS length FROM v_cues GROUP BY media_id", CUES)
+def a2_collect_srt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inputs that overlap: all folders, and the whole once more; each file comes once."""
+    folder = _folders(spark, sf_dir)
+    return srt.collect_srt(spark, [f"{folder}/*", folder]).select("name", "media_id", "length")
 
 
 @query(f"SELECT media_id, CASE WHEN doc_id % 2 = 0 THEN 'done' WHEN known THEN 'failed' ELSE 'pending' END AS status, CASE WHEN doc_id % 3 = 0 THEN lang END AS language FROM v_media", MEDIA)

@@ -109,7 +109,7 @@ _JOINED = f"{_STRIP.format(chr(40) + 'regexp_replace(r.t, ' + chr(39) + chr(92)
 
 
 @query(
-    f""", q AS (SELECT media_id, cue_no, start_ms // 10 AS start_ms, end_ms // 10 AS end_ms, left(text, 9) AS text FROM v_cues),
+    f""", q AS (SELECT media_id, cue_no, start_ms // 10 AS start_ms, end_ms // 10 AS end_ms, CAST(length(text) AS VARCHAR) || ' ' || right(text, 1) AS text FROM v_cues),
 o AS (SELECT *, lag(end_ms) OVER w AS pe, lag(text) OVER w AS pt FROM q WINDOW w AS (PARTITION BY media_id ORDER BY cue_no)),
 m AS (SELECT media_id, cue_no, start_ms, end_ms, text, pe IS NULL OR start_ms - pe > 350 OR start_ms - pe < -50
   OR CASE WHEN {ENGLISH.format('pt')} THEN regexp_matches(pt, '[.!?\\n]\\s*$') ELSE regexp_matches(pt, '[。！？!?…\\n]\\s*$') END AS new FROM o),
@@ -121,10 +121,10 @@ SELECT media_id, head AS seg_no, max_by(s, n) AS start_ms, max_by(e, n) AS end_m
     CUES,
 )
 def d11_merge_short(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Beginnings of lines on a fast timeline, so that many of them are short."""
+    """Lines, told by their length and last sign, on a fast timeline, so that many cues are short."""
     c = views.cues(spark, sf_dir)
     times = [F.floor(F.col(t) / 10).alias(t) for t in ("start_ms", "end_ms")]
-    return D.merge_short(c.select("media_id", F.col("cue_no").alias("seg_no"), *times, F.substring("text", 1, 9).alias("text"), F.lit("auto").alias("lang")))
+    return D.merge_short(c.select("media_id", F.col("cue_no").alias("seg_no"), *times, F.concat_ws(" ", F.length("text").cast("string"), F.substring("text", -1, 1)).alias("text"), F.lit("auto").alias("lang")))
 
 
 @query()

@@ -1,8 +1,9 @@
 """Subtitle files in and documents out.
 
 A file is one row (path, content). Parsing is array functions on that row, with no shuffle and no window, so the same
-code serves batch and streaming readers. Line breaks are \\r\\n, \\r or \\n; a block ends at a blank line, which is one of
-white space of any script.
+code serves batch and streaming readers. Lines end at \\r\\n, \\r, \\n, vertical tabs, form feeds, file, group and record
+separators, next lines, and line and paragraph separators; a block ends at a blank line, which is one of white space of
+any script.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 from ..functions import text as X
+from . import export
 
 TIME = r"^(\d{2}:\d{2}:\d{2}[,.]\d{1,3})\s*-->\s*(\d{2}:\d{2}:\d{2}[,.]\d{1,3})"
 INDEX = r"^[+-]?\d+$"
@@ -49,7 +51,7 @@ def _parsed(files: DataFrame) -> DataFrame:
     Each value that is used twice is bound once, so the work is one pass over a file's lines."""
     content = F.make_valid_utf8(F.col("content").cast("string"))
     valid = F.is_valid_utf8(F.col("content").cast("string"))
-    body = F.regexp_replace(F.regexp_replace(content, "^\ufeff", ""), r"\r\n|\r", "\n")
+    body = F.regexp_replace(F.regexp_replace(content, "^\ufeff", ""), X.LINE_ENDS, "\n")
 
     def block(lines: Column) -> Column:
         return X.let(F.array_position(F.transform(lines, lambda x: x.rlike(TIME)), F.lit(True)).cast("int"), lambda at: anchored(lines, at))
@@ -159,8 +161,11 @@ def documents(split_cues: DataFrame, segments: DataFrame, formats: list[str]) ->
 
 
 def write_documents(docs: DataFrame, directory: str, as_files: bool = False) -> None:
-    """Parquet partitioned by format, or one file per document."""
-    if as_files:
+    """Parquet partitioned by format, or one file per document: on a mounted folder by tasks themselves, elsewhere
+    through Spark's file systems."""
+    if as_files and "://" in directory and not directory.startswith("file://"):
+        export.write_files(docs, directory)
+    elif as_files:
         docs.sparkSession.dataSource.register(TextFiles)
         docs.select("file_name", "content").write.format("cue_files").mode("append").option("path", directory).save()
     else:
@@ -169,7 +174,7 @@ def write_documents(docs: DataFrame, directory: str, as_files: bool = False) ->
 
 class TextFiles(DataSource):
     """One file per row (file_name, content), folders in names kept, in a folder that all executors share, mounted as a
-    local path; other file systems are refused. Tasks write beside the target, and the commit moves the files of those
+    local path; other file systems are export's. Tasks write beside the target, and the commit moves the files of those
     that ended well to their names; two rows of one name fail the job before any file is moved."""
 
     @classmethod

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from cuemill.functions import text as X
@@ -136,5 +137,32 @@ def test_export_keeps_folders_and_refuses_what_it_cannot_write(spark, tmp_path):
         with pytest.raises(Exception):
             srt.write_documents(bad, str(tmp_path / "bad"), as_files=True)
         assert not (tmp_path / "bad").exists() or not [p for p in (tmp_path / "bad").rglob("*") if p.is_file()]
-    with pytest.raises(Exception):
-        srt.write_documents(rows, "hdfs://somewhere/out", as_files=True)
+
+
+def test_files_through_a_file_system_of_spark_only(spark, tmp_path):
+    """viewfs, which no local path reaches."""
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.clips.link./data", f"file://{tmp_path}")
+    schema, out = "file_name string, content string", "viewfs://clips/data/out"
+    rows = [("a/b.srt", "1\nline\n"), ("a/c d%é=1.txt", "x\n\ny\r\n"), ("e.md", ""), ("n.md", None), *[(f"many/{i % 7}/{i}.srt", f"{i}\n") for i in range(60)]]
+    srt.write_documents(spark.createDataFrame(rows, schema).repartition(5), out, as_files=True)
+    files = {str(p.relative_to(tmp_path / "out")): p.read_bytes().decode() for p in (tmp_path / "out").rglob("*") if p.is_file() and not p.name.endswith(".crc")}
+    assert files == {n: c or "" for n, c in rows}
+    srt.write_documents(spark.createDataFrame([("a/b.srt", "2\n")], schema), out, as_files=True)
+    assert (tmp_path / "out/a/b.srt").read_text() == "2\n" and (tmp_path / "out/e.md").exists()
+    for bad in ([("x", "1\n"), ("x", "2\n")], [("../x", "1\n")], [("/x", "1\n")], [(None, "1\n")], [("x", "no end")], [("", "1\n")], [("a//x", "1\n")]):
+        with pytest.raises(ValueError):
+            srt.write_documents(spark.createDataFrame(bad, schema), out, as_files=True)
+
+    broken = spark.createDataFrame([("x", "1\n"), ("y", "2\n")], schema).withColumn("content", F.when(F.col("file_name") == "y", F.raise_error(F.lit("task lost"))).otherwise(F.col("content")))
+    with pytest.raises(Exception, match="task lost"):
+        srt.write_documents(broken, out, as_files=True)
+    left = [p for p in (tmp_path / "out").rglob("*") if p.is_file() and not p.name.endswith(".crc")]
+    assert len(left) == len(rows) and not list((tmp_path / "out").glob(".parts*"))
+    srt.write_documents(spark.createDataFrame([], schema), out, as_files=True)
+
+
+def test_all_line_separators_end_lines(spark):
+    for end in ("\n", "\r\n", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029"):
+        text = end.join(["1", "00:00:01,000 --> 00:00:03,000", "Hello", "you", "", "2", "00:00:04,000 --> 00:00:06,000", "World", ""])
+        read = srt.read_srt(spark.createDataFrame([("a", bytearray(text.encode()))], "path string, content binary"), "strict").first()
+        assert read.how == "strict" and [c.text for c in read.cues] == ["Hello\nyou", "World"], repr(end)
