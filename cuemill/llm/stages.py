@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..session import new_folder, remove, scratch
 from . import langid, mixing, ngram_join, packing, quality
-from ._spark import cut, table
+from ._spark import table
 
 #: Least share of a document's letters in its language. Documents that mix two languages stay; word salad goes.
 LEAST_LANGUAGE = 0.35
@@ -59,7 +60,16 @@ STAGES = [("language", language), ("quality", good), ("near_duplicates", near_du
 
 
 def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All stages in order; each but the last is written to the shared folder and read again."""
+    """All stages in order; each but the last is written to the shared folder and read again. What a stage has written on
+    its way goes when its result is there, and that result when the next one is; the last one's input stays, as its rows
+    are still to be read."""
+    before = None
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), name)
+        path = new_folder(spark, name)
+        with scratch(spark):
+            made = stage(spark, docs, sf_dir)
+            made.write.parquet(path)
+        if before:
+            remove(spark, before)
+        docs, before = spark.read.schema(made.schema).parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -5,6 +5,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from pyspark.sql import functions as F
 from cuemill.llm import stages
+from cuemill.session import cut
 
 from test_operators import brute_classes
 
@@ -14,7 +15,7 @@ def test_stages(spark, sf_dir):
     found = spark.read.parquet(f"{sf_dir}/documents.parquet")
     columns, seen = found.columns, {}
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        found = stages.cut(stage(spark, found, sf_dir), name)
+        found = cut(stage(spark, found, sf_dir), name)
         assert found.columns == columns
         seen[name] = {r.doc_id: r.text for r in found.collect()}
     classes = brute_classes(seen["quality"].items(), 5, 80)
@@ -45,7 +46,7 @@ def test_stages_with_odd_rows(spark, sf_dir, tmp_path):
         both = both.withColumn(name, F.lit("clash"))
     for docs in (both, both.limit(0)):
         for name, stage in corpus_pipeline.STAGES[:-1]:
-            found = stages.cut(stage(spark, docs, sf_dir), name)
+            found = cut(stage(spark, docs, sf_dir), name)
             assert found.columns == both.columns, name
             assert (found.count() > 0) == (docs is both), name
             if name in ("language", "quality", "near_duplicates"):
