@@ -8,6 +8,7 @@ from ..functions import text as X, vocab
 from ..operators import segments as D
 from ..session import new_folder, table
 from ..sources import srt, views
+from ..sources.progress import ProgressStore
 from ._registry import CUES, ENGLISH, MEDIA, MIXED, NAMES, clock, query
 
 _MAP = lambda pairs: "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in pairs.items()) + "}"
@@ -238,7 +239,11 @@ def a2_collect_srt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT media_id, CASE WHEN doc_id % 2 = 0 THEN 'done' WHEN known THEN 'failed' ELSE 'pending' END AS status, CASE WHEN doc_id % 3 = 0 THEN lang END AS language FROM v_media", MEDIA)
 def a13_progress_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two commits of a store."""
     m = views.media(spark, sf_dir)
     stored = m.select("media_id", F.when(F.col("known"), "failed").otherwise("pending").alias("status"), F.when(F.col("doc_id") % 3 == 0, F.col("lang")).alias("language"))
     new = m.where("doc_id % 2 = 0").select("media_id", F.lit("done").alias("status"), F.lit(None).cast("string").alias("language"))
-    return srt.upsert_progress(stored, new)
+    store = ProgressStore(spark, new_folder(spark, "progress"))
+    store.upsert(stored)
+    store.upsert(new)
+    return store.read().select("media_id", "status", "language")
