@@ -8,7 +8,9 @@ the loss under the background model, in bits: negative for text like the target.
 Counts are exact, keyed by 64-bit hashes of words and bigrams, so the models grow with the corpora. Rows are written in
 compressed blocks of BLOCK_BYTES of text; each block sends its distinct n-grams with their counts to ranges of the hashes, a range
 adds them up and answers every block with the sums of its own n-grams, in their order, and a block's texts are scored
-from the answers. The number of ranges grows with the text, so that no task holds more than a block or a range. A token is a maximal run of
+from the answers. The number of ranges grows with the text, so that no task holds more than a block or a range. A frequent
+word comes from every block; beyond WIDE blocks they are dealt into as many cells as the root of their number, and a range
+adds up the sums of cells, which answer their blocks. A token is a maximal run of
 bytes other than white space, with A-Z lower-cased; a document starts with an edge mark.
 
 All rows of the target and of the background are counted, none is drawn or left out. The two are matched by scale: every
@@ -21,6 +23,7 @@ score alike; other columns are untouched. Without a target or background, the mo
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +38,8 @@ from ._words import blocks, mixed, release, split_words
 #: Bytes of text in a block of rows, and for each range of hashes. A longer text is a block of its own.
 BLOCK_BYTES = 8 << 20
 LEAST_RANGES = 64
+#: Blocks from which a range's sums are made in two levels.
+WIDE = 2048
 MIN_COUNT = 3
 #: Shares of bigram, unigram and uniform probability.
 MIX = (0.5, 0.45, 0.05)
@@ -142,7 +147,7 @@ def _sides(column: pa.Array) -> np.ndarray:
     return column.fill_null(-1).to_numpy(zero_copy_only=False)
 
 
-def _word_counts(rows: DataFrame, ranges: int) -> DataFrame:
+def _word_counts(rows: DataFrame, ranges: int, count: int) -> DataFrame:
     """The sums of each block's words; range ranges has those of the edge. Rows of block -1 hold sums over a range, in
     counts: (known words, edges), tokens and unknown tokens, of both sides."""
 
@@ -162,17 +167,50 @@ def _word_counts(rows: DataFrame, ranges: int) -> DataFrame:
         inside = n.sum(axis=1) >= MIN_COUNT
         return np.concatenate([[inside.sum(), 0, 0], n.sum(axis=0), n[~inside].sum(axis=0)])
 
-    return rows.select("block", "rows").mapInArrow(ask, _ASKED).groupBy("range").applyInArrow(lambda t: _answers(t, known), _ANSWERED)
+    return rows.select("block", "rows").mapInArrow(ask, _ASKED).transform(_summed, count, known)
 
 
-def _answers(asked: pa.Table, more=None) -> pa.Table:
-    """The sums of a range's n-grams for each block that sent them; more(sums, range) goes to block -1."""
-    names, r = asked["block"].to_pylist(), asked["range"][0].as_py()
+def _summed(asked: DataFrame, count: int, more=None) -> DataFrame:
+    """The answers to count blocks; more(sums, range) goes to block -1. In two levels, cells stand for their blocks when a
+    range adds up, so neither a range nor a cell has more rows than the root of the number of blocks."""
+    if count <= WIDE:
+        return asked.groupBy("range").applyInArrow(lambda t: _answers(t, more), _ANSWERED)
+    celled = cut(asked.withColumn("cell", F.pmod(F.xxhash64("block"), F.lit(math.isqrt(count) + 1)).cast("long")), "lm-cells")
+    cells = celled.groupBy("range", "cell").applyInArrow(_cell, _ASKED)
+    totals = cut(cells.groupBy("range").applyInArrow(lambda t: _answers(t, more), _ANSWERED), "lm-totals")
+    own = totals.where("block >= 0").withColumnRenamed("block", "cell").groupBy("range", "cell")
+    return celled.groupBy("range", "cell").cogroup(own).applyInArrow(_spread, _ANSWERED).unionByName(totals.where("block = -1"))
+
+
+def _added(asked: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct n-grams of some rows (ascending), their sums, the place of each row's n-grams among them, and where
+    each row's begin."""
     h = [_hashes(x) for x in asked["hashes"].to_pylist()]
     n = np.concatenate([_counts(x) for x in asked["counts"].to_pylist()])
     found, back = np.unique(np.concatenate(h), return_inverse=True)
     sums = np.stack([np.bincount(back, n[:, s], len(found)) for s in (0, 1)], axis=1).astype(np.int64)
-    at = np.cumsum([0, *map(len, h)])
+    return found, sums, back, np.cumsum([0, *map(len, h)])
+
+
+def _cell(asked: pa.Table) -> pa.Table:
+    """One row for the blocks of a cell, which stands as their block."""
+    found, sums, _, _ = _added(asked)
+    return _rows([(asked["cell"][0].as_py(), asked["range"][0].as_py(), _planes(np.diff(found, prepend=np.uint64(0))), _planes(sums.T))], _ASKED)
+
+
+def _spread(asked: pa.Table, totals: pa.Table) -> pa.Table:
+    """The answer to a cell, for each of its blocks."""
+    _, _, back, at = _added(asked)
+    r, pairs, sums = totals["range"][0].as_py(), totals["pairs"][0].as_py(), _counts(totals["counts"][0].as_py())
+    out = _rows([(block, pairs, r, _planes(sums[back[at[i] : at[i + 1]]].T)) for i, block in enumerate(asked["block"].to_pylist())], _ANSWERED)
+    release()
+    return out
+
+
+def _answers(asked: pa.Table, more=None) -> pa.Table:
+    """The sums of a range's n-grams for each block that sent them; more(sums, range) goes to block -1."""
+    names, r = asked["block"].to_pylist(), asked["range"][0].as_py()
+    _, sums, back, at = _added(asked)
     out = [(block, not more, r, _planes(sums[back[at[i] : at[i + 1]]].T)) for i, block in enumerate(names)]
     if more:
         out.append((-1, False, r, _planes(more(sums, r).astype(np.int64))))
@@ -227,9 +265,9 @@ def _scored(rows: DataFrame, keep: list[str]) -> DataFrame:
     """rows: _keep, _text, _side (null: not counted), _own (whether to score)."""
     kept = rows.schema["_keep"]
     rows = cut(_in_blocks(rows), "lm-blocks")
-    size = rows.agg(F.sum("size").alias("n")).first()["n"] or 0
-    ranges = max(LEAST_RANGES, size // BLOCK_BYTES + 1)
-    words = cut(_word_counts(rows, ranges), "lm-words")
+    found = rows.agg(F.sum("size").alias("size"), F.count("*").alias("blocks")).first()
+    ranges, count = max(LEAST_RANGES, (found["size"] or 0) // BLOCK_BYTES + 1), found["blocks"]
+    words = cut(_word_counts(rows, ranges, count), "lm-words")
     found = words.where("block = -1").select("counts").collect()  # one row a range
     stats = np.sum([np.zeros(7), *[_numbers(r["counts"]).astype(np.float64) for r in found]], axis=0)
     vocabulary, edges, totals, unknown = stats[0] + 1, stats[1:3], np.maximum(stats[3:5], 1), stats[5:7]
@@ -265,7 +303,7 @@ def _scored(rows: DataFrame, keep: list[str]) -> DataFrame:
 
     asked = words.where((F.col("block") >= 0) & (F.col("range") < ranges))
     texts = rows.select("block", "rows").groupBy("block")
-    pairs = texts.cogroup(asked.groupBy("block")).applyInArrow(ask, _ASKED).groupBy("range").applyInArrow(lambda t: _answers(t), _ANSWERED)
+    pairs = texts.cogroup(asked.groupBy("block")).applyInArrow(ask, _ASKED).transform(_summed, count)
     schema = T.StructType([kept, *T.StructType.fromDDL("n_tokens long, target_loss double, background_loss double, score double").fields])
     out = texts.cogroup(asked.unionByName(pairs).groupBy("block")).applyInArrow(lose, schema)
     return out.select(*[F.col("_keep").getField(c).alias(c) for c in keep], "n_tokens", "target_loss", "background_loss", "score")

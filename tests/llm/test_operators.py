@@ -308,12 +308,15 @@ def exact_scores(texts, sides):
     return [a - b for a, b in zip(*losses)]
 
 
-def test_lm_counts_are_exact_for_many_words(spark):
+@pytest.mark.parametrize("wide", [2048, 1])
+def test_lm_counts_are_exact_for_many_words(spark, monkeypatch, wide):
+    """In one level of sums, and in two."""
+    monkeypatch.setattr(lm_scoring, "WIDE", wide)
     draw = random.Random(2)
     often = [f"w{i}" for i in range(300)]
     texts = [" ".join(x for j in range(200) for x in (draw.choice(often), f"rare{i}x{j}")) for i in range(150)] + ODD
     sides = [i % 2 if i % 5 else None for i in range(len(texts))]
-    table = docs(spark, texts).repartition(3)
+    table = docs(spark, texts).repartition(8)
     number = F.col("doc_id")
     corpus = table.where(number % 5 != 0).select("text", (number % 2).cast("int").alias("side"))
     got = {r.doc_id: r.score for r in lm_scoring.score(table, lm_scoring.fit(corpus), keep=["doc_id"]).collect()}
