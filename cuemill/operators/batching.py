@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions import text as X
-from ..session import cut, new_folder
+from ..session import cut, new_folder, qualified
 from .ledger import Ledger, Rows
 from .scan import Scan
 
@@ -202,7 +202,7 @@ def run_batches(
     is transient. No batch of a media item is sent after one was lost: in the same task, and with a ledger in any. What
     the ledger holds is not sent again. A task waits request_delay_s between requests. Providers live as long as their
     task."""
-    how = f"{source}>{target}"
+    how = _how(source, target)
 
     def attempts(backend, texts: list[str]) -> tuple[Rows, bool]:
         rows: Rows = []
@@ -243,12 +243,17 @@ def run_batches(
     return batches.select("media_id", F.col("batch_no").cast("int").alias("batch_no"), "texts").mapInPandas(run, ATTEMPTS)
 
 
+def _how(source: str, target: str) -> str:
+    """What a reply depends on besides its texts."""
+    return f"{source}>{target}"
+
+
 class _Heard:
     """Tells progress the share of requests that have a reply, while tasks run: the ledger is counted again and again, with
     pauses that are long beside the counting. Shares only rise."""
 
-    def __init__(self, ledger: Ledger, total: int, progress: Callable[[float], None], pause_s: float = 0.1):
-        self.ledger, self.total, self.progress, self.pause_s = ledger, max(1, total), progress, pause_s
+    def __init__(self, ledger: Ledger, how: str, total: int, progress: Callable[[float], None], pause_s: float = 0.1):
+        self.ledger, self.how, self.total, self.progress, self.pause_s = ledger, how, max(1, total), progress, pause_s
         self.last, self.over = 0.0, threading.Event()
         self.thread = threading.Thread(target=self._watch, daemon=True)
 
@@ -260,7 +265,7 @@ class _Heard:
             pause = max(self.pause_s, 20 * (time.monotonic() - began))
 
     def _tell(self) -> None:
-        share = min(1.0, self.ledger.count() / self.total)
+        share = min(1.0, self.ledger.count(self.how) / self.total)
         if share > self.last:
             self.last = share
             self.progress(share)
@@ -288,7 +293,7 @@ def translate(
     sends only what is missing; with a named folder, so does another call after this program has ended. progress hears the
     share of batches that have a reply, as they come."""
     spark = cues.sparkSession
-    kept = Ledger(ledger or new_folder(spark, "ledger"), uuid.uuid4().hex)
+    kept = Ledger(qualified(spark, ledger or new_folder(spark, "ledger")), uuid.uuid4().hex)
     batches = batch_fixed(cues, batch_size or make().batch_size)
     texts = F.transform(F.array_sort(F.collect_list(F.struct("pos", X.flatten_request(F.col("text")).alias("t")))), lambda s: s["t"])
     grouped = cut(batches.groupBy("media_id", "batch_no").agg(texts.alias("texts")), "requests")
@@ -302,7 +307,7 @@ def translate(
         dealt = some.repartition(max(1, min(tasks, most)), *by).sortWithinPartitions("media_id", "batch_no")
         return cut(run_batches(dealt, make, source, target, retries, delay_s, halve, request_delay_s, kept), "replies")
 
-    with _Heard(kept, counts["all"], progress) if progress else nullcontext():
+    with _Heard(kept, _how(source, target), counts["all"], progress) if progress else nullcontext():
         tried = sent(first, counts["first"], "media_id")
         fine = tried.where("status = 'ok'").select("media_id")
         others = sent(rest.join(fine, "media_id", "left_semi").withColumn("_lane", lane), counts["lanes"], "media_id", "_lane")

@@ -53,6 +53,10 @@ class Ledger:
         name = _name(media_id)
         return f"{self.root}/{kind}/{name[:2]}/{name}"
 
+    @staticmethod
+    def _replies(how: str) -> str:
+        return f"replies-{_name(how)[:8]}"
+
     @staticmethod
     def _file(batch_no: int, asked: list[str], how: str) -> str:
         return f"{batch_no}-{_name(json.dumps([how, asked]))}.json"
@@ -62,7 +66,7 @@ class Ledger:
 
     def read(self, media_id: str, batch_no: int, asked: list[str], how: str) -> Rows | None:
         """What is kept of a request. A media item's files are listed once while its requests follow each other."""
-        folder, name = self._item("replies", media_id), self._file(batch_no, asked, how)
+        folder, name = self._item(self._replies(how), media_id), self._file(batch_no, asked, how)
         if self._known[0] != folder:
             self._known = folder, self._files(folder)
         if name not in self._known[1]:
@@ -71,7 +75,7 @@ class Ledger:
             return [tuple(r) for r in json.loads(f.read())]
 
     def write(self, media_id: str, batch_no: int, asked: list[str], how: str, rows: Rows) -> None:
-        self._put(self._item("replies", media_id), self._file(batch_no, asked, how), rows)
+        self._put(self._item(self._replies(how), media_id), self._file(batch_no, asked, how), rows)
 
     def stop(self, media_id: str, batch_no: int, asked: list[str], how: str, rows: Rows) -> None:
         """Notes a lost batch."""
@@ -95,6 +99,6 @@ class Ledger:
             f.write(json.dumps(rows).encode())
         self.fs.move(half, f"{folder}/{name}")
 
-    def count(self) -> int:
-        """Replies kept so far."""
-        return sum(f.is_file and not f.base_name.startswith(".") for f in self.fs.get_file_info(fs.FileSelector(f"{self.root}/replies", allow_not_found=True, recursive=True)))
+    def count(self, how: str) -> int:
+        """Replies kept so far, of this run and of earlier ones (also to texts that have changed since)."""
+        return sum(f.is_file and not f.base_name.startswith(".") for f in self.fs.get_file_info(fs.FileSelector(f"{self.root}/{self._replies(how)}", allow_not_found=True, recursive=True)))

@@ -38,6 +38,15 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its file system's scheme, as other libraries read it."""
+    if "://" in path:
+        return path
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    full = folder.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(folder).toString()
+    return full if "://" in full else full.replace(":", "://", 1)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

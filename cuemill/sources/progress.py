@@ -15,7 +15,7 @@ import json
 import os
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from . import srt
 
@@ -51,8 +51,9 @@ class ProgressStore:
 
     def upsert(self, new: DataFrame) -> int:
         """Commits the current rows with those of new in their places (null fields keep what is stored). The version that
-        holds them. new is computed again when another writer comes between; of rows with one media_id the greatest counts."""
-        once = new.groupBy("media_id").agg(*[srt.F.max(c).alias(c) for c in new.columns if c != "media_id"])
+        holds them. Columns that new lacks are null. new is computed again when another writer comes between; of rows with one media_id the greatest counts."""
+        fields = [f for f in T.StructType.fromDDL(srt.PROGRESS) if f.name != "media_id"]
+        once = new.groupBy("media_id").agg(*[(F.max(f.name) if f.name in new.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields])
         for _ in range(self.attempts):
             seen = self.version()
             folder = f"v-{uuid.uuid4().hex}"
