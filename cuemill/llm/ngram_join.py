@@ -13,8 +13,12 @@ components of the links.
    are exact, and some group holds both sets of every link.
 3. Tries. A group's sets meet once in a trie of their ordered n-grams. Each set walks it; sets below a node share the
    overlap counted so far, and a subtree goes when the overlap plus what remains on either side can't reach the
-   threshold. A group beyond GROUP_SETS sets or GROUP_GRAMS n-grams is dealt into pairs of blocks of hashed members,
-   which visit all its pairs in bounded tasks. Tasks give the links of a spanning forest, not all pairs.
+   threshold. Tasks give the links of a spanning forest, not all pairs.
+4. Large groups. A group beyond BLOCK_SETS sets or GROUP_GRAMS n-grams is dealt into blocks of hashed members, which are
+   joined each by itself. Then the most typical sets of the blocks' largest clusters, PIVOTS at most, visit all blocks. As a rule
+   one cluster holds nearly all sets by then; each set outside it (the rest) meets every set of its group, in pairs of
+   blocks. No link can be lost: one between two clusters has a set of the rest. A group of g sets with r in the rest moves
+   about 2 g + 2 r g / GROUP_SETS sets, so near copies of one document cost no more than their number.
 
 Equal sets are one set throughout, so groups of copies cost no more than one of them; copies come back by the set's
 64-bit key. Null and empty texts have empty sets and link with nothing, as have texts without words. A null key is kept
@@ -43,8 +47,10 @@ FLUSH = 2_000_000
 #: Sets of an n-gram whose pairs are counted; with more, all join the least of them. An n-gram of more than HOT sets is
 #: dealt into cells, as many as the root of its count. Both change the cost, not the links.
 PAIR_SETS, HOT = 32, 256
-#: Sets and n-grams of a group that one task holds.
-GROUP_SETS, GROUP_GRAMS = 1000, 4_000_000
+#: Sets of a block of a large group; sets of a block where the rest meets all others; n-grams of either, about.
+BLOCK_SETS, GROUP_SETS, GROUP_GRAMS = 250, 1000, 4_000_000
+#: Sets of a large group that visit all its blocks before the rest is known. Changes the cost, not the links.
+PIVOTS = 64
 #: Keys that are broadcast to find their rows (under 100 bytes each); beyond, such a join is shuffled.
 BROADCAST_KEYS = 500_000
 
@@ -279,10 +285,13 @@ class PrefixTree:
             stack.extend((c, overlap) for c in children)
 
 
-def forest(keys: list[int], sets: list[np.ndarray], left: list[bool], num: int, den: int) -> list[tuple[int, int]]:
-    """Links that join all sets linked directly or over others, between left and right sets or among left ones; left:
-    whether a set is on the left. With all on the left: all pairs."""
-    parent = list(range(len(sets)))
+def forest(sets: list[np.ndarray], left: list[bool], right: list[bool], labels: list, num: int, den: int) -> tuple[list[tuple[int, int]], list[int], list[float]]:
+    """Places of linked sets, one of each pair on the left and one on the right: as many links as join all that such links
+    join; for each set the place that stands for its cluster, and how many sets hold an n-gram of it on average. Sets of
+    one label are joined before."""
+    parent, first = list(range(len(sets))), {}
+    for i, label in enumerate(labels):
+        parent[i] = first.setdefault(label, i)
 
     def find(i: int) -> int:
         while parent[i] != i:
@@ -290,20 +299,23 @@ def forest(keys: list[int], sets: list[np.ndarray], left: list[bool], num: int,
             i = parent[i]
         return i
 
-    right = [i for i in range(len(sets)) if not left[i]] or list(range(len(sets)))
     grams, ranks = np.unique(np.concatenate([s for s in sets]), return_inverse=True)
     ends = np.cumsum([len(s) for s in sets])
     own = [ranks[e - len(s) : e] for s, e in zip(sets, ends)]
     # One order for all sets here: those that most of them hold come first, so that paths are shared for long.
-    by_count = np.argsort(-np.bincount(ranks, minlength=len(grams)), kind="stable")
+    holders = np.bincount(ranks, minlength=len(grams))
+    typical = [float(holders[r].mean()) for r in own]
+    by_count = np.argsort(-holders, kind="stable")
     place = np.empty(len(grams), np.int64)
     place[by_count] = np.arange(len(grams))
     own = [np.sort(place[s]) for s in own]
-    tree = PrefixTree([own[i] for i in right], right)
-    tree.size_of = [len(s) for s in sets]
+    among = [i for i in range(len(sets)) if right[i]]
     member, links = np.zeros(len(grams), bool), []
-    for i in range(len(sets)):
-        if len(links) == len(sets) - 1:
+    if among:
+        tree = PrefixTree([own[i] for i in among], among)
+        tree.size_of = [len(s) for s in sets]
+    for i in range(len(sets) if among else 0):
+        if len(links) == len(first) - 1:
             break  # all are joined
         if not left[i]:
             continue
@@ -314,25 +326,91 @@ def forest(keys: list[int], sets: list[np.ndarray], left: list[bool], num: int,
             a, b = find(i), find(j)
             if a != b:
                 parent[a] = b
-                links.append((keys[i], keys[j]))
+                links.append((i, j))
         member[own[i]] = False
-    return links
+    return links, [find(i) for i in range(len(sets))], typical
 
 
-def _linked(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """sets: item, is_left, set_key, grams. Links within each item."""
+def _once(table: pa.Table) -> tuple[pa.Table, list[int], list[np.ndarray]]:
+    """The table, one place for each set key of it (two tasks may have sent one set), and the sets at these places."""
+    at = sorted({k: i for i, k in enumerate(table["set_key"].to_pylist())}.values())
+    grams = table["grams"].combine_chunks()
+    return table, at, [np.frombuffer(grams[i].as_buffer(), np.uint64) for i in at]
+
+
+def _alone(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """sets: root, blocks, block, set_key, grams. Each block joined by itself: root, blocks, block, n, set_key, label (the
+    key of its cluster's most typical set, of these the least), grams (null for groups of one block, which are done)."""
 
     def run(table: pa.Table) -> pa.Table:
-        keys = table["set_key"].to_pylist()
-        rows = {k: i for i, k in enumerate(keys)}  # a set that two tasks have sent counts once
-        at = sorted(rows.values())
-        grams = table["grams"].combine_chunks()
-        links = forest([keys[i] for i in at], [np.frombuffer(grams[i].as_buffer(), np.uint64) for i in at], [table["is_left"][i].as_py() for i in at], num, den)
-        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+        table, at, sets = _once(table)
+        every = [True] * len(at)
+        _, cluster, typical = forest(sets, every, every, at, num, den)
+        keys, centre = table["set_key"].take(pa.array(at, pa.int64())).to_pylist(), {}
+        for key, c, t in zip(keys, cluster, typical):
+            centre[c] = min((-t, key), centre.get(c, (-t, key)))
+        kept = table.take(pa.array(at, pa.int64())).select(["root", "blocks", "block", "set_key", "grams"])
+        if len(kept) and kept["blocks"][0].as_py() == 1:
+            kept = kept.set_column(4, "grams", pa.nulls(len(kept), pa.binary()))
+        return kept.append_column("n", pa.array([len(s) for s in sets], pa.int64())).append_column("label", pa.array([centre[c][1] for c in cluster], pa.int64()))
+
+    return sets.groupBy("root", "block").applyInArrow(run, "root long, blocks int, block int, set_key long, grams binary, n long, label long")
+
+
+def _between(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """sets: item, is_left, set_key, label, grams. a, b: labels of sets of an item that link, one on the left and one not; a
+    set may be on both sides."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table, at, sets = _once(table)
+        keys, sides = table["set_key"].to_pylist(), table["is_left"].to_pylist()
+        on = {side: {k for k, s in zip(keys, sides) if s == side} for side in (True, False)}
+        labels = table["label"].take(pa.array(at, pa.int64())).to_pylist()
+        links, _, _ = forest(sets, *([keys[i] in on[side] for i in at] for side in (True, False)), labels, num, den)
+        return pa.table({"a": pa.array([labels[i] for i, _ in links], pa.int64()), "b": pa.array([labels[j] for _, j in links], pa.int64())})
 
     return sets.groupBy("item").applyInArrow(run, "a long, b long")
 
 
+def _dealt(number: str, seed: int = 0) -> Column:
+    return F.pmod(F.xxhash64("set_key", F.lit(seed)), F.col(number)).cast("int")
+
+
+def _large_groups(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """sets: what _alone gives for groups of several blocks, written. a, b: links between the labels of a group, which
+    with the labels themselves join all that links join."""
+    # Pivots: of each slot the label with most sets. Sizes in a group are alike, so they hold about GROUP_GRAMS n-grams.
+    clusters = sets.groupBy("root", "label").agg(F.count("*").alias("size"), F.max("n").alias("n"))
+    slots = F.greatest(F.lit(1), F.least(F.lit(PIVOTS), F.floor(F.lit(GROUP_GRAMS) / F.col("n"))))
+    chosen = clusters.groupBy("root", F.pmod(F.xxhash64("label"), slots).alias("slot")).agg(F.max(F.struct("size", "label")).alias("_most"))
+    chosen = cut(chosen.select("root", F.col("_most.label").alias("set_key")), "pivots")
+    pivots = sets.join(small(chosen, BROADCAST_KEYS), ["root", "set_key"], "left_semi")
+    others = F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("block")))
+    visits = pivots.select("root", others.alias("block"), F.lit(True).alias("is_left"), "set_key", "label", "grams")
+    met = visits.unionByName(sets.select("root", "block", F.lit(False).alias("is_left"), "set_key", "label", "grams"))
+    found = cut(_between(met.withColumn("item", F.struct("root", "block")), num, den), "pivot-links")
+
+    # Classes of the labels so far, the largest one of each group, and how many sets are outside it.
+    so_far = components(found).select(F.col("node").alias("label"), F.col("root").alias("_class"))
+    so_far = small(cut(so_far, "labels"), BROADCAST_KEYS)
+    classed = sets.join(so_far, "label", "left").withColumn("_class", F.coalesce("_class", "label"))
+    counted = classed.groupBy("root", "_class").agg(F.count("*").alias("size"), F.sum("n").alias("n"))
+    groups = counted.groupBy("root").agg(F.max(F.struct("size", "_class")).alias("_most"), F.sum("size").alias("g"), F.sum("n").alias("n"))
+    groups = groups.select("root", F.col("_most._class").alias("_main"), "g", "n", (F.col("g") - F.col("_most.size")).alias("r")).where("r > 0")
+    per = F.least(F.lit(GROUP_SETS), F.greatest(F.lit(BLOCK_SETS), F.col("r")))  # few in the rest: small blocks, as they are sent once
+    groups = groups.withColumn("all_blocks", F.greatest(F.ceil(F.col("g") / per), F.ceil(F.col("n") / GROUP_GRAMS)).cast("int"))
+    groups = groups.withColumn("rest_blocks", F.greatest(F.ceil(F.col("r") / per), F.ceil(F.col("n") * F.col("r") / F.col("g") / GROUP_GRAMS)).cast("int"))
+    groups = cut(groups, "large-groups")
+    if not groups.limit(1).count():
+        return found
+    open_ = classed.join(small(groups, BROADCAST_KEYS), "root")
+    several = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    rest = open_.where("_class <> _main").select("root", _dealt("rest_blocks", 1).alias("i"), several("all_blocks").alias("j"), F.lit(True).alias("is_left"), "set_key", "_class", "grams")
+    every = open_.select("root", several("rest_blocks").alias("i"), _dealt("all_blocks").alias("j"), F.lit(False).alias("is_left"), "set_key", "_class", "grams")
+    met = rest.unionByName(every).withColumnRenamed("_class", "label").withColumn("item", F.struct("root", "i", "j"))
+    return found.union(cut(_between(met, num, den), "rest-links"))
+
+
 def _class(n: str, num: int, den: int) -> Column:
     """Classes of set sizes: sets that link differ by one at most (a hundredth more guards against rounding)."""
     return F.floor(F.log(n) / (1.01 * math.log(den / num))).cast("int") if num < den else F.col(n).cast("int")
@@ -397,7 +475,8 @@ def groups_of(pairs: DataFrame) -> DataFrame:
 
 
 def links(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, num: int = 85, den: int = 100) -> tuple[DataFrame, DataFrame]:
-    """(rows, edges). rows: key, row, n, set_key per document; edges: a, b: links between set keys that make up the classes."""
+    """(rows, edges). rows: key, row, n, set_key per document; edges: a, b: set keys; the
+    components of these are those of all links."""
     rows, _ = prepared(docs, key, text, k, num, den)
     groups = groups_of(candidates(rows, num, den))
     # The texts of the candidates: one document for each set.
@@ -419,19 +498,19 @@ def links(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4,
             yield pa.RecordBatch.from_arrays([*[batch[c].take(rows_kept) for c in ("set_key", "items")], pa.array(out, pa.binary())], ["set_key", "items", "grams"])
 
     sets = found.select("_text", "set_key", "items").mapInArrow(grams, "set_key long, items array<struct<root:bigint,blocks:int>>, grams binary")
-    dealt = sets.select("set_key", "grams", F.explode("items").alias("_i")).select("set_key", "grams", "_i.*")
-    block = F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int")
-    # Block b meets every block: as the left side of items (b, x >= b), as the right side of (x < b, b).
-    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, block).alias("i"), F.greatest(x, block).alias("j")))
-    dealt = dealt.withColumn("_block", block).select("set_key", "grams", "root", "_block", F.explode(others).alias("_pair"))
-    item = F.struct("root", "_pair.i", "_pair.j")
-    return rows.select(key, "row", "n", "set_key"), _linked(dealt.select(item.alias("item"), (F.col("_block") == F.col("_pair.i")).alias("is_left"), "set_key", "grams"), num, den)
+    dealt = sets.select("set_key", "grams", F.explode("items").alias("_i")).select("set_key", "grams", "_i.*").withColumn("block", _dealt("blocks"))
+    joined = cut(_alone(dealt, num, den), "joined-blocks")
+    edges = joined.where("set_key <> label").select(F.col("set_key").alias("a"), F.col("label").alias("b"))
+    large = joined.where("blocks > 1")
+    if large.limit(1).count():
+        edges = edges.union(_large_groups(large, num, den))
+    return rows.select(key, "row", "n", "set_key"), edges
 
 
 def items_of(members: DataFrame) -> DataFrame:
     """members: root, set_key, _id, _n. set_key, _id, items: the groups in which a set is compared (root, blocks); a group
     that is large for a task has several blocks."""
-    sizes = members.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / GROUP_SETS), F.ceil(F.sum("_n") / GROUP_GRAMS)).cast("int").alias("blocks"))
+    sizes = members.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("_n") / GROUP_GRAMS)).cast("int").alias("blocks"))
     return members.join(sizes, "root").groupBy("set_key", "_id").agg(F.collect_list(F.struct("root", "blocks")).alias("items"))
 
 

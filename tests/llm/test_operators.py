@@ -514,21 +514,65 @@ def brute_classes(rows, k=4, num=85, den=100):
     return {d: (len(sets[d]), find(d)) for d in ids}
 
 
-def near_copies(n, seed=3):
+def near_copies(n, seed=3, edits=4):
     draw = random.Random(seed)
     base = [draw.choice("abcdefghij") + str(draw.randrange(200)) for _ in range(120)]
     out = []
     for _ in range(n):
         own = list(base)
-        for _ in range(draw.randrange(5)):
+        for _ in range(draw.randrange(edits + 1)):
             own[draw.randrange(len(own))] = "edit" + str(draw.randrange(10**6))
         out.append(" ".join(own))
     return out
 
 
+def chain(n, step=1, words=60, seed=5):
+    """Texts of which each links with the next few and not with those far away."""
+    draw = random.Random(seed)
+    row = [f"w{draw.randrange(10**6)}" for _ in range(words + n * step)]
+    return [" ".join(row[i * step : i * step + words]) for i in range(n)]
+
+
+def strangers(n, seed=6):
+    """Texts that share a long passage, and with it all candidate tests by hot n-grams, but do not link."""
+    draw = random.Random(seed)
+    common = " ".join(f"c{i}" for i in range(40))
+    return [common + " " + " ".join(f"s{draw.randrange(10**6)}" for _ in range(14)) for _ in range(n)]
+
+
+@pytest.mark.parametrize("group,block,pivots", [(40, 12, 3), (9, 4, 1), (1000, 5, 64)])
+def test_large_groups_are_those_of_brute_force(spark, monkeypatch, group, block, pivots):
+    for name, value in {"GROUP_SETS": group, "BLOCK_SETS": block, "PIVOTS": pivots, "PAIR_SETS": 3, "HOT": 8}.items():
+        monkeypatch.setattr(ngram_join, name, value)
+    texts = [*chain(50), *near_copies(40), *strangers(30), *near_copies(12, 9), *chain(1), *ODD]
+    random.Random(1).shuffle(texts)
+    table = docs(spark, texts).repartition(4)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.classes(table).collect()}
+    assert got == brute_classes(enumerate(texts))
+
+
+def test_near_copies_of_one_text_move_in_proportion_to_their_number(spark, monkeypatch):
+    moved = {}
+    between = ngram_join._between
+
+    def counted(sets, num, den):
+        moved[size] = moved.get(size, 0) + sets.count()
+        return between(sets, num, den)
+
+    for name, value in {"_between": counted, "BLOCK_SETS": 10, "GROUP_SETS": 20, "PIVOTS": 2, "PAIR_SETS": 4, "HOT": 8}.items():
+        monkeypatch.setattr(ngram_join, name, value)
+    for size in (100, 300):
+        texts = near_copies(size, edits=2)
+        found = {r.doc_id: r.component_id for r in ngram_join.classes(docs(spark, texts)).collect()}
+        assert found == {i: c for i, (_, c) in brute_classes(enumerate(texts)).items()}
+    sets = {size: len(set(near_copies(size, edits=2))) for size in moved}
+    assert all(moved[size] <= 4 * sets[size] for size in moved), (moved, sets)  # pairs of all blocks: 100 and 900 blocks of 10
+
+
 @pytest.mark.parametrize("most", [ngram_join.GROUP_SETS, 7])
 def test_classes_are_those_of_brute_force(spark, monkeypatch, most):
-    monkeypatch.setattr(ngram_join, "GROUP_SETS", most)  # with few sets a task, groups are dealt into blocks
+    monkeypatch.setattr(ngram_join, "GROUP_SETS", most)
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", min(most, ngram_join.BLOCK_SETS))  # with few sets a task, groups are dealt into blocks
     texts = [*ODD, "ONE", *near_copies(60), *near_copies(20, 4), "p q r s t", "P q R s t"]
     table = docs(spark, texts).withColumn("set_key", F.lit("clash")).repartition(3)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.classes(table).collect()}
