@@ -59,7 +59,7 @@ def cue_quality_audit(cues: DataFrame, parents: DataFrame | None = None, huge: b
     cues were made of; outside counts the cues that none of them holds whole. A cue without a duration or with a null time
     lies inside where a segment holds what is known of it."""
     length, span = F.length("text"), F.col("end_ms") - F.col("start_ms")
-    fast = length * 1000 > X.reading_speed(X.speed_language(F.col("lang")), F.col("text")) * span
+    fast = length.cast("long") * 1000 > X.reading_speed(X.speed_language(F.col("lang")), F.col("text")) * span
     more = []
     if parents is not None:
         cues = inside_parents(cues, parents, huge)
@@ -88,7 +88,7 @@ def quality_sketches(cues: DataFrame) -> DataFrame:
     characters and of milliseconds. Sketches of many tables or days are merged by kll_merge_agg_bigint."""
     span = F.col("end_ms") - F.col("start_ms")
     sketch = lambda c: F.kll_sketch_agg_bigint(c.cast("long"), SKETCH_K)
-    return cues.groupBy("lang").agg(F.count("*").alias("cues"), sketch(F.when(span > 0, F.floor(F.length("text") * 1_000_000 / span))).alias("speed"), sketch(F.length("text")).alias("chars"), sketch(span).alias("ms"))
+    return cues.groupBy("lang").agg(F.count("*").alias("cues"), sketch(F.when(span > 0, F.floor(F.length("text").cast("long") * 1_000_000 / span))).alias("speed"), sketch(F.length("text")).alias("chars"), sketch(span).alias("ms"))
 
 
 def quality_quantiles(sketches: DataFrame, at: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:

@@ -18,7 +18,7 @@ def cues(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = Window.partitionBy("media_id").orderBy("_p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     upto = F.sum(F.length("text")).over(order) * MS_PER_CHAR
     timed = lines.withColumn("cue_no", F.col("_p") + 1).withColumn("_upto", upto)
-    start = F.col("_upto") - F.length("text") * MS_PER_CHAR
+    start = F.col("_upto") - F.length("text").cast("long") * MS_PER_CHAR
     return timed.select("media_id", "cue_no", start.alias("start_ms"), F.when(F.col("cue_no") % 11 == 0, start).otherwise(F.col("_upto")).alias("end_ms"), "lang", "text")
 
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from cuemill.operators import batching as E, metrics as J, segments as D
 from cuemill.operators.scan import Scan
+from cuemill.queries import joins
+from cuemill.sources import views
 
 
 def rows(df):
@@ -98,3 +100,37 @@ def test_sketches_merge_within_their_error(spark):
         assert abs(sum(x <= again[lang].ms[0] for x in found) / len(found) - 0.5) < 0.03
     none = J.quality_quantiles(J.quality_sketches(cues.limit(3).withColumn("end_ms", F.lit(0).cast("long")))).collect()
     assert none and all(r.speed is None for r in none)
+
+
+def test_speeds_of_long_lines(spark):
+    """Lines of more characters than an int of thousandths or millionths holds."""
+    rows = spark.createDataFrame([("en", 2_148, 1_000), ("ja", 3_000_000, 60_000_000)], "lang string, n int, end_ms long")
+    cues = rows.select(F.lit("m").alias("media_id"), "lang", F.lit(0).cast("long").alias("start_ms"), "end_ms", F.repeat(F.lit("x"), F.col("n")).alias("text"))
+    got = {r.lang: (r.speed, r.chars) for r in J.quality_quantiles(J.quality_sketches(cues)).collect()}
+    assert got == {"en": ([2_148_000] * 3, [2_148] * 3), "ja": ([50_000] * 3, [3_000_000] * 3)}
+    assert {r.lang: (r.too_long, r.too_fast, r.longest) for r in J.cue_quality_audit(cues).collect()} == {"en": (1, 1, 2_148), "ja": (1, 1, 3_000_000)}
+
+
+def test_quantiles_of_given_documents(spark, sf_dir):
+    """All columns are computed, near the exact quantiles; a count alone would leave them out."""
+    got = {r.lang: r for r in joins.j8_cue_quality_quantiles(spark, sf_dir).collect()}
+    found = {}
+    for r in views.cues(spark, sf_dir).collect():
+        speeds, chars, ms = found.setdefault(r.lang, ([], [], []))
+        chars.append(len(r.text))
+        ms.append(r.end_ms - r.start_ms)
+        if ms[-1] > 0:
+            speeds.append(chars[-1] * 1_000_000 // ms[-1])
+    assert got.keys() == found.keys() and max(max(chars) for _, chars, _ in found.values()) > 2_147
+    for lang, columns in found.items():
+        assert got[lang].cues == len(columns[1])
+        for name, values in zip(("speed", "chars", "ms"), columns):
+            for q, value in zip((0.5, 0.95, 0.99), got[lang][name]):
+                below, upto = (sum(f(x) for x in values) / len(values) for f in (lambda x: x < value, lambda x: x <= value))
+                assert below - 0.03 <= q <= upto + 0.03
+
+
+def test_starts_of_a_very_long_line(spark, tmp_path):
+    chars = 36_000_000
+    spark.range(1).select(F.lit(1).cast("long").alias("doc_id"), F.lit("en").alias("lang"), F.repeat(F.lit("x"), F.lit(chars)).alias("text")).write.parquet(str(tmp_path / "documents.parquet"))
+    assert [tuple(r) for r in views.cues(spark, str(tmp_path)).select("start_ms", "end_ms").collect()] == [(0, chars * 60)]
