@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -76,61 +77,108 @@ def stream_progress(events: DataFrame, lateness: str = "1 hour", idle: str = "1
     return rows.withWatermark("event_time", lateness).groupBy("media_id", "chunk_no").transformWithStateInPandas(ChunkProgress(idle_ms), PROGRESS, "Update", "EventTime")
 
 
-ALARM = "backend string, event_time timestamp, failures int"
+ALARM = "backend string, at_us long, failures int, failed long"
+COUNTS = ["at_us", "succeeded", "failed"]
+
+
+def _by_time(rows: list[Any]) -> Any:
+    """Times, successes and failures (arrays): sums by distinct time, in order."""
+    at, succeeded, failed = (np.concatenate([np.asarray(r[i], np.int64) for r in rows]) for i in range(3))
+    times, place = np.unique(at, return_inverse=True)
+    sums = (np.zeros(len(times), np.int64), np.zeros(len(times), np.int64))
+    np.add.at(sums[0], place, succeeded)
+    np.add.at(sums[1], place, failed)
+    return np.stack([times, *sums])
 
 
 class FailureStreak(StatefulProcessor):
     """One alarm when failures in a row, by time, reach limit; a success starts anew. Outcomes wait in a buffer until the
-    watermark has passed them, so that their order does not depend on the micro-batch they came with; those of one time
-    count failures first."""
+    watermark has passed them, so that their order does not depend on the micro-batch they came with; of those of one time
+    successes count first, and the failures all at once. A timer stands at the earliest time in the buffer, so that
+    outcomes go as the watermark passes them, whatever later ones wait. The buffer is rewritten only when no more
+    than half of it still waits; entries up to done_us are over."""
 
     def __init__(self, limit: int = 3):
         self.limit = limit
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.streak = handle.getValueState("streak", "failures int, given boolean")
-        self.buffer = handle.getMapState("buffer", "at_us long, ok boolean", "n int")
+        self.streak = handle.getValueState("streak", "failures long, given boolean, first_us long, timer_ms long, done_us long, over long")
+        self.buffer = handle.getListState("buffer", "at_us array<bigint>, succeeded array<bigint>, failed array<bigint>")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        last = 0
+        first = None
         for r in rows:
-            for (at, ok), n in r.groupby(["at_us", "ok"]).size().items():
-                place = (int(at), bool(ok))
-                held = self.buffer.getValue(place)[0] if self.buffer.containsKey(place) else 0
-                self.buffer.updateValue(place, (held + int(n),))
-            last = max(last, int(r["at_us"].max()))
-        self.handle.registerTimer(last // 1000 + 1)
-        yield self._released(key, timerValues)
+            if len(r):
+                new = _by_time([[r[c].to_numpy() for c in COUNTS]])
+                self.buffer.appendList(self._pieces(new))
+                first = int(new[0][0]) if first is None else min(first, int(new[0][0]))
+        yield from self._released(key, timerValues, first)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        yield self._released(key, timerValues)
+        yield from self._released(key, timerValues, None, int(expiredTimerInfo.getExpiryTimeInMs()))
+
+    @staticmethod
+    def _pieces(counts: Any) -> list[tuple]:
+        return [tuple(c.tolist() for c in counts[:, k : k + FRAME]) for k in range(0, counts.shape[1], FRAME)]
 
-    def _released(self, key: Any, timerValues: Any) -> pd.DataFrame:
+    def _released(self, key: Any, timerValues: Any, new_us: int | None, fired_ms: int | None = None) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        failures, given = tuple(self.streak.get()) if self.streak.exists() else (0, False)
+        failures, given, first, timer, done, over = tuple(self.streak.get()) if self.streak.exists() else (0, False, None, None, None, 0)
+        if new_us is not None:
+            first = new_us if first is None else min(first, new_us)
         alarms = []
-        for at, ok in sorted((k[0], k[1]) for k in self.buffer.keys() if k[0] <= passed):
-            n = self.buffer.getValue((at, ok))[0]
-            self.buffer.removeKey((at, ok))
-            failures, given = (0, False) if ok else (failures + n, given)
-            if failures >= self.limit and not given:
-                alarms.append((key[0], at, self.limit if failures - n < self.limit else failures))
-                given = True
-        self.streak.update((failures, given))
-        return pd.DataFrame(alarms, columns=["backend", "at_us", "failures"])
+        if first is not None and first <= passed:
+            held = _by_time(list(self.buffer.get()))
+            held = held if done is None else held[:, held[0] > done]
+            due, waiting = held[:, held[0] <= passed], held[:, held[0] > passed]
+            for at, succeeded, failed in due.T.tolist():
+                if succeeded:
+                    failures, given = 0, False
+                failures += failed
+                if failures >= self.limit and not given:
+                    alarms.append((key[0], at, failures, failed))
+                    given = True
+            first, done, over = int(waiting[0][0]) if waiting.size else None, passed, over + due.shape[1]
+            if not waiting.size:
+                self.buffer.clear()
+                over = 0
+            elif over >= waiting.shape[1]:
+                self.buffer.put(self._pieces(waiting))
+                over = 0
+        timer = self._timer_at(None if first is None else -(-first // 1000), timer, fired_ms)
+        self.streak.update((failures, given, first, timer, done, over))
+        if alarms:
+            yield pd.DataFrame(alarms, columns=["backend", "at_us", "failures", "failed"])
+
+    def _timer_at(self, wanted_ms: int | None, timer_ms: int | None, fired_ms: int | None) -> int | None:
+        """Moves the one timer; one that has fired goes by itself."""
+        if wanted_ms != timer_ms:
+            if timer_ms is not None and timer_ms != fired_ms:
+                self.handle.deleteTimer(timer_ms)
+            if wanted_ms is not None:
+                self.handle.registerTimer(wanted_ms)
+        return wanted_ms
 
     def close(self) -> None:
         pass
 
 
+def stream_failure_alarms(outcomes: DataFrame, lateness: str = "1 hour", limit: int = 3, unknown_fails: bool = True) -> DataFrame:
+    """stream_failure_streak with failed: how many failures came at the very time of the alarm. Without unknown_fails a null
+    outcome only moves the watermark."""
+    unknown = F.lit(int(unknown_fails))
+    rows = outcomes.where("event_time is not null").select("backend", F.coalesce(F.col("ok").cast("int"), F.lit(0)).cast("long").alias("succeeded"), F.coalesce(1 - F.col("ok").cast("int"), unknown).cast("long").alias("failed"), "event_time", F.unix_micros("event_time").alias("at_us"))
+    alarms = rows.withWatermark("event_time", lateness).groupBy("backend").transformWithStateInPandas(FailureStreak(limit), ALARM, "Append", "EventTime")
+    return alarms.select("backend", F.timestamp_micros("at_us").alias("event_time"), "failures", "failed")
+
+
 def stream_failure_streak(outcomes: DataFrame, lateness: str = "1 hour", limit: int = 3) -> DataFrame:
     """outcomes: backend, event_time, ok (null: a failure). Alarms come once the watermark has passed the failure that is
-    the limit-th in a row; outcomes older than the watermark don't count. A backend's buffer holds one entry for each
-    distinct time within lateness; a streak is two numbers a backend. Output mode: append."""
-    rows = outcomes.select("backend", F.coalesce("ok", F.lit(False)).alias("ok"), "event_time", F.unix_micros("event_time").alias("at_us"))
-    alarms = rows.withWatermark("event_time", lateness).groupBy("backend").transformWithStateInPandas(FailureStreak(limit), "backend string, at_us long, failures int", "Append", "EventTime")
-    return alarms.select("backend", F.timestamp_micros("at_us").alias("event_time"), "failures")
+    the limit-th in a row, with the failures up to and at its time; outcomes without a time or older than the watermark
+    (at first 1970) don't count. A backend's buffer holds the distinct times within lateness, and at most as many that are
+    over; a streak is a few numbers a backend. Output mode: append."""
+    return stream_failure_alarms(outcomes, lateness, limit).select("backend", "event_time", "failures")
 
 
 TRANSCRIPT = "media_id string, cue_no int, text string, complete boolean"

@@ -2,11 +2,13 @@ import datetime
 import random
 from contextlib import contextmanager
 
+import duckdb
 import pytest
 
 from pyspark.sql import functions as F
 
 from cuemill.operators import batching as E
+from cuemill.queries import ORACLE_SQL, QUERIES
 from cuemill.streaming import jobs
 
 SIMPLE = "1\n00:00:01,000 --> 00:00:03,000\nHello\n"
@@ -111,6 +113,50 @@ def test_alarms_do_not_depend_on_arrival(spark, tmp_path, rocks, seed):
         assert sorted(flat(put([("z", at(600), True)]))) == sorted(want)
 
 
+def test_alarm_does_not_wait_for_later_outcomes(spark, tmp_path, rocks):
+    """x has one outcome that the watermark has not passed; the three before it have been passed, the last just now."""
+    with fed(spark, tmp_path, OUTCOMES, lambda e: jobs.stream_failure_streak(e, "1 minute"), "append") as (put, _):
+        assert flat(put([("x", at(7), False), ("x", at(7, 30), False), ("x", at(8), False), ("x", at(8, 1), True), ("y", at(8, 1), False)])) == []
+        assert flat(put([("z", at(9), True)])) == [("x", at(8), 3)]
+        assert len(flat(put([("z", at(30), True)]))) == 1
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_outcomes_of_one_time_count_at_once(spark, tmp_path, rocks, seed):
+    """Successes first, then all failures; over many micro-batches, each of which passes some of the buffer."""
+    rng = random.Random(seed)
+    rows = [(rng.choice("ab"), at(rng.randrange(60)), rng.choice([True, False, False, None])) for _ in range(160)]
+    want, state = [], {}
+    for backend, when in sorted({r[:2] for r in rows}, key=lambda r: r[1]):
+        oks = [ok for b, t, ok in rows if (b, t) == (backend, when)]
+        before, given = (0, False) if True in oks else state.get(backend, (0, False))
+        now = before + sum(not ok for ok in oks)
+        if now >= 3 and not given:
+            want.append((backend, when, now, sum(not ok for ok in oks)))
+        state[backend] = (now, given or now >= 3)
+    near = sorted(rows, key=lambda r: r[1] + datetime.timedelta(minutes=rng.randrange(8)))
+    with fed(spark, tmp_path, OUTCOMES, lambda e: jobs.stream_failure_alarms(e, "10 minutes"), "append") as (put, _):
+        for k in range(0, 160, 20):
+            put(near[k : k + 20])
+        out = put([("z", at(600), True), (None, None, False)])
+        assert sorted(flat(out)) == sorted(want) and sum(bool(b) for b in out) > 2
+
+
+@pytest.mark.parametrize("minutes", [0, 37])
+def test_alarms_of_odd_events_are_those_of_sql(spark, tmp_path, minutes):
+    """Ties, nulls everywhere, backends whose last outcome lies in the last hour; no events at all."""
+    rng = random.Random(minutes)
+    null = lambda x: None if rng.random() < 0.1 else x
+    rows = [(i, null(at(rng.randrange(600))), null(rng.randrange(4)), null(rng.choice(["error", "error", "view"]))) for i in range(400)] if minutes else []
+    rows += [(1000 + i, at(600 + minutes, i), 9, "error") for i in range(3)] + [(1003, at(660 + minutes, 2), 9, "view")] if minutes else []
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.execute(f"set timezone = 'UTC'; create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    want = con.execute(ORACLE_SQL["k3_stream_failure_streak"]).fetchall()
+    got = QUERIES["k3_stream_failure_streak"](spark, str(tmp_path)).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want)) and (len(want) > 10) == bool(minutes)
+
+
 def test_transcripts_are_handed_on_whole_and_once(spark, tmp_path, rocks):
     schema = "event_time timestamp, media_id string, cue_no int, text string, total int"
     with fed(spark, tmp_path, schema, jobs.stream_transcripts, "append") as (put, query):
