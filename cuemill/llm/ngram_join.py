@@ -30,11 +30,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import new_folder, remove, scratch, write
 from ._spark import cut, schema_of, small
 from ._words import blocks, mixed, release, shingles, split_words
 
@@ -44,9 +46,13 @@ HEAVY, HEAVY_COUNT = 1 << 19, 4
 RANGES = 1024
 #: N-grams that a task gathers before it sends their counts.
 FLUSH = 2_000_000
-#: Sets of an n-gram whose pairs are counted; with more, all join the least of them. An n-gram of more than HOT sets is
-#: dealt into cells, as many as the root of its count. Both change the cost, not the links.
+#: Sets of an n-gram whose pairs are counted; with more, all join the least of them. In large corpora also n-grams that are
+#: just too rare for HEAVY may have more sets; their pairs are counted too, as each set has some of them, and joined they
+#: would make one group of nearly all sets. An n-gram of more than HOT sets is dealt into cells, as many as the root of its
+#: count. Both change the cost, not the links.
 PAIR_SETS, HOT = 32, 256
+#: Entries of prefixes that are dealt by n-gram at a time, and how many times at most: a part of the n-grams at each.
+PASS_ENTRIES, PASSES = 5_000_000, 4
 #: Sets of a block of a large group; sets of a block where the rest meets all others; n-grams of either, about.
 BLOCK_SETS, GROUP_SETS, GROUP_GRAMS = 250, 1000, 4_000_000
 #: Sets of a large group that visit all its blocks before the rest is known. Changes the cost, not the links.
@@ -138,16 +144,17 @@ def _counts(docs: DataFrame, k: int) -> DataFrame:
 def _heavy(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The upper 32 bits of the most frequent n-grams, ascending, with their counts. At most HEAVY: the least count is
     the smallest that no more than HEAVY n-grams reach."""
-    counts = cut(_counts(docs, k), "gram-counts")
-    least, total = None, 0
-    for row in counts.groupBy(F.least("n", F.lit(1 << 14)).alias("n")).count().orderBy(F.desc("n")).collect():
-        total += row["count"]
-        if total > HEAVY:
-            break
-        least = row["n"]
-    if least is None:
-        return np.zeros(0, np.uint32), np.zeros(0, np.uint32)
-    found = counts.where(F.col("n") >= least).toArrow()
+    with scratch(docs.sparkSession):
+        counts = cut(_counts(docs, k), "gram-counts")
+        least, total = None, 0
+        for row in counts.groupBy(F.least("n", F.lit(1 << 14)).alias("n")).count().orderBy(F.desc("n")).collect():
+            total += row["count"]
+            if total > HEAVY:
+                break
+            least = row["n"]
+        if least is None:
+            return np.zeros(0, np.uint32), np.zeros(0, np.uint32)
+        found = counts.where(F.col("n") >= least).toArrow()
     gram, n = found["gram"].to_numpy().astype(np.uint32), found["n"].to_numpy().astype(np.uint32)
     order = np.argsort(gram)
     return gram[order], n[order]
@@ -177,12 +184,13 @@ def _cells(counts: np.ndarray, set_key: int) -> np.ndarray:
     return np.where(number > 0, 1 + set_key % np.maximum(number, 1), 0).astype(np.int32)
 
 
-def prepared(docs: DataFrame, key: str, text: str, k: int, num: int, den: int) -> tuple[DataFrame, _Order]:
+def prepared(docs: DataFrame, key: str, text: str, k: int, num: int, den: int) -> tuple[DataFrame, int]:
     """One row per document: key, row (hash of its text), n (size of its set), set_key (null if empty), and prefix, cells
     (of each n-gram of the prefix) and parity, null for a set that its task has met before. Written, as all later steps
-    start from it."""
+    start from it. And the least count of a frequent n-gram (0 if none is)."""
     spark = docs.sparkSession
     heavy = spark.sparkContext.broadcast(_heavy(docs.select(text), k))
+    least = int(heavy.value[1].min()) if len(heavy.value[1]) else 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order, seen = _Order(heavy.value), set()
@@ -200,7 +208,7 @@ def prepared(docs: DataFrame, key: str, text: str, k: int, num: int, den: int) -
 
     bare = docs.select(F.col(key), F.xxhash64(F.col(text)).alias("_row"), F.col(text).alias("_text"))
     rows = bare.mapInArrow(run, schema_of(docs, [key], "row long, n long, set_key long, prefix array<long>, cells array<int>, parity binary"))
-    return cut(rows, "prefixes"), heavy
+    return cut(rows, "prefixes"), least
 
 
 def parity(own: np.ndarray) -> bytes:
@@ -221,7 +229,16 @@ def components(edges: DataFrame) -> DataFrame:
     """edges: a, b (long). (node, root) for every node of an edge, root being the least node of its component. Each
     round joins every node's greater neighbours, then its lesser ones, to the least (large and small star) until nothing
     changes; the graph stays in the shared folder between rounds."""
-    edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    spark, last = edges.sparkSession, None
+
+    def kept(df: DataFrame) -> tuple[DataFrame, str | None]:
+        """df written, and the folder of the round before."""
+        nonlocal last
+        before, last = last, new_folder(spark, "edges")
+        write(df, last)
+        return spark.read.schema(df.schema).parquet(last), before
+
+    edges, _ = kept(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     while True:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
@@ -229,8 +246,9 @@ def components(edges: DataFrame) -> DataFrame:
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         star = large.join(down, "a")
         after = star.select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
-        after = cut(after, "edges")
+        after, before = kept(after)
         same = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first() == edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        remove(spark, before)
         edges = after
         if same:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b").distinct())
@@ -416,20 +434,30 @@ def _class(n: str, num: int, den: int) -> Column:
     return F.floor(F.log(n) / (1.01 * math.log(den / num))).cast("int") if num < den else F.col(n).cast("int")
 
 
-def candidates(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """rows: n, set_key, prefix, cells, parity. bucket, a, b: pairs of set keys; the components of each bucket hold all
+def candidates(rows: DataFrame, num: int, den: int, least: int = 0) -> DataFrame:
+    """rows: n, set_key, prefix, cells, parity. least: of a frequent n-gram's count. bucket, a, b: pairs of set keys; the components of each bucket hold all
     sets that can link there. Sets of class b meet those of class b and b - 1 in bucket b, and no others.
 
     Sets a and b can share no more than c n-grams of their prefixes and what comes after the prefix that ends first. An
     n-gram of at most PAIR_SETS sets gives all its pairs, so c is known up to the n-grams of more sets, which are
     counted as shared; a pair that can't reach the threshold goes, as does one whose parities differ in too many bits. An
     n-gram of more sets joins all of them in a bucket, by way of the least set of each cell. Rows are dealt by n-gram and
-    cell, so that no task gets all sets of a hot n-gram."""
-    members = rows.select(F.explode(F.arrays_zip("prefix", "cells")).alias("_e"), "set_key", F.col("n").cast("int").alias("n"))
-    entries = members.select(F.col("_e.prefix").alias("gram"), F.col("_e.cells").alias("cell"), "set_key", "n").repartition("gram", "cell").groupBy("gram", "cell", "set_key").agg(F.first("n").alias("n"))
-    groups = entries.groupBy("gram", "cell").agg(F.count("*").alias("sets")).where("sets > 1 or cell > 0")
-    shared = cut(entries.join(groups, ["gram", "cell"]).withColumn("class", _class("n", num, den)), "shared")
-    many = (F.col("sets") > PAIR_SETS) | (F.col("cell") > 0)
+    cell, so that no task gets all sets of a hot n-gram; of large tables a part of the n-grams at a time, so that no more
+    than that is on the way at once."""
+    size = rows.agg(F.sum(F.size("prefix"))).first()[0] if PASSES > 1 else 0
+    passes = max(1, min(PASSES, -(-(size or 0) // PASS_ENTRIES)))
+
+    def shared_of(part: int) -> DataFrame:
+        zipped = F.arrays_zip("prefix", "cells")
+        zipped = zipped if passes == 1 else F.filter(zipped, lambda e: F.pmod(e["prefix"], F.lit(passes)) == part)
+        members = rows.where("prefix is not null").select(F.explode(zipped).alias("_e"), "set_key", F.col("n").cast("int").alias("n"))
+        entries = members.select(F.col("_e.prefix").alias("gram"), F.col("_e.cells").alias("cell"), "set_key", "n").repartition("gram", "cell").groupBy("gram", "cell", "set_key").agg(F.first("n").alias("n"))
+        groups = entries.groupBy("gram", "cell").agg(F.count("*").alias("sets")).where("sets > 1 or cell > 0")
+        return entries.join(groups, ["gram", "cell"]).withColumn("class", _class("n", num, den))
+
+    parts = [cut(shared_of(p), "shared") for p in range(passes)]
+    shared = reduce(DataFrame.union, parts)
+    many = (F.col("sets") > max(PAIR_SETS, min(least, HOT))) | (F.col("cell") > 0)
     large = shared.where(many)
     few = shared.where(~many).select("gram", "set_key", "n", "class")
     other = few.select("gram", F.col("set_key").alias("b"), F.col("n").alias("nb"), F.col("class").alias("kb"))
@@ -477,8 +505,14 @@ def groups_of(pairs: DataFrame) -> DataFrame:
 def links(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, num: int = 85, den: int = 100) -> tuple[DataFrame, DataFrame]:
     """(rows, edges). rows: key, row, n, set_key per document; edges: a, b: set keys; the
     components of these are those of all links."""
-    rows, _ = prepared(docs, key, text, k, num, den)
-    groups = groups_of(candidates(rows, num, den))
+    spark = docs.sparkSession
+    paths = [new_folder(spark, name) for name in ("documents", "groups")]
+    with scratch(spark):  # prefixes are most of what is written, and over with the groups
+        full, least = prepared(docs, key, text, k, num, den)
+        made = full.select(key, "row", "n", "set_key"), groups_of(candidates(full, num, den, least))
+        for df, path in zip(made, paths):
+            write(df, path)
+    rows, groups = (spark.read.schema(df.schema).parquet(path) for df, path in zip(made, paths))
     # The texts of the candidates: one document for each set.
     one = rows.where("set_key is not null").groupBy("set_key").agg(F.min(F.struct(F.col(key).alias("id"), F.col("row").alias("row"))).alias("_id"), F.first("n").alias("_n"))
     wanted = cut(items_of(groups.join(one, "set_key")), "candidates")
@@ -504,7 +538,7 @@ def links(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4,
     large = joined.where("blocks > 1")
     if large.limit(1).count():
         edges = edges.union(_large_groups(large, num, den))
-    return rows.select(key, "row", "n", "set_key"), edges
+    return rows, edges
 
 
 def items_of(members: DataFrame) -> DataFrame:

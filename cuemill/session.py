@@ -64,11 +64,25 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             remove(spark, path)
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def write(df: DataFrame, path: str) -> None:
+    """df as Parquet. Its shuffle files go when it is written, not when the driver happens to collect its garbage."""
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP, "false")
+    conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(_CLEANUP, before)
+
+
 def cut(df: DataFrame, name: str = "stage") -> DataFrame:
     """df written to the shared folder and read again: later uses don't compute it anew, and a lost executor costs
     nothing but its running tasks. The lineage ends here."""
     path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    write(df, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
