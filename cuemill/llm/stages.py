@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..session import new_folder, remove, scratch
+from ..session import new_folder, remove, scratch, write
 from . import langid, mixing, ngram_join, packing, quality
 from ._spark import table
 
@@ -68,7 +68,7 @@ def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         path = new_folder(spark, name)
         with scratch(spark):
             made = stage(spark, docs, sf_dir)
-            made.write.parquet(path)
+            write(made, path)
         if before:
             remove(spark, before)
         docs, before = spark.read.schema(made.schema).parquet(path), path
