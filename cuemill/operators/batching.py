@@ -11,17 +11,20 @@ import time
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import nullcontext
+from functools import reduce
 from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions import text as X
-from ..session import cut, new_folder, qualified
-from .ledger import Ledger, Rows
+from ..session import cut, new_folder, qualified, scratch, write
+from .ledger import Ledger, Rows, bucket
 from .scan import Scan
 
 MAX_PACKED = 20
+#: In so many parts replies are joined with their cues, so that no more than one is on the way at once.
+PARTS = 4
 # Fixed value: a line of a numbered reply.
 NUMBERED = r"^\s*(\d+)\s*[.、．)）]\s*(.*)$"
 TEMPLATE = "Translate the following numbered lines. Keep the numbers, one line each.\n\n"
@@ -239,6 +242,8 @@ def run_batches(
                     if ledger:
                         (ledger.write if fine else ledger.stop)(*request, rows)
                 yield pd.DataFrame([(media_id, batch_no, *r) for r in rows], columns=["media_id", "batch_no", "attempt", "status", "error", "texts"])
+        if ledger:
+            ledger.flush()
 
     return batches.select("media_id", F.col("batch_no").cast("int").alias("batch_no"), "texts").mapInPandas(run, ATTEMPTS)
 
@@ -293,29 +298,41 @@ def translate(
     sends only what is missing; with a named folder, so does another call after this program has ended. progress hears the
     share of batches that have a reply, as they come."""
     spark = cues.sparkSession
-    kept = Ledger(qualified(spark, ledger or new_folder(spark, "ledger")), uuid.uuid4().hex)
     batches = batch_fixed(cues, batch_size or make().batch_size)
     texts = F.transform(F.array_sort(F.collect_list(F.struct("pos", X.flatten_request(F.col("text")).alias("t")))), lambda s: s["t"])
-    grouped = cut(batches.groupBy("media_id", "batch_no").agg(texts.alias("texts")), "requests")
-    first, rest = canary(grouped)
-    lane = (F.col("batch_no") % workers).alias("_lane")
-    counts = grouped.agg(F.count("*").alias("all"), F.count_if(F.col("batch_no") == 0).alias("first"), F.count_distinct(F.when(F.col("batch_no") > 0, F.struct("media_id", lane))).alias("lanes")).first()
     most = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    paths = [new_folder(spark, name) for name in ("replies", "replies", "whole")]
 
-    def sent(some: DataFrame, tasks: int, *by: str) -> DataFrame:
+    def sent(some: DataFrame, tasks: int, path: str, *by: Column) -> DataFrame:
         """Dealt to a number of tasks, which stays as it is: requests are small, but take long."""
-        dealt = some.repartition(max(1, min(tasks, most)), *by).sortWithinPartitions("media_id", "batch_no")
-        return cut(run_batches(dealt, make, source, target, retries, delay_s, halve, request_delay_s, kept), "replies")
-
-    with _Heard(kept, _how(source, target), counts["all"], progress) if progress else nullcontext():
-        tried = sent(first, counts["first"], "media_id")
-        fine = tried.where("status = 'ok'").select("media_id")
-        others = sent(rest.join(fine, "media_id", "left_semi").withColumn("_lane", lane), counts["lanes"], "media_id", "_lane")
-    attempts = tried.unionByName(others)
-    replies = attempts.where("status = 'ok'").select("media_id", "batch_no", "texts")
-    whole = grouped.groupBy("media_id").count().join(replies.groupBy("media_id").agg(F.count("*").alias("_ok")), "media_id").where("count = _ok").select("media_id")
-    lines = replies.join(whole, "media_id", "left_semi").select("media_id", "batch_no", F.posexplode("texts").alias("pos", "translation"))
-    translated = batches.drop("translation").join(lines, ["media_id", "batch_no", "pos"])
+        tasks = max(1, min(tasks, most))
+        dealt = some.repartitionById(tasks, (sum(by) % tasks).cast("int")).sortWithinPartitions(bucket(F.col("media_id")), "media_id", "batch_no")
+        made = run_batches(dealt, make, source, target, retries, delay_s, halve, request_delay_s, kept)
+        write(made, path)
+        return spark.read.schema(made.schema).parquet(path)
+
+    with scratch(spark):  # requests, and a ledger of this call alone, go when all replies are written
+        kept = Ledger(qualified(spark, ledger or new_folder(spark, "ledger")), uuid.uuid4().hex)
+        grouped = cut(batches.groupBy("media_id", "batch_no").agg(texts.alias("texts")), "requests")
+        first, rest = canary(grouped)
+        lane, place = F.col("batch_no") % workers, bucket(F.col("media_id"))
+        counts = grouped.agg(F.count("*").alias("all"), F.count_if(F.col("batch_no") == 0).alias("first"), F.count_distinct(F.when(F.col("batch_no") > 0, F.struct("media_id", lane.alias("_lane")))).alias("lanes")).first()
+        with _Heard(kept, _how(source, target), counts["all"], progress) if progress else nullcontext():
+            tried = sent(first, counts["first"], paths[0], place)
+            fine = tried.where("status = 'ok'").select("media_id")
+            others = sent(rest.join(fine, "media_id", "left_semi"), counts["lanes"], paths[1], place, lane)
+        attempts = tried.unionByName(others)
+        replies = attempts.where("status = 'ok'").select("media_id", "batch_no", "texts")
+        write(grouped.groupBy("media_id").count().join(replies.groupBy("media_id").agg(F.count("*").alias("_ok")), "media_id").where("count = _ok").select("media_id"), paths[2])
+    whole = spark.read.schema(grouped.select("media_id").schema).parquet(paths[2])
+
+    def of(part: int) -> DataFrame:
+        """A part of the media items with translations. Both sides are dealt by media item, so that lines move once."""
+        some = F.pmod(F.xxhash64("media_id"), F.lit(PARTS)) == part
+        lines = replies.where(some).join(whole.where(some), "media_id", "left_semi").repartition("media_id").select("media_id", "batch_no", F.posexplode("texts").alias("pos", "translation"))
+        return batches.where(some).drop("translation").join(lines, ["media_id", "batch_no", "pos"])
+
+    translated = reduce(DataFrame.union, [cut(of(p), "translated") for p in range(PARTS)])
     return translated.withColumn("translation", F.coalesce(F.when(F.col("translation") != "", F.col("translation")), F.col("text"))), attempts
 
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cuemill.operators import batching as E
+from cuemill.operators.ledger import Ledger
 
 
 def cues(spark, texts, media="m"):
@@ -254,3 +255,22 @@ def test_a_killed_task_pays_no_call_twice(tmp_path):
     assert found.returncode == 0, found.stderr[-2000:]
     calls = (tmp_path / "calls").read_text().split()
     assert sorted(calls) == sorted([f"a{i}" for i in range(10)] + ["a5"])  # the one under way when the worker died, and no other
+
+
+def test_replies_are_packed(spark, tmp_path):
+    """Not a file, or a folder, for each request; what is packed is found again, also in the layout of before."""
+    many = spark.range(3000).select(F.col("id").cast("string").alias("media_id"), F.lit(1).alias("cue_no"), F.concat(F.lit("t"), "id").alias("text"))
+    done, _ = E.translate(many, lambda: Slow(tmp_path / "one"), "en", "fr", ledger=f"file://{tmp_path}/ledger")
+    assert done.where("translation = upper(text)").count() == 3000 and len(requests(tmp_path / "one")) == 3000
+    assert len(list((tmp_path / "ledger").rglob("*"))) < 2200  # 1,024 buckets
+    again, _ = E.translate(many, lambda: Slow(tmp_path / "two"), "en", "fr", ledger=f"file://{tmp_path}/ledger")
+    assert again.count() == 3000 and not (tmp_path / "two").exists()
+    own = Ledger(f"file://{tmp_path}/old", "run")
+    own._put(own._item(own._replies("en>fr"), "7"), own._file(0, ["t7"], "en>fr"), [(0, "ok", None, ["before"])])
+    own = Ledger(f"file://{tmp_path}/old", "run")
+    assert own.read("7", 0, ["t7"], "en>fr") == [(0, "ok", None, ["before"])] and own.read("7", 0, ["t8"], "en>fr") is None
+    for i in range(3):
+        own.write("7", i, [f"n{i}"], "en>fr", [(0, "ok", None, [f"N{i}"])])
+    assert own.count("en>fr") == 4 and Ledger(f"file://{tmp_path}/old", "run").read("7", 1, ["n1"], "en>fr") == [(0, "ok", None, ["N1"])]  # before they are packed
+    own.flush()
+    assert own.count("en>fr") == 4 and Ledger(f"file://{tmp_path}/old", "run").read("7", 1, ["n1"], "en>fr") == [(0, "ok", None, ["N1"])]
