@@ -8,6 +8,8 @@ any script.
 
 from __future__ import annotations
 
+import hashlib
+import json
 import os
 import shutil
 import uuid
@@ -15,11 +17,12 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 from ..functions import text as X
-from . import export
+from . import export, listing
 
 TIME = r"^(\d{2}:\d{2}:\d{2}[,.]\d{1,3})\s*-->\s*(\d{2}:\d{2}:\d{2}[,.]\d{1,3})"
 INDEX = r"^[+-]?\d+$"
@@ -28,8 +31,14 @@ LEAST_BYTES = 50
 
 
 def scan_media(spark: SparkSession, directory: str | list[str], extensions: list[str], recursive: bool = True) -> DataFrame:
-    """path, name, media_id, length, modified of files with the extensions (any case), by name. Contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(directory).select("path", "length", "modificationTime")
+    """path, name, media_id, length, modified of files with the extensions (any case), by name. Contents are not read.
+    Mounted folders are listed by tasks."""
+    paths = [directory] if isinstance(directory, str) else list(directory)
+    mounted, files = [listing.local_path(spark, p) for p in paths], None
+    if recursive and paths and all(mounted):
+        files = listing.files(spark, mounted)
+    if files is None:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(directory).select("path", "length", "modificationTime")
     name = F.element_at(F.split("path", "/"), -1)
     found = files.withColumn("name", name).where(X.extension(F.col("name")).isin([e.lower().lstrip(".") for e in extensions]))
     stem = F.regexp_replace("name", r"\.[^.]*$", "")
@@ -190,7 +199,9 @@ class TextFiles(DataSource):
 
 @dataclass
 class _Written(WriterCommitMessage):
-    names: list[tuple[str, str]]
+    """A file of a task, with a line (its place beside the target, its name) for each file that it has written."""
+
+    names: str
 
 
 class _FileWriter(DataSourceWriter):
@@ -202,26 +213,47 @@ class _FileWriter(DataSourceWriter):
 
     def write(self, rows: Iterator) -> WriterCommitMessage:
         os.makedirs(self.parts, exist_ok=True)
-        written = []
-        for row in rows:
-            name = os.path.normpath(row.file_name)
-            if name.startswith(("/", "..")):
-                raise ValueError(f"a file name must stay in the folder: {row.file_name}")
-            part = f"{self.parts}/{uuid.uuid4().hex}"
-            with open(part, "w", encoding="utf-8", newline="") as f:
-                f.write(row.content)
-            written.append((part, name))
-        return _Written(written)
+        names = f"{self.parts}/{uuid.uuid4().hex}.names"
+        with open(names, "w", encoding="utf-8") as written:
+            for row in rows:
+                name = os.path.normpath(row.file_name)
+                if name.startswith(("/", "..")):
+                    raise ValueError(f"a file name must stay in the folder: {row.file_name}")
+                part = uuid.uuid4().hex
+                with open(f"{self.parts}/{part}", "w", encoding="utf-8", newline="") as f:
+                    f.write(row.content)
+                written.write(json.dumps([part, name]) + "\n")
+        return _Written(names)
+
+    @staticmethod
+    def _moves(messages: list) -> Iterator[tuple[str, str]]:
+        for message in messages:
+            if message:
+                with open(message.names, encoding="utf-8") as lines:
+                    yield from map(json.loads, lines)
+
+    def _again(self, messages: list) -> list[str]:
+        """Names that come twice. Eight bytes a file are held to find them."""
+        key = lambda name: int.from_bytes(hashlib.blake2b(name.encode(), digest_size=8).digest(), "little", signed=True)
+        hashes = np.fromiter((key(name) for _, name in self._moves(messages)), np.int64)
+        hashes.sort()
+        doubled = set(hashes[1:][hashes[1:] == hashes[:-1]].tolist())
+        if not doubled:
+            return []
+        counts = Counter(name for _, name in self._moves(messages) if key(name) in doubled)
+        return [n for n, c in counts.items() if c > 1]
 
     def commit(self, messages: list) -> None:
-        moves = [m for message in messages if message for m in message.names]
-        again = [n for n, c in Counter(n for _, n in moves).items() if c > 1]
-        if again:
+        if again := self._again(messages):
             self.abort(messages)
             raise ValueError(f"{len(again)} file names come twice, as {again[0]}")
-        for part, name in moves:
-            os.makedirs(os.path.dirname(f"{self.path}/{name}"), exist_ok=True)
-            os.replace(part, f"{self.path}/{name}")
+        made: set[str] = set()
+        for part, name in self._moves(messages):
+            folder = os.path.dirname(f"{self.path}/{name}")
+            if folder not in made:
+                os.makedirs(folder, exist_ok=True)
+                made = made | {folder} if len(made) < 1000 else {folder}
+            os.replace(f"{self.parts}/{part}", f"{self.path}/{name}")
         shutil.rmtree(self.parts, ignore_errors=True)
 
     def abort(self, messages: list) -> None:

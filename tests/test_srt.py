@@ -1,8 +1,10 @@
+import pickle
+
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Row, functions as F
 
 from cuemill.functions import text as X
-from cuemill.sources import srt
+from cuemill.sources import listing, srt
 
 SIMPLE = "1\n00:00:01,000 --> 00:00:03,000\nHello\n\n2\n00:00:04,000 --> 00:00:06,000\nWorld\n"
 
@@ -166,3 +168,27 @@ def test_all_line_separators_end_lines(spark):
         text = end.join(["1", "00:00:01,000 --> 00:00:03,000", "Hello", "you", "", "2", "00:00:04,000 --> 00:00:06,000", "World", ""])
         read = srt.read_srt(spark.createDataFrame([("a", bytearray(text.encode()))], "path string, content binary"), "strict").first()
         assert read.how == "strict" and [c.text for c in read.cues] == ["Hello\nyou", "World"], repr(end)
+
+
+def test_tasks_list_as_the_driver_does(spark, tmp_path):
+    """Against Spark's own listing: depth, hidden names, patterns, overlaps, odd names."""
+    for name in ("a.srt", "x/b.SRT", "x/y/z/c d%é=1.srt", "x/_no/d.srt", "x/.no.srt", "x/_k=1/e.srt", "x1/f.srt", "y/g.txt", ".h/i.srt"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(name)
+    for paths in ([str(tmp_path)], [f"file://{tmp_path}/"], [f"{tmp_path}/*", str(tmp_path)], [f"{tmp_path}/x*"], [f"{tmp_path}/[xy]", f"{tmp_path}/x?"], [f"{tmp_path}/*/y"], [f"{tmp_path}/x/*.SRT"]):
+        plain = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths).select("path", "length", "modificationTime").distinct()
+        wanted = sorted((r.path, r.length, r.modificationTime) for r in plain.collect() if r.path.lower().endswith(".srt"))
+        assert listing.files(spark, [listing.local_path(spark, p) for p in paths]) is not None
+        assert sorted((r.path, r.length, r.modified) for r in srt.collect_srt(spark, paths).collect()) == wanted and wanted
+    for gone in (f"{tmp_path}/none", f"{tmp_path}/none*"):
+        with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+            srt.collect_srt(spark, [gone]).collect()
+
+
+def test_the_driver_gets_a_line_for_each_task_not_for_each_file(spark, tmp_path):
+    writer = srt._FileWriter(str(tmp_path / "out"))
+    rows = [Row(file_name=f"{i % 3}/{i}.srt", content=str(i)) for i in range(500)]
+    messages = [writer.write(iter(rows[:250])), writer.write(iter(rows[250:]))]
+    assert all(len(pickle.dumps(m)) < 500 for m in messages)
+    writer.commit(messages)
+    assert sum(p.is_file() for p in (tmp_path / "out").rglob("*")) == 500 and (tmp_path / "out/1/4.srt").read_text() == "4"
