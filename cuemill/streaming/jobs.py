@@ -7,6 +7,7 @@ that passes a buffered outcome, with the transcript that is handed on or timed o
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -17,7 +18,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from ..operators import batching
 from ..session import scratch
-from ..sources import srt
+from ..sources import listing, srt
 
 FILES = "path string, modificationTime timestamp, length bigint, content binary"
 #: Rows of a frame that state hands on.
@@ -25,7 +26,14 @@ FRAME = 1000
 
 
 def stream_srt(spark: SparkSession, directory: str, mode: str = "auto") -> DataFrame:
-    """Parsed rows of new subtitle files; the checkpoint keeps finished ones from being read again."""
+    """Parsed rows of new subtitle files; the checkpoint keeps finished ones from being read again. A mounted folder is
+    listed by tasks at each trigger, and the paths that are done are state (of the executors; with the RocksDB provider on
+    their disks). On other file systems Spark's own source lists, and its driver holds every file's path and status."""
+    mounted = listing.local_path(spark, directory)
+    if mounted and os.path.isdir(mounted):
+        spark.dataSource.register(listing.NewFiles)
+        found = spark.readStream.format("cue_listing").option("path", mounted).option("names", r"(?s).*\.[sS][rR][tT]").load()
+        return srt.read_srt(listing.contents(found.select("path").dropDuplicates(["path"])), mode)
     files = spark.readStream.format("binaryFile").schema(FILES).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[sS][rR][tT]").load(directory)
     return srt.read_srt(files.select("path", "content"), mode)
 

@@ -210,3 +210,24 @@ def test_translation_of_a_stream(spark, tmp_path):
     cues = spark.readStream.schema("media_id string, cue_no int, text string").parquet(str(tmp_path / "in"))
     jobs.stream_translate(cues, lambda: E.provider("glossary", words={"the": "le"}), "en", "fr", str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     assert [r.translation for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["le end"]
+
+
+def test_new_files_are_listed_by_tasks(spark, tmp_path, rocks):
+    """Also those of folders that come later; hidden ones and others are passed over, and Spark's file source, which keeps
+    every path in the driver, is not in the plan."""
+    (tmp_path / "in/deep/er").mkdir(parents=True)
+    for name in ("in/a.srt", "in/deep/b.SRT", "in/deep/er/c d%é.srt", "in/.h.srt", "in/deep/_no.srt", "in/t.txt"):
+        (tmp_path / name).write_text(SIMPLE)
+    seen = []
+
+    def run():
+        q = jobs.stream_srt(spark, f"file://{tmp_path}/in").select("path").writeStream.foreachBatch(lambda b, _: seen.extend(r.path for r in b.collect())).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        q.awaitTermination()
+        assert "FileStreamSource" not in q.lastProgress["sources"][0]["description"]
+
+    run()
+    assert sorted(seen) == sorted(f"file:{tmp_path}/in/{n}" for n in ("a.srt", "deep/b.SRT", "deep/er/c d%é.srt"))
+    (tmp_path / "in/new").mkdir()
+    (tmp_path / "in/new/d.srt").write_text(SIMPLE)
+    run()
+    assert len(seen) == 4 and seen[-1].endswith("/new/d.srt")
