@@ -221,7 +221,7 @@ def _folders(spark: SparkSession, sf_dir: str) -> str:
     """A folder with the documents' subtitle files, in one folder for each last digit."""
     folder = new_folder(spark, "scan")
     files = srt.to_srt(views.cues(spark, sf_dir)).select(F.concat(F.substring("media_id", -1, 1), F.lit("/"), "media_id", F.lit(".srt")).alias("file_name"), "content")
-    srt.write_documents(files, folder, as_files=True)
+    srt.write_documents(files, folder, as_files=True, turns=4)
     return folder
 
 

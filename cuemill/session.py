@@ -67,15 +67,20 @@ def scratch(spark: SparkSession) -> Iterator[None]:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def write(df: DataFrame, path: str) -> None:
-    """df as Parquet. Its shuffle files go when it is written, not when the driver happens to collect its garbage."""
-    conf = df.sparkSession.conf
-    before = conf.get(_CLEANUP, "false")
-    conf.set(_CLEANUP, "true")
+@contextmanager
+def shuffles_go(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is written inside go when it is written, not when the driver happens to collect its garbage."""
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        yield
     finally:
-        conf.set(_CLEANUP, before)
+        spark.conf.set(_CLEANUP, before)
+
+
+def write(df: DataFrame, path: str) -> None:
+    with shuffles_go(df.sparkSession):
+        df.write.parquet(path)
 
 
 def cut(df: DataFrame, name: str = "stage") -> DataFrame:

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 from ..functions import text as X
+from ..session import shuffles_go
 from . import export, listing
 
 TIME = r"^(\d{2}:\d{2}:\d{2}[,.]\d{1,3})\s*-->\s*(\d{2}:\d{2}:\d{2}[,.]\d{1,3})"
@@ -169,14 +170,20 @@ def documents(split_cues: DataFrame, segments: DataFrame, formats: list[str]) ->
     return out
 
 
-def write_documents(docs: DataFrame, directory: str, as_files: bool = False) -> None:
+def write_documents(docs: DataFrame, directory: str, as_files: bool = False, turns: int = 1) -> None:
     """Parquet partitioned by format, or one file per document: on a mounted folder by tasks themselves, elsewhere
-    through Spark's file systems."""
+    through Spark's file systems. turns: files are written in so many parts, by their names, each whole before the next,
+    so that no more than a part of docs is on the way; if one fails, the files of those before it stay."""
+    if as_files and turns > 1:
+        for k in range(turns):
+            write_documents(docs.where(F.pmod(F.xxhash64("file_name"), F.lit(turns)) == k), directory, True)
+        return
     if as_files and "://" in directory and not directory.startswith("file://"):
         export.write_files(docs, directory)
     elif as_files:
         docs.sparkSession.dataSource.register(TextFiles)
-        docs.select("file_name", "content").write.format("cue_files").mode("append").option("path", directory).save()
+        with shuffles_go(docs.sparkSession):
+            docs.select("file_name", "content").write.format("cue_files").mode("append").option("path", directory).save()
     else:
         docs.write.mode("overwrite").partitionBy("format").parquet(directory)
 
@@ -214,21 +221,26 @@ class _FileWriter(DataSourceWriter):
     def write(self, rows: Iterator) -> WriterCommitMessage:
         os.makedirs(self.parts, exist_ok=True)
         names = f"{self.parts}/{uuid.uuid4().hex}.names"
-        with open(names, "w", encoding="utf-8") as written:
+        written = None
+        try:
             for row in rows:
                 name = os.path.normpath(row.file_name)
                 if name.startswith(("/", "..")):
                     raise ValueError(f"a file name must stay in the folder: {row.file_name}")
+                written = written or open(names, "w", encoding="utf-8")  # a task without rows leaves nothing, also beside a failed one
                 part = uuid.uuid4().hex
                 with open(f"{self.parts}/{part}", "w", encoding="utf-8", newline="") as f:
                     f.write(row.content)
                 written.write(json.dumps([part, name]) + "\n")
-        return _Written(names)
+        finally:
+            if written:
+                written.close()
+        return _Written(names if written else "")
 
     @staticmethod
     def _moves(messages: list) -> Iterator[tuple[str, str]]:
         for message in messages:
-            if message:
+            if message and message.names:
                 with open(message.names, encoding="utf-8") as lines:
                     yield from map(json.loads, lines)
 

@@ -192,3 +192,9 @@ def test_the_driver_gets_a_line_for_each_task_not_for_each_file(spark, tmp_path)
     assert all(len(pickle.dumps(m)) < 500 for m in messages)
     writer.commit(messages)
     assert sum(p.is_file() for p in (tmp_path / "out").rglob("*")) == 500 and (tmp_path / "out/1/4.srt").read_text() == "4"
+
+
+def test_files_are_written_in_turns(spark, tmp_path):
+    docs = spark.range(40).select(F.concat("id", F.lit(".srt")).alias("file_name"), F.concat("id", F.lit("\n")).alias("content"))
+    srt.write_documents(docs, str(tmp_path / "out"), as_files=True, turns=3)
+    assert {p.name: p.read_text() for p in (tmp_path / "out").iterdir()} == {f"{i}.srt": f"{i}\n" for i in range(40)}
